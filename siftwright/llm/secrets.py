@@ -1,0 +1,290 @@
+"""Secret scan by patterns and a randomness test battery [native].
+
+Patterns find assignments, access keys and hex strings. Beyond them, every long
+token is tested for randomness. Its encoding is inferred from its characters
+(hex, base32, base36, base62, base64, base64url). Against "natural text" stand
+
+* chi-squared alphabet uniformity: random strings repeat characters less often
+  than words do (coincidences, the sum in the chi-squared statistic);
+* a runs test: classes (upper, lower, digit, other) change more often.
+
+Both p-values are joined by Fisher's method. A token counts as random where its
+p-value passes the Benjamini-Hochberg rule of its length class, learnt from a
+histogram over all tokens of the corpus (its size is bounded by the bins), and
+where chi-squared, runs and lag-1 serial correlation do not reject that it is
+random ("abcdefgh...", padding, tables).
+
+Null and empty texts have no spans; repeated rows get equal spans; an empty
+table gives an empty table. Spans are code points, end exclusive. Other columns
+pass through.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwright.llm.common import let, table, tmp_names
+
+#: Kinds in their order, and the pattern of each.
+KINDS = ("assign", "access", "hex", "random")
+ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+
+#: Natural text: chance that two letters are equal, of three, and that the
+#: class changes between neighbours.
+SAME_TWO, SAME_THREE, CHANGE = 0.066, 0.0064, 0.12
+#: Length classes, false discovery rate, bins of -ln p.
+LENGTHS = (20, 32, 48, 96)
+RATE = 0.001
+BIN, BINS = 0.25, 400
+#: Rejection bound (standard deviations) of the tests against "random".
+BOUND = 3.3
+
+SPAN = "array<struct<start:int,end:int,kind:string>>"
+
+
+def matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """Array of (start, end, length of ``group``) of leftmost matches.
+
+    ``split`` gives what lies between the matches, so places are running sums
+    of lengths.
+    """
+    between = F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    parts = F.zip_with(
+        F.slice(F.transform(between, F.length), F.lit(1), F.size(found)),
+        F.transform(found, F.length),
+        lambda gap, own: F.struct(gap.alias("gap"), own.alias("own")),
+    )
+    parts = F.zip_with(
+        parts, F.transform(inner, F.length),
+        lambda p, n: F.struct(p["gap"].alias("gap"), p["own"].alias("own"), n.alias("n")),
+    )
+    empty = F.array().cast("array<struct<start:int,end:int,n:int>>")
+    return F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), empty.alias("out")),
+        lambda a, p: F.struct(
+            (a["at"] + p["gap"] + p["own"]).alias("at"),
+            F.concat(
+                a["out"],
+                F.array(F.struct(
+                    (a["at"] + p["gap"]).alias("start"),
+                    (a["at"] + p["gap"] + p["own"]).alias("end"),
+                    p["n"].alias("n"),
+                )),
+            ).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+
+
+def kind_spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
+    """Spans of one kind whose group has ``least`` characters or more."""
+    found = F.filter(matches(text, pattern, group), lambda m: m["n"] >= least)
+    spans = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind")))
+    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast(SPAN))
+
+
+def base_spans(text: Column) -> Column:
+    """A shorter run of an access key or hex string has no longer match inside
+    it, so these two state their least length in the pattern."""
+    return F.concat(
+        kind_spans(text, ASSIGN, "assign", 2, 6),
+        kind_spans(text, ACCESS, "access"),
+        kind_spans(text, HEX, "hex"),
+    )
+
+
+def tail(z: Column) -> Column:
+    """-ln P(Z > z) of a normal variable (Abramowitz-Stegun 26.2.17; beyond 4,
+    the asymptotic form)."""
+    a = F.abs(z)
+    t = 1 / (1 + 0.2316419 * a)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.exp(-a * a / 2) / math.sqrt(2 * math.pi) * poly
+    inner = -F.ln(F.when(z >= 0, upper).otherwise(1 - upper))
+    return F.when(z > 4, z * z / 2 + F.ln(z * math.sqrt(2 * math.pi))).otherwise(inner)
+
+
+def battery(token: Column) -> Column:
+    """Struct of ``score`` (-ln p against natural text), ``random`` (the tests
+    against randomness all pass) and ``encoding``."""
+    body = F.rtrim(F.regexp_replace(token, "=+$", ""))
+
+    def of_body(t: Column) -> Column:
+        n = F.length(t).cast("double")
+        encoding = (
+            F.when(F.rlike(t, F.lit("^[0-9]+$")), F.lit("decimal"))
+            .when(F.rlike(t, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), F.lit("hex"))
+            .when(F.rlike(t, F.lit("^[A-Z2-7]+$")), F.lit("base32"))
+            .when(F.rlike(t, F.lit("^([0-9a-z]+|[0-9A-Z]+)$")), F.lit("base36"))
+            .when(F.rlike(t, F.lit("^[0-9A-Za-z]+$")), F.lit("base62"))
+            .when(F.rlike(t, F.lit("^[0-9A-Za-z+/]+$")), F.lit("base64"))
+            .when(F.rlike(t, F.lit("^[0-9A-Za-z_-]+$")), F.lit("base64url"))
+            .otherwise(F.lit("mixed"))
+        )
+        one_case = F.rlike(t, F.lit("^([a-z]+|[A-Z]+)$"))
+        k = (
+            F.when(encoding == "hex", 16.0).when(one_case, 26.0).when(encoding == "base32", 32.0)
+            .when(encoding == "base36", 36.0).when(encoding == "base62", 62.0).otherwise(64.0)
+        )
+        chars = F.array_remove(F.split(t, "", -1), "")
+        counts = F.transform(F.array_distinct(chars), lambda c: (F.length(t) - F.length(F.replace(t, c, F.lit("")))).cast("double"))
+        squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
+        runs = F.regexp_count(t, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")).cast("double")
+        share = [F.regexp_count(t, F.lit(c)) / n for c in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]")]
+        codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
+        mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
+
+        def serial(dev: Column) -> Column:
+            own = F.aggregate(dev, F.lit(0.0), lambda a, x: a + x * x)
+            lag = F.aggregate(
+                F.transform(dev, lambda x, i: x * F.coalesce(F.get(dev, i + 1), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x
+            )
+            return F.when(own > 0, lag / own).otherwise(1.0)
+
+        lagged = let(let(F.struct(codes.alias("c"), mean.alias("m")), lambda s: F.transform(s["c"], lambda x: x - s["m"])), serial)
+        drawn = F.struct(
+            n.alias("n"), k.alias("k"), squares.alias("squares"), (runs - 1).alias("changes"), encoding.alias("encoding"),
+            one_case.alias("one"), lagged.alias("serial"), (1 - share[0] * share[0] - share[1] * share[1] - share[2] * share[2] - share[3] * share[3]).alias("mix"),
+        )
+        return let(drawn, verdict)
+
+    def verdict(s: Column) -> Column:
+        n, k = s["n"], s["k"]
+        pairs = n * (n - 1) / 2
+        same = (s["squares"] - n) / 2
+        spread = F.sqrt(pairs * SAME_TWO * (1 - SAME_TWO) + n * (n - 1) * (n - 2) * (SAME_THREE - SAME_TWO**2))
+        chi = tail((pairs * SAME_TWO - same - 0.5) / spread)
+        runs = tail((s["changes"] - 0.5 - (n - 1) * CHANGE) / F.sqrt((n - 1) * CHANGE * (1 - CHANGE)))
+        both = chi + runs
+        score = F.when(s["one"], chi).otherwise(both - F.ln(1 + both))
+        x2 = (k * s["squares"] / n - n) / (k - 1)
+        uniform = (F.pow(x2, F.lit(1 / 3)) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1)))
+        mixed = (s["changes"] - (n - 1) * s["mix"]) / F.sqrt((n - 1) * s["mix"] * (1 - s["mix"]) + 1e-9)
+        fits = (
+            (uniform <= BOUND) & (s["one"] | (F.abs(mixed) <= BOUND))
+            & (F.abs(s["serial"]) * F.sqrt(n) <= BOUND) & (s["encoding"] != "decimal")
+        )
+        return F.struct(F.greatest(score, F.lit(0.0)).alias("score"), fits.alias("random"), s["encoding"].alias("encoding"), s["n"].alias("n"))
+
+    return let(body, of_body)
+
+
+def length_class(n: Column) -> Column:
+    out = F.lit(0)
+    for i, least in enumerate(LENGTHS[1:], 1):
+        out = F.when(n >= least, i).otherwise(out)
+    return out
+
+
+def score_bin(score: Column) -> Column:
+    return F.least(F.floor(score / BIN), F.lit(BINS)).cast("int")
+
+
+def learn(df: DataFrame, text: str = "text", rate: float = RATE) -> list[float]:
+    """Least score of each length class, by Benjamini-Hochberg over all tokens.
+
+    One aggregation over (class, bin): at most 4 x 401 rows reach the driver.
+    """
+    tokens = df.where(F.rlike(F.col(text), F.lit(TOKEN))).select(
+        F.explode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("t")
+    )
+    tested = tokens.select(battery(F.col("t")).alias("b"))
+    rows = tested.groupBy(length_class(F.col("b.n")).alias("c"), score_bin(F.col("b.score")).alias("s")).count().collect()
+    out = []
+    for c in range(len(LENGTHS)):
+        bins = {r["s"]: r["count"] for r in rows if r["c"] == c}
+        total, above, cut = sum(bins.values()), 0, math.inf
+        for s in sorted(bins, reverse=True):
+            above += bins[s]
+            if total * math.exp(-BIN * s) <= rate * above:
+                cut = BIN * s
+        out.append(cut)
+    return out
+
+
+def random_spans(text: Column, base: Column, cuts: list[float]) -> Column:
+    """Random tokens that touch no base span."""
+    found = matches(text, TOKEN)
+
+    def tested(m: Column) -> Column:
+        b = battery(F.substring(text, m["start"] + 1, m["end"] - m["start"]))
+        least = F.lit(cuts[0])
+        for i, start in enumerate(LENGTHS[1:], 1):
+            least = F.when(m["end"] - m["start"] >= start, F.lit(cuts[i])).otherwise(least)
+        return let(b, lambda x: x["random"] & (F.floor(x["score"] / BIN) * BIN >= least))
+
+    free = F.filter(found, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    spans = F.transform(
+        F.filter(free, tested),
+        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit("random").alias("kind")),
+    )
+    return F.when(F.rlike(text, F.lit(TOKEN)), spans).otherwise(F.array().cast(SPAN))
+
+
+def in_order(spans: Column) -> Column:
+    """By start, then kind as listed."""
+    rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("r"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return F.transform(F.sort_array(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+
+def find(df: DataFrame, text: str = "text", cuts: list[float] | None = None) -> DataFrame:
+    """Add ``base_spans`` and ``secret_spans`` (base and random), in order.
+
+    ``cuts`` are the least scores by length class; by default they are learnt
+    from all of ``df``.
+    """
+    cuts = learn(df, text) if cuts is None else cuts
+    (clean,) = tmp_names(df, "clean_text_")
+    out = df.withColumn(clean, F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumn("base_spans", in_order(base_spans(F.col(clean))))
+    found = F.concat(F.col("base_spans"), random_spans(F.col(clean), F.col("base_spans"), cuts))
+    return out.withColumn("secret_spans", in_order(found)).drop(clean)
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """``text`` with each stretch of touching spans replaced by ``mark``."""
+    pieces = F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda a, s: F.when(
+            (s["start"] < a["at"]) & (F.size(a["out"]) > 0),
+            F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")),
+        ).otherwise(
+            F.struct(
+                s["end"].alias("at"),
+                F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).alias("out"),
+            )
+        ),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.lit(2**31 - 1))),
+    )
+    return F.when(F.size(spans) == 0, text).otherwise(pieces)
+
+
+def joined(spans: Column) -> Column:
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find(docs)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(F.col("base_spans"), lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"),
+        joined(F.col("secret_spans")).alias("spans"),
+    )
