@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from siftwright.llm import quality
+from siftwright.llm import quality, secrets, simhash
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 SQL = {
     "op9_quality_rules": quality.SQL,
