@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import staged
+from siftwright.llm.common import staged, unstage
 
 
 def _signature(edges: DataFrame):
@@ -44,7 +44,9 @@ def components(edges: DataFrame) -> DataFrame:
             large.join(other, F.col("u") == F.col("u2"))
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         )
-        e = staged(kept.union(moved).distinct(), "small")
+        used, e = e, staged(kept.union(moved).distinct(), "small")
+        unstage(used)
+        unstage(large)
         now = _signature(e)
         if now == last:
             break

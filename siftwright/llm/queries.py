@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from siftwright.llm import quality, secrets, simhash
+from siftwright.llm import mixing, quality, secrets, shards, simhash, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op4_kd_shards": shards.op4_kd_shards,
+    "op5_url_filter": urls.op5_url_filter,
+    "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 SQL = {
+    "op5_url_filter": urls.SQL,
     "op9_quality_rules": quality.SQL,
 }
