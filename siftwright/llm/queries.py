@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from siftwright.llm import mixing, quality, secrets, shards, simhash, urls
+from siftwright.llm import mixing, packing, quality, secrets, shards, simhash, urls, vectors, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op3_min_bin_slack": packing.op3_min_bin_slack,
     "op4_kd_shards": shards.op4_kd_shards,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_cover_tree_dedup": vectors.op6_cover_tree_dedup,
+    "op7_warc_index": warc.op7_warc_index,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
