@@ -34,12 +34,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siftwright/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and
-    survives lost executors because the files are not theirs."""
+    survives lost executors because the files are not theirs. Narrow tables are
+    not compressed, as codecs hold memory outside the heap for every column of
+    every small task; texts should be ("zstd")."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -79,23 +81,26 @@ def tmp_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def slots(df: DataFrame, keys: list[str], order: list[str], name: str, part_rows: int = 20_000) -> DataFrame:
+def slots(df: DataFrame, keys: list[str], order: list[str], name: str, part_rows: int = 20_000, counted: DataFrame | None = None) -> DataFrame:
     """Add ``name``: each row's number within ``keys``, gapless from 0.
 
     A group is dealt over salts by a hash of ``order``, numbered within each
     salt, and lifted by the rows of the salts before it, so that no task holds
-    a whole group. ``df`` should be staged: it is read twice. Rows equal in
+    a whole group. ``df`` should be staged, as it is read twice; or ``counted``
+    is a narrow staged table with the same keys and order columns. Rows equal in
     ``order`` meet in one salt, in any order among themselves.
     """
-    total = df.count()
+    counted = df if counted is None else counted
+    total = counted.count()
     salts = max(1, -(-total // part_rows))
-    salt, before, nth = tmp_names(df, "salt_", "before_", "nth_")
-    dealt = df.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salts)).cast("int"))
+    salt, before, nth = tmp_names(df.withColumn(name, F.lit(0)), "salt_", "before_", "within_salt_")
+    of_row = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salts)).cast("int")
+    dealt = df.withColumn(salt, of_row)
     by_salt = Window.partitionBy(*keys, salt).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     ranked = dealt.withColumn(nth, F.row_number().over(by_salt).cast("long") - 1)
     if salts == 1:
         return ranked.withColumn(name, F.col(nth)).drop(salt, nth)
-    counts = dealt.groupBy(*keys, salt).count()
+    counts = counted.withColumn(salt, of_row).groupBy(*keys, salt).count()
     lift = Window.partitionBy(*keys).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(
         *[F.col(k).alias(f"k{i}_{k}") for i, k in enumerate(keys)],

@@ -120,12 +120,12 @@ def rounded(classes: Column, lam: Column, cap: float = CAP) -> Column:
     return F.aggregate(classes, start, add, lambda a: a["out"])
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, size_tilt: float = 0.0, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(id, source, size, source_size, target, copies) of every document."""
-    narrow = staged(
-        docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size")),
-        "sizes",
-    )
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, size_tilt: float = 0.0, id_col: str = "doc_id", source: str = "source", text: str = "text", carry: bool = False) -> DataFrame:
+    """(id, source, size, source_size, target, copies) of every document; with
+    ``carry``, all columns of ``docs`` and ``copies``."""
+    size = F.size(words_of(F.col(text))).cast("long")
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+    narrow = staged(narrow, "sizes")
     counted = narrow.groupBy("source", "size").agg(F.count("*").alias("n"))
     sources = counted.groupBy("source").agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"),
@@ -141,10 +141,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
         .select(F.col("source").alias("of_source"), F.col("c.size").alias("of_size"), "c.n", F.col("c.copies").alias("class_copies"), "source_size", "target"),
         "plan",
     )
-    numbered = slots(narrow, ["source", "size"], ["id"], "nth")
+    copies = F.floor(F.col("class_copies") / F.col("n")) + (F.col("nth_") < F.col("class_copies") % F.col("n")).cast("long")
+    if carry:
+        at = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+        rows = docs.select(at.alias("row_"), F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+        numbered = slots(rows, ["source", "size"], ["id"], "nth_", counted=narrow)
+    else:
+        numbered = slots(narrow, ["source", "size"], ["id"], "nth_")
     on = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
-    copies = F.floor(F.col("class_copies") / F.col("n")) + (F.col("nth") < F.col("class_copies") % F.col("n")).cast("long")
-    return numbered.join(plan, on).select("id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    out = numbered.join(plan, on).withColumn("copies", copies.cast("long"))
+    if carry:
+        return out.select(*[F.col("row_")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)], "copies")
+    return out.select("id", "source", "size", "source_size", "target", "copies")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

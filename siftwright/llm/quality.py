@@ -71,11 +71,13 @@ def n_repeat_words(p: Parts) -> Column:
     neighbours give the repeated places, and a place covers the words up to the
     next one, three at most. Linear but for the sort, whatever repeats.
     """
-    words, zero = p.words, F.lit(0).cast("long")
-    hashes = F.transform(
-        F.slice(words, F.lit(1), F.size(words) - 2),
-        lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)),
-    )
+    zero = F.lit(0).cast("long")
+
+    def hashes(words: Column) -> Column:
+        return F.transform(
+            F.slice(words, F.lit(1), F.size(words) - 2),
+            lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)),
+        )
 
     def repeated(pairs: Column) -> Column:
         def same(i: Column, j: Column) -> Column:
@@ -101,7 +103,7 @@ def n_repeat_words(p: Parts) -> Column:
             let(let(pairs, repeated), covered)
         )
 
-    return F.when(F.size(words) < 4, zero).otherwise(let(hashes, of_hashes))
+    return F.when(F.size(p.words) < 4, zero).otherwise(let(p.words, lambda w: let(hashes(w), of_hashes)))
 
 
 #: Statistics by name; each is a function of a text's parts.
@@ -179,17 +181,34 @@ def judge(df: DataFrame, rules=RULES, text: str = "text", statistics: tuple[str,
     rules; the others are computed only where the cascade reaches their rule.
     """
     order = ordered(rules, estimate(df, rules, text, sample_rows))
-    clean, words = tmp_names(df, "clean_text_", "words_")
-    out = df.withColumn(clean, F.coalesce(F.col(text), F.lit(""))).withColumn(words, words_of(F.col(clean)))
-    parts = Parts(F.col(clean), F.col(words))
-    if statistics:
-        out = out.withColumns({s: STATISTICS[s](parts) for s in statistics})
 
-    def stat(name: str) -> Column:
-        return F.col(name) if name in statistics else STATISTICS[name](parts)
-
-    out = out.withColumn("rejected_by", cascade(order, stat))
-    return out.withColumn("kept", F.col("rejected_by").isNull()).drop(clean, words)
+    def of_parts(body) -> Column:
+        """``body`` of a row's parts, in one expression: the optimizer may move
+        it, into a filter for one, but never computes the words twice."""
+        clean = F.coalesce(F.col(text), F.lit(""))
+        return let(clean, lambda t: let(words_of(t), lambda w: body(Parts(t, w))))
+
+    if not statistics:
+        verdict = of_parts(lambda p: cascade(order, lambda s: STATISTICS[s](p)))
+        return df.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+    (held,) = tmp_names(df, "statistics_")
+    stats = of_parts(lambda p: F.struct(*[STATISTICS[s](p).alias(s) for s in statistics]))
+
+    def judged(p: Parts, known: Column) -> Column:
+        return cascade(order, lambda s: known[s] if s in statistics else STATISTICS[s](p))
+
+    if all(s in statistics for s in STATISTICS):
+        verdict = let(stats, lambda k: F.struct(*[k[s].alias(s) for s in statistics], judged(None, k).alias("rejected_by")))
+    else:
+        verdict = of_parts(
+            lambda p: let(
+                F.struct(*[STATISTICS[s](p).alias(s) for s in statistics]),
+                lambda k: F.struct(*[k[s].alias(s) for s in statistics], judged(p, k).alias("rejected_by")),
+            )
+        )
+    out = df.withColumn(held, verdict)
+    out = out.withColumns({s: F.col(held)[s] for s in (*statistics, "rejected_by")})
+    return out.withColumn("kept", F.col("rejected_by").isNull()).drop(held)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siftwright.llm import mixing, packing, quality, secrets, shards, simhash, urls, vectors, warc
+from siftwright.llm import mixing, packing, pii, quality, secret_scan, shards, simhash, urls, vectors, warc
 
 QUERIES = {
-    "op1_secret_scan": secrets.op1_secret_scan,
+    "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_semi_markov_pii": pii.op2_semi_markov_pii,
     "op3_min_bin_slack": packing.op3_min_bin_slack,
     "op4_kd_shards": shards.op4_kd_shards,
     "op5_url_filter": urls.op5_url_filter,

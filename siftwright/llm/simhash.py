@@ -188,6 +188,53 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", shing
     )
 
 
+def similarity(a: str | None, b: str | None, shingle: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles, A-Z lower-cased."""
+
+    def shingles(text: str | None) -> set[bytes]:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        k = min(shingle, len(words))
+        return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def verified_copies(docs: DataFrame, groups: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Ids whose text is at least ``least`` similar to their component's first
+    document. ``groups`` is staged (id, component)."""
+    members = groups.where(F.col("component") != F.col("id")).select("id", "component").distinct()
+    firsts = members.select(F.col("component").alias("first")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).alias("text"))
+    first_texts = (
+        texts.join(firsts, F.col("key") == F.col("first"), "left_semi").dropDuplicates(["key"])
+        .select(F.col("key").alias("first"), F.col("text").alias("first_text"))
+    )
+    pairs = texts.join(members, F.col("key") == F.col("id")).join(first_texts, F.col("component") == F.col("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(1), batch.column(2)
+            same = [x.as_py() for x in batch.column(0)]
+            keep = [k for k, x, y in zip(same, a.to_pylist(), b.to_pylist()) if x == y or similarity(x, y, shingle) >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], ["id"])
+
+    return pairs.select("id", "text", "first_text").mapInArrow(run, "id long").distinct()
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group: that of the least id, and any
+    whose text the exact check finds too different from it. Rows with a null id
+    stay; of rows that repeat an id, one stays."""
+    groups = staged(near_groups(docs, id_col, text, shingle, radius), "groups")
+    copies = staged(verified_copies(docs, groups, least, id_col=id_col, text=text), "copies")
+    rest = docs.join(copies.withColumnRenamed("id", "copy_id_"), F.col(id_col) == F.col("copy_id_"), "left_anti")
+    rows, ids, nulls = groups.agg(F.count("*"), F.countDistinct("id"), F.count_if(F.col("id").isNull())).first()
+    if rows - nulls == ids:
+        return rest
+    return rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rest.where(F.col(id_col).isNull()))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_groups(docs).select(
