@@ -34,7 +34,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siftwright/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "uncompressed") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and
     survives lost executors because the files are not theirs. Narrow tables are
     not compressed, as codecs hold memory outside the heap for every column of
