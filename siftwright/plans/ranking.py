@@ -16,8 +16,8 @@ COLUMNS = f"doc_id, doc_id AS ord, lang AS repo, source, {PATH} AS path, {TITLE}
 ITEMS = f"WITH items AS (SELECT {COLUMNS} FROM documents) "
 
 
-def items(spark, d):
-    return table(spark, d, "documents").selectExpr(*[c.strip() for c in split_columns(COLUMNS.replace("//", "div"))])
+def items(spark, d, *more):
+    return table(spark, d, "documents").selectExpr(*[c.strip() for c in split_columns(COLUMNS.replace("//", "div"))], *more)
 
 
 def split_columns(text):
