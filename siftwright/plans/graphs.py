@@ -10,8 +10,9 @@ from siftwright.plans.registry import query, table
 TYPE = "CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'calls' WHEN 'NF' THEN 'imports' WHEN 'NO' THEN 'extends' WHEN 'RF' THEN 'tested_by' ELSE 'implements' END"
 #: Customers call suppliers; supplier ids are lifted above customer ids.
 EDGES = f"WITH edges AS (SELECT o_custkey AS src, 1000000 + l_suppkey AS dst, {TYPE} AS edge_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey), nodes AS (SELECT c_custkey AS node, c_nationkey AS community, c_mktsegment AS file, c_name AS name FROM customer UNION ALL SELECT 1000000 + s_suppkey, s_nationkey, 'sup' || (s_suppkey % 7), s_name FROM supplier) "
-#: A sparse graph: each part points to two others, some parts to none.
-SPARSE = "WITH sp AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % 500 AS dst FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, (p_partkey * 11 + 5) % 700 FROM part WHERE p_partkey % 4 = 1), "
+#: A sparse graph over all parts: small ones point to the next part, those of
+#: one brand to the seventh.
+SPARSE = "WITH sp AS (SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_size < 20 UNION ALL SELECT p_partkey, p_partkey + 7 FROM part WHERE p_brand = 'Brand#11'), "
 
 
 def edges(spark, d):
@@ -26,10 +27,16 @@ def nodes(spark, d):
     return c.unionByName(s)
 
 
+def entries(spark, d):
+    """Nodes that point somewhere and that nothing points to."""
+    e = sparse(spark, d)
+    return e.select(F.col("src").alias("node")).distinct().join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+
+
 def sparse(spark, d):
     p = table(spark, d, "part")
-    a = p.where("p_partkey % 3 = 0").selectExpr("p_partkey AS src", "(p_partkey * 7 + 3) % 500 AS dst")
-    b = p.where("p_partkey % 4 = 1").selectExpr("p_partkey AS src", "(p_partkey * 11 + 5) % 700 AS dst")
+    a = p.where("p_size < 20").selectExpr("p_partkey AS src", "p_partkey + 1 AS dst")
+    b = p.where("p_brand = 'Brand#11'").selectExpr("p_partkey AS src", "p_partkey + 7 AS dst")
     return a.unionByName(b)
 
 
@@ -55,18 +62,18 @@ def untested_hotspots(spark, d):
 
 
 @query(
-    EDGES + "SELECT DISTINCT b.file FROM edges JOIN nodes a ON src = a.node JOIN nodes b ON dst = b.node WHERE a.file = 'BUILDING' AND b.file <> 'BUILDING' AND src % 50 = 1 "
-    "UNION SELECT DISTINCT a.file FROM edges JOIN nodes a ON src = a.node JOIN nodes b ON dst = b.node WHERE b.file = 'BUILDING' AND a.file <> 'BUILDING' AND src % 50 = 1"
+    EDGES + "SELECT DISTINCT b.file FROM edges JOIN nodes a ON src = a.node JOIN nodes b ON dst = b.node WHERE a.file = 'BUILDING' AND b.file <> 'BUILDING' "
+    "UNION SELECT DISTINCT a.file FROM edges JOIN nodes a ON src = a.node JOIN nodes b ON dst = b.node WHERE b.file = 'BUILDING' AND a.file <> 'BUILDING'"
 )
 def adjacent_files(spark, d):
-    return graph.adjacent(edges(spark, d).where("src % 50 = 1"), nodes(spark, d).select("node", "file"), "file", F.lit("BUILDING"))
+    return graph.adjacent(edges(spark, d), nodes(spark, d).select("node", "file"), "file", F.lit("BUILDING"))
 
 
 @query(
-    "WITH RECURSIVE " + SPARSE[5:] + "b AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS depth UNION SELECT sp.dst, b.depth + 1 FROM b JOIN sp ON sp.src = b.node WHERE b.depth < 3) SELECT node, min(depth) AS depth FROM b GROUP BY node"
+    "WITH RECURSIVE " + SPARSE[5:] + "b AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_size = 1 UNION SELECT sp.dst, b.depth + 1 FROM b JOIN sp ON sp.src = b.node WHERE b.depth < 3) SELECT node, min(depth) AS depth FROM b GROUP BY node"
 )
 def call_chain_nodes(spark, d):
-    seeds = spark.createDataFrame([(3,)], "node long")
+    seeds = table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("node"))
     return graph.bfs(sparse(spark, d), seeds, 3)
 
 
@@ -81,25 +88,24 @@ def call_chain_groups(spark, d):
 
 
 @query(
-    "WITH RECURSIVE " + SPARSE[5:] + "e AS (SELECT src AS a, dst AS b FROM sp WHERE src < 40 UNION SELECT dst, src FROM sp WHERE src < 40), n AS (SELECT a AS node FROM e UNION SELECT p_partkey FROM part WHERE p_partkey < 40), "
+    "WITH RECURSIVE " + SPARSE[5:] + "e AS (SELECT src AS a, dst AS b FROM sp UNION SELECT dst, src FROM sp), n AS (SELECT a AS node FROM e UNION SELECT p_partkey FROM part), "
     "r AS (SELECT node, node AS reach FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach), c AS (SELECT node, min(reach) AS component FROM r GROUP BY node) "
     "SELECT node, component, CAST(dense_rank() OVER (ORDER BY component) - 1 AS INTEGER) AS community FROM c"
 )
 def components(spark, d):
-    e = sparse(spark, d).where("src < 40")
-    n = e.select(F.col("src").alias("node")).union(e.select("dst")).union(table(spark, d, "part").where("p_partkey < 40").select("p_partkey"))
+    e = sparse(spark, d)
+    n = e.select(F.col("src").alias("node")).union(e.select("dst")).union(table(spark, d, "part").select("p_partkey"))
     return graph.components(e, n)
 
 
 @query(
-    "WITH RECURSIVE " + SPARSE[5:] + "s AS (SELECT DISTINCT src, dst FROM sp), f AS (SELECT p_partkey AS entry, p_partkey AS at, [p_partkey] AS path FROM part WHERE p_partkey IN (3, 9, 12, 21) "
+    "WITH RECURSIVE " + SPARSE[5:] + "s AS (SELECT DISTINCT src, dst FROM sp), f AS (SELECT src AS entry, src AS at, [src] AS path FROM s WHERE src NOT IN (SELECT dst FROM s) GROUP BY src "
     "UNION ALL SELECT f.entry, s.dst, list_append(f.path, s.dst) FROM f JOIN s ON s.src = f.at WHERE NOT list_contains(f.path, s.dst) AND len(f.path) <= 4), "
     "x AS (SELECT f.entry, f.at AS leaf, f.path FROM f WHERE len(f.path) > 1 AND (len(f.path) = 5 OR NOT EXISTS (SELECT 1 FROM s WHERE s.src = f.at AND NOT list_contains(f.path, s.dst)))) "
     "SELECT entry, leaf, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY entry, leaf ORDER BY len(path), path) AS k FROM x) y WHERE k = 1"
 )
 def flows(spark, d):
-    e = table(spark, d, "part").where("p_partkey in (3, 9, 12, 21)").select(F.col("p_partkey").alias("node"))
-    out = graph.flows(sparse(spark, d), e, max_depth=4)
+    out = graph.flows(sparse(spark, d), entries(spark, d), max_depth=4)
     return out.select("entry", "leaf", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
@@ -124,11 +130,11 @@ def top_degree_subgraph(spark, d):
 
 
 @query(
-    SPARSE + "p AS (SELECT p_partkey AS node FROM part WHERE p_partkey < 30), n AS (SELECT src AS of, dst AS node FROM sp WHERE src IN (SELECT node FROM p) UNION ALL SELECT dst, src FROM sp WHERE dst IN (SELECT node FROM p)) "
+    SPARSE + "p AS (SELECT p_partkey AS node FROM part WHERE p_brand = 'Brand#12'), n AS (SELECT src AS of, dst AS node FROM sp WHERE src IN (SELECT node FROM p) UNION ALL SELECT dst, src FROM sp WHERE dst IN (SELECT node FROM p)) "
     "SELECT node, count(DISTINCT of) AS referrers FROM n WHERE node NOT IN (SELECT node FROM p) GROUP BY node ORDER BY count(DISTINCT of) DESC, node LIMIT 3"
 )
 def next_suggestions(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 30").select(F.col("p_partkey").alias("node"))
+    p = table(spark, d, "part").where("p_brand = 'Brand#12'").select(F.col("p_partkey").alias("node"))
     return graph.next_suggestions(sparse(spark, d), p)
 
 
@@ -147,11 +153,11 @@ test_links.__test__ = False
 
 
 @query(
-    "WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, 'n' || (l_partkey % 400) AS target FROM lineitem WHERE l_orderkey % 20 = 0), n AS (SELECT p_partkey AS node, 'n' || (p_partkey % 350) AS name, p_size AS pr FROM part), "
+    "WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, 'n' || (l_partkey % 400) AS target FROM lineitem), n AS (SELECT p_partkey AS node, 'n' || (p_partkey % 350) AS name, p_size AS pr FROM part), "
     "j AS (SELECT edge_id, node, row_number() OVER (PARTITION BY edge_id ORDER BY pr NULLS LAST, node NULLS LAST) AS k FROM e LEFT JOIN n ON target = name) SELECT edge_id, node, node IS NULL AS external FROM j WHERE k = 1"
 )
 def edge_resolve(spark, d):
-    e = table(spark, d, "lineitem").where("l_orderkey % 20 = 0").selectExpr("l_orderkey * 10 + l_linenumber AS edge_id", "concat('n', l_partkey % 400) AS target_name")
+    e = table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS edge_id", "concat('n', l_partkey % 400) AS target_name")
     n = table(spark, d, "part").selectExpr("p_partkey AS node", "concat('n', p_partkey % 350) AS name", "p_size AS pr")
     return graph.resolve(e, n, F.col("pr")).select("edge_id", "node", "external")
 
@@ -168,9 +174,9 @@ def index_fingerprint(spark, d):
 
 
 @query(
-    "WITH s AS (SELECT p_partkey, p_brand AS path, p_size AS a, p_size + 5 AS b FROM part), c AS (SELECT DISTINCT p_brand AS path, p_size * 2 AS line FROM part WHERE p_partkey % 40 = 0) SELECT DISTINCT p_partkey FROM s JOIN c ON s.path = c.path AND c.line BETWEEN a AND b"
+    "WITH s AS (SELECT p_partkey, p_brand AS path, p_size AS a, p_size + 5 AS b FROM part), c AS (SELECT DISTINCT p_brand AS path, p_size * 2 AS line FROM part WHERE p_retailprice > 1000) SELECT DISTINCT p_partkey FROM s JOIN c ON s.path = c.path AND c.line BETWEEN a AND b"
 )
 def diff_overlap(spark, d):
     s = table(spark, d, "part").selectExpr("p_partkey", "p_brand AS path", "p_size AS a", "p_size + 5 AS b")
-    c = table(spark, d, "part").where("p_partkey % 40 = 0").selectExpr("p_brand AS path", "p_size * 2 AS line").distinct()
+    c = table(spark, d, "part").where("p_retailprice > 1000").selectExpr("p_brand AS path", "p_size * 2 AS line").distinct()
     return workspace.diff_overlap(s, c, "path", "a", "b").select("p_partkey")

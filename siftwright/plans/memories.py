@@ -65,19 +65,19 @@ def latest_per_key(spark, d):
     return out.select("user_id", "event_type", "event_id", "ts")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 = 0) UNION ALL SELECT o_orderkey, 0, -1.0 FROM orders WHERE o_orderkey % 9 = 0")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_orderkey, 0, -1.0 FROM orders WHERE o_orderstatus = 'P'")
 def replace_by_file(spark, d):
     base = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    fresh = table(spark, d, "orders").where("o_orderkey % 9 = 0").selectExpr("o_orderkey AS l_orderkey", "0 AS l_linenumber", "cast(-1.0 AS double) AS l_quantity")
+    fresh = table(spark, d, "orders").where("o_orderstatus = 'P'").selectExpr("o_orderkey AS l_orderkey", "0 AS l_linenumber", "cast(-1.0 AS double) AS l_quantity")
     return memory.replace_by_key(base, fresh, "l_orderkey")
 
 
 @query(
-    "WITH RECURSIVE l AS (SELECT p_partkey AS old, p_partkey + 100 AS new FROM part WHERE p_partkey % 100 < 20 AND p_partkey < 700), c AS (SELECT old AS id, new AS final, 1 AS hops FROM l UNION ALL SELECT c.id, l.new, c.hops + 1 FROM c JOIN l ON l.old = c.final) "
+    "WITH RECURSIVE l AS (SELECT p_partkey AS old, p_partkey + 1 AS new FROM part WHERE p_size < 20), c AS (SELECT old AS id, new AS final, 1 AS hops FROM l UNION ALL SELECT c.id, l.new, c.hops + 1 FROM c JOIN l ON l.old = c.final) "
     "SELECT id, max_by(final, hops) AS final, max(hops) AS hops FROM c GROUP BY id"
 )
 def supersede_chain(spark, d):
-    links = table(spark, d, "part").where("p_partkey % 100 < 20 AND p_partkey < 700").selectExpr("p_partkey AS old", "p_partkey + 100 AS new")
+    links = table(spark, d, "part").where("p_size < 20").selectExpr("p_partkey AS old", "p_partkey + 1 AS new")
     return memory.supersede_chain(links)
 
 

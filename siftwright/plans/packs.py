@@ -55,10 +55,9 @@ def community_anchor(spark, d):
     return packs.community_anchor(i, ["repo"]).select("ord", F.round("confidence", 6).alias("confidence"))
 
 
-@query("SELECT l_suppkey AS stub, CAST(min(l_partkey % 3) AS VARCHAR) AS file FROM lineitem WHERE l_orderkey % 300 = 0 GROUP BY l_suppkey HAVING count(DISTINCT l_partkey % 3) = 1")
+@query("SELECT l_orderkey AS stub, min(l_returnflag) AS file FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1")
 def external_resolve(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 300 = 0")
-    e = li.select(F.col("l_suppkey").alias("stub"), (F.col("l_partkey") % 3).cast("string").alias("file"))
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("stub"), F.col("l_returnflag").alias("file"))
     return packs.external_resolved(e.select("stub").distinct(), e)
 
 
@@ -68,21 +67,21 @@ def newest_packs(spark, d):
 
 
 def some_flows(spark, d):
-    e = table(spark, d, "part").where("p_partkey in (3, 9, 12, 21)").select(F.col("p_partkey").alias("node"))
-    return graph.flows(graphs.sparse(spark, d), e, max_depth=4)
+    return graph.flows(graphs.sparse(spark, d), graphs.entries(spark, d), max_depth=4)
 
 
 FLOWS = graphs.SPARSE[5:] + (
-    "s AS (SELECT DISTINCT src, dst FROM sp), f AS (SELECT p_partkey AS entry, p_partkey AS at, [p_partkey] AS path FROM part WHERE p_partkey IN (3, 9, 12, 21) "
+    "s AS (SELECT DISTINCT src, dst FROM sp), f AS (SELECT src AS entry, src AS at, [src] AS path FROM s WHERE src NOT IN (SELECT dst FROM s) GROUP BY src "
     "UNION ALL SELECT f.entry, s.dst, list_append(f.path, s.dst) FROM f JOIN s ON s.src = f.at WHERE NOT list_contains(f.path, s.dst) AND len(f.path) <= 4), "
     "x AS (SELECT f.entry, f.at AS leaf, f.path FROM f WHERE len(f.path) > 1 AND (len(f.path) = 5 OR NOT EXISTS (SELECT 1 FROM s WHERE s.src = f.at AND NOT list_contains(f.path, s.dst)))), "
     "y AS (SELECT entry, leaf, path FROM (SELECT *, row_number() OVER (PARTITION BY entry, leaf ORDER BY len(path), path) AS k FROM x) z WHERE k = 1) "
 )
 
 
-@query("WITH RECURSIVE " + FLOWS + "SELECT entry, leaf FROM y WHERE list_contains(path, 9)")
+@query("WITH RECURSIVE " + FLOWS + "SELECT entry, leaf FROM y WHERE list_contains(path, (SELECT min(dst) FROM s))")
 def affected_flows(spark, d):
-    return packs.affected_flows(some_flows(spark, d), 9).select("entry", "leaf")
+    node = graphs.sparse(spark, d).agg(F.min("dst")).first()[0]
+    return packs.affected_flows(some_flows(spark, d), node).select("entry", "leaf")
 
 
 @query(

@@ -242,9 +242,9 @@ def render_lines(spark, d):
 
 
 @query(
-    ITEMS + "SELECT i.ord FROM items i JOIN (SELECT DISTINCT repo, path FROM items WHERE ord % 10 = 0) v ON i.repo = v.repo AND i.path = v.path"
+    ITEMS + "SELECT i.ord FROM items i JOIN (SELECT DISTINCT repo, path FROM items WHERE kind = 'config') v ON i.repo = v.repo AND i.path = v.path"
 )
 def lookup_join(spark, d):
     i = items(spark, d)
-    wanted = i.where("ord % 10 = 0").select("repo", "path").distinct()
+    wanted = i.where("kind = 'config'").select("repo", "path").distinct()
     return i.join(wanted, ["repo", "path"], "left_semi").select("ord")

@@ -207,11 +207,11 @@ def redact(spark, d):
 
 @query(
     "WITH n AS (SELECT event_id, event_type, props, substr(sha256(event_type || ':' || substr(props, 1, 80)), 1, 16) AS h, user_id % 4 AS n_files FROM events), "
-    "k AS (SELECT DISTINCT substr(sha256(event_type || ':' || substr(props, 1, 80)), 1, 16) AS h FROM events WHERE event_id % 50 = 0) "
+    "k AS (SELECT DISTINCT substr(sha256(event_type || ':' || substr(props, 1, 80)), 1, 16) AS h FROM events WHERE value > 99) "
     "SELECT min(event_id) AS event_id, h AS task_hash FROM n WHERE n_files >= 1 AND h NOT IN (SELECT h FROM k) GROUP BY h"
 )
 def capture_dedup(spark, d):
     e = table(spark, d, "events")
-    known = e.where("event_id % 50 = 0").select(tx.short_hash(F.concat_ws(":", "event_type", F.substring("props", 1, 80))).alias("task_hash"))
+    known = e.where("value > 99").select(tx.short_hash(F.concat_ws(":", "event_type", F.substring("props", 1, 80))).alias("task_hash"))
     out = memory.capture(e, known, F.col("event_type"), F.col("props"), F.col("user_id") % 4, ["event_id"])
     return out.select("event_id", "task_hash")

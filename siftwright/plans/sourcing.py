@@ -10,11 +10,11 @@ from siftwright.plans.registry import query, table
 
 
 @query(
-    "SELECT l_returnflag AS k, CASE l_linestatus WHEN 'O' THEN 'modified' ELSE 'renamed' END AS status, count(*) AS n FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1, 2"
+    "SELECT l_returnflag AS k, CASE l_linestatus WHEN 'O' THEN 'modified' ELSE 'renamed' END AS status, count(*) AS n FROM lineitem GROUP BY 1, 2"
 )
 def diff_name_status(spark, d):
     t = F.expr("concat(CASE l_linestatus WHEN 'O' THEN 'M' ELSE 'R100' END, '\\t', l_returnflag, '\\tnew', chr(10))")
-    rows = parsers.name_status(table(spark, d, "lineitem").where("l_orderkey % 10 = 0").select(t.alias("text")), "text")
+    rows = parsers.name_status(table(spark, d, "lineitem").select(t.alias("text")), "text")
     return rows.groupBy(F.col("path").alias("k"), "status").agg(F.count("*").alias("n"))
 
 
@@ -49,10 +49,10 @@ def note_frontmatter(spark, d):
     return rows.select("doc_id", "task", "body")
 
 
-@query("SELECT p_brand AS repo, '/v1/' || p_partkey AS path, 'GET' AS method, 'op' || p_partkey AS operation_id FROM part WHERE p_partkey % 5 = 0")
+@query("SELECT p_brand AS repo, '/v1/' || p_partkey AS path, 'GET' AS method, 'op' || p_partkey AS operation_id FROM part")
 def openapi_endpoints(spark, d):
     t = F.expr("concat('{\"paths\": {\"/v1/', p_partkey, '\": {\"get\": {\"operationId\": \"op', p_partkey, '\"}, \"x-note\": {}}}}')")
-    rows = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_brand").alias("repo"), t.alias("t"))
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("repo"), t.alias("t"))
     return parsers.openapi_endpoints(rows, "repo", "t")
 
 
@@ -68,16 +68,16 @@ def sql_symbols(spark, d):
     return code.analyze(files).groupBy("path", "kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'f' || p_partkey || '.py' AS path, 'f' || p_partkey AS src, 'g' || (p_partkey % 9) AS dst, 'calls' AS edge_type FROM part WHERE p_partkey % 7 = 0")
+@query("SELECT 'f' || p_partkey || '.py' AS path, 'f' || p_partkey AS src, 'g' || (p_partkey % 9) AS dst, 'calls' AS edge_type FROM part")
 def python_edges(spark, d):
-    files = table(spark, d, "part").where("p_partkey % 7 = 0").selectExpr("concat('f', p_partkey, '.py') AS path", "concat('def f', p_partkey, '(a):', chr(10), '    return g', p_partkey % 9, '(a)', chr(10)) AS text")
+    files = table(spark, d, "part").selectExpr("concat('f', p_partkey, '.py') AS path", "concat('def f', p_partkey, '(a):', chr(10), '    return g', p_partkey % 9, '(a)', chr(10)) AS text")
     return code.analyze(files, "edges")
 
 
-@query(r"""SELECT p_partkey, 'n' || p_partkey || '.py' AS path, CAST(p_size || '-' || (p_size + 3) AS VARCHAR) AS lines FROM part WHERE p_partkey % 3 = 0""")
+@query(r"""SELECT p_partkey, 'n' || p_partkey || '.py' AS path, CAST(p_size || '-' || (p_size + 3) AS VARCHAR) AS lines FROM part""")
 def agent_pack(spark, d):
     reason = F.format_string("defines `x` lines %d-%d", "p_size", F.col("p_size") + 3)
-    rows = table(spark, d, "part").where("p_partkey % 3 = 0").select("p_partkey", sinks.agent_json(F.expr("concat('n', p_partkey, '.py')"), reason).alias("j"))
+    rows = table(spark, d, "part").select("p_partkey", sinks.agent_json(F.expr("concat('n', p_partkey, '.py')"), reason).alias("j"))
     return rows.select("p_partkey", F.get_json_object("j", "$.path").alias("path"), F.get_json_object("j", "$.lines").alias("lines"))
 
 

@@ -34,13 +34,13 @@ def edges_of_group(spark, d):
     return table(spark, d, "lineitem").join(o, "l_orderkey", "left_semi").select("l_shipdate", "l_orderkey", "l_linenumber")
 
 
-@query("SELECT o_orderkey, min(p) AS part FROM (SELECT o_orderkey, 'hit' AS p FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey, 'late' FROM orders WHERE o_orderkey % 6 = 0) x GROUP BY o_orderkey")
+@query("SELECT o_orderkey, min(p) AS part FROM (SELECT o_orderkey, 'hit' AS p FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'late' FROM orders) x GROUP BY o_orderkey")
 def ordered_union(spark, d):
     from siftwright.operators import memory
 
-    o = table(spark, d, "orders").select("o_orderkey")
-    a = o.where("o_orderkey % 4 = 0").withColumn("part", F.lit("hit")).withColumn("k", F.lit(0))
-    b = o.where("o_orderkey % 6 = 0").withColumn("part", F.lit("late")).withColumn("k", F.lit(1))
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    a = o.where("o_orderstatus = 'F'").withColumn("part", F.lit("hit")).withColumn("k", F.lit(0))
+    b = o.withColumn("part", F.lit("late")).withColumn("k", F.lit(1))
     return memory.latest_per_key(a.unionByName(b), ["o_orderkey"], [F.asc("k")]).select("o_orderkey", "part")
 
 
