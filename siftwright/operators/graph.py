@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="siftwright-")
+        own = tempfile.mkdtemp(prefix="siftwright-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        place = "file://" + own
         spark.conf.set("spark.checkpoint.dir", place)
     path = f"{place.rstrip('/')}/siftwright/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)

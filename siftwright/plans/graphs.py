@@ -174,9 +174,9 @@ def index_fingerprint(spark, d):
 
 
 @query(
-    "WITH s AS (SELECT p_partkey, p_brand AS path, p_size AS a, p_size + 5 AS b FROM part), c AS (SELECT DISTINCT p_brand AS path, p_size * 2 AS line FROM part WHERE p_retailprice > 1000) SELECT DISTINCT p_partkey FROM s JOIN c ON s.path = c.path AND c.line BETWEEN a AND b"
+    "WITH s AS (SELECT p_partkey, p_brand AS path, p_size AS a, p_size + 5 AS b FROM part), c AS (SELECT DISTINCT p_brand AS path, p_size * 2 AS line FROM part WHERE p_size > 10) SELECT DISTINCT p_partkey FROM s JOIN c ON s.path = c.path AND c.line BETWEEN a AND b"
 )
 def diff_overlap(spark, d):
     s = table(spark, d, "part").selectExpr("p_partkey", "p_brand AS path", "p_size AS a", "p_size + 5 AS b")
-    c = table(spark, d, "part").where("p_retailprice > 1000").selectExpr("p_brand AS path", "p_size * 2 AS line").distinct()
+    c = table(spark, d, "part").where("p_size > 10").selectExpr("p_brand AS path", "p_size * 2 AS line").distinct()
     return workspace.diff_overlap(s, c, "path", "a", "b").select("p_partkey")
