@@ -20,6 +20,7 @@ import json
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from siftwright.llm.common import slots, staged, table
 
 WINDOW, END_ID = 2048, 1
-#: Characters tokenized at once; cached chunks; longest word of the fast path.
-BATCH_CHARS, CACHE, LONG_WORD = 8_000_000, 400_000, 48
+#: Characters tokenized at once; cached chunks and words of a generation each;
+#: longest word of the fast path.
+BATCH_CHARS, CACHE, LONG_WORD = 8_000_000, 250_000, 48
 #: Fixed value: how the vocabulary's pre-tokenizer splits lower-cased text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -82,34 +84,50 @@ class WordTokenizer:
             self.merges[vocab[a] << 16 | vocab[b]] = rank << 16 | vocab[a + b]
         self.split = regex.compile(SPLIT)
         self.odd = regex.compile(r"[^\x21-\x7e\xc0-\xff]|<\|")
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        # Caches of two generations: a full one becomes the old one, and what is
+        # used again comes back from it.
+        self.words, self.old_words = {}, {}
+        self.chunks, self.old_chunks = {}, {}
 
     def word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.old_words.get(word)
+            if ids is None:
+                ids = self.merged(word)
+            if len(self.words) >= CACHE:
+                self.words, self.old_words = {}, self.words
+            self.words[word] = ids
+        return ids
+
+    def merged(self, word: str) -> bytes:
+        """The pair of lowest rank is merged, leftmost first; only the ranks
+        beside a merge change."""
         raw = word.encode()
-        ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
+        parts = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         get, none = self.merges.get, 1 << 60
-        while len(ids) > 1:
-            ranks = [get(a << 16 | b, none) for a, b in zip(ids, ids[1:])]
+        ranks = [get(a << 16 | b, none) for a, b in zip(parts, parts[1:])]
+        while ranks:
             best = min(ranks)
             if best == none:
                 break
             at = ranks.index(best)
-            ids[at : at + 2] = [best & 0xFFFF]
-        return np.array(ids, "<u4").tobytes()
+            parts[at : at + 2] = [best & 0xFFFF]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(parts[at] << 16 | parts[at + 1], none)
+            if at:
+                ranks[at - 1] = get(parts[at - 1] << 16 | parts[at], none)
+        return array("I", parts).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
-        if not self.plain or len(chunk) > LONG_WORD or self.odd.search(chunk):
+        if not self.plain or len(chunk) > LONG_WORD or not chunk.isascii() and self.odd.search(chunk) or "<|" in chunk or not chunk.isprintable():
             return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for word in self.split.findall(chunk.lower()):
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                ids = self.words[word] = self.word(word)
-            out.append(ids)
-        return b"".join(out)
+        lower = chunk.lower()
+        core = lower.rstrip(".,;:!?")
+        if core.isalpha():
+            return self.word(core) + self.word(lower[len(core) :]) if len(core) < len(lower) else self.word(core)
+        return b"".join([self.word(w) for w in self.split.findall(lower)])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text among them)."""
@@ -121,9 +139,12 @@ class WordTokenizer:
         for chunk in coded.dictionary.to_pylist():
             ids = self.chunks.get(chunk)
             if ids is None:
+                ids = self.old_chunks.get(chunk)
+                if ids is None:
+                    ids = self.chunk(chunk) if chunk else b""
                 if len(self.chunks) >= CACHE:
-                    self.chunks.clear()
-                ids = self.chunks[chunk] = self.chunk(chunk) if chunk else b""
+                    self.chunks, self.old_chunks = {}, self.chunks
+                self.chunks[chunk] = ids
             found.append(ids)
         size = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
         first = np.cumsum(size) - size
