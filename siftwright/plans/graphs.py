@@ -54,8 +54,9 @@ def bridge_scores(spark, d):
 
 
 @query(
-    EDGES + ", u AS (SELECT dst AS node, count(*) AS inbound FROM edges WHERE edge_type IN ('calls', 'imports') GROUP BY dst) SELECT u.node, inbound, name FROM u JOIN nodes ON u.node = nodes.node "
-    "WHERE u.node NOT IN (SELECT src FROM edges WHERE edge_type = 'tested_by' AND src IS NOT NULL) ORDER BY inbound DESC, name, u.node LIMIT 10"
+    EDGES + ", u AS (SELECT dst AS node, count(*) AS inbound FROM edges WHERE edge_type IN ('calls', 'imports') GROUP BY dst), h AS (SELECT u.node, inbound, name, row_number() OVER (ORDER BY inbound DESC, name, u.node) AS k FROM u JOIN nodes ON u.node = nodes.node "
+    "WHERE u.node NOT IN (SELECT src FROM edges WHERE edge_type = 'tested_by' AND src IS NOT NULL)) "
+    "SELECT node, inbound, name FROM h WHERE k <= greatest(1, least(round_even((SELECT count(*) FROM u) * 0.10, 0), 10))"
 )
 def untested_hotspots(spark, d):
     return graph.untested_hotspots(edges(spark, d), nodes(spark, d).select("node", "name"), cap=10).select("node", "inbound", "name")

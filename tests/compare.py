@@ -1,10 +1,13 @@
 import math
+import numbers
+
+import numpy as np
 
 
 def cell(x):
     if x is None or str(x) in ("NaT", "<NA>", "nan"):
         return None
-    if isinstance(x, float):
+    if isinstance(x, numbers.Number) and not isinstance(x, (bool, np.bool_)):
         return None if math.isnan(x) else float(x)
     return str(x)
 
