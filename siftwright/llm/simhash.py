@@ -210,6 +210,9 @@ def verified_copies(docs: DataFrame, groups: DataFrame, least: float = 0.8, shin
         texts.join(firsts, F.col("key") == F.col("first"), "left_semi").dropDuplicates(["key"])
         .select(F.col("key").alias("first"), F.col("text").alias("first_text"))
     )
+    # Read from a table, both sides of the join are plain exchanges, and adaptive
+    # execution can split the members of a large group.
+    first_texts = staged(first_texts, "first-texts", "zstd")
     pairs = texts.join(members, F.col("key") == F.col("id")).join(first_texts, F.col("component") == F.col("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
