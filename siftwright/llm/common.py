@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not place:
         place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="siftwright-")
+        own = tempfile.mkdtemp(prefix="siftwright-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        place = "file://" + own
         spark.conf.set("spark.checkpoint.dir", place)
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
