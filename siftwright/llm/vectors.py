@@ -33,8 +33,10 @@ from siftwright.llm.components import Forest, components
 COSINE = 0.93
 #: Points aimed at in a cell; sampled points per centre, and in all at most.
 CELL, SAMPLE_PER_CENTRE, SAMPLE = 4_096, 8, 20_000
-#: Rounding margin of the bounds, and rows of one distance block.
-MARGIN, BLOCK = 1e-7, 2_048
+#: Rounding margin of the bounds, and rows of a block of distances when
+#: traversing and when building; pairs of points of two nodes that are compared
+#: at once rather than by going further down.
+MARGIN, BLOCK, BLOCK_ROWS, SMALL = 1e-7, 2_048, 128, 4_096
 SEED = 42
 
 
@@ -49,28 +51,26 @@ class CoverTree:
 
     def _grow(self, members: np.ndarray, radius: float) -> int:
         """Children are found before their parent; recursion is as deep as
-        there are levels."""
-        centre = members[0]
-        away = self._distance(centre, members)
-        rho = float(away.max())
+        there are levels. Distances come from blocks of dot products: on unit
+        vectors d <= r where the product is 1 - r * r / 2 or more."""
+        own = self.points[members]
+        rho = math.sqrt(max(0.0, 2 - 2 * float((own @ own[0]).min()))) if len(members) > 1 else 0.0
         while radius / 2 >= rho and radius > self.least:
             radius /= 2
         children = []
         if len(members) > 1 and rho > self.least:
-            left, far = members, away
-            while len(left):
-                near = far <= radius / 2
-                children.append(self._grow(left[near], radius / 2))
-                left = left[~near]
-                if len(left):
-                    far = self._distance(left[0], left)
-        self.nodes.append((centre, rho, members, children, float(self.weights[members].sum())))
+            near_dot, alive = 1 - radius * radius / 8, np.ones(len(members), bool)
+            while len(left := np.flatnonzero(alive)[:BLOCK_ROWS]):
+                for i, dots in zip(left, own[left] @ own.T):
+                    if alive[i]:
+                        near = alive & (dots >= near_dot)
+                        near[i] = True
+                        alive &= ~near
+                        inside = np.concatenate([[i], np.flatnonzero(near[:i]), i + 1 + np.flatnonzero(near[i + 1 :])])
+                        children.append(self._grow(members[inside], radius / 2))
+        self.nodes.append((members[0], rho, members, children, float(self.weights[members].sum())))
         return len(self.nodes) - 1
 
-    def _distance(self, a: int, others: np.ndarray) -> np.ndarray:
-        diff = self.points[others] - self.points[a]
-        return np.sqrt(np.einsum("ij,ij->i", diff, diff))
-
 
 class Links:
     """Counts and forest of the links between two trees (or within one)."""
@@ -101,6 +101,8 @@ class Links:
                 hit = self.a.points[rows] @ self.b.points[cols].T >= self.cosine
                 if own and low == other:
                     hit = np.triu(hit, 1)
+                if not hit.any():
+                    continue
                 i, j = np.nonzero(hit)
                 i, j = rows[i], cols[j]
                 np.add.at(self.count_a, i, self.b.weights[j])
@@ -112,7 +114,9 @@ class Links:
         own = self.a is self.b
         if self.a.root is None or self.b.root is None:
             return
-        stack = [(self.a.root, self.b.root)]
+        kx, ky = self._start([self.a.root], [self.b.root], own)
+        stack = [(k, k) for k in kx if len(self.a.nodes[k][2]) > 1] if own else []
+        stack += self._close(kx, ky, own)
         while stack:
             x, y = stack.pop()
             cx, rx, mx, kx, _ = self.a.nodes[x]
@@ -135,7 +139,7 @@ class Links:
                 continue
             if d + rx + ry <= self.reach - MARGIN:
                 self._all(mx, my, False) if not own else self._cross(mx, my)
-            elif not kx and not ky:
+            elif (not kx and not ky) or len(mx) * len(my) <= SMALL:
                 self._pairs(mx, my, False) if not own else self._cross_pairs(mx, my)
             else:
                 stack += self._close(kx or [x], ky or [y], False)
@@ -153,13 +157,38 @@ class Links:
         for low in range(0, len(m), BLOCK):
             for other in range(0, len(n), BLOCK):
                 rows, cols = m[low : low + BLOCK], n[other : other + BLOCK]
-                i, j = np.nonzero(self.a.points[rows] @ self.a.points[cols].T >= self.cosine)
+                hit = self.a.points[rows] @ self.a.points[cols].T >= self.cosine
+                if not hit.any():
+                    continue
+                i, j = np.nonzero(hit)
                 i, j = rows[i], cols[j]
                 np.add.at(self.count_a, i, self.a.weights[j])
                 np.add.at(self.count_a, j, self.a.weights[i])
                 for x, y in zip(i.tolist(), j.tolist()):
                     self.forest.join(x, y)
 
+    def _start(self, kx: list[int], ky: list[int], own: bool) -> tuple[list[int], list[int]]:
+        """The first level whose bounds rule out most pairs of a few nodes;
+        above it, going down pair by pair would only open every pair."""
+        while True:
+            few = [np.array(k)[:: max(1, len(k) // 64)] for k in (kx, ky)]
+            (cx, rx), (cy, ry) = (
+                (np.array([t.nodes[k][0] for k in f]), np.array([t.nodes[k][1] for k in f])) for t, f in zip((self.a, self.b), few)
+            )
+            most = self.reach + rx[:, None] + ry[None, :] + MARGIN
+            keep = 2 - 2 * self.a.points[cx] @ self.b.points[cy].T <= most * most
+            down = [[c for k in ks for c in (t.nodes[k][3] or [k])] for t, ks in ((self.a, kx), (self.b, ky))]
+            if keep.mean() <= 0.1 or (len(down[0]) == len(kx) and len(down[1]) == len(ky)):
+                return kx, kx if own else ky
+            kx, ky = down
+
+    def _count(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Links between the points i of the first tree and j of the second."""
+        np.add.at(self.count_a, i, self.b.weights[j])
+        np.add.at(self.count_b if self.a is not self.b else self.count_a, j, self.a.weights[i])
+        for x, y in zip(i.tolist(), j.tolist()):
+            self.forest.join(x, y + self.shift)
+
     def _close(self, kx: list[int], ky: list[int], own: bool) -> list[tuple[int, int]]:
         """Pairs of children that the covering radii don't rule out."""
         out = []
@@ -167,6 +196,8 @@ class Links:
         cy = np.array([self.b.nodes[k][0] for k in ky])
         rx = np.array([self.a.nodes[k][1] for k in kx])
         ry = np.array([self.b.nodes[k][1] for k in ky])
+        one_x = np.array([len(self.a.nodes[k][2]) == 1 for k in kx])
+        one_y = np.array([len(self.b.nodes[k][2]) == 1 for k in ky])
         for low in range(0, len(kx), BLOCK):
             for other in range(low if own else 0, len(ky), BLOCK):
                 i, j = slice(low, low + BLOCK), slice(other, other + BLOCK)
@@ -175,7 +206,10 @@ class Links:
                 keep = 2 - 2 * dot <= most * most + MARGIN
                 if own and low == other:
                     keep = np.triu(keep, 1)
-                for p, q in zip(*(v.tolist() for v in np.nonzero(keep))):
+                # Two single points are done here; only other pairs go down.
+                both = keep & one_x[i][:, None] & one_y[j][None, :]
+                self._count(*(c[k] for c, k in zip((cx[i], cy[j]), np.nonzero(both & (dot >= self.cosine)))))
+                for p, q in zip(*(v.tolist() for v in np.nonzero(keep & ~both))):
                     out.append((kx[low + p], ky[other + q]))
         return out
 
