@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from siftwright.llm.common import staged, table
+from siftwright.llm.common import staged, table, unstage
 from siftwright.llm.components import Forest, components
 
 #: Fingerprints that shape the tree at most, aimed at in a shard, compared at once.
@@ -200,42 +201,101 @@ def similarity(a: str | None, b: str | None, shingle: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def verified_copies(docs: DataFrame, groups: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ids whose text is at least ``least`` similar to their component's first
-    document. ``groups`` is staged (id, component)."""
-    members = groups.where(F.col("component") != F.col("id")).select("id", "component").distinct()
-    firsts = members.select(F.col("component").alias("first")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).alias("text"))
-    first_texts = (
-        texts.join(firsts, F.col("key") == F.col("first"), "left_semi").dropDuplicates(["key"])
-        .select(F.col("key").alias("first"), F.col("text").alias("first_text"))
-    )
-    # Read from a table, both sides of the join are plain exchanges, and adaptive
-    # execution can split the members of a large group.
-    first_texts = staged(first_texts, "first-texts", "zstd")
-    pairs = texts.join(members, F.col("key") == F.col("id")).join(first_texts, F.col("component") == F.col("first"))
+def matching(docs: DataFrame, pairs: DataFrame, least: float, shingle: int, id_col: str, text: str) -> DataFrame:
+    """(a, b, same): whether the texts of each pair of ids are at least
+    ``least`` similar. ``pairs`` is staged, ``id_col`` has no repeats."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).alias("text")).join(named, F.col("key") == F.col("id"), "left_semi")
+    # Read from a table, both sides of the joins are plain exchanges, and adaptive
+    # execution can split the pairs of a document that has many.
+    texts = staged(texts, "texts", "zstd")
+    first = texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a"))
+    second = texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b"))
+    both = pairs.join(first, F.col("a") == F.col("key_a")).join(second, F.col("b") == F.col("key_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(1), batch.column(2)
-            same = [x.as_py() for x in batch.column(0)]
-            keep = [k for k, x, y in zip(same, a.to_pylist(), b.to_pylist()) if x == y or similarity(x, y, shingle) >= least]
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], ["id"])
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            same = [similarity(v, w, shingle) >= least for v, w in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], ["a", "b", "same"])
+
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, same boolean")
+
 
-    return pairs.select("id", "text", "first_text").mapInArrow(run, "id long").distinct()
+def ranked_buckets(buckets: DataFrame) -> DataFrame:
+    """(key, id, rank) of the keys that hold several ids; ids that meet most
+    others come first, as they are likely at the centre of their copies."""
+    sized = staged(buckets.distinct().withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "buckets")
+    met = sized.groupBy(F.col("id").alias("met_id")).agg(F.sum("n").alias("met"))
+    order = Window.partitionBy("key").orderBy(F.desc("met"), "id")
+    return staged(sized.join(met, F.col("id") == F.col("met_id")).select("key", "id", F.row_number().over(order).alias("rank")), "ranked")
+
+
+def cross_pairs(at: DataFrame, low: int, high: int) -> DataFrame:
+    """(a, b): pairs of a key's ids with different labels, the lower rank from
+    ``low`` to below ``high``. ``at`` (key, id, rank, label, most) is staged; most is
+    the label of most ids of the key. The ids of that label are never paired
+    with one another, so a large group that is one already costs no pairs."""
+    rep = at.where((F.col("rank") >= low) & (F.col("rank") < high)).select(
+        F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("rank").alias("rank2"), F.col("label").alias("label2"), (F.col("label") == F.col("most")).alias("of_most")
+    )
+    on = (F.col("key") == F.col("key2")) & (F.col("rank") > F.col("rank2")) & (F.col("label") != F.col("label2"))
+    rest = at.where("label <> most")
+    found = at.join(rep.where("not of_most"), on).union(rest.join(rep.where("of_most"), on))
+    return found.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def verified_groups(docs: DataFrame, buckets: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, component): components of the pairs of ids that share a bucket and
+    are at least ``least`` similar, for the ids that have such a pair.
+
+    Every pair in a bucket is checked, unless the two are joined already. The
+    ids checked against the others of their bucket double from round to round,
+    so rounds grow with the logarithm of the largest bucket. ``buckets`` is (key,
+    id)."""
+    spark = docs.sparkSession
+    ranked = ranked_buckets(buckets)
+    largest = ranked.agg(F.max("rank")).first()[0] or 0
+    groups = spark.createDataFrame([], "node long, component long")
+    refused = spark.createDataFrame([], "a long, b long")
+    low = 1
+    while low < largest:
+        at = ranked.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "rank", F.coalesce("component", "id").alias("label"))
+        at = staged(at, "labelled")
+        counts = at.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("key2"))
+        open_keys = counts.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("most")).where("labels > 1")
+        open_at = staged(at.join(open_keys, F.col("key") == F.col("key2")).select("key", "id", "rank", "label", "most"), "open")
+        unstage(at)
+        if open_at.isEmpty():
+            break
+        pairs = staged(cross_pairs(open_at, low, 2 * low).join(refused, ["a", "b"], "left_anti"), "pairs")
+        checked = staged(matching(docs, pairs, least, shingle, id_col, text), "checked")
+        refused = refused.union(checked.where("not same").select("a", "b"))
+        fresh = checked.where("same").select(F.col("a").alias("node"), F.col("b").alias("component"))
+        if not fresh.isEmpty():
+            groups = staged(components(groups.union(fresh)), "joined")
+        low *= 2
+    return groups
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, least: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group: that of the least id, and any
-    whose text the exact check finds too different from it. Rows with a null id
-    stay; of rows that repeat an id, one stays."""
-    groups = staged(near_groups(docs, id_col, text, shingle, radius), "groups")
-    copies = staged(verified_copies(docs, groups, least, id_col=id_col, text=text), "copies")
-    rest = docs.join(copies.withColumnRenamed("id", "copy_id_"), F.col(id_col) == F.col("copy_id_"), "left_anti")
-    rows, ids, nulls = groups.agg(F.count("*"), F.countDistinct("id"), F.count_if(F.col("id").isNull())).first()
-    if rows - nulls == ids:
-        return rest
-    return rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rest.where(F.col(id_col).isNull()))
+    """``docs`` with one document of each group, that of the least id. Equal
+    texts are a group, and the exact check joins groups over pairs of texts.
+    Rows with a null id stay; of rows that repeat an id, one stays."""
+    known = staged(near_groups(docs, id_col, text, shingle, radius), "groups")
+    rows, ids, nulls = known.agg(F.count("*"), F.countDistinct("id"), F.count_if(F.col("id").isNull())).first()
+    if rows - nulls != ids:
+        once = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+        return drop_near_copies(staged(once, "once", "zstd"), id_col, text, shingle, radius, least)
+    content = F.coalesce(F.col(text), F.lit(""))
+    hashed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.sha2(content, 256).alias("hash"))
+    heads = hashed.groupBy("hash").agg(F.min("id").alias("head"))
+    equal = staged(hashed.join(heads, "hash").select("id", "head"), "equal")
+    buckets = known.join(equal.where("id = head").select(F.col("id").alias("head")), F.col("id") == F.col("head")).select(F.col("component").alias("key"), "id")
+    found = verified_groups(docs, buckets, least, id_col=id_col, text=text)
+    copies = equal.where("id <> head").select("id").union(found.where("node <> component").select("node"))
+    copies = staged(copies.distinct().withColumnRenamed("id", "copy_id_"), "copies")
+    return docs.join(copies, F.col(id_col) == F.col("copy_id_"), "left_anti")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,31 @@ def test_empty_tables(spark):
 def test_similarity():
     assert simhash.similarity("a b c d e f", "A b c d e f") == 1.0
     assert simhash.similarity("", None) == 1.0 and simhash.similarity("a", "") == 0.0
+
+
+def edited(base, places, mark):
+    return " ".join(f"{mark}{k}" if k in places else w for k, w in enumerate(base))
+
+
+def brute_kept(rows, least=0.8):
+    groups = Groups([i for i, _ in rows])
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if simhash.similarity(a, b) >= least:
+            groups.join(i, j)
+    return sorted(i for i, _ in rows if groups.find(i) == i)
+
+
+def test_copies_of_a_text_that_differs_from_the_first_are_found(spark):
+    base = [f"w{k}" for k in range(80)]
+    # The first two are 0.88 similar to the last and less than 0.8 to each other.
+    first, second, mine = edited(base, {20}, "x"), edited(base, {60}, "y"), " ".join(base)
+    far = edited(base, set(range(0, 80, 8)), "z")
+    rows = [(1, first), (2, second), (3, second), (4, second), (5, far), (6, far), (9, mine)]
+    assert simhash.similarity(first, second) < 0.8 <= simhash.similarity(first, mine)
+    buckets = spark.createDataFrame([(0, i) for i, _ in rows], "key long, id long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(simhash.verified_groups(docs, buckets).collect())
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 1, 5: 5, 6: 5}
+    # At 64 bits all fingerprints are in one component, as when links chain.
+    kept = simhash.drop_near_copies(docs, radius=64)
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_kept(rows) == [1, 5]
