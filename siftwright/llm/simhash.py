@@ -19,6 +19,7 @@ length are hashed whole, in bounded blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,11 @@ from siftwright.llm.components import Forest, components
 #: Fingerprints that shape the tree at most, aimed at in a shard, compared at once.
 SAMPLE, SHARD, BLOCK = 20_000, 8_192, 512
 SEED = 42
+#: Bands and their rows in the search for texts of similarity 0.8: the chance to
+#: miss a pair is (1 - 0.8**5)**24, less than 1 in 13,000.
+BANDS, ROWS = 24, 5
+_DRAWN = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
+FACTORS, ADDENDS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -201,11 +207,56 @@ def similarity(a: str | None, b: str | None, shingle: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def matching(docs: DataFrame, pairs: DataFrame, least: float, shingle: int, id_col: str, text: str) -> DataFrame:
+def band_keys(text: str | None, shingle: int = 5) -> np.ndarray:
+    """A 64-bit key for each of ``BANDS`` bands of ``ROWS`` least hashes of the
+    word shingles' XXH64. Texts of similarity s have an equal key with a chance
+    of 1 - (1 - s**ROWS)**BANDS."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    k = min(shingle, len(words))
+    least, digest = np.full(BANDS * ROWS, 2**64 - 1, "<u8"), xxhash.xxh64_intdigest
+    flat, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size + 1) - 1
+    starts, ends = (ends - size)[: len(words) - k + 1], ends[max(k - 1, 0) :]
+    for at in range(0, len(starts), 4_096):
+        part = zip(starts[at : at + 4_096].tolist(), ends[at : at + 4_096].tolist())
+        h = np.unique(np.array([digest(flat[a:b], SEED) for a, b in part], "<u8"))
+        least = np.minimum(least, (h[:, None] * FACTORS + ADDENDS).min(0))
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([digest(r.tobytes(), b) for b, r in enumerate(rows)], "<u8")
+
+
+def band_buckets(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """(key, id): a row for each document and band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            found = [band_keys(t.as_py(), shingle) for t in batch.column(1)]
+            keys = np.concatenate(found) if found else np.zeros(0, "<u8")
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view("<i8")), pa.array(np.repeat(ids, BANDS), pa.int64())], ["key", "id"])
+
+    narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    return narrow.where("id is not null").mapInArrow(run, "key long, id long")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """What runs within sends Python at most ``rows`` rows at once, as long
+    texts in batches of 10,000 hold much memory outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def matching(texts: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
     """(a, b, same): whether the texts of each pair of ids are at least
-    ``least`` similar. ``pairs`` is staged, ``id_col`` has no repeats."""
+    ``least`` similar. ``pairs`` is staged, ``texts`` (key, text) has no repeats."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).alias("text")).join(named, F.col("key") == F.col("id"), "left_semi")
+    texts = texts.join(named, F.col("key") == F.col("id"), "left_semi")
     # Read from a table, both sides of the joins are plain exchanges, and adaptive
     # execution can split the pairs of a document that has many.
     texts = staged(texts, "texts", "zstd")
@@ -215,8 +266,7 @@ def matching(docs: DataFrame, pairs: DataFrame, least: float, shingle: int, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            same = [similarity(v, w, shingle) >= least for v, w in zip(x, y)]
+            same = [similarity(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], ["a", "b", "same"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, same boolean")
@@ -255,6 +305,9 @@ def verified_groups(docs: DataFrame, buckets: DataFrame, least: float = 0.8, shi
     id)."""
     spark = docs.sparkSession
     ranked = ranked_buckets(buckets)
+    named = ranked.select(F.col("id").alias("named")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).alias("text"))
+    texts = staged(texts.join(named, F.col("key") == F.col("named"), "left_semi"), "bucket-texts", "zstd")
     largest = ranked.agg(F.max("rank")).first()[0] or 0
     groups = spark.createDataFrame([], "node long, component long")
     refused = spark.createDataFrame([], "a long, b long")
@@ -269,7 +322,7 @@ def verified_groups(docs: DataFrame, buckets: DataFrame, least: float = 0.8, shi
         if open_at.isEmpty():
             break
         pairs = staged(cross_pairs(open_at, low, 2 * low).join(refused, ["a", "b"], "left_anti"), "pairs")
-        checked = staged(matching(docs, pairs, least, shingle, id_col, text), "checked")
+        checked = staged(matching(texts, pairs, least, shingle), "checked")
         refused = refused.union(checked.where("not same").select("a", "b"))
         fresh = checked.where("same").select(F.col("a").alias("node"), F.col("b").alias("component"))
         if not fresh.isEmpty():
@@ -280,22 +333,31 @@ def verified_groups(docs: DataFrame, buckets: DataFrame, least: float = 0.8, shi
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, least: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group, that of the least id. Equal
-    texts are a group, and the exact check joins groups over pairs of texts.
+    texts are a group, and the exact check joins groups over pairs of texts that
+    share a component of fingerprints or a band of least hashes.
     Rows with a null id stay; of rows that repeat an id, one stays."""
-    known = staged(near_groups(docs, id_col, text, shingle, radius), "groups")
-    rows, ids, nulls = known.agg(F.count("*"), F.countDistinct("id"), F.count_if(F.col("id").isNull())).first()
-    if rows - nulls != ids:
+    rows, ids = docs.agg(F.count(id_col), F.countDistinct(id_col)).first()
+    if rows != ids:
         once = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
-        return drop_near_copies(staged(once, "once", "zstd"), id_col, text, shingle, radius, least)
+        docs = staged(once, "once", "zstd")
+    with small_batches(docs.sparkSession):
+        return docs.join(_copies(docs, id_col, text, shingle, radius, least), F.col(id_col) == F.col("copy_id_"), "left_anti")
+
+
+def _copies(docs: DataFrame, id_col: str, text: str, shingle: int, radius: int, least: float) -> DataFrame:
+    """(copy_id_): the ids that go. ``id_col`` has no repeats but nulls."""
+    known = staged(near_groups(docs, id_col, text, shingle, radius), "groups")
     content = F.coalesce(F.col(text), F.lit(""))
     hashed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.sha2(content, 256).alias("hash"))
     heads = hashed.groupBy("hash").agg(F.min("id").alias("head"))
     equal = staged(hashed.join(heads, "hash").select("id", "head"), "equal")
-    buckets = known.join(equal.where("id = head").select(F.col("id").alias("head")), F.col("id") == F.col("head")).select(F.col("component").alias("key"), "id")
+    only = equal.where("id = head").select("head")
+    buckets = known.join(only, F.col("id") == F.col("head")).select(F.col("component").alias("key"), "id")
+    banded = band_buckets(docs, id_col, text).join(only, F.col("id") == F.col("head"), "left_semi").select("key", "id")
+    buckets = buckets.select(F.xxhash64("key").alias("key"), "id").union(banded)
     found = verified_groups(docs, buckets, least, id_col=id_col, text=text)
     copies = equal.where("id <> head").select("id").union(found.where("node <> component").select("node"))
-    copies = staged(copies.distinct().withColumnRenamed("id", "copy_id_"), "copies")
-    return docs.join(copies, F.col(id_col) == F.col("copy_id_"), "left_anti")
+    return staged(copies.distinct().withColumnRenamed("id", "copy_id_"), "copies")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,3 +127,17 @@ def test_copies_of_a_text_that_differs_from_the_first_are_found(spark):
     # At 64 bits all fingerprints are in one component, as when links chain.
     kept = simhash.drop_near_copies(docs, radius=64)
     assert sorted(r["doc_id"] for r in kept.collect()) == brute_kept(rows) == [1, 5]
+
+
+def test_copies_beyond_the_fingerprint_radius_are_found(spark):
+    rng = np.random.default_rng(3)
+    rows, pairs = [], []
+    for n, edits in [(80, 1), (200, 2), (200, 4)] * 20:
+        base = [f"v{k}" for k in rng.integers(0, 5000, n)]
+        places = set((np.arange(edits) * 5 + rng.integers(0, n - 30)).tolist())
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, edited(base, places, "e"))]
+    assert all(simhash.similarity(rows[a][1], rows[b][1]) >= 0.8 for a, b in pairs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.drop_near_copies(docs, radius=3)
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_kept(rows) == [a for a, _ in pairs]
