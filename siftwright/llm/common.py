@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +20,16 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; where that is unset (tests,
-    notebooks in local mode) a fresh folder is set for the session.
+    It is the session's ``spark.checkpoint.dir``; where that is unset in local
+    mode (tests, notebooks) a fresh folder is set for the session, and elsewhere
+    that is an error.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not place:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="siftwright-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         place = "file://" + own
@@ -58,6 +62,19 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """What runs within sends Python at most ``rows`` rows at once, as long
+    texts in batches of 10,000 hold much memory outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank give none.
 

@@ -29,12 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import slots, staged, table
+from siftwright.llm.common import slots, small_batches, staged, table
 
 WINDOW, END_ID = 2048, 1
-#: Characters tokenized at once; cached chunks and words of a generation each;
-#: longest word of the fast path.
-BATCH_CHARS, CACHE, LONG_WORD = 8_000_000, 250_000, 48
+#: Bytes of text tokenized at once (a longer text is by itself); bytes of each of
+#: a worker's four generations of cached ids; longest word of the fast path and of
+#: the caches.
+BATCH_BYTES, CACHE_BYTES, LONG_WORD = 4_000_000, 24_000_000, 48
+#: Bytes of a cached entry beside its characters and ids.
+ENTRY_BYTES = 180
 #: Fixed value: how the vocabulary's pre-tokenizer splits lower-cased text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -58,6 +61,26 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+class Cache(dict):
+    """Results of ``make`` by string, in two generations of bounded bytes: a full
+    one becomes the old one, and what is used again comes back from it."""
+
+    def __init__(self, make):
+        self.make, self.bytes, self.old = make, 0, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
+        size = ENTRY_BYTES + len(key) + len(ids)
+        if self.bytes + size > CACHE_BYTES:
+            self.old, self.bytes = dict(self), 0
+            self.clear()
+        self.bytes += size
+        self[key] = ids
+        return ids
+
+
 class WordTokenizer:
     """Token ids of white-space separated chunks, as bytes, with a cache.
 
@@ -84,21 +107,10 @@ class WordTokenizer:
             self.merges[vocab[a] << 16 | vocab[b]] = rank << 16 | vocab[a + b]
         self.split = regex.compile(SPLIT)
         self.odd = regex.compile(r"[^\x21-\x7e\xc0-\xff]|<\|")
-        # Caches of two generations: a full one becomes the old one, and what is
-        # used again comes back from it.
-        self.words, self.old_words = {}, {}
-        self.chunks, self.old_chunks = {}, {}
+        self.words, self.others = Cache(self.merged), Cache(self.split_up)
 
     def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.old_words.get(word)
-            if ids is None:
-                ids = self.merged(word)
-            if len(self.words) >= CACHE:
-                self.words, self.old_words = {}, self.words
-            self.words[word] = ids
-        return ids
+        return self.words[word] if len(word) <= LONG_WORD else self.merged(word)
 
     def merged(self, word: str) -> bytes:
         """The pair of lowest rank is merged, leftmost first; only the ranks
@@ -120,14 +132,24 @@ class WordTokenizer:
                 ranks[at - 1] = get(parts[at - 1] << 16 | parts[at], none)
         return array("I", parts).tobytes()
 
-    def chunk(self, chunk: str) -> bytes:
+    def split_up(self, chunk: str) -> bytes:
         if not self.plain or len(chunk) > LONG_WORD or not chunk.isascii() and self.odd.search(chunk) or "<|" in chunk or not chunk.isprintable():
             return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        lower = chunk.lower()
-        core = lower.rstrip(".,;:!?")
-        if core.isalpha():
-            return self.word(core) + self.word(lower[len(core) :]) if len(core) < len(lower) else self.word(core)
-        return b"".join([self.word(w) for w in self.split.findall(lower)])
+        return b"".join([self.word(w) for w in self.split.findall(chunk.lower())])
+
+    def chunk(self, chunk: str) -> bytes:
+        """A word, or a word and its punctuation, comes from the words; the rest
+        is cached as it stands."""
+        if len(chunk) > LONG_WORD:
+            return self.split_up(chunk)
+        if self.plain and chunk.isascii():
+            lower = chunk.lower()
+            if lower.isalpha():
+                return self.words[lower]
+            core = lower.rstrip(".,;:!?")
+            if core.isalpha():
+                return self.words[core] + self.words[lower[len(core) :]]
+        return self.others[chunk]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text among them)."""
@@ -135,25 +157,21 @@ class WordTokenizer:
         coded = lists.flatten().dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        found = []
-        for chunk in coded.dictionary.to_pylist():
-            ids = self.chunks.get(chunk)
-            if ids is None:
-                ids = self.old_chunks.get(chunk)
-                if ids is None:
-                    ids = self.chunk(chunk) if chunk else b""
-                if len(self.chunks) >= CACHE:
-                    self.chunks, self.old_chunks = {}, self.chunks
-                self.chunks[chunk] = ids
-            found.append(ids)
+        found = [self.chunk(x) if x else b"" for x in coded.dictionary.to_pylist()]
         size = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
-        first = np.cumsum(size) - size
+        kind = np.int32 if int(size.sum()) + 40 * len(coded) < 1 << 31 else np.int64
+        first = (np.cumsum(size) - size).astype(kind)
         pool = np.frombuffer(b"".join(found), "<u4")
-        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = coded.indices.to_numpy(zero_copy_only=False)
         long = size[at] if len(at) else np.zeros(0, np.int64)
         done = np.cumsum(long)
         total = int(done[-1]) if len(done) else 0
-        ids = pool[np.repeat(first[at] - (done - long), long) + np.arange(total)] if total else np.zeros(0, "<u4")
+        kind = kind if total < 1 << 31 else np.int64
+        ids = np.zeros(0, "<u4")
+        if total:
+            spot = np.repeat(first[at] - (done - long).astype(kind), long)
+            spot += np.arange(total, dtype=kind)
+            ids = pool[spot]
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         ends = np.concatenate([[0], done])[offsets[1:]] if len(offsets) > 1 else np.zeros(0, np.int64)
         return ids, ends
@@ -169,12 +187,12 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def in_batches(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about BATCH_CHARS characters each."""
+    """Slices of a batch with about BATCH_BYTES of text each."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = size[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(size, before + BATCH_CHARS, "right")))
+        to = max(at + 1, int(np.searchsorted(size, before + BATCH_BYTES, "right")))
         yield batch.slice(at, to - at)
         at = to
 
@@ -185,9 +203,10 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, id_col: str =
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(vocabulary)
+        tok, pool = tokenizer(vocabulary), pa.default_memory_pool()
         for whole in batches:
             for batch in in_batches(whole, 1):
+                pool.release_unused()
                 texts = pc.fill_null(batch.column(1), "")
                 ids, ends = tok(texts)
                 raw, out, begin = memoryview(ids.tobytes()), [], 0
@@ -286,7 +305,9 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    return pack(staged(pieces(docs, vocabulary or default_vocabulary(), window, id_col, text), "pieces"), window)
+    with small_batches(docs.sparkSession, 1_000):
+        cut = staged(pieces(docs, vocabulary or default_vocabulary(), window, id_col, text), "pieces")
+    return pack(cut, window)
 
 
 def op3_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
