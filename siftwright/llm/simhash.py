@@ -19,16 +19,14 @@ length are hashed whole, in bounded blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from siftwright.llm.common import staged, table, unstage
+from siftwright.llm.common import small_batches, staged, table, tmp_names, unstage
 from siftwright.llm.components import Forest, components
 
 #: Fingerprints that shape the tree at most, aimed at in a shard, compared at once.
@@ -37,6 +35,8 @@ SEED = 42
 #: Bands and their rows in the search for texts of similarity 0.8: the chance to
 #: miss a pair is (1 - 0.8**5)**24, less than 1 in 13,000.
 BANDS, ROWS = 24, 5
+#: Hashes of shingles that a task compares at once, about.
+BLOCK_HASHES = 1_000_000
 _DRAWN = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
 FACTORS, ADDENDS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
 
@@ -207,22 +207,31 @@ def similarity(a: str | None, b: str | None, shingle: int = 5) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def band_keys(text: str | None, shingle: int = 5) -> np.ndarray:
-    """A 64-bit key for each of ``BANDS`` bands of ``ROWS`` least hashes of the
-    word shingles' XXH64. Texts of similarity s have an equal key with a chance
-    of 1 - (1 - s**ROWS)**BANDS."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Distinct XXH64 of the word shingles, sorted; of fewer words, of all."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    k = min(shingle, len(words))
-    least, digest = np.full(BANDS * ROWS, 2**64 - 1, "<u8"), xxhash.xxh64_intdigest
+    if not words:
+        return np.zeros(0, "<u8")
+    k, digest = min(shingle, len(words)), xxhash.xxh64_intdigest
     flat, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
-    starts, ends = (ends - size)[: len(words) - k + 1], ends[max(k - 1, 0) :]
-    for at in range(0, len(starts), 4_096):
-        part = zip(starts[at : at + 4_096].tolist(), ends[at : at + 4_096].tolist())
-        h = np.unique(np.array([digest(flat[a:b], SEED) for a, b in part], "<u8"))
-        least = np.minimum(least, (h[:, None] * FACTORS + ADDENDS).min(0))
+    starts, ends = (ends - size)[: len(words) - k + 1], ends[k - 1 :]
+    found = np.empty(len(starts), "<u8")
+    for at in range(0, len(starts), 65_536):
+        part = zip(starts[at : at + 65_536].tolist(), ends[at : at + 65_536].tolist())
+        found[at : at + 65_536] = [digest(flat[a:b], SEED) for a, b in part]
+    return np.unique(found)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each of ``BANDS`` bands of ``ROWS`` least hashes of a
+    text's shingles. Texts of similarity s have an equal key with a chance of
+    1 - (1 - s**ROWS)**BANDS."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, "<u8")
+    for at in range(0, len(hashes), 4_096):
+        least = np.minimum(least, (hashes[at : at + 4_096, None] * FACTORS + ADDENDS).min(0))
     rows = least.reshape(BANDS, ROWS)
-    return np.array([digest(r.tobytes(), b) for b, r in enumerate(rows)], "<u8")
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)], "<u8")
 
 
 def band_buckets(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
@@ -231,7 +240,7 @@ def band_buckets(df: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = [band_keys(t.as_py(), shingle) for t in batch.column(1)]
+            found = [band_keys(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
             keys = np.concatenate(found) if found else np.zeros(0, "<u8")
             yield pa.RecordBatch.from_arrays([pa.array(keys.view("<i8")), pa.array(np.repeat(ids, BANDS), pa.int64())], ["key", "id"])
 
@@ -239,113 +248,186 @@ def band_buckets(df: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     return narrow.where("id is not null").mapInArrow(run, "key long, id long")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 500):
-    """What runs within sends Python at most ``rows`` rows at once, as long
-    texts in batches of 10,000 hold much memory outside the heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def matching(texts: DataFrame, pairs: DataFrame, least: float, shingle: int) -> DataFrame:
-    """(a, b, same): whether the texts of each pair of ids are at least
-    ``least`` similar. ``pairs`` is staged, ``texts`` (key, text) has no repeats."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = texts.join(named, F.col("key") == F.col("id"), "left_semi")
-    # Read from a table, both sides of the joins are plain exchanges, and adaptive
-    # execution can split the pairs of a document that has many.
-    texts = staged(texts, "texts", "zstd")
-    first = texts.select(F.col("key").alias("key_a"), F.col("text").alias("text_a"))
-    second = texts.select(F.col("key").alias("key_b"), F.col("text").alias("text_b"))
-    both = pairs.join(first, F.col("a") == F.col("key_a")).join(second, F.col("b") == F.col("key_b"))
+def profiles(texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """(id, size, hashes) of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [similarity(x.as_py(), y.as_py(), shingle) >= least for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], ["a", "b", "same"])
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, same boolean")
+            found = [shingle_hashes(t.as_py(), shingle) for t in batch.column(1)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.concatenate(found).view("<i8") if found else np.zeros(0, "<i8")
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "size", "hashes"])
+
+    return texts.mapInArrow(run, "id long, size long, hashes array<long>")
+
+
+class Sets:
+    """Exact sizes of the intersections of sorted sets. Members that many sets
+    hold are bits of a matrix; the others are lists of their sets; those of one
+    set only are left out."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        n = len(sets)
+        self.size = np.fromiter(map(len, sets), np.int64, n)
+        owner = np.repeat(np.arange(n), self.size)
+        _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        often = max(2, n // 32)
+        rank = np.cumsum(held >= often) - 1
+        wide = int((held >= often).sum())
+        bits = np.zeros((n, -(-max(wide, 1) // 64) * 8), np.uint8)
+        dense = held[column] >= often
+        spot = rank[column[dense]]
+        np.bitwise_or.at(bits, (owner[dense], spot >> 3), (1 << (spot & 7)).astype(np.uint8))
+        self.bits = bits.view("<u8")
+        few = (held[column] >= 2) & ~dense
+        order = np.argsort(column[few], kind="stable")
+        self.lists, self.column = owner[few][order], column[few][order]
+        self.of = [np.zeros(0, np.int64)] * n
+        if len(self.column):
+            mine = np.split(column[few], np.flatnonzero(np.diff(owner[few])) + 1)
+            for i, part in zip(owner[few][np.concatenate([[0], np.flatnonzero(np.diff(owner[few])) + 1])].tolist(), mine):
+                self.of[i] = part
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Members that set ``i`` shares with each of ``others``."""
+        out = np.bitwise_count(self.bits[others] & self.bits[i]).sum(1, dtype=np.int64)
+        if len(self.of[i]):
+            a, b = np.searchsorted(self.column, self.of[i], "left"), np.searchsorted(self.column, self.of[i], "right")
+            held = np.concatenate([self.lists[x:y] for x, y in zip(a.tolist(), b.tolist())])
+            out += np.bincount(held, minlength=len(self.size))[others]
+        return out
+
+
+def link_sets(sets: list[np.ndarray], labels: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links that join all of ``sets`` whose similarity is ``least`` or more;
+    sets of one label are joined already. A set is compared with those after it
+    that it is not joined with yet, so what one centre joins costs a comparison
+    each."""
+    some, label = Sets(sets), np.unique(labels, return_inverse=True)[1]
+    count = np.bincount(label)
+    order = np.argsort(count[label], kind="stable")
+    if count.max() == 1:
+        order = np.argsort(-some.bits.view(np.uint8).astype(bool).sum(1), kind="stable")
+    out = []
+    for place, i in enumerate(order.tolist()):
+        rest = order[place + 1 :]
+        rest = rest[label[rest] != label[i]]
+        if not len(rest):
+            if (label == label[0]).all():
+                break
+            continue
+        mine, size = some.size[i], some.size[rest]
+        rest = rest[(size >= least * mine - 1e-9) & (mine >= least * size - 1e-9)]
+        if not len(rest):
+            continue
+        both = some.shared(i, rest)
+        every = mine + some.size[rest] - both
+        for j in rest[(both / np.maximum(every, 1) >= least) | (every == 0)].tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
 
 
-def ranked_buckets(buckets: DataFrame) -> DataFrame:
-    """(key, id, rank) of the keys that hold several ids; ids that meet most
-    others come first, as they are likely at the centre of their copies."""
-    sized = staged(buckets.distinct().withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "buckets")
-    met = sized.groupBy(F.col("id").alias("met_id")).agg(F.sum("n").alias("met"))
-    order = Window.partitionBy("key").orderBy(F.desc("met"), "id")
-    return staged(sized.join(met, F.col("id") == F.col("met_id")).select("key", "id", F.row_number().over(order).alias("rank")), "ranked")
+def searched(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): links found in each task's rows (task, id, label, hashes)."""
 
+    def search(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        ids, lists = part.column("id").to_numpy(), part.column("hashes").combine_chunks()
+        flat, ends = lists.flatten().to_numpy().view("<u8"), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        found = link_sets([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], part.column("label").to_numpy(), least)
+        a, b = (np.array([ids[e[k]] for e in found], np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-def cross_pairs(at: DataFrame, low: int, high: int) -> DataFrame:
-    """(a, b): pairs of a key's ids with different labels, the lower rank from
-    ``low`` to below ``high``. ``at`` (key, id, rank, label, most) is staged; most is
-    the label of most ids of the key. The ids of that label are never paired
-    with one another, so a large group that is one already costs no pairs."""
-    rep = at.where((F.col("rank") >= low) & (F.col("rank") < high)).select(
-        F.col("key").alias("key2"), F.col("id").alias("id2"), F.col("rank").alias("rank2"), F.col("label").alias("label2"), (F.col("label") == F.col("most")).alias("of_most")
-    )
-    on = (F.col("key") == F.col("key2")) & (F.col("rank") > F.col("rank2")) & (F.col("label") != F.col("label2"))
-    rest = at.where("label <> most")
-    found = at.join(rep.where("not of_most"), on).union(rest.join(rep.where("of_most"), on))
-    return found.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    return rows.groupBy("task").applyInArrow(search, "a long, b long")
 
 
-def verified_groups(docs: DataFrame, buckets: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def verified_groups(docs: DataFrame, buckets: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text: str = "text", block: int = BLOCK_HASHES) -> DataFrame:
     """(node, component): components of the pairs of ids that share a bucket and
     are at least ``least`` similar, for the ids that have such a pair.
-
-    Every pair in a bucket is checked, unless the two are joined already. The
-    ids checked against the others of their bucket double from round to round,
-    so rounds grow with the logarithm of the largest bucket. ``buckets`` is (key,
-    id)."""
-    spark = docs.sparkSession
-    ranked = ranked_buckets(buckets)
-    named = ranked.select(F.col("id").alias("named")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).alias("text"))
-    texts = staged(texts.join(named, F.col("key") == F.col("named"), "left_semi"), "bucket-texts", "zstd")
-    largest = ranked.agg(F.max("rank")).first()[0] or 0
-    groups = spark.createDataFrame([], "node long, component long")
-    refused = spark.createDataFrame([], "a long, b long")
-    low = 1
-    while low < largest:
-        at = ranked.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "rank", F.coalesce("component", "id").alias("label"))
-        at = staged(at, "labelled")
-        counts = at.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("key2"))
-        open_keys = counts.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("most")).where("labels > 1")
-        open_at = staged(at.join(open_keys, F.col("key") == F.col("key2")).select("key", "id", "rank", "label", "most"), "open")
-        unstage(at)
-        if open_at.isEmpty():
-            break
-        pairs = staged(cross_pairs(open_at, low, 2 * low).join(refused, ["a", "b"], "left_anti"), "pairs")
-        checked = staged(matching(texts, pairs, least, shingle), "checked")
-        refused = refused.union(checked.where("not same").select("a", "b"))
-        fresh = checked.where("same").select(F.col("a").alias("node"), F.col("b").alias("component"))
-        if not fresh.isEmpty():
-            groups = staged(components(groups.union(fresh)), "joined")
-        low *= 2
-    return groups
+    ``buckets`` is (key, id); similarity is exact on the sets of 64-bit hashes.
+
+    Buckets of the same ids are searched once. First, each id is searched in its
+    largest bucket only, dealt into blocks of about ``block`` hashes that all
+    hold the bucket's first id. Then, in each bucket that still holds several
+    components, ids outside the largest one meet all others, block by block, so
+    every pair of a bucket is compared unless it is joined already. A task sends
+    on a spanning forest of its links, never pairs."""
+    pairs = staged(buckets.distinct(), "buckets")
+    sizes = pairs.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids"))
+    sizes = sizes.where("n > 1").groupBy("n", "ids").agg(F.min("key").alias("key1")).select("key1", "n")
+    pairs, used = staged(pairs.join(sizes, F.col("key") == F.col("key1")).select("key", "id", "n"), "shared-buckets"), pairs
+    unstage(used)
+    named = pairs.select(F.col("id").alias("named")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    sets = staged(profiles(texts.join(named, F.col("id") == F.col("named"), "left_semi"), shingle), "profiles")
+    weights = sets.select(F.col("id").alias("id1"), "size")
+    pairs, used = staged(pairs.join(weights, F.col("id") == F.col("id1")).select("key", "id", "n", "size"), "weighed"), pairs
+    unstage(used)
+    held = sets.select(F.col("id").alias("id2"), "hashes")
+
+    def of_blocks(weight: str):
+        return F.greatest(F.lit(1), F.ceil(F.col(weight) / block)).cast("int")
+
+    def dealt(blocks):
+        return F.pmod(F.xxhash64("id"), blocks).cast("int")
+
+    home = pairs.groupBy("id").agg(F.max(F.struct("n", "key")).alias("m")).select(F.col("m.key").alias("key"), "id")
+    home = home.join(weights, F.col("id") == F.col("id1"))
+    totals = home.groupBy(F.col("key").alias("key1")).agg(F.sum("size").alias("weight"), F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
+    home = home.join(totals, F.col("key") == F.col("key1")).withColumn("blocks", of_blocks("weight"))
+    at = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(dealt(F.col("blocks"))))
+    home = home.select("key", "id", F.explode(at).alias("at"))
+    home = home.join(held, F.col("id") == F.col("id2")).select(F.struct("key", "at").alias("task"), "id", F.col("id").alias("label"), "hashes")
+    first = staged(searched(home, least), "first-links")
+    groups = staged(components(first), "first-groups")
+
+    labelled = pairs.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "size", F.coalesce("component", "id").alias("label"))
+    labelled = staged(labelled, "labelled")
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
+    open_keys = by_label.groupBy(F.col("key").alias("key1")).agg(
+        F.count("*").alias("labels"), F.max(F.struct("n", "label", "weight")).alias("most"), F.sum("weight").alias("total")
+    ).where("labels > 1")
+    # Rows outside the largest component are dealt over ``a`` blocks, those of it over ``m``; all over one where they fit.
+    whole = F.col("total") <= block
+    open_keys = open_keys.select(
+        "key1", F.col("most.label").alias("largest"), whole.alias("whole"),
+        F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("most.weight")) / block)).cast("int").alias("a"),
+        F.greatest(F.lit(1), F.ceil(F.col("most.weight") / block)).cast("int").alias("m"),
+    )
+    rows = labelled.join(open_keys, F.col("key") == F.col("key1"))
+    own = F.when(F.col("label") == F.col("largest"), F.col("a") + dealt(F.col("m"))).otherwise(dealt(F.col("a"))).alias("own")
+    rows = rows.select("key", "id", "label", "whole", "a", "m", own)
+    lower = F.transform(F.sequence(F.lit(0), F.least("a", F.col("own") + 1) - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("t")))
+    upper = F.when(F.col("own") < F.col("a"), F.transform(F.sequence(F.col("own") + 1, F.col("a") + F.col("m") - 1), lambda t: F.struct(F.col("own").alias("i"), t.alias("t"))))
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("t")))
+    tasks = F.when(F.col("whole"), one).otherwise(F.concat(lower, F.coalesce(upper, F.array().cast("array<struct<i:int,t:int>>"))))
+    rows = rows.select("key", "id", "label", F.explode(tasks).alias("at"))
+    rows = rows.join(held, F.col("id") == F.col("id2")).select(F.struct("key", "at").alias("task"), "id", "label", "hashes")
+    second = staged(searched(rows, least), "second-links")
+    return staged(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)), "joined")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, least: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group, that of the least id. Equal
     texts are a group, and the exact check joins groups over pairs of texts that
     share a component of fingerprints or a band of least hashes.
-    Rows with a null id stay; of rows that repeat an id, one stays."""
+    Rows with a null id stay; of rows that repeat an id, one stays. Columns of
+    any name are kept as they are."""
     rows, ids = docs.agg(F.count(id_col), F.countDistinct(id_col)).first()
     if rows != ids:
         once = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
         docs = staged(once, "once", "zstd")
     with small_batches(docs.sparkSession):
-        return docs.join(_copies(docs, id_col, text, shingle, radius, least), F.col(id_col) == F.col("copy_id_"), "left_anti")
+        (gone,) = tmp_names(docs, "copy_id_")
+        copies = _copies(docs, id_col, text, shingle, radius, least).withColumnRenamed("id", gone)
+        return docs.join(copies, F.col(id_col) == F.col(gone), "left_anti")
 
 
 def _copies(docs: DataFrame, id_col: str, text: str, shingle: int, radius: int, least: float) -> DataFrame:
-    """(copy_id_): the ids that go. ``id_col`` has no repeats but nulls."""
+    """(id): the ids that go. ``id_col`` has no repeats but nulls."""
     known = staged(near_groups(docs, id_col, text, shingle, radius), "groups")
     content = F.coalesce(F.col(text), F.lit(""))
     hashed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.sha2(content, 256).alias("hash"))
@@ -357,7 +439,7 @@ def _copies(docs: DataFrame, id_col: str, text: str, shingle: int, radius: int,
     buckets = buckets.select(F.xxhash64("key").alias("key"), "id").union(banded)
     found = verified_groups(docs, buckets, least, id_col=id_col, text=text)
     copies = equal.where("id <> head").select("id").union(found.where("node <> component").select("node"))
-    return staged(copies.distinct().withColumnRenamed("id", "copy_id_"), "copies")
+    return staged(copies.distinct(), "copies")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,3 +141,28 @@ def test_copies_beyond_the_fingerprint_radius_are_found(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = simhash.drop_near_copies(docs, radius=3)
     assert sorted(r["doc_id"] for r in kept.collect()) == brute_kept(rows) == [a for a, _ in pairs]
+
+
+def test_blocks_of_a_bucket_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        edits = int(rng.integers(0, 6))
+        rows.append((i, edited(base, set(rng.integers(0, 120, edits).tolist()), f"e{i % 4}x")))
+    rows += [(90 + k, edited(base[:60], {k}, "q")) for k in range(6)] + [(100, ""), (101, " \t"), (102, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    buckets = spark.createDataFrame([(k, i) for k in range(3) for i, _ in rows if k < 2 or i % 2], "key long, id long")
+    for block in (1_500, 1_000_000):
+        got = dict(simhash.verified_groups(docs, buckets, block=block).collect())
+        assert sorted(i for i, _ in rows if got.get(i, i) == i) == brute_kept(rows)
+
+
+def test_intersections_are_exact():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 400, int(n)).astype("<u8")) for n in rng.integers(0, 120, 150)]
+    some = simhash.Sets(sets)
+    for i in (0, 7, 149):
+        want = [len(np.intersect1d(sets[i], s)) for s in sets]
+        got = some.shared(i, np.arange(150))
+        assert [g for k, g in enumerate(got.tolist()) if k != i] == [w for k, w in enumerate(want) if k != i]
