@@ -5,20 +5,26 @@ list; they share a multiple of all tokens by weight, and what exceeds a
 source's cap is reshared by weight until none is above.
 
 Rates: of all document rates that meet a source's token constraint, those
-nearest to 1 in relative entropy (every token counts once) are exponentially
-tilted, ``min(cap, exp(lambda_source * x))``, where x is the document's feature
-(1, or a power of its relative size). The dual is convex in lambda; Newton
-steps, kept inside a bracket, solve it on sufficient statistics: rows per
-(source, size), which the cluster counts with a map-side combine. A hot source
-has no more of those than it has different sizes.
-
-Copies: going down the sizes of a source, each class takes the whole number of
-copies nearest to its rate plus the tokens still owed, so a source ends within
-about its smallest document of its target. Within a class, documents are
-numbered by salted ranks, and the first ones take the odd copies.
-
-Null text and empty text have size 0. Repeated rows are separate documents. An
-empty table gives an empty table.
+nearest to 1 in relative entropy are exponentially tilted,
+``min(cap, exp(lambda_source * x))``, where x is the document's size relative to
+its source's mean, to the power ``size_tilt``: where a source must grow, longer
+documents are repeated more readily, and where it must shrink, they go first.
+The dual is convex in lambda. All sources are solved at once by Newton steps
+kept inside brackets; each step is one aggregation of the table of rows per
+(source, size), which the cluster counts with a map-side combine, and a source
+that has converged takes no part in later steps.
+
+Copies: going down the sizes of a source, running sums of the classes' rates
+are rounded, so a source is off by half its longest document at most. While that
+is more than ``TOLERANCE`` of a target, whole documents no longer than what is
+missing (or too much) are added (or taken off), longest first; this at least
+halves the rest each time. Within a class, documents are numbered by salted
+ranks, and the first ones take the odd copies.
+
+Null text and empty text have size 0 and are never copied more than their rate
+asks. Repeated rows are separate documents; rows equal in id and size may swap
+their copies. An empty table gives an empty table. Columns of any name are
+carried as they are; ``mix`` is told the name of the column that it adds.
 """
 
 from __future__ import annotations
@@ -26,11 +32,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import let, slots, staged, table, words_of
+from pyspark.sql.window import Window
+
+from siftwright.llm.common import slots, staged, table, unstage, words_of
 
 #: The contract's weights, share of all sizes, and cap.
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-NEWTON_STEPS = 60
+#: Power of a document's relative size in its feature; share of a target that the
+#: dual and the copies may miss it by.
+SIZE_TILT, EXACT, TOLERANCE = 0.5, 1e-9, 1e-4
+#: Bracket of lambda; a bracket halves where a Newton step leaves it, so the number
+#: of steps is bounded by the bits of a double.
+LOW, HIGH, MOST_STEPS = -60.0, 60.0, 120
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -64,95 +77,108 @@ def with_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
             break
         level, cut = (total - (r[0] or 0.0)) / r[1], r[2]
     target = F.col("most") if level is None else F.least("most", F.lit(level) * F.col("weight"))
-    return rows.withColumn("target", target.cast("double")).drop("nth", "rank", "weight", "most")
+    return rows.withColumn("target", target.cast("double")).drop("rank", "weight", "most")
 
 
 def tilted(lam: Column, x: Column, cap: float) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(lam * x, F.lit(50.0))))
 
 
-def solve_dual(classes: Column, target: Column, cap: float = CAP) -> Column:
-    """lambda of one source; ``classes`` is its array of (size, n, x)."""
-
-    def step(s: Column) -> Column:
-        def add(a: Column, c: Column) -> Column:
-            rate = tilted(s["lam"], c["x"], cap)
-            tokens = c["n"] * c["size"]
-            slope = F.when(rate < cap, tokens * c["x"] * rate).otherwise(0.0)
-            return F.struct((a["g"] + tokens * rate).alias("g"), (a["h"] + slope).alias("h"))
-
-        sums = F.aggregate(classes, F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h")), add)
-
-        def moved(v: Column) -> Column:
-            low = F.when(v["g"] < target, s["lam"]).otherwise(s["low"])
-            high = F.when(v["g"] < target, s["high"]).otherwise(s["lam"])
-            newton = s["lam"] + (target - v["g"]) / v["h"]
-            inside = (v["h"] > 0) & (newton > low) & (newton < high)
-            near = F.abs(v["g"] - target) <= 1e-10 * target
-            lam = F.when(near, s["lam"]).when(inside, newton).otherwise((low + high) / 2)
-            return F.struct(lam.alias("lam"), low.alias("low"), high.alias("high"))
-
-        return let(sums, moved)
-
-    start = F.struct(F.lit(0.0).alias("lam"), F.lit(-40.0).alias("low"), F.lit(40.0).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, lambda s, _: step(s), lambda s: s["lam"])
-
-
-def rounded(classes: Column, lam: Column, cap: float = CAP) -> Column:
-    """Array of (size, n, copies): whole copies of each class, largest size
-    first, each taking what is owed so far."""
-
-    def add(a: Column, c: Column) -> Column:
-        wish = c["n"] * tilted(lam, c["x"], cap)
-        owed = F.when(c["size"] > 0, a["owed"] / c["size"]).otherwise(0.0)
-        copies = F.greatest(F.lit(0.0), F.least(c["n"] * float(cap), F.round(wish + owed)))
-        return let(
-            copies,
-            lambda k: F.struct(
-                (a["owed"] + (wish - k) * c["size"]).alias("owed"),
-                F.concat(a["out"], F.array(F.struct(
-                    c["size"].cast("long").alias("size"), c["n"].cast("long").alias("n"), k.cast("long").alias("copies")
-                ))).alias("out"),
-            ),
+def solve_dual(classes: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
+    """(source, lam) of every source; ``classes`` is (source, size, n, x) and
+    ``targets`` (source, source_size, target), both staged."""
+    # A source at its cap has every rate there, one without tokens or target none.
+    full = F.col("target") >= F.col("source_size") * float(cap) * (1 - EXACT)
+    none = (F.col("source_size") == 0) | (F.col("target") <= 0)
+    state = targets.select(
+        "source", "target", F.when(none, -1e6).when(full, 1e6).otherwise(F.ln(F.col("target") / F.col("source_size"))).alias("lam"),
+        F.lit(LOW).alias("low"), F.lit(HIGH).alias("high"), (none | full).alias("done"),
+    )
+    state = staged(state, "duals")
+    for _ in range(MOST_STEPS):
+        active = state.where("not done").select(F.col("source").alias("of"), "target", "lam", "low", "high")
+        if active.isEmpty():
+            break
+        rate = tilted(F.col("lam"), F.col("x"), cap)
+        tokens = F.col("n") * F.col("size") * rate
+        on = F.col("source").eqNullSafe(F.col("of"))
+        sums = classes.select("source", "size", "n", "x").join(active, on).groupBy("source", "target", "lam", "low", "high").agg(
+            F.sum(tokens).alias("g"), F.sum(F.when(rate < cap, tokens * F.col("x")).otherwise(0.0)).alias("h")
         )
-
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<size:bigint,n:bigint,copies:bigint>>").alias("out"))
-    return F.aggregate(classes, start, add, lambda a: a["out"])
+        short = F.col("g") < F.col("target")
+        moved = sums.withColumns({"low": F.when(short, F.col("lam")).otherwise(F.col("low")), "high": F.when(short, F.col("high")).otherwise(F.col("lam"))})
+        newton = F.col("lam") + (F.col("target") - F.col("g")) / F.col("h")
+        middle = (F.col("low") + F.col("high")) / 2
+        near = F.abs(F.col("g") - F.col("target")) <= EXACT * F.col("target")
+        tight = F.col("high") - F.col("low") <= 1e-12
+        moved = moved.select(
+            "source", "target",
+            F.when(near, F.col("lam")).when((F.col("h") > 0) & (newton > F.col("low")) & (newton < F.col("high")), newton).otherwise(middle).alias("lam"),
+            "low", "high", (near | tight).alias("done"),
+        )
+        used, state = state, staged(state.where("done").unionByName(moved), "duals")
+        unstage(used)
+    return state.select("source", F.round("lam", 10).alias("lam"))
+
+
+def rounded(wishes: DataFrame, cap: float = CAP) -> DataFrame:
+    """Add ``copies``, whole copies of each class, to (source, size, n, wish,
+    target); the classes of a source are a row for each of its sizes."""
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    upto, above = (F.coalesce(F.sum("wish").over(down.rowsBetween(Window.unboundedPreceding, k)), F.lit(0.0)) for k in (0, -1))
+    most = F.col("n") * F.lit(int(cap))
+    copies = F.least(most, F.greatest(F.lit(0), F.round(upto) - F.round(above))).cast("long")
+    at = staged(wishes.withColumn("copies", copies).drop("wish"), "copies")
+    for _ in range(64):
+        owed = at.groupBy(F.col("source").alias("of"), F.col("target").alias("goal")).agg((F.col("target") - F.sum(F.col("copies") * F.col("size"))).alias("owed"))
+        owed = owed.where(F.abs("owed") > TOLERANCE * F.col("goal"))
+        room = F.when(F.col("owed") > 0, most - F.col("copies")).otherwise(F.col("copies"))
+        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("owed")) & (room > 0)
+        open_at = at.join(owed, F.col("source").eqNullSafe(F.col("of"))).withColumn("room", room).where(fits)
+        before = F.coalesce(F.sum(F.col("room") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        take = F.least(F.col("room"), F.floor((F.abs("owed") - before) / F.col("size")))
+        steps = open_at.withColumn("take", take).where("take > 0").select(
+            "of", F.col("size").alias("of_size"), (F.signum("owed") * F.col("take")).cast("long").alias("step")
+        )
+        steps = staged(steps, "steps")
+        if steps.isEmpty():
+            break
+        on = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size"))
+        moved = at.join(steps, on, "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0).cast("long")))
+        used, at = at, staged(moved.select("source", "size", "n", "target", "copies"), "copies")
+        unstage(used)
+        unstage(steps)
+    return at
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, size_tilt: float = 0.0, id_col: str = "doc_id", source: str = "source", text: str = "text", carry: bool = False) -> DataFrame:
-    """(id, source, size, source_size, target, copies) of every document; with
-    ``carry``, all columns of ``docs`` and ``copies``."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, size_tilt: float = SIZE_TILT, id_col: str = "doc_id", source: str = "source", text: str = "text", carry: str | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, copies) of every document; or, if
+    ``carry`` names it, all columns of ``docs`` and the copies under that name."""
     size = F.size(words_of(F.col(text))).cast("long")
     narrow = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"))
     narrow = staged(narrow, "sizes")
-    counted = narrow.groupBy("source", "size").agg(F.count("*").alias("n"))
-    sources = counted.groupBy("source").agg(
-        F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"),
-        F.sort_array(F.collect_list(F.struct(F.col("size").cast("double").alias("size"), F.col("n").cast("double").alias("n"))), False).alias("classes"),
-    )
-    targets = with_targets(sources.select("source", "source_size", "docs", "classes"), weights, share, cap)
+    counted = staged(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "classes")
+    sources = counted.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
+    targets = staged(with_targets(sources, weights, share, cap), "targets")
+    known = targets.withColumnRenamed("source", "of")
     mean = F.greatest(F.lit(1.0), F.col("source_size") / F.col("docs"))
-    feature = lambda c: F.pow(F.greatest(c["size"] / mean, F.lit(1e-6)), F.lit(size_tilt)) if size_tilt else F.lit(1.0)
-    featured = F.transform("classes", lambda c: F.struct(c["size"].alias("size"), c["n"].alias("n"), feature(c).alias("x")))
-    solved = targets.withColumn("classes", featured).withColumn("lam", solve_dual(F.col("classes"), F.col("target"), cap))
-    plan = staged(
-        solved.select("source", "source_size", "target", F.explode(rounded(F.col("classes"), F.col("lam"), cap)).alias("c"))
-        .select(F.col("source").alias("of_source"), F.col("c.size").alias("of_size"), "c.n", F.col("c.copies").alias("class_copies"), "source_size", "target"),
-        "plan",
-    )
-    copies = F.floor(F.col("class_copies") / F.col("n")) + (F.col("nth_") < F.col("class_copies") % F.col("n")).cast("long")
+    x = F.pow(F.greatest(F.col("size") / mean, F.lit(1e-6)), F.lit(float(size_tilt)))
+    classes = counted.join(known, F.col("source").eqNullSafe(F.col("of"))).select("source", "size", "n", x.alias("x"), "target")
+    classes = staged(classes, "features")
+    duals = solve_dual(classes, targets, cap).withColumnRenamed("source", "of")
+    wish = F.col("n") * tilted(F.col("lam"), F.col("x"), cap)
+    wishes = classes.join(duals, F.col("source").eqNullSafe(F.col("of"))).select("source", "size", "n", wish.alias("wish"), "target")
+    plan = rounded(wishes, cap).select(F.col("source").alias("of_source"), F.col("size").alias("of_size"), "n", F.col("copies").alias("class_copies"))
+    copies = (F.floor(F.col("class_copies") / F.col("n")) + (F.col("nth_") < F.col("class_copies") % F.col("n")).cast("long")).cast("long")
+    on = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
     if carry:
         at = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
         rows = docs.select(at.alias("row_"), F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"))
         numbered = slots(rows, ["source", "size"], ["id"], "nth_", counted=narrow)
-    else:
-        numbered = slots(narrow, ["source", "size"], ["id"], "nth_")
-    on = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size"))
-    out = numbered.join(plan, on).withColumn("copies", copies.cast("long"))
-    if carry:
-        return out.select(*[F.col("row_")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)], "copies")
-    return out.select("id", "source", "size", "source_size", "target", "copies")
+        return numbered.join(plan, on).select(*[F.col("row_")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)], copies.alias(carry))
+    plan = plan.join(known, F.col("of_source").eqNullSafe(F.col("of"))).select(*plan.columns, "source_size", "target")
+    numbered = slots(narrow, ["source", "size"], ["id"], "nth_")
+    return numbered.join(plan, on).select("id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
