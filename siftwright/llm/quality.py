@@ -1,19 +1,26 @@
 """Quality rules as a short-circuit cascade [native].
 
-Every rule is a cheap boolean over a few text statistics. A bounded sample
-gives each rule's cost (its own evaluation time) and selectivity (the share it
-rejects); rules are ordered by rejection per cost, and the ordered list becomes
-one CASE expression, so a row pays only for the rules up to the first that
-rejects it.
+Every rule is a boolean over a few text statistics. A sample gives each rule's
+cost and selectivity (the share it rejects); rules are ordered by rejection per
+cost, and the ordered list becomes one CASE expression, so a row pays only for
+the rules up to the first that rejects it.
+
+The sample is taken by a hash of the row's place over all partitions, about
+``SAMPLE_ROWS`` rows of the text column only. A rule's cost is the least of a few
+timings over the sample, less that of a rule that looks at nothing, in steps of a
+factor of four above the clock's noise: rules of one step count as equally dear,
+so the order repeats from run to run.
 
 Null text counts as empty text and fails ``too_few_words``. Rows are judged one
-by one: repeated rows get equal verdicts, an empty table gives an empty table,
-other columns pass through whatever their names are. ``rejected_by`` depends on
-the measured order; ``kept`` does not.
+by one: repeated rows get equal verdicts, an empty table gives an empty table.
+Added columns whose names are taken get underscores (``tmp_names`` tells them);
+the columns of ``df`` pass through as they are. ``rejected_by`` depends on the
+measured order where several rules reject a row; ``kept`` does not.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -23,8 +30,10 @@ from pyspark.sql import functions as F
 
 from siftwright.llm.common import SPACES, let, table, tmp_names, words_of
 
-#: Bound of the sample on which cost and selectivity are estimated.
-SAMPLE_ROWS = 512
+#: Rows, about, of the sample on which cost and selectivity are estimated (twice as
+#: many at most); timings of a rule; seconds below which costs are noise, and the
+#: factor between steps of cost.
+SAMPLE_ROWS, TIMINGS, NOISE, STEP = 512, 3, 0.02, 4
 
 @dataclass(frozen=True)
 class Parts:
@@ -63,28 +72,38 @@ def n_dup_lines(p: Parts) -> Column:
     )
 
 
+def n_distinct(p: Parts) -> Column:
+    """Different words."""
+    return F.size(F.array_distinct(p.words)).cast("long")
+
+
+def n_letters(p: Parts) -> Column:
+    return F.regexp_count(p.text, F.lit(r"\p{L}")).cast("long")
+
+
 def n_repeat_words(p: Parts) -> Column:
     """Words in 3-word windows that occur twice or more in the text.
 
-    A window is a 64-bit hash of its words. Texts whose hashes all differ, most
-    of them, are done; else the hashes are sorted with their places, equal
-    neighbours give the repeated places, and a place covers the words up to the
-    next one, three at most. Linear but for the sort, whatever repeats.
+    Texts whose windows have different 64-bit hashes, most of them, are done;
+    else the windows are sorted by hash, words and place, equal neighbours give
+    the repeated places, and a place covers the words up to the next one, three
+    at most. Linear but for the sort, whatever repeats, and exact where hashes
+    collide.
     """
     zero = F.lit(0).cast("long")
 
+    def window(words: Column, i: Column) -> list[Column]:
+        return [F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c")]
+
     def hashes(words: Column) -> Column:
-        return F.transform(
-            F.slice(words, F.lit(1), F.size(words) - 2),
-            lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)),
-        )
+        return F.transform(F.slice(words, F.lit(1), F.size(words) - 2), lambda x, i: F.xxhash64(*window(words, i)))
 
-    def repeated(pairs: Column) -> Column:
+    def repeated(windows: Column) -> Column:
         def same(i: Column, j: Column) -> Column:
-            return F.get(pairs, i)["h"] == F.get(pairs, j)["h"]
+            return F.get(windows, i)["w"] == F.get(windows, j)["w"]
 
         found = F.filter(
-            pairs,
+            windows,
             lambda x, i: F.coalesce(same(i, i + 1), F.lit(False))
             | ((i > 0) & F.coalesce(same(i, F.greatest(i - 1, F.lit(0))), F.lit(False))),
         )
@@ -97,13 +116,15 @@ def n_repeat_words(p: Parts) -> Column:
         )
         return F.aggregate(steps, zero, lambda a, x: a + x)
 
-    def of_hashes(hs: Column) -> Column:
-        pairs = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def of_hashes(words: Column, hs: Column) -> Column:
+        windows = F.sort_array(
+            F.transform(hs, lambda h, i: F.struct(F.struct(h.alias("h"), *window(words, i)).alias("w"), i.alias("i")))
+        )
         return F.when(F.size(F.array_distinct(hs)) == F.size(hs), zero).otherwise(
-            let(let(pairs, repeated), covered)
+            let(let(windows, repeated), covered)
         )
 
-    return F.when(F.size(p.words) < 4, zero).otherwise(let(p.words, lambda w: let(hashes(w), of_hashes)))
+    return F.when(F.size(p.words) < 4, zero).otherwise(let(p.words, lambda w: let(hashes(w), lambda hs: of_hashes(w, hs))))
 
 
 #: Statistics by name; each is a function of a text's parts.
@@ -114,6 +135,8 @@ STATISTICS: dict[str, Callable[[Parts], Column]] = {
     "n_lines": n_lines,
     "n_dup_lines": n_dup_lines,
     "n_repeat_words": n_repeat_words,
+    "n_distinct": n_distinct,
+    "n_letters": n_letters,
 }
 
 
@@ -134,6 +157,8 @@ METHOD_RULES = (
     Rule("mostly_symbols", lambda s: s("n_symbols") > s("n_words")),
     Rule("odd_word_length", lambda s: (s("word_chars") < 2 * s("n_words")) | (s("word_chars") > 20 * s("n_words"))),
     Rule("repeated_lines", lambda s: 2 * s("n_dup_lines") > s("n_lines")),
+    Rule("few_different_words", lambda s: s("n_distinct") < 8),
+    Rule("few_letters", lambda s: 10 * s("n_letters") < s("word_chars")),
 )
 RULES = BASE_RULES + METHOD_RULES
 
@@ -145,23 +170,40 @@ class Estimate:
     rejects: float
 
 
+def sampled(df: DataFrame, text: str, sample_rows: int) -> DataFrame:
+    """Texts of about ``sample_rows`` rows of all partitions, twice as many at
+    most, in one partition."""
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30))
+    bound = min(1 << 30, -(-sample_rows * (1 << 30) // max(1, df.count())))
+    return df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).where(place < bound).limit(2 * sample_rows).repartition(1)
+
+
 def estimate(df: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Seconds and rejected share of each rule on at most ``sample_rows`` rows."""
-    sample = df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(sample_rows).withColumn("w", words_of(F.col("t"))).persist()
+    """Step of cost and rejected share of each rule on a sample."""
+    sample = sampled(df, text, sample_rows).withColumn("w", words_of(F.col("t"))).persist()
     rows, parts = sample.count(), Parts(F.col("t"), F.col("w"))
-    out = []
+
+    def timed(bad: Column) -> tuple[float, int]:
+        best, found = float("inf"), 0
+        for _ in range(TIMINGS + 1):  # the first one compiles
+            began = time.perf_counter()
+            found = sample.agg(F.count_if(bad)).first()[0]
+            best = min(best, time.perf_counter() - began)
+        return best, found
+
+    idle, out = timed(F.length("t") < 0)[0], []
     for rule in rules:
-        bad = F.coalesce(rule.fails(lambda s: STATISTICS[s](parts)), F.lit(False))
-        began = time.perf_counter()
-        n = sample.agg(F.count_if(bad)).first()[0]
-        out.append(Estimate(rule.name, time.perf_counter() - began, n / rows if rows else 0.0))
+        cost, n = timed(F.coalesce(rule.fails(lambda s: STATISTICS[s](parts)), F.lit(False)))
+        step = max(0, math.ceil(math.log(max(cost - idle, 1e-9) / NOISE, STEP)))
+        out.append(Estimate(rule.name, float(STEP**step), (n + 0.5) / (rows + 1)))
     sample.unpersist()
     return out
 
 
 def ordered(rules, estimates: list[Estimate]) -> list[Rule]:
-    """By rejection per cost, highest first; ties by name."""
-    worth = {e.name: e.rejects / max(e.cost, 1e-9) for e in estimates}
+    """By rejection per cost, highest first; ties by name. Shares are smoothed,
+    so among rules that reject nothing in the sample, cheap ones come first."""
+    worth = {e.name: e.rejects / e.cost for e in estimates}
     return sorted(rules, key=lambda r: (-worth.get(r.name, 0.0), r.name))
 
 
@@ -181,6 +223,8 @@ def judge(df: DataFrame, rules=RULES, text: str = "text", statistics: tuple[str,
     rules; the others are computed only where the cascade reaches their rule.
     """
     order = ordered(rules, estimate(df, rules, text, sample_rows))
+    wanted = (*statistics, "rejected_by", "kept")
+    name = dict(zip(wanted, tmp_names(df, *wanted)))
 
     def of_parts(body) -> Column:
         """``body`` of a row's parts, in one expression: the optimizer may move
@@ -190,34 +234,35 @@ def judge(df: DataFrame, rules=RULES, text: str = "text", statistics: tuple[str,
 
     if not statistics:
         verdict = of_parts(lambda p: cascade(order, lambda s: STATISTICS[s](p)))
-        return df.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
-    (held,) = tmp_names(df, "statistics_")
-    stats = of_parts(lambda p: F.struct(*[STATISTICS[s](p).alias(s) for s in statistics]))
+        return df.withColumn(name["rejected_by"], verdict).withColumn(name["kept"], F.col(name["rejected_by"]).isNull())
 
     def judged(p: Parts, known: Column) -> Column:
         return cascade(order, lambda s: known[s] if s in statistics else STATISTICS[s](p))
 
-    if all(s in statistics for s in STATISTICS):
-        verdict = let(stats, lambda k: F.struct(*[k[s].alias(s) for s in statistics], judged(None, k).alias("rejected_by")))
-    else:
-        verdict = of_parts(
-            lambda p: let(
-                F.struct(*[STATISTICS[s](p).alias(s) for s in statistics]),
-                lambda k: F.struct(*[k[s].alias(s) for s in statistics], judged(p, k).alias("rejected_by")),
-            )
+    verdict = of_parts(
+        lambda p: let(
+            F.struct(*[STATISTICS[s](p).alias(s) for s in statistics]),
+            lambda k: F.struct(*[k[s].alias(s) for s in statistics], judged(p, k).alias("rejected_by")),
         )
+    )
+    (held,) = tmp_names(df.withColumns({n: F.lit(0) for n in name.values()}), "statistics_")
     out = df.withColumn(held, verdict)
-    out = out.withColumns({s: F.col(held)[s] for s in (*statistics, "rejected_by")})
-    return out.withColumn("kept", F.col("rejected_by").isNull()).drop(held)
+    out = out.withColumns({name[s]: F.col(held)[s] for s in (*statistics, "rejected_by")})
+    return out.withColumn(name["kept"], F.col(name["rejected_by"]).isNull()).drop(held)
+
+
+#: The contract's statistics; those of the method's own rules are computed only
+#: where the cascade reaches them.
+CONTRACT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = judge(docs, statistics=tuple(STATISTICS))
+    judged = judge(docs, statistics=CONTRACT)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), "kept", "n_lines",
+        base.alias("base_failed"), "kept",
     )
 
 
@@ -234,11 +279,13 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
 s AS (SELECT g.doc_id, n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
              CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-             CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines
+             CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(list_distinct(ws)) AS n_distinct,
+             length(t) - length(regexp_replace(t, '\p{L}', '', 'g')) AS n_letters
       FROM g LEFT JOIN r ON g.doc_id = r.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > n_words
-            OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines) AS kept, n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > n_lines
+            OR n_distinct < 8 OR 10 * n_letters < word_chars) AS kept
 FROM s
 """
