@@ -9,7 +9,8 @@ a hot token nor a hot URL multiplies work.
 
 A null URL, or one without ``://``, has an empty host and path, matches no
 rule, and is allowed. Repeated rows get equal verdicts; an empty table gives an
-empty table; other columns pass through.
+empty table. Added columns whose names are taken get underscores (``tmp_names``
+tells them); the columns of the table pass through as they are.
 """
 
 from __future__ import annotations
@@ -55,6 +56,36 @@ def host_rule(action: str, host: str, path: str) -> Pattern:
     return Pattern(host + path, action, regex, tuple(dict.fromkeys(tokens)), 1000 + len(whole))
 
 
+def listed_rule(line: str) -> Pattern | None:
+    """A line of a filter list: ``||host^`` and ``||host/path`` fit a host and
+    its subdomains, ``|start`` the start of the host, ``*`` anything, ``^`` a
+    separator or the end; ``@@`` allows, all else blocks. Comments, options and
+    rules for page elements give None. Its tokens are those whose both ends are
+    fixed by the rule."""
+    text = line.strip()
+    if not text or text.startswith(("!", "[")) or "##" in text or "$" in text or "#@#" in text:
+        return None
+    allow, body = text.startswith("@@"), text.removeprefix("@@")
+    host, start = body.startswith("||"), body.startswith("|") and not body.startswith("||")
+    end = body.endswith("|") and len(body) > 1
+    core = body.lstrip("|").removesuffix("|") if end else body.lstrip("|")
+    core = core.removeprefix("https://").removeprefix("http://") if start else core
+    if not core.strip("*^"):
+        return None
+    regex = "".join({"*": ".*", "^": "(?:[^A-Za-z0-9_.%-]|$)"}.get(c, re.escape(c)) for c in core)
+    regex = ("^(?:[^/]*\\.)?" if host else "^" if start else "") + regex + ("$" if end else "")
+    padded = (" " if host or start else "x") + core.replace("*", "x").lower() + (" " if end else "x")
+    tokens = re.findall(r"(?<![a-z0-9])[a-z0-9]+(?![a-z0-9])", padded)
+    tokens = [t for t in tokens if re.search(r"(?<![a-z0-9*])" + t + r"(?![a-z0-9*])", core.lower())]
+    return Pattern(text, "allow" if allow else "block", regex if host or start else "(?i)" + regex, tuple(dict.fromkeys(tokens)), (10_000 if allow else 0) + len(core))
+
+
+def listed_rules(lines: Sequence[str]) -> list[Pattern]:
+    """The rules of a filter list, first of each kind."""
+    rules = [r for r in map(listed_rule, lines) if r is not None]
+    return list({r.label: r for r in rules}.values())
+
+
 #: The contract's rules.
 RULES = (
     host_rule("allow", "com", "/"),
@@ -124,35 +155,36 @@ def best_literal(address: Column, rules: Sequence[Pattern], index: dict[str, lis
 
 
 def best_joined(addresses: DataFrame, column: str, rules: Sequence[Pattern], index: dict[str, list[int]]) -> DataFrame:
-    """(column, rule number) of distinct addresses that some rule fits."""
+    """(column, rule number, label, action) of distinct addresses that some rule
+    fits."""
     spark = addresses.sparkSession
-    rows = [(t, i, rules[i].regex, rules[i].rank) for t, ids in index.items() for i in ids]
-    filed = spark.createDataFrame(rows, "token string, i int, regex string, rank int")
+    rows = [(t, i, rules[i].regex, rules[i].rank, rules[i].label, rules[i].action) for t, ids in index.items() for i in ids]
+    filed = spark.createDataFrame(rows, "token string, i int, regex string, rank int, label string, action string")
     filed = F.broadcast(filed) if len(rows) <= BROADCAST_RULES else filed
     urls = addresses.select(column).distinct()
     keyed = urls.select(column, F.explode(F.array_append(tokens_of(F.col(column)), F.lit(""))).alias("token"))
     hits = keyed.join(filed, "token").where(F.rlike(F.col(column), F.col("regex")))
-    return hits.groupBy(column).agg((-F.max(F.struct("rank", (-F.col("i")).alias("i")))["i"]).alias("best"))
+    top = F.max(F.struct("rank", (-F.col("i")).alias("i"), "label", "action"))
+    return hits.groupBy(column).agg(top.alias("top")).select(column, (-F.col("top.i")).alias("best"), "top.label", "top.action")
 
 
 def judge(df: DataFrame, rules: Sequence[Pattern], url: str = "url", default: str = "allow", literal_rules: int = LITERAL_RULES) -> DataFrame:
     """Add host, path, rule (label or null) and verdict."""
-    address, best = tmp_names(df, "address_", "best_")
-    out = df.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    out = out.withColumn(address, F.concat("host", "path"))
+    host, path, rule, verdict, address, best, fits = tmp_names(df, "host", "path", "rule", "verdict", "address_", "best_", "fits_")
+    out = df.withColumn(host, host_of(F.col(url))).withColumn(path, path_of(F.col(url)))
+    out = out.withColumn(address, F.concat(host, path))
     index = index_rules(out, address, rules)
     if len(rules) <= literal_rules:
         out = out.withColumn(best, best_literal(F.col(address), rules, index) if rules else F.lit(None).cast("int"))
     else:
-        found = best_joined(out, address, rules, index).select(F.col(address).alias("fits_"), F.col("best").alias(best))
-        out = out.join(found, F.col(address) == F.col("fits_"), "left").drop("fits_")
+        found = best_joined(out, address, rules, index).select(F.col(address).alias(fits), F.col("best").alias(best), "label", "action")
+        found = found.withColumnsRenamed({"label": rule, "action": verdict})
+        out = out.join(found, F.col(address) == F.col(fits), "left").withColumn(verdict, F.coalesce(verdict, F.lit(default)))
+        return out.select(*df.columns, host, path, rule, verdict)
     labels = F.array(*[F.lit(r.label) for r in rules]) if rules else F.array().cast("array<string>")
     actions = F.array(*[F.lit(r.action) for r in rules]) if rules else F.array().cast("array<string>")
-    return (
-        out.withColumn("rule", F.get(labels, F.col(best)))
-        .withColumn("verdict", F.coalesce(F.get(actions, F.col(best)), F.lit(default)))
-        .drop(address, best)
-    )
+    out = out.withColumn(rule, F.get(labels, F.col(best))).withColumn(verdict, F.coalesce(F.get(actions, F.col(best)), F.lit(default)))
+    return out.select(*df.columns, host, path, rule, verdict)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
