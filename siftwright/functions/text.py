@@ -6,9 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Stop words of query widening.
-STOP = ("the", "and", "for", "with", "from", "that", "this", "into", "are", "was")
-TEST_PATH = r"(?i)(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|_test\.[^/.]+$|Test\.[^/.]+$|Spec\.[^/.]+$|(^|/)(scripts|docs_src|examples|fixtures|stubs|mocks)/"
-DOCS_PATH = r"(?i)\.(md|rst|adoc)$|(^|/)docs?/"
+STOP = (
+    "fix", "add", "update", "remove", "the", "and", "for", "with", "from", "that", "this", "into", "out", "off", "doc", "docs",
+    "code", "test", "tests", "src", "main", "new", "old", "use", "all", "any", "set",
+)
+#: Tests by folder or file name, and auxiliary folders.
+TEST_PATH = r"(^|[\\/])(tests?|__tests__|spec)[\\/]|(^|[\\/])test_[^/\\]|[^/\\](_test|[Tt]est|[Ss]pec)\.[a-zA-Z]"
+AUX_PATH = r"(?i)(^|[\\/])(scripts?|docs_src|examples?|fixtures|stubs|mocks)[\\/]"
+#: Documentation by suffix, folder, and name at the top level.
+DOCS_SUFFIX = r"(?i)[^/]\.(md|rst|adoc)$"
+DOCS_FOLDER = r"(?i)(^|/)(docs|documentation|doc)(/|$)"
+DOCS_NAME = (
+    r"(?i)^(release-notes|changelog|history|notice|license|contributing|code_of_conduct|security|authors|maintainers|readme)[^/]*$"
+)
+#: Names where a flow starts.
+VERBS = "get|post|put|delete|patch|head|options"
+ENTRY_NAME = rf"^(?i:main)$|^(?i:test_)|^(?i:test)[A-Z]|^(?i:{VERBS})(_|[A-Z])"
+#: What error messages lose before they are hashed.
+VOLATILE = (r"(?i)\b(at\s+)?line[:\s]+\d+", "0x[0-9a-fA-F]+", r"\b\d{3,}\b")
+#: Paths in lines of stack traces, tried in this order.
+TRACE_PATHS = (r'File "([^"]+)"', r"\((\w+\.(?:java|kt|scala)):\d+\)", r"in (.+\.cs):line")
+#: Keys of secrets, and bearer tokens.
+SECRET_PAIR = r"(?i)((?:password|passwd|secret|token|api[_-]?key)\s*)([=:])\s*\S+"
+BEARER = r"Bearer\s+[A-Za-z0-9\-._~+/]+=*"
+#: Fixed value: what may follow an endpoint's path.
+AFTER_ENDPOINT = r"[\"'`?/)\s]"
 
 
 def camel_split(c: Column) -> Column:
@@ -42,7 +64,8 @@ def basename(path: Column) -> Column:
 
 
 def stem(path: Column) -> Column:
-    return F.regexp_replace(basename(path), r"\.[^.]*$", "")
+    """The file's name without its last suffix; a leading dot starts no suffix."""
+    return F.regexp_replace(basename(path), r"(.)\.[^.]+$", "$1")
 
 
 def normal_path(path: Column) -> Column:
@@ -51,48 +74,91 @@ def normal_path(path: Column) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    return F.rlike(path, F.lit(TEST_PATH))
+    """Tests and auxiliary scripts."""
+    return F.rlike(path, F.lit(TEST_PATH)) | F.rlike(path, F.lit(AUX_PATH))
 
 
 def is_docs_path(path: Column) -> Column:
-    return F.rlike(path, F.lit(DOCS_PATH))
+    return F.rlike(path, F.lit(DOCS_SUFFIX)) | F.rlike(path, F.lit(DOCS_FOLDER)) | F.rlike(path, F.lit(DOCS_NAME))
 
 
-def slug(c: Column, most: int = 60) -> Column:
-    dashed = F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, most)
+def docs_only(paths: Column) -> Column:
+    """Whether an array of changed paths has some, and all are documentation."""
+    return F.coalesce((F.size(paths) > 0) & F.forall(paths, is_docs_path), F.lit(False))
+
+
+def is_test_file(path: Column) -> Column:
+    return F.startswith(stem(path), F.lit("test_")) | F.endswith(stem(path), F.lit("_test"))
+
+
+def tested_stem(path: Column) -> Column:
+    """The stem of the file that a test file tests, by its name."""
+    name = stem(path)
+    return F.when(F.startswith(name, F.lit("test_")), F.substring(name, 6, 2**31 - 1)).otherwise(F.regexp_replace(name, "_test$", ""))
+
+
+def is_entry_name(name: Column) -> Column:
+    """Names of flow entries: main, tests, and HTTP verbs with something after."""
+    return F.coalesce(F.rlike(name, F.lit(ENTRY_NAME)), F.lit(False))
+
+
+def slug(c: Column) -> Column:
+    """Lower case; punctuation goes, blanks and underscores become one dash."""
+    kept = F.regexp_replace(F.lower(c), r"(?U)[^\w\s-]", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, r"(?U)[\s_]+", "-"), "-+", "-"), "^-+|-+$", "")
+
+
+def file_slug(c: Column, most: int = 40) -> Column:
+    """ASCII slug of the first ``most`` characters, for file names."""
+    dashed = F.regexp_replace(F.replace(F.substring(F.lower(c), 1, most), F.lit(" "), F.lit("-")), "[^a-z0-9-]", "")
+    return F.regexp_replace(F.regexp_replace(dashed, "-{2,}", "-"), "^-+|-+$", "")
+
+
+def anchor(title: Column, number: Column) -> Column:
+    """In-page link of a numbered section."""
+    dashed = F.regexp_replace(F.regexp_replace(F.lower(title), r"(?U)[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
+    return F.concat(F.lit("subsystem-"), F.coalesce(F.nullif(dashed, F.lit("")), F.lit("community")), F.lit("-"), number.cast("string"))
 
 
 def redact(c: Column) -> Column:
-    """Values of secret-like keys and bearer tokens replaced; keys stay."""
-    keyed = F.regexp_replace(c, r"(?i)((?:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*)[^\s,;]+", "$1[REDACTED]")
-    return F.regexp_replace(keyed, r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+", "$1[REDACTED]")
+    """Values of secret-like keys, up to white space, and bearer tokens
+    replaced; keys stay."""
+    return F.regexp_replace(F.regexp_replace(c, SECRET_PAIR, "$1$2[REDACTED]"), BEARER, "Bearer [REDACTED]")
 
 
 def normal_error(c: Column) -> Column:
-    """An error message without line numbers, addresses and long numbers."""
-    out = F.regexp_replace(c, r"(?i)\bline \d+", "line N")
-    out = F.regexp_replace(out, "0x[0-9a-fA-F]+", "0xN")
-    out = F.regexp_replace(out, r"\d{3,}", "N")
-    return F.lower(F.trim(F.regexp_replace(out, r"\s+", " ")))
+    """An error message without line references, addresses and long numbers."""
+    for pattern in VOLATILE:
+        c = F.regexp_replace(c, pattern, "")
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+
+def error_hash(name: Column, message: Column) -> Column:
+    """Signature of an error's name and message."""
+    return short_hash(normal_error(F.concat(name, F.lit(": "), message)))
 
 
 def short_hash(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 16)
 
 
-def paths_in(c: Column) -> Column:
-    found = F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\.[A-Za-z0-9]+)"), F.lit(1))
-    return F.array_distinct(found)
+def paths_in(lines: Column) -> Column:
+    """Paths of an array of stack-trace lines, one a line at most, in order."""
+
+    def first(line: Column) -> Column:
+        found = [F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in TRACE_PATHS]
+        return F.coalesce(*found)
+
+    return F.array_distinct(F.filter(F.transform(lines, first), lambda p: p.isNotNull()))
 
 
 def endpoint_pattern(path: str) -> str:
     """A regular expression that finds quoted uses of an endpoint path."""
     import re
 
-    parts = re.split(r"(\{[^}]*\})", path)
-    body = "".join(r"[^/\s\"'`)]*" if p.startswith("{") else re.escape(p) for p in parts)
-    return r"[\"'`]" + body + r"[\"'`?#/]"
+    parts = re.split(r"(\{[^}]+\})", path)
+    body = "".join(r"[^/\s\"'`)]*" if p.startswith("{") and p.endswith("}") else re.escape(p) for p in parts)
+    return r"[\"'`]" + body + AFTER_ENDPOINT
 
 
 def lines(c: Column, first: Column | int, last: Column | int) -> Column:

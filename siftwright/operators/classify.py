@@ -14,8 +14,12 @@ REVIEW = {"changed_file": 0.95, "blast_radius": 0.70, "impacted_test": 0.60, "co
 IMPLEMENT = {"entrypoint": 0.90, "contract": 0.80, "extension_point": 0.70, "class": 0.40, "function": 0.30, "file": 0.20}
 DEBUG = {"runtime_signal": 0.95, "past_debug": 0.90, "changed_file": 0.70, "failing_test": 0.85, "blast_radius": 0.50, "file": 0.20}
 HANDOVER = {"changed_file": 0.90, "blast_radius": 0.50, "file": 0.15, "memory": 0.80, "decision": 0.75}
-ENTRY = r"^(main|app|router|handler|endpoint|create_app|get_app|make_app|run|serve)$"
-EXTENSION = r"(Base|Abstract|Protocol|Interface|Mixin)"
+#: Names of entry points and extension points, parts of paths of
+#: contracts, and parts of file names that hold no entry point.
+ENTRY = r"(?i)^(main|app|router|handler|endpoint|create_app|get_app|make_app|run|serve)$"
+EXTENSION = r"(?i)(Base|Abstract|Protocol|Interface|Mixin)"
+CONTRACT = r"(?i)(contract|model|schema|interface)"
+NO_ENTRY = r"(?i)(test_|_test|conftest|fix_|_fix|setup|migrate)"
 
 
 def first_match(rules: Sequence[tuple[str, Column]], default: str) -> Column:
@@ -46,9 +50,9 @@ def review(changed: Column, blast: Column, impacted: Column, config: Column, mat
 
 
 def implement(name: Column, kind: Column, path: Column) -> Column:
-    skip = tx.is_test_path(path) | F.rlike(path, F.lit("(?i)(fix|setup|migrat)"))
+    skip = F.rlike(tx.basename(path), F.lit(NO_ENTRY))
     entry = kind.isin("function", "method") & F.rlike(name, F.lit(ENTRY)) & ~skip
-    contract = F.rlike(path, F.lit("(?i)(contract|model|schema|interface)"))
+    contract = F.rlike(path, F.lit(CONTRACT))
     extension = (kind == "class") & F.rlike(name, F.lit(EXTENSION))
     return first_match(
         [("entrypoint", entry), ("contract", contract), ("extension_point", extension), ("class", kind == "class"), ("function", kind.isin("function", "method"))],

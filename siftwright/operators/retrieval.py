@@ -12,6 +12,8 @@ from siftwright.functions import scores
 from siftwright.functions import text as tx
 
 K1, B = 1.5, 0.75
+#: Fixed value: file names in a query.
+FILE_NAME = r"\b(\w[\w.-]+\.\w{2,6})\b"
 
 
 def bm25(df: DataFrame, query: str, text: Column, name: str = "bm25") -> DataFrame:
@@ -59,8 +61,8 @@ def filename_boost(conf: Column, path: Column, query: str) -> Column:
     """Items that the query names by file name gain 0.4."""
     import re
 
-    names = re.findall(r"[A-Za-z0-9_-]+\.[A-Za-z0-9]+", query)
-    return F.when(tx.basename(path).isin(names), scores.capped(conf + 0.4)).otherwise(conf)
+    names = [n.lower() for n in re.findall(FILE_NAME, query) if not n.startswith("http")]
+    return F.when(F.lower(tx.basename(path)).isin(names), scores.capped(conf + 0.4)).otherwise(conf)
 
 
 def prefix_search(df: DataFrame, query: str, text: Column, order: Sequence[str], limit: int = 200) -> DataFrame:

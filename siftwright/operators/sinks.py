@@ -18,9 +18,11 @@ def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def note_gate(summary: Column, files: Column, path: Column) -> Column:
-    """Notes worth keeping: 60 characters, some file, not a scratch one."""
-    return (F.length(summary) >= 60) & (F.size(files) > 0) & ~F.rlike(path, F.lit("(?i)(scratch|tmp)"))
+def note_gate(summary: Column, files: Column, task_type: Column) -> Column:
+    """Notes worth keeping: 60 characters without blanks around, some file, not
+    a scratch one. Null counts as empty."""
+    body = F.regexp_replace(F.coalesce(summary, F.lit("")), r"^\s+|\s+$", "")
+    return (F.length(body) >= 60) & (F.coalesce(F.size(files), F.lit(0)) > 0) & ~task_type.eqNullSafe(F.lit("scratch"))
 
 
 def markdown_notes(df: DataFrame, id_col: str, title: Column, body: Column, order: list[Column]) -> DataFrame:

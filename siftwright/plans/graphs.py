@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwright.operators import graph, memory, workspace
-from siftwright.plans.registry import query, table
+from siftwright.plans.registry import query, table, values, values_sql
 
 TYPE = "CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'calls' WHEN 'NF' THEN 'imports' WHEN 'NO' THEN 'extends' WHEN 'RF' THEN 'tested_by' ELSE 'implements' END"
 #: Customers call suppliers; supplier ids are lifted above customer ids.
@@ -56,10 +56,10 @@ def bridge_scores(spark, d):
 @query(
     EDGES + ", u AS (SELECT dst AS node, count(*) AS inbound FROM edges WHERE edge_type IN ('calls', 'imports') GROUP BY dst), h AS (SELECT u.node, inbound, name, row_number() OVER (ORDER BY inbound DESC, name, u.node) AS k FROM u JOIN nodes ON u.node = nodes.node "
     "WHERE u.node NOT IN (SELECT src FROM edges WHERE edge_type = 'tested_by' AND src IS NOT NULL)) "
-    "SELECT node, inbound, name FROM h WHERE k <= greatest(1, least(round_even((SELECT count(*) FROM u) * 0.10, 0), 10))"
+    "SELECT node, inbound, name FROM h WHERE k <= greatest(1, least(round_even((SELECT count(*) FROM u) * 0.10, 0), 50))"
 )
 def untested_hotspots(spark, d):
-    return graph.untested_hotspots(edges(spark, d), nodes(spark, d).select("node", "name"), cap=10).select("node", "inbound", "name")
+    return graph.untested_hotspots(edges(spark, d), nodes(spark, d).select("node", "name")).select("node", "inbound", "name")
 
 
 @query(
@@ -139,15 +139,21 @@ def next_suggestions(spark, d):
     return graph.next_suggestions(sparse(spark, d), p)
 
 
+SYMBOLS = [
+    (1, "foo_bar", "function", "src/a.py"), (2, "FooBar", "class", "src/b.py"), (3, "test_foo_bar", "function", "tests/test_a.py"), (4, "foo_bar", "function", "lib/c.py"),
+    (5, "test_missing", "function", "test_b.py"), (6, "test_foo_bar", "class", "test_c.py"), (7, "test_x", "function", "src/x.py"), (8, "helper", "function", "tests/test_a.py"), (9, "x", "function", "x.py"),
+]
+LINKS = [(4, 3), (2, 3)]
+
+
 @query(
-    "WITH t AS (SELECT c_custkey AS src, CASE c_custkey % 2 WHEN 0 THEN 's' || (c_custkey % 300) ELSE 'S' || (c_custkey % 300) END AS target FROM customer), s AS (SELECT max(s_suppkey) AS dst, name FROM (SELECT s_suppkey, 's' || s_suppkey AS name FROM supplier UNION ALL SELECT s_suppkey, 'S' || s_suppkey FROM supplier) x GROUP BY name) "
-    "SELECT DISTINCT src, dst FROM t JOIN s ON target = name"
+    f"SELECT a AS src, b AS dst FROM {values_sql(LINKS)} UNION ALL SELECT 1000 + s_suppkey, 100000 + c_custkey FROM (SELECT max(c_custkey) AS c_custkey, c_custkey % 300 AS k FROM customer GROUP BY 2) c JOIN supplier ON s_suppkey = k"
 )
 def test_links(spark, d):
-    tests = table(spark, d, "customer").selectExpr("c_custkey AS node", "CASE c_custkey % 2 WHEN 0 THEN concat('test_s', c_custkey % 300) ELSE concat('TestS', c_custkey % 300) END AS name")
-    s = table(spark, d, "supplier")
-    src = s.selectExpr("s_suppkey AS node", "concat('s', s_suppkey) AS name").union(s.selectExpr("s_suppkey", "concat('S', s_suppkey)"))
-    return workspace.test_links(src, tests, "name")
+    cases = values(spark, SYMBOLS).toDF("node", "name", "kind", "path")
+    s = table(spark, d, "supplier").selectExpr("1000 + s_suppkey AS node", "concat('s', s_suppkey) AS name", "'function' AS kind", "'src/s.py' AS path")
+    t = table(spark, d, "customer").selectExpr("100000 + c_custkey AS node", "concat('test_s', c_custkey % 300) AS name", "'function' AS kind", "'tests/test_s.py' AS path")
+    return workspace.test_links(cases.unionByName(s).unionByName(t))
 
 
 test_links.__test__ = False

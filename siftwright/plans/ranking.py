@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftwright.functions import scores
 
 from siftwright.operators import classify, ranking, workspace
-from siftwright.plans.registry import query, table
+from siftwright.plans.registry import query, table, values, values_sql
 from siftwright.plans.retrieval import CONF, PATH
 
 KIND = "CASE doc_id % 6 WHEN 0 THEN 'changed_file' WHEN 1 THEN 'blast_radius' WHEN 2 THEN 'impacted_test' WHEN 3 THEN 'config' WHEN 4 THEN 'memory' ELSE 'file' END"
@@ -42,19 +42,18 @@ def review_classify(spark, d):
     return out.select("ord", "category", F.round(classify.changed_prior(F.col("category"), F.col("w"), F.col("path")), 6).alias("confidence"))
 
 
-@query(
-    "WITH s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'run' WHEN 1 THEN 'BaseThing' ELSE p_name END AS name, CASE p_partkey % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'constant' END AS kind, "
-    "CASE p_partkey % 5 WHEN 0 THEN 'src/models.py' WHEN 1 THEN 'tests/a.py' ELSE 'src/app.py' END AS path FROM part) "
-    "SELECT p_partkey, CASE WHEN kind = 'function' AND name = 'run' AND path NOT LIKE 'tests/%' THEN 'entrypoint' WHEN path = 'src/models.py' THEN 'contract' WHEN kind = 'class' AND contains(name, 'Base') THEN 'extension_point' "
-    "WHEN kind = 'class' THEN 'class' WHEN kind = 'function' THEN 'function' ELSE 'file' END AS category FROM s"
-)
+NAMED = [
+    ("run", "function", "src/app.py", "entrypoint"), ("Main", "method", "src/prefix.py", "entrypoint"), ("run", "function", "fixtures/app.py", "entrypoint"), ("run", "function", "src/conftest.py", "function"),
+    ("run", "function", "src/test_app.py", "function"), ("app", "function", "db/migrate_1.py", "function"), ("serve", "function", "src/models.py", "entrypoint"), ("runner", "function", "a/model_x.py", "contract"),
+    ("Thing", "class", "a/Interfaces.py", "contract"), ("MyBase", "class", "a/b.py", "extension_point"), ("abstractThing", "class", "a/b.py", "extension_point"), ("Thing", "class", "a/b.py", "class"),
+    ("run", "class", "a/b.py", "class"), ("x", "constant", "a/b.py", "file"),
+]
+
+
+@query(f"SELECT a AS name, b AS kind, c AS path, d AS category FROM {values_sql(NAMED)}")
 def implement_classify(spark, d):
-    s = table(spark, d, "part").selectExpr(
-        "p_partkey", "CASE p_partkey % 4 WHEN 0 THEN 'run' WHEN 1 THEN 'BaseThing' ELSE p_name END AS name",
-        "CASE p_partkey % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'constant' END AS kind",
-        "CASE p_partkey % 5 WHEN 0 THEN 'src/models.py' WHEN 1 THEN 'tests/a.py' ELSE 'src/app.py' END AS path",
-    )
-    return s.select("p_partkey", classify.implement(F.col("name"), F.col("kind"), F.col("path")).alias("category"))
+    s = values(spark, NAMED).toDF("name", "kind", "path", "want")
+    return s.select("name", "kind", "path", classify.implement(F.col("name"), F.col("kind"), F.col("path")).alias("category"))
 
 
 @query(

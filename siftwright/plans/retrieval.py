@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftwright.functions import scores
 from siftwright.functions import text as tx
 from siftwright.operators import memory, retrieval, workspace
-from siftwright.plans.registry import query, table
+from siftwright.plans.registry import query, table, values, values_sql
 
 QUERY = "that the whst thinor andeaner une queaux menteau"
 WORDS = tx.query_tokens(QUERY)
@@ -130,7 +130,7 @@ def rerank_blend(spark, d):
 @query(f"WITH p AS (SELECT doc_id, {PATH} AS path FROM documents) SELECT doc_id FROM p WHERE regexp_matches(path, '(^|[/_])src(1|7)\\.(py|go)$')")
 def query_widening(spark, d):
     p = table(spark, d, "documents").select("doc_id", F.expr(PATH).alias("path"))
-    return retrieval.widened(p, "the src1 and src7", F.col("path")).select("doc_id")
+    return retrieval.widened(p, "fix the main docs of src1 and src7", F.col("path")).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tention') OR contains(lower(text), 'eaux') ORDER BY doc_id LIMIT 50")
@@ -144,40 +144,71 @@ def token_estimate(spark, d):
 
 
 @query(
-    "SELECT page_id, e AS endpoint FROM pages, (SELECT unnest(['/the', '/and', '/eaux']) AS e) WHERE regexp_matches(html, '[\"''`]' || e || '[\"''`?#/]')"
+    "SELECT page_id, e AS endpoint FROM pages, (SELECT unnest(['/the', '/and', '/eaux']) AS e) WHERE regexp_matches(html, '[\"''`]' || e || '[\"''`?/)\\s]')"
 )
 def endpoint_refs(spark, d):
     return workspace.endpoint_refs(table(spark, d, "pages"), ["/the", "/and", "/eaux"], "page_id", "html")
 
 
-@query(
-    "WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'await api.post(\"/x\")' WHEN 1 THEN 'fetch(\"/x\", {method: \"PUT\"})' WHEN 2 THEN 'client.get(u); client.delete(\"/x\")' ELSE 'open(\"/x\")' END AS t FROM pages) "
-    "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'POST' WHEN 1 THEN 'PUT' WHEN 2 THEN 'DELETE' ELSE 'GET' END AS method FROM p"
-)
+CALLS = [
+    ("await api.post('/x', body)", "POST"), ("fetch('/x', { method: 'PUT' })", "PUT"), ("client.get(u); client.delete( '/x')", "DELETE"), ("open('/x')", None),
+    ("$http->patch('/x')", "PATCH"), ("http.request('HEAD', '/x')", "HEAD"), ("fetch('/x', {method:POST})", "POST"), ("x.options('/x', { method: 'PUT' })", "OPTIONS"),
+    ("f('get', '/x', {method = 'delete'})", "DELETE"), ("a('/y')", None),
+]
+
+
+@query(f"SELECT a AS call, b AS method FROM {values_sql(CALLS)}")
 def http_method_infer(spark, d):
-    t = F.expr("CASE page_id % 4 WHEN 0 THEN 'await api.post(\"/x\")' WHEN 1 THEN 'fetch(\"/x\", {method: \"PUT\"})' WHEN 2 THEN 'client.get(u); client.delete(\"/x\")' ELSE 'open(\"/x\")' END")
-    p = table(spark, d, "pages").select("page_id", t.alias("t"))
-    return p.select("page_id", workspace.inferred_method(F.col("t"), F.instr("t", '"/x"')).alias("method"))
+    p = values(spark, CALLS)
+    return p.select(F.col("a").alias("call"), workspace.inferred_method(F.col("a"), F.instr("a", "'/x'"), F.lit(4)).alias("method"))
+
+
+@query(f"SELECT a AS call, coalesce(b = 'POST', false) AS posts FROM {values_sql(CALLS)}")
+def endpoint_method_refs(spark, d):
+    return values(spark, CALLS).select(F.col("a").alias("call"), workspace.references_endpoint(F.col("a"), "/x", "post").alias("posts"))
+
+
+ERRORS = [
+    ("ValueError", "bad value at line 12"), ("ValueError", "bad value at line 99"), ("KeyError", "at 0x7Ffe12 port 8080 id 12"), ("E", "Line: 3, a1234b 567 x  y"),
+    ("E", "line3 aline 4 AT LINE 5 99 100"), ("", ""),
+]
 
 
 @query(
-    r"SELECT event_id, substr(sha256(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(event_type || ' at line ' || user_id || '  in 0x1F' || event_id || ' code ' || props, '\bline \d+', 'line N', 'gi'), '0x[0-9a-fA-F]+', '0xN', 'g'), '\d{3,}', 'N', 'g'), '\s+', ' ', 'g')))), 1, 16) AS error_hash FROM events"
+    rf"SELECT a AS name, b AS message, substr(sha256(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(a || ': ' || b, '\b(at\s+)?line[:\s]+\d+', '', 'gi'), '0x[0-9a-fA-F]+', '', 'g'), '\b\d{{3,}}\b', '', 'g'), '\s+', ' ', 'g')))), 1, 16) AS error_hash FROM {values_sql(ERRORS)} "
+    rf"UNION ALL SELECT 'events', CAST(event_id AS VARCHAR), substr(sha256(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(event_type || ': at line ' || user_id || ' in 0x1F' || event_id || ' code ' || props, '\b(at\s+)?line[:\s]+\d+', '', 'gi'), '0x[0-9a-fA-F]+', '', 'g'), '\b\d{{3,}}\b', '', 'g'), '\s+', ' ', 'g')))), 1, 16) FROM events"
 )
 def error_signature(spark, d):
-    msg = F.concat("event_type", F.lit(" at line "), F.col("user_id").cast("string"), F.lit("  in 0x1F"), F.col("event_id").cast("string"), F.lit(" code "), "props")
-    return table(spark, d, "events").select("event_id", tx.short_hash(tx.normal_error(msg)).alias("error_hash"))
+    cases = values(spark, ERRORS).select(F.col("a").alias("name"), F.col("b").alias("message"), tx.error_hash(F.col("a"), F.col("b")).alias("error_hash"))
+    message = F.concat(F.lit("at line "), F.col("user_id").cast("string"), F.lit(" in 0x1F"), F.col("event_id").cast("string"), F.lit(" code "), "props")
+    rows = table(spark, d, "events").select(F.lit("events"), F.col("event_id").cast("string"), tx.error_hash(F.col("event_type"), message))
+    return cases.union(rows)
+
+
+TRACES = [
+    ('  File "a/b.py", line 3, in f|    x()|  File "a/b.py", line 9|  File "c.py", line 1', "a/b.py,c.py"),
+    ("at com.x.A.f(Foo.java:12)|at com.x.B.g(Bar.kt:3)|at x.y(Unknown Source)", "Foo.java,Bar.kt"),
+    ("   at N.C.M(String s) in /src/My App/C.cs:line 42|plain a/b.c words", "/src/My App/C.cs"), ("nothing here", ""),
+]
 
 
-@query(r"SELECT doc_id, array_to_string(list_distinct(regexp_extract_all('see ' || " + PATH + r" || ' and a/b.c, ' || lang || '/x.py', '([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\.[A-Za-z0-9]+)', 1)), '|') IS NOT NULL AS found, len(list_distinct(regexp_extract_all('see ' || " + PATH + r" || ' and a/b.c, ' || lang || '/x.py', '([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\.[A-Za-z0-9]+)', 1))) AS n_paths FROM documents")
+@query(f"SELECT a AS trace, b AS paths FROM {values_sql(TRACES)}")
 def path_extract(spark, d):
-    line = F.expr("'see ' || " + PATH + " || ' and a/b.c, ' || lang || '/x.py'")
-    found = tx.paths_in(line)
-    return table(spark, d, "documents").select("doc_id", F.array_join(found, "|").isNotNull().alias("found"), F.size(found).cast("long").alias("n_paths"))
+    rows = values(spark, TRACES)
+    return rows.select(F.col("a").alias("trace"), F.array_join(tx.paths_in(F.split("a", "[|]")), ",").alias("paths"))
 
 
-@query(r"SELECT p_partkey, substr(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand || '!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM part")
+SLUGS = [
+    ("Use SQLite for local storage", "use-sqlite-for-local-storage", "use-sqlite-for-local-storage", "subsystem-use-sqlite-for-local-storage-7"),
+    ("It's  a_test -- (v2)!", "its-a-test-v2", "its-atest-v2", "subsystem-it-s-a-test-v2-7"), ("Été à l'École", "été-à-lécole", "t-lcole", "subsystem-été-à-l-école-7"),
+    ("", "", "", "subsystem-community-7"), ("a" * 50 + " b", "a" * 50 + "-b", "a" * 40, "subsystem-" + "a" * 50 + "-b-7"),
+]
+
+
+@query(f"SELECT a AS title, b AS slug, c AS file_slug, d AS anchor FROM {values_sql(SLUGS)}")
 def slugs(spark, d):
-    return table(spark, d, "part").select("p_partkey", tx.slug(F.concat("p_name", F.lit(" / "), "p_brand", F.lit("!"))).alias("slug"))
+    t = F.col("a")
+    return values(spark, SLUGS).select(t.alias("title"), tx.slug(t).alias("slug"), tx.file_slug(t).alias("file_slug"), tx.anchor(t, F.lit(7)).alias("anchor"))
 
 
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS body FROM documents")
@@ -190,19 +221,60 @@ def path_normalise(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.normal_path(F.expr(PATH)).alias("path"))
 
 
-@query(rf"SELECT doc_id, (path LIKE 'tests/%') AS is_test, (path LIKE '%.md' OR path LIKE 'docs/%') AS is_docs FROM (SELECT doc_id, {PATH} AS path FROM documents) p")
+#: (path, is a test or script, is documentation, is a test file by its stem, tested stem)
+PATHS = [
+    ("tests/a.py", True, False, False, "a"), ("a/test/b.js", True, False, False, "b"), ("src\\tests\\a.cs", True, False, False, "src\\tests\\a"), ("Tests/a.py", False, False, False, "a"),
+    ("src/test_a.py", True, False, True, "a"), ("src/a_test.go", True, False, True, "a"), ("src/ATest.java", True, False, False, "ATest"), ("src/a.spec.ts", True, False, False, "a.spec"),
+    ("src/aSpec.ts", True, False, False, "aSpec"), ("SCRIPT/x.sh", True, False, False, "x"), ("example/x.py", True, False, False, "x"), ("latest/x.py", False, False, False, "x"),
+    ("src/contest.py", True, False, False, "contest"), ("a/README", False, False, False, "README"), ("README", False, True, False, "README"), ("readme.txt", False, True, False, "readme"),
+    ("src/license.py", False, False, False, "license"), ("doc/x.py", False, True, False, "x"), ("a/Documentation/b.txt", False, True, False, "b"), ("a/b.RST", False, True, False, "b"),
+    ("notes.txt", False, False, False, "notes"), ("tests/test_readme.md", True, True, True, "readme"),
+]
+
+
+@query(f"SELECT a AS path, b AS is_test, c AS is_docs, d AS is_test_file, e AS tested_stem FROM {values_sql(PATHS)}")
 def path_predicates(spark, d):
-    p = table(spark, d, "documents").select("doc_id", F.expr(PATH).alias("path"))
-    return p.select("doc_id", tx.is_test_path(F.col("path")).alias("is_test"), tx.is_docs_path(F.col("path")).alias("is_docs"))
+    p = F.col("a")
+    return values(spark, PATHS).select(
+        p.alias("path"), tx.is_test_path(p).alias("is_test"), tx.is_docs_path(p).alias("is_docs"), tx.is_test_file(p).alias("is_test_file"), tx.tested_stem(p).alias("tested_stem")
+    )
+
+
+DIFFS = [("README.md|docs/a.py", True), ("README.md|src/a.py", False), ("CHANGELOG", True), ("", False)]
+
+
+@query(f"SELECT a AS paths, b AS docs_only FROM {values_sql(DIFFS)}")
+def docs_only_diff(spark, d):
+    paths = F.filter(F.split("a", "[|]"), lambda x: x != "")
+    return values(spark, DIFFS).select(F.col("a").alias("paths"), tx.docs_only(paths).alias("docs_only"))
+
+
+ENTRIES = [
+    ("main", True), ("Main", True), ("test", False), ("test_a", True), ("testA", True), ("testing", False), ("getOwner", True), ("get_owner", True), ("getter", False),
+    ("get", False), ("postFoo", True), ("optionsX", True), ("Delete_x", True), ("mainly", False), ("", False), ("TestFoo", True),
+]
+
+
+@query(f"SELECT a AS name, b AS is_entry FROM {values_sql(ENTRIES)}")
+def entry_names(spark, d):
+    return values(spark, ENTRIES).select(F.col("a").alias("name"), tx.is_entry_name(F.col("a")).alias("is_entry"))
+
+
+SECRETS = [
+    ("TOKEN=abc,def;ghi next", "TOKEN=[REDACTED] next"), ("api_key: super secret", "api_key:[REDACTED] secret"), ("Authorization: Bearer eyJ.a-b_c~d+e/f==", "Authorization: Bearer [REDACTED]"),
+    ("bearer abc", "bearer abc"), ("Password = x y", "Password =[REDACTED] y"), ("tokens are fun", "tokens are fun"),
+]
 
 
 @query(
-    r"SELECT doc_id, regexp_replace(regexp_replace(t, '((?:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*)[^\s,;]+', '\1[REDACTED]', 'gi'), '(bearer\s+)[A-Za-z0-9._~+/=-]+', '\1[REDACTED]', 'gi') AS text "
+    rf"SELECT a AS text, b AS redacted FROM {values_sql(SECRETS)} UNION ALL "
+    r"SELECT CAST(doc_id AS VARCHAR), regexp_replace(regexp_replace(t, '((?:password|passwd|secret|token|api[_-]?key)\s*)([=:])\s*\S+', '\1\2[REDACTED]', 'gi'), 'Bearer\s+[A-Za-z0-9\-._~+/]+=*', 'Bearer [REDACTED]', 'g') "
     "FROM (SELECT doc_id, text || ' Token: abc' || doc_id || ', Bearer x.y' || doc_id AS t FROM documents) x"
 )
 def redact(spark, d):
+    cases = values(spark, SECRETS).select(F.col("a").alias("text"), tx.redact(F.col("a")).alias("redacted"))
     t = F.concat("text", F.lit(" Token: abc"), F.col("doc_id").cast("string"), F.lit(", Bearer x.y"), F.col("doc_id").cast("string"))
-    return table(spark, d, "documents").select("doc_id", tx.redact(t).alias("text"))
+    return cases.union(table(spark, d, "documents").select(F.col("doc_id").cast("string"), tx.redact(t)))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwright.operators import sinks
 from siftwright.sources import code, parsers
-from siftwright.plans.registry import query, table
+from siftwright.plans.registry import query, table, values, values_sql
 
 
 @query(
@@ -26,12 +26,16 @@ def diff_hunks(spark, d):
     return parsers.unified_diff(table(spark, d, "part").select("p_partkey", t.alias("text")), "p_partkey", "text")
 
 
+LOG = [("12:00 warn: an error came", "warning"), ("Fatal WARN", "error"), ("severe", "error"), ("Warning x", "warning"), ("CRITICAL", "error"), ("errors and warned", None), ("info", None)]
+
+
 @query(
-    "SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'warning' END AS severity, count(*) AS n FROM events WHERE event_type = 'error' OR user_id % 3 = 0 GROUP BY 1"
+    f"SELECT b AS severity, a AS message FROM {values_sql(LOG)} WHERE b IS NOT NULL UNION ALL "
+    "SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'warning' END, event_id || CASE WHEN event_type = 'error' THEN ' ERROR x' ELSE ' Warning y' END FROM events WHERE event_type = 'error' OR user_id % 3 = 0"
 )
 def log_signals(spark, d):
-    t = F.expr("concat('start', chr(10), '12:00 ', CASE WHEN event_type = 'error' THEN 'ERROR x' WHEN user_id % 3 = 0 THEN 'WARNING y' ELSE 'INFO z' END, chr(10), 'end')")
-    return parsers.log_lines(table(spark, d, "events").select(t.alias("text")), "text").groupBy("severity").agg(F.count("*").alias("n"))
+    t = F.expr("concat('start', chr(10), event_id, CASE WHEN event_type = 'error' THEN ' ERROR x' WHEN user_id % 3 = 0 THEN ' Warning y' ELSE ' INFO z' END, chr(10), 'end')")
+    return parsers.log_lines(values(spark, LOG).select(F.col("a").alias("text")).union(table(spark, d, "events").select(t)), "text")
 
 
 @query("SELECT p_partkey, 'lib/' || p_brand || '.py' AS file, CAST(p_size AS INTEGER) AS line, 'f' || (p_partkey % 7) AS fn FROM part")
@@ -81,8 +85,15 @@ def agent_pack(spark, d):
     return rows.select("p_partkey", F.get_json_object("j", "$.path").alias("path"), F.get_json_object("j", "$.lines").alias("lines"))
 
 
-@query("SELECT event_id FROM events WHERE length(event_type || repeat('x', user_id % 80)) >= 60 AND user_id % 4 > 0 AND event_type <> 'error'")
+NOTES = [("x" * 60, 1, "debug", True), ("  " + "x" * 59 + "\n", 1, "debug", False), ("x" * 80, 0, "debug", False), ("x" * 80, 2, "scratch", False), ("x" * 80, 2, "scratchy", True), (None, 1, "debug", False), ("x" * 60, 1, None, True)]
+
+
+@query(
+    f"SELECT a AS summary, b AS n_files, c AS task_type, d AS kept FROM {values_sql(NOTES)} UNION ALL "
+    "SELECT event_type || repeat('x', user_id % 80), user_id % 4, event_type, length(event_type || repeat('x', user_id % 80)) >= 60 AND user_id % 4 > 0 FROM events"
+)
 def note_gate(spark, d):
-    e = table(spark, d, "events")
-    gate = sinks.note_gate(F.concat("event_type", F.repeat(F.lit("x"), F.col("user_id") % 80)), F.array_repeat(F.lit("f"), (F.col("user_id") % 4).cast("int")), F.when(F.col("event_type") == "error", "scratch/a").otherwise("notes/a"))
-    return e.where(gate).select("event_id")
+    cases = values(spark, NOTES).toDF("summary", "n_files", "task_type", "want").drop("want")
+    rows = cases.union(table(spark, d, "events").selectExpr("concat(event_type, repeat('x', CAST(user_id % 80 AS INT)))", "user_id % 4", "event_type"))
+    files = F.array_repeat(F.lit("f"), F.col("n_files").cast("int"))
+    return rows.withColumn("kept", sinks.note_gate(F.col("summary"), files, F.col("task_type")))

@@ -5,27 +5,58 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwright.operators import workspace
-from siftwright.plans.registry import query, table
+from siftwright.plans.registry import query, table, values, values_sql
 
 
-@query("SELECT DISTINCT a.lang AS src_repo, b.lang AS dst_repo FROM (SELECT DISTINCT lang, CASE doc_id % 4 WHEN 0 THEN 'fr' WHEN 1 THEN 'de' WHEN 2 THEN 'xx' ELSE 'es' END AS t FROM documents) a JOIN (SELECT DISTINCT lang FROM documents) b ON a.t = b.lang WHERE a.lang <> b.lang")
+IMPORTS = [("web app", "import os\n  from my_lib import x", "my-lib"), ("my-lib", "import my_lib\nfrom web_app.views import y\n# import core", "web app"), ("core", "x = 'import core'\nimport Web_App", "web app"), ("other", "import mylib", None)]
+
+
+@query(f"SELECT a AS src_repo, c AS dst_repo FROM {values_sql(IMPORTS)} WHERE c IS NOT NULL")
 def import_links(spark, d):
-    docs = table(spark, d, "documents")
-    files = docs.select("lang", F.expr("concat('import ', CASE doc_id % 4 WHEN 0 THEN 'fr' WHEN 1 THEN 'DE' WHEN 2 THEN 'xx' ELSE 'e-s' END, ';')").alias("t"))
-    return workspace.import_links(files, docs.select("lang").distinct(), "lang", F.col("t"), r"import ([\w-]+);")
+    files = values(spark, IMPORTS).select(F.col("a").alias("repo"), F.col("b").alias("t"))
+    return workspace.import_links(files, files.select("repo"), "repo", F.col("t"))
 
 
-@query("SELECT DISTINCT lang AS src_repo, 'en' AS dst_repo, 'consumes_openapi' AS edge_kind, 0.9::DOUBLE AS confidence FROM (SELECT CASE page_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'de' END AS lang, html FROM pages) x WHERE lang <> 'en' AND regexp_matches(html, '[\"''`]/the[\"''`?#/]')")
+@query("SELECT DISTINCT lang AS src_repo, 'en' AS dst_repo, 'consumes_openapi' AS edge_kind, 0.9::DOUBLE AS confidence FROM (SELECT CASE page_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'de' END AS lang, html FROM pages) x WHERE lang <> 'en' AND regexp_matches(html, '[\"''`]/the[\"''`?/)\\s]')")
 def contract_links(spark, d):
     files = table(spark, d, "pages").selectExpr("CASE page_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'de' END AS lang", "html")
     return workspace.contract_links(files, {"en": ["/the"]}, "lang", "html")
 
 
-@query("SELECT r_name AS repo, count(*) AS n, count(*) > 50 AS coupled FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query(
+    "WITH e AS (SELECT l_returnflag AS repo, l_partkey AS src, l_suppkey AS dst FROM lineitem), n AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size % 4 END AS community FROM part) "
+    "SELECT repo, count(*) FILTER (WHERE a.community <> b.community) AS n, count(*) FILTER (WHERE a.community <> b.community) > 50 AS coupled FROM e LEFT JOIN n a ON src = a.node LEFT JOIN n b ON dst = b.node GROUP BY repo"
+)
 def coupling_warning(spark, d):
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    c = c.join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return c.groupBy(F.col("r_name").alias("repo")).agg(F.count("*").alias("n")).withColumn("coupled", F.col("n") > 50)
+    e = table(spark, d, "lineitem").selectExpr("l_returnflag AS repo", "l_partkey AS src", "l_suppkey AS dst")
+    n = table(spark, d, "part").selectExpr("p_partkey AS node", "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size % 4 END AS community")
+    return workspace.cross_community_edges(e, n)
+
+
+@query("SELECT event_id AS id, event_type, CAST(NULL AS VARCHAR) AS source_repo FROM events WHERE user_id % 3 = 0 UNION ALL SELECT event_id, event_type, 'r' || (user_id % 3) FROM events WHERE user_id % 3 > 0 AND event_id % 2 = 0")
+def federated_notes(spark, d):
+    e = table(spark, d, "events").selectExpr("event_id AS id", "event_type", "concat('r', user_id % 3) AS source_repo")
+    siblings = e.where("source_repo <> 'r0'")
+    return workspace.federated(e.where("source_repo = 'r0'").drop("source_repo"), siblings, siblings.where("id % 2 = 0"))
+
+
+FILES = [("src/Foo.java", "a/footest.java"), ("src/Foo.java", "a/FooTests.java"), ("b/x.py", "t/test_x.py"), ("b/x.py", "t/X_TEST.py"), ("c/Y.cs", "c/YTests.cs")]
+UNMATCHED = [("d/z.go", "d/z_test.go"), ("d/Foo.cs", "d/test_Foo.cs"), ("d/q.py", "d/test_q.java")]
+
+
+@query(f"SELECT a AS source, b AS test FROM {values_sql(FILES)}")
+def stem_test_files(spark, d):
+    every = values(spark, FILES + UNMATCHED)
+    return workspace.test_files(every.select(F.col("a").alias("path")).distinct(), every.select(F.col("b").alias("path")).distinct())
+
+
+CHANGED_TESTS = [("t/test_x.py", True), ("t/y_test.py", True), ("t/x.py", False), ("t/test_z.py", False), ("t/test_x_test.py", False)]
+
+
+@query(f"SELECT a AS path FROM {values_sql(CHANGED_TESTS)} WHERE b")
+def tests_of_changed(spark, d):
+    changed = values(spark, [("src/x.py",), ("lib/y.go",)]).select(F.col("a").alias("path"))
+    return workspace.tests_of_changed(values(spark, CHANGED_TESTS).select(F.col("a").alias("path")), changed)
 
 
 @query("SELECT l_shipdate, l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
@@ -44,10 +75,16 @@ def ordered_union(spark, d):
     return memory.latest_per_key(a.unionByName(b), ["o_orderkey"], [F.asc("k")]).select("o_orderkey", "part")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query(
+    "SELECT c_custkey, 'kept' AS part FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END FROM orders WHERE o_orderkey % 2 = 0) "
+    "UNION ALL SELECT c_custkey, 'null' FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END FROM orders)"
+)
 def null_aware_anti(spark, d):
-    o = table(spark, d, "orders").where("o_custkey is not null").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
+    """A null among the excluded keys leaves nothing; without one, it's an anti join."""
+    known, nulls = "SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS k FROM {o} WHERE o_orderkey % 2 = 0", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS k FROM {o}"
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    some = spark.sql("SELECT c_custkey, 'kept' AS part FROM {c} WHERE c_custkey NOT IN (" + known + ")", c=c, o=o)
+    return some.union(spark.sql("SELECT c_custkey, 'null' AS part FROM {c} WHERE c_custkey NOT IN (" + nulls + ")", c=c, o=o))
 
 
 @query("SELECT n_name, s_suppkey FROM (SELECT n_name, s_suppkey, row_number() OVER (PARTITION BY n_name ORDER BY CASE WHEN s_acctbal > 5000 THEN 0 WHEN s_acctbal > 1000 THEN 1 ELSE 2 END, s_suppkey) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey) x WHERE k = 1")

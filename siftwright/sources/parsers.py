@@ -47,8 +47,14 @@ def unified_diff(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return hunk.select(id_col, "path", F.explode(F.sequence(first, first + size - 1)).alias("line")).distinct()
 
 
+#: Fixed value: words that make a log line a signal.
+SEVERITY = r"(?i)\b(ERROR|WARN(?:ING)?|CRITICAL|FATAL|SEVERE)\b"
+
+
 def severity_of(line: Column) -> Column:
-    return F.when(F.rlike(line, F.lit(r"\b(ERROR|CRITICAL|FATAL|SEVERE)\b")), "error").when(F.rlike(line, F.lit(r"\bWARN(ING)?\b")), "warning")
+    """By the first severity word of a line, in any case; null without one."""
+    word = F.upper(F.regexp_extract(line, SEVERITY, 1))
+    return F.when(word == "", None).when(F.startswith(word, F.lit("WARN")), "warning").otherwise("error")
 
 
 def log_lines(df: DataFrame, text: str, most: int = 500) -> DataFrame:
