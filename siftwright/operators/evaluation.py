@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftwright.functions import scores
 
@@ -84,3 +87,58 @@ def rank_quality(conf: Column, least: float = 0.70) -> Column:
 def gate(df: DataFrame, f1: str, ratio: str, least_f1: float = 0.80, least_ratio: float = 1.0) -> DataFrame:
     g = df.agg(F.avg(f1).alias("avg_f1"), F.avg(ratio).alias("avg_ratio"))
     return g.withColumn("passed", (F.col("avg_f1") >= least_f1) & (F.col("avg_ratio") >= least_ratio))
+
+
+def path_suffix(a: Column, b: Column) -> Column:
+    """Whether two paths are equal or one ends in the other at a slash."""
+    return (a == b) | F.endswith(a, F.concat(F.lit("/"), b)) | F.endswith(b, F.concat(F.lit("/"), a))
+
+
+def rank_one_hits(df: DataFrame, by: Sequence[str], gold: str, got: str) -> DataFrame:
+    """(by..., tasks, rank1): tasks whose first result is a gold path."""
+    hit = F.exists(F.col(gold), lambda g: path_suffix(F.get(F.col(got), 0), g))
+    return df.groupBy(*by).agg(F.count("*").alias("tasks"), F.count_if(F.coalesce(hit, F.lit(False))).alias("rank1"))
+
+
+def random_hits(df: DataFrame, by: Sequence[str], k: int, title: str, fragment: Column, seed: int = 7) -> DataFrame:
+    """(by..., random_hit_rate): the hit rate of ``k`` rows a group drawn by a
+    seeded hash of the title."""
+    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), title), title)
+    drawn = df.withColumn("k_", F.row_number().over(order)).where(F.col("k_") <= k)
+    return drawn.groupBy(*by).agg(F.max(F.contains(F.lower(title), F.lower(fragment)).cast("double")).alias("random_hit_rate"))
+
+
+def summary(tasks: DataFrame) -> DataFrame:
+    """One row over (success, reduction_pct, latency_ms, est_tokens, hit_rate,
+    random_hit_rate, rank_quality): rates over all tasks, averages over those
+    that succeeded, hit rates over those of them that any hit; 0 without any."""
+    good = F.col("success")
+    rated = good & ((F.col("hit_rate") > 0) | (F.col("random_hit_rate") > 0))
+    mean = lambda c, cond, digits: F.round(F.coalesce(F.avg(F.when(cond, F.col(c))), F.lit(0.0)), digits)
+    kept = F.when(good, F.col("reduction_pct"))
+    margin = 1.96 * F.stddev_samp(kept) / F.sqrt(F.count(kept))
+    some = F.count(kept) >= 2
+    return tasks.agg(
+        F.count("*").alias("total_tasks"), F.round(F.coalesce(100.0 * F.count_if(good) / F.count("*"), F.lit(0.0)), 1).alias("success_rate"),
+        mean("reduction_pct", good, 1).alias("avg_reduction_pct"), F.when(some, F.round(F.avg(kept) - margin, 1)).otherwise(0.0).alias("reduction_ci_low"),
+        F.when(some, F.round(F.avg(kept) + margin, 1)).otherwise(0.0).alias("reduction_ci_high"), mean("latency_ms", F.lit(True), 1).alias("avg_latency_ms"),
+        F.bround(F.coalesce(F.avg(F.when(good, F.col("est_tokens"))), F.lit(0.0)), 0).alias("avg_est_tokens"), mean("hit_rate", rated, 3).alias("avg_hit_rate"),
+        mean("random_hit_rate", rated, 3).alias("avg_random_hit_rate"), mean("rank_quality", good, 3).alias("avg_rank_quality"),
+    )
+
+
+def holding(docs: DataFrame, passages: DataFrame, text: str = "text", passage: str = "passage") -> DataFrame:
+    """Pairs of documents and passages that they hold. A passage's longest inner
+    word is a whole word of every text that holds it, so documents and passages
+    meet by words, and only those pairs are compared; passages of less than three
+    words, which have no inner word, are compared with all documents."""
+    words = lambda c: F.split(c, r"\\s+")
+    inner = F.filter(F.slice(words(F.col(passage)), 2, F.greatest(F.size(words(F.col(passage))) - 2, F.lit(0))), lambda w: w != "")
+    keyed = passages.withColumn("word_", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    long, short = keyed.where("word_ is not null"), keyed.where("word_ is null").drop("word_")
+    keys = long.select("word_").distinct()
+    numbered = docs.withColumn("row_", F.monotonically_increasing_id())
+    there = numbered.select("row_", F.explode(F.array_distinct(words(F.col(text)))).alias("word_")).join(keys, "word_", "left_semi")
+    near = there.join(long, "word_").drop("word_").join(numbered, "row_").where(F.contains(text, F.col(passage)))
+    every = numbered.join(short, F.contains(text, F.col(passage)))
+    return near.select(*docs.columns, *passages.columns).union(every.select(*docs.columns, *passages.columns))

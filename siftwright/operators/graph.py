@@ -20,6 +20,8 @@ def staged(df: DataFrame) -> DataFrame:
     """``df`` as a table in the session's checkpoint folder, lineage cut."""
     spark = df.sparkSession
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not place and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not place:
         own = tempfile.mkdtemp(prefix="siftwright-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -80,6 +82,19 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     return seen
 
 
+def dense_number(df: DataFrame, key: str, name: str, part_rows: int = 100_000) -> DataFrame:
+    """Number the distinct values of ``key`` in order, from 0. Range partitions
+    are numbered apart and lifted by the rows before them, so no task sees all."""
+    rows = staged(df.select(key))
+    rows = rows.repartitionByRange(max(1, rows.count() // part_rows), key).sortWithinPartitions(key)
+    rows = staged(rows.withColumn("n_", F.monotonically_increasing_id()))
+    counts, lift, before = sorted(map(tuple, rows.groupBy(F.shiftright("n_", 33)).count().collect())), F.lit(0), 0
+    for part, n in counts:
+        lift = F.when(F.shiftright("n_", 33) == part, F.lit(before)).otherwise(lift) if before else lift
+        before += n
+    return rows.select(key, (F.col("n_").bitwiseAND(F.lit((1 << 33) - 1)) + lift).cast("int").alias(name))
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component, community): the least node reachable in either
     direction, and its dense number in that order; isolated nodes included.
@@ -97,7 +112,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if moved.where("fresh <> label").isEmpty():
             break
         labels = moved.select("node", F.col("fresh").alias("label"))
-    roots = labels.select("label").distinct().withColumn("community", F.dense_rank().over(Window.orderBy("label")) - 1)
+    roots = dense_number(labels.select("label").distinct(), "label", "community")
     return labels.join(roots, "label").select("node", F.col("label").alias("component"), "community")
 
 
@@ -176,3 +191,41 @@ def resolve(edges: DataFrame, names: DataFrame, priority) -> DataFrame:
     joined = edges.join(names, F.col("target_name") == F.col("name"), "left").withColumn("priority", priority)
     best = Window.partitionBy("edge_id").orderBy(F.col("priority").asc_nulls_last(), F.col("node").asc_nulls_last())
     return joined.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth").withColumn("external", F.col("node").isNull())
+
+
+def with_stubs(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, stubs) of resolved edges: each name that nothing in the
+    repository has becomes one stub node of kind ``external``, whose id is a
+    negative hash of the name, and its edges point there."""
+    stub = -F.abs(F.xxhash64("target_name") % (1 << 62)) - 1
+    edges = resolved.withColumn("node", F.coalesce("node", stub))
+    stubs = resolved.where("external").select(stub.alias("node"), F.col("target_name").alias("name"), F.lit("external").alias("kind")).distinct()
+    return edges, stubs
+
+
+def write_back(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``nodes`` with ``community`` replaced by that of ``found`` (node,
+    community); nodes that it lacks keep theirs."""
+    fresh = found.select(F.col("node").alias("n_"), F.col("community").alias("c_"))
+    joined = nodes.join(fresh, F.col("node") == F.col("n_"), "left")
+    return joined.withColumn("community", F.coalesce("c_", "community")).select(*nodes.columns)
+
+
+def finalised(symbols: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What follows an index run: test links are added to ``edges`` (src, dst,
+    edge_type), then communities are written to ``symbols`` (node, name, kind,
+    path, community)."""
+    from siftwright.operators.workspace import test_links
+
+    linked = staged(edges.select("src", "dst", "edge_type").unionByName(test_links(symbols).withColumn("edge_type", F.lit("tested_by"))).distinct())
+    return write_back(symbols, components(linked, symbols.select("node")).select("node", "community")), linked
+
+
+def export_json(nodes: DataFrame, edges: DataFrame, keep: int) -> DataFrame:
+    """(part, json): nodes and edges of the ``keep`` best connected nodes, as
+    lines for a viewer."""
+    near = top_degree_subgraph(edges.select("src", "dst", "edge_type"), keep)
+    ends = near.select(F.col("src").alias("node")).union(near.select(F.col("dst").alias("node"))).distinct()
+    shown = nodes.join(ends, "node", "left_semi")
+    a = shown.select(F.lit("node").alias("part"), F.to_json(F.struct(*nodes.columns)).alias("json"))
+    return a.union(near.select(F.lit("edge"), F.to_json(F.struct("src", "dst", "edge_type"))))

@@ -90,16 +90,33 @@ def access_counts(df: DataFrame, log: DataFrame, key: str, at: str) -> DataFrame
     return df.join(folded, key, "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)))
 
 
-def supersede_chain(links: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(id, final, hops) by following (old, new) links to their end."""
-    at = links.select(F.col("old").alias("id"), F.col("new").alias("final"), F.lit(1).alias("hops"))
-    for _ in range(max_depth):
-        nxt = links.select(F.col("old").alias("o_"), F.col("new").alias("n_"))
-        moved = at.join(nxt, F.col("final") == F.col("o_"), "left")
-        if moved.where("n_ is not null").isEmpty():
+def supersede_chain(links: DataFrame) -> DataFrame:
+    """(id, final, hops) by following (old, new) links to their end, however far.
+    Links jump to their target's target, so rounds grow with the logarithm of
+    the longest chain; each is staged. A link of a cycle ends at its cycle's
+    least id, with no hops (null)."""
+    from siftwright.operators.graph import staged
+
+    at = staged(links.select(F.col("old").alias("id"), F.col("new").alias("final"), F.lit(1).cast("long").alias("hops")))
+    bound = max(1, at.count())
+    while True:
+        nxt = at.select(F.col("id").alias("o_"), F.col("final").alias("n_"), F.col("hops").alias("h_"))
+        joined = at.join(nxt, F.col("final") == F.col("o_"), "left")
+        hops = F.col("hops") + F.coalesce("h_", F.lit(0).cast("long"))
+        moved = staged(joined.select("id", F.coalesce("n_", "final").alias("final"), hops.alias("hops"), F.col("n_").isNotNull().alias("moved_")))
+        at = moved.drop("moved_")
+        # A walk of more hops than there are links is in a cycle.
+        if moved.where(F.col("moved_") & (F.col("hops") <= 2 * bound)).isEmpty():
             break
-        at = moved.select("id", F.coalesce("n_", "final").alias("final"), (F.col("hops") + F.col("n_").isNotNull().cast("int")).alias("hops"))
-    return at
+    loops = at.where(F.col("hops") > bound).select("id", "final")
+    if loops.isEmpty():
+        return at.withColumn("hops", F.col("hops").cast("int"))
+    from siftwright.operators.graph import components
+
+    around = components(loops.join(links, F.col("id") == F.col("old")).select(F.col("old").alias("src"), F.col("new").alias("dst")), loops.select(F.col("id").alias("node")))
+    named = around.select(F.col("node").alias("c_"), F.col("component").alias("least_"))
+    out = at.join(named, F.col("id") == F.col("c_"), "left")
+    return out.select("id", F.coalesce("least_", "final").alias("final"), F.when(F.col("least_").isNull(), F.col("hops")).cast("int").alias("hops"))
 
 
 def capture(notes: DataFrame, known_hashes: DataFrame, kind: Column, summary: Column, n_files: Column, order: Sequence[str], least: int = 1) -> DataFrame:
@@ -110,10 +127,38 @@ def capture(notes: DataFrame, known_hashes: DataFrame, kind: Column, summary: Co
     return latest_per_key(fresh, ["task_hash"], [F.asc(o) for o in order])
 
 
-def feedback_stats(fb: DataFrame, useful: str = "useful") -> DataFrame:
-    return fb.agg(
+def in_scope(scope: Column, wanted: str = "") -> Column:
+    """Feedback of a repository and of none; all of it for an empty scope."""
+    return F.lit(True) if not wanted else scope.isin(wanted, "")
+
+
+def feedback_stats(fb: DataFrame, by: Sequence[str] = (), useful: str = "useful", missing: str = "missing", noisy: str = "noisy", read: str = "files_read", top: int = 5, least: int = 5) -> DataFrame:
+    """(by..., total, n_useful, n_not_useful, useful_pct, top_missing, top_noisy,
+    n_with_reads, read_overlap_pct, noise_ratio_pct). The share of useful reports
+    is of all; top paths go by count, then path; the read shares are null below
+    ``least`` reports with reads. Null lists count as empty."""
+    reads = F.array_distinct(F.coalesce(F.col(read), F.array().cast("array<string>")))
+    noise = F.coalesce(F.col(noisy), F.array().cast("array<string>"))
+    share = F.when(F.size(reads) > 0, F.size(F.array_intersect(reads, noise)) / F.size(reads))
+    total = fb.groupBy(*by).agg(
         F.count("*").alias("total"), F.count_if(F.col(useful)).alias("n_useful"), F.count_if(~F.col(useful)).alias("n_not_useful"),
-        F.round(100.0 * F.count_if(F.col(useful)) / F.count("*"), 1).alias("useful_pct"),
+        F.count(share).alias("n_with_reads"), F.avg(1 - share).alias("o_"), F.avg(share).alias("x_"),
+    )
+    out = total.withColumn("useful_pct", F.when(F.col("total") > 0, F.round(100.0 * F.col("n_useful") / F.col("total"), 1)).otherwise(0.0))
+    for name, col in (("top_missing", missing), ("top_noisy", noisy)):
+        counts = fb.select(*by, F.explode(col).alias("path")).groupBy(*by, "path").agg(F.count("*").alias("n"))
+        order = Window.partitionBy(*by).orderBy(F.desc("n"), "path")
+        best = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)
+        lists = best.groupBy(*[F.col(b).alias(f"{b}_b") for b in by]).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: x["path"]).alias(name))
+        on = F.lit(True)
+        for b in by:
+            on = on & F.col(b).eqNullSafe(F.col(f"{b}_b"))
+        out = out.join(lists, on, "left").drop(*[f"{b}_b" for b in by])
+        out = out.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    enough = F.col("n_with_reads") >= least
+    return out.select(
+        *by, "total", "n_useful", "n_not_useful", "useful_pct", "top_missing", "top_noisy", "n_with_reads",
+        F.when(enough, F.round(100 * F.col("o_"), 1)).alias("read_overlap_pct"), F.when(enough, F.round(100 * F.col("x_"), 1)).alias("noise_ratio_pct"),
     )
 
 
@@ -137,8 +182,42 @@ def cosine_weight(query: Column, stored: Column) -> Column:
     return F.when(usable, F.least(F.lit(1.0), F.greatest(F.lit(0.0), scores.cosine(query, stored)))).otherwise(1.0)
 
 
-def past_signals(signals: DataFrame, hash_col: str, id_col: str, paths: str) -> DataFrame:
-    """(id, path): paths of other signals with the same error hash."""
-    other = signals.select(F.col(hash_col).alias("h_"), F.col(id_col).alias("o_"), F.col(paths).alias("paths_")).where("h_ <> ''")
-    both = signals.join(other, (F.col(hash_col) == F.col("h_")) & (F.col(id_col) != F.col("o_")))
-    return both.select(id_col, F.explode("paths_").alias("path")).distinct()
+def past_paths(signals: DataFrame, hash_col: str, order: Sequence[str], paths: str) -> DataFrame:
+    """(hash, path): paths of earlier signals with the newest signal's error
+    hash. One shuffle by hash; no signals are paired. Empty hashes match none."""
+    known = signals.where(F.col(hash_col) != "")
+    newest = known.groupBy(F.col(hash_col).alias("h_")).agg(F.max(F.struct(*order)).alias("last_"))
+    earlier = known.join(newest, F.col(hash_col) == F.col("h_")).where(F.struct(*order) < F.col("last_"))
+    return earlier.select(hash_col, F.explode(paths).alias("path")).distinct()
+
+
+def prunable(reasons: DataFrame, reason: str = "reason", severities: Sequence[str] = ("missing_file", "renamed")) -> DataFrame:
+    """Stale notes that may go; dormant ones never do."""
+    return reasons.where(F.col(reason).isin(*severities) & (F.col(reason) != "dormant"))
+
+
+def invalidated(cache: DataFrame, repo: str | None = None, col: str = "repo") -> DataFrame:
+    """A cache without a repository's entries; without any for None."""
+    return cache.where(F.lit(False)) if repo is None else cache.where(~F.col(col).eqNullSafe(F.lit(repo)))
+
+
+def note_search(df: DataFrame, query: str, text: Column, order: Sequence[str], limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Rows that hold every token of the query, by BM25 over term counts; an
+    empty query finds none. Statistics are one-row aggregates joined in."""
+    import re
+
+    words = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
+    if not words:
+        return df.where(F.lit(False)).withColumn("score", F.lit(0.0))
+    held = df.withColumn("words_", F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != ""))
+    count = lambda w: F.size(F.filter("words_", lambda x: x == w))
+    held = held.withColumns({f"tf{i}_": count(w) for i, w in enumerate(words)}).withColumn("len_", F.size("words_")).drop("words_")
+    stats = held.agg(F.count("*").alias("n_"), F.avg("len_").alias("mean_"), *[F.count_if(F.col(f"tf{i}_") > 0).alias(f"df{i}_") for i in range(len(words))])
+    score, every = F.lit(0.0), F.lit(True)
+    for i in range(len(words)):
+        tf, n = F.col(f"tf{i}_"), F.col(f"df{i}_")
+        every = every & (tf > 0)
+        idf = F.greatest(F.lit(1e-6), F.ln((F.col("n_") - n + 0.5) / (n + 0.5)))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len_") / F.col("mean_")))
+    found = held.join(F.broadcast(stats), how="cross").where(every).withColumn("score", F.round(score, 6))
+    return found.orderBy(F.desc("score"), *order).limit(limit).select(*df.columns, "score")

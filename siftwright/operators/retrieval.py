@@ -19,37 +19,31 @@ FILE_NAME = r"\b(\w[\w.-]+\.\w{2,6})\b"
 def bm25(df: DataFrame, query: str, text: Column, name: str = "bm25") -> DataFrame:
     """Add ``name``: Okapi BM25 of distinct tokens, divided by its maximum.
 
-    Only the query's tokens are ever counted: one aggregation gives the number
-    of rows, the mean length and each token's document frequency, a second the
-    maximum. Rows are not exploded or shuffled.
+    Only the query's tokens are ever looked at: a row keeps its number of tokens
+    and a flag for each of them, and one-row aggregates of these narrow columns
+    (rows, mean length, document frequencies, the maximum) are joined in. Rows
+    are not exploded or shuffled, and nothing reaches the driver.
     """
     words = tx.query_tokens(query)
-    held = df.withColumn("tokens_", tx.tokens(text))
-    hits = [F.array_contains("tokens_", w) for w in words]
-    row = held.agg(F.count("*"), F.avg(F.size("tokens_")), *[F.count_if(h) for h in hits]).first()
-    total, mean, found = row[0], row[1] or 1.0, row[2:]
-    length = K1 * (1 - B + B * F.size("tokens_") / F.lit(float(mean)))
-    score = F.lit(0.0)
-    for hit, n in zip(hits, found):
-        idf = math.log((total - n + 0.5) / (n + 0.5) + 1)
-        score = score + F.when(hit, F.lit(idf * (K1 + 1)) / (1 + length)).otherwise(0.0)
-    scored = held.withColumn(name, score)
-    top = scored.agg(F.max(name)).first()[0] or 0.0
-    return scored.withColumn(name, F.col(name) / top if top else F.lit(0.0)).drop("tokens_")
+    length, hits, n, mean, top = "len_", [f"hit{i}_" for i in range(len(words))], "n_", "mean_", "top_"
+    tokens = tx.tokens(text)
+    flags = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("n"), *[F.array_contains(t, w).alias(h) for h, w in zip(hits, words)]))
+    held = df.withColumn("t_", F.element_at(flags, 1)).withColumns({length: F.col("t_.n"), **{h: F.col(f"t_.{h}") for h in hits}}).drop("t_")
+    stats = held.agg(F.count("*").alias(n), F.avg(length).alias(mean), *[F.count_if(h).alias(f"df_{h}") for h in hits])
+    score, share = F.lit(0.0), K1 * (1 - B + B * F.col(length) / F.coalesce(F.nullif(mean, F.lit(0.0)), F.lit(1.0)))
+    for h in hits:
+        idf = F.ln((F.col(n) - F.col(f"df_{h}") + 0.5) / (F.col(f"df_{h}") + 0.5) + 1)
+        score = score + F.when(F.col(h), idf * (K1 + 1) / (1 + share)).otherwise(0.0)
+    scored = held.join(F.broadcast(stats), how="cross").withColumn(name, score)
+    best = scored.agg(F.max(name).alias(top))
+    out = scored.join(F.broadcast(best), how="cross")
+    return out.withColumn(name, F.when(F.col(top) > 0, F.col(name) / F.col(top)).otherwise(0.0)).select(*df.columns, name)
 
 
 def blend(conf: Column, score: Column) -> Column:
     return scores.capped(0.6 * conf + 0.4 * score)
 
 
-def test_penalty(df: DataFrame, conf: str, path: Column, exempt: Column | None = None, factor: float = 0.85) -> DataFrame:
-    """Tests lose a share of their score where the best other item has at least
-    0.7 of it."""
-    test = tx.is_test_path(path) if exempt is None else tx.is_test_path(path) & ~exempt
-    best = df.agg(F.max(F.when(~tx.is_test_path(path), F.col(conf)))).first()[0] or 0.0
-    return df.withColumn(conf, F.when(test & (F.lit(best) >= 0.7 * F.col(conf)), F.col(conf) * factor).otherwise(F.col(conf)))
-
-
 def stem_boost(conf: Column, path: Column, query: str) -> Column:
     """Items whose file stem is a query token gain 30 %; tests do not."""
     named = F.regexp_replace(F.lower(tx.stem(path)), "[-.]", "_")

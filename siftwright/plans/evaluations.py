@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 
 from siftwright.operators import evaluation, ranking
-from siftwright.plans.registry import query, table
+from siftwright.plans.registry import query, table, values
 
 #: Gold and returned id lists by customer: orders of two kinds.
 LISTS = "WITH t AS (SELECT o_custkey AS task, list_sort(list(o_orderkey % 50) FILTER (WHERE o_orderstatus = 'F')) AS g, list_sort(list(o_orderkey % 50) FILTER (WHERE o_orderpriority < '3')) AS r FROM orders GROUP BY o_custkey), l AS (SELECT task, list_sort(list_distinct(coalesce(g, []))) AS gold, list_sort(list_distinct(coalesce(r, []))) AS got FROM t), " 
@@ -99,13 +99,42 @@ def quality_gate(spark, d):
 
 @query("SELECT item_id, count(doc_id) AS gold_docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def gold_documents(spark, d):
-    """Documents that hold a benchmark passage, for evaluation sets: the passage
-    list is bounded and broadcast, documents are read once."""
-    b = F.broadcast(table(spark, d, "benchmark").withColumnRenamed("text", "passage"))
-    hits = table(spark, d, "documents").join(b, F.contains("text", "passage")).groupBy("item_id").agg(F.count("*").alias("gold_docs"))
+    """Documents that hold a benchmark passage, for evaluation sets."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    hits = evaluation.holding(table(spark, d, "documents").select("doc_id", "text"), b).groupBy("item_id").agg(F.count("*").alias("gold_docs"))
     return b.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("gold_docs", F.lit(0)).alias("gold_docs"))
 
 
+TASKS = "SELECT l_returnflag AS suite, l_linestatus = 'O' AS success, CAST(l_discount * 100 AS DOUBLE) AS reduction_pct, CAST(l_quantity AS DOUBLE) AS latency_ms, CAST(l_quantity * 10 AS DOUBLE) AS est_tokens, CASE WHEN l_linenumber > 3 THEN 0.5 ELSE 0.0 END AS hit_rate, CASE WHEN l_linenumber = 2 THEN 0.25 ELSE 0.0 END AS random_hit_rate, l_linenumber / 7.0 AS rank_quality FROM {t}"
+
+
+@query(
+    "WITH t AS (" + TASKS.format(t="lineitem") + "), r AS (SELECT *, success AND (hit_rate > 0 OR random_hit_rate > 0) AS rated FROM t) "
+    "SELECT count(*) AS total_tasks, round(100.0 * count(*) FILTER (WHERE success) / count(*), 1) AS success_rate, round(avg(reduction_pct) FILTER (WHERE success), 1) AS avg_reduction_pct, "
+    "round(avg(reduction_pct) FILTER (WHERE success) - 1.96 * stddev_samp(reduction_pct) FILTER (WHERE success) / sqrt(count(*) FILTER (WHERE success)), 1) AS reduction_ci_low, "
+    "round(avg(reduction_pct) FILTER (WHERE success) + 1.96 * stddev_samp(reduction_pct) FILTER (WHERE success) / sqrt(count(*) FILTER (WHERE success)), 1) AS reduction_ci_high, "
+    "round(avg(latency_ms), 1) AS avg_latency_ms, round_even(avg(est_tokens) FILTER (WHERE success), 0) AS avg_est_tokens, round(avg(hit_rate) FILTER (WHERE rated), 3) AS avg_hit_rate, "
+    "round(avg(random_hit_rate) FILTER (WHERE rated), 3) AS avg_random_hit_rate, round(avg(rank_quality) FILTER (WHERE success), 3) AS avg_rank_quality FROM r"
+)
+def run_summary(spark, d):
+    return evaluation.summary(spark.sql(TASKS, t=table(spark, d, "lineitem")))
+
+
+FIRST = [("a", "src/x.py", "x.py|y.py", True), ("a", "x.py", "lib/x.py", True), ("a", "max.py", "x.py", False), ("b", "y.py", "x.py|y.py", True), ("b", None, "x.py", False)]
+
+
+@query("SELECT 'a' AS repo, 3 AS tasks, 2 AS rank1 UNION ALL SELECT 'b', 2, 1")
+def rank_one_hits(spark, d):
+    rows = values(spark, FIRST).select(F.col("a").alias("repo"), F.split("c", "[|]").alias("gold"), F.when(F.col("b").isNotNull(), F.array("b")).otherwise(F.array().cast("array<string>")).alias("got"))
+    return evaluation.rank_one_hits(rows, ["repo"], "gold", "got")
+
+
+@query()
+def random_baseline(spark, d):
+    """A seeded draw by a hash that the oracle lacks."""
+    return evaluation.random_hits(table(spark, d, "part").select("p_brand", "p_name"), ["p_brand"], 5, "p_name", F.lit("green"))
+
+
 @query("SELECT count(*) FILTER (WHERE user_id % 5 < 2) AS committed, count(*) FILTER (WHERE user_id % 5 = 2) AS staged, count(*) FILTER (WHERE user_id % 5 > 2) AS other FROM events")
 def provenance_counts(spark, d):
     k = F.col("user_id") % 5

@@ -88,16 +88,28 @@ def access_counts(spark, d):
     return memory.access_counts(s, log, "s_suppkey", "ts").select("s_suppkey", "access_count", "last_accessed_at")
 
 
+FEEDBACK = "SELECT lang AS repo, quality = 1 AS useful, CASE WHEN quality = 0 THEN {a}('m' || (labels.doc_id % 13), 'm' || (labels.doc_id % 3)) ELSE {a}('m0') END AS missing, CASE WHEN toxic = 1 THEN {a}('f' || (labels.doc_id % 4)) ELSE {a}('f9') END AS noisy, CASE WHEN labels.doc_id % 3 = 0 THEN {a}('f0', 'f1', 'f9') WHEN labels.doc_id % 3 = 1 THEN {a}('f' || (labels.doc_id % 4)) END AS files_read FROM {l} labels JOIN {d} documents ON labels.doc_id = documents.doc_id"
+
+
 @query(
-    "SELECT source, count(*) AS total, count(*) FILTER (WHERE quality = 1) AS n_useful, count(*) FILTER (WHERE quality = 0) AS n_not_useful, round(100.0 * count(*) FILTER (WHERE quality = 1) / count(*), 1) AS useful_pct FROM labels JOIN documents ON labels.doc_id = documents.doc_id GROUP BY source"
+    "WITH f AS (" + FEEDBACK.format(a="list_value", l="labels", d="documents").replace(" labels labels", " labels").replace("documents documents", "documents") + "), "
+    "s AS (SELECT *, len(list_filter(files_read, lambda x: list_contains(noisy, x))) / len(files_read) AS share FROM f), "
+    "g AS (SELECT repo, count(*) AS total, count(*) FILTER (WHERE useful) AS n_useful, count(*) FILTER (WHERE NOT useful) AS n_not_useful, round(100.0 * count(*) FILTER (WHERE useful) / count(*), 1) AS useful_pct, count(share) AS n_with_reads, "
+    "CASE WHEN count(share) >= 5 THEN round(100 * avg(1 - share), 1) END AS read_overlap_pct, CASE WHEN count(share) >= 5 THEN round(100 * avg(share), 1) END AS noise_ratio_pct FROM s GROUP BY repo), "
+    "m AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, path) AS k FROM (SELECT repo, unnest(missing) AS path FROM f) x GROUP BY repo, path), "
+    "n AS (SELECT repo, path, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, path) AS k FROM (SELECT repo, unnest(noisy) AS path FROM f) x GROUP BY repo, path) "
+    "SELECT g.*, (SELECT string_agg(path, ',' ORDER BY k) FROM m WHERE m.repo = g.repo AND k <= 5) AS top_missing, (SELECT string_agg(path, ',' ORDER BY k) FROM n WHERE n.repo = g.repo AND k <= 5) AS top_noisy FROM g"
 )
 def feedback_stats(spark, d):
-    fb = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    good = F.col("quality") == 1
-    return fb.groupBy("source").agg(
-        F.count("*").alias("total"), F.count_if(good).alias("n_useful"), F.count_if(~good).alias("n_not_useful"),
-        F.round(100.0 * F.count_if(good) / F.count("*"), 1).alias("useful_pct"),
-    )
+    fb = spark.sql(FEEDBACK.format(a="array", l="{l}", d="{d}"), l=table(spark, d, "labels"), d=table(spark, d, "documents"))
+    out = memory.feedback_stats(fb, ["repo"])
+    return out.withColumns({c: F.array_join(c, ",") for c in ("top_missing", "top_noisy")})
+
+
+@query("SELECT event_id FROM events WHERE 'r' || (user_id % 3) IN ('r1', '') UNION ALL SELECT event_id FROM events")
+def feedback_scope(spark, d):
+    e = table(spark, d, "events").withColumn("scope", F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")))
+    return e.where(memory.in_scope(F.col("scope"), "r1")).select("event_id").union(e.where(memory.in_scope(F.col("scope"))).select("event_id"))
 
 
 @query(
@@ -113,13 +125,33 @@ def feedback_deltas(spark, d):
 
 
 @query(
-    "WITH s AS (SELECT event_id, props AS h, 'u' || user_id AS path FROM events WHERE event_type = (SELECT min(event_type) FROM events)) SELECT DISTINCT a.event_id, b.path FROM s a JOIN s b ON a.h = b.h AND a.event_id <> b.event_id"
+    "WITH s AS (SELECT event_id, ts, props AS h, 'u' || user_id AS path, max(struct_pack(ts := ts, id := event_id)) OVER (PARTITION BY props) AS last FROM events) SELECT DISTINCT h, path FROM s WHERE struct_pack(ts := ts, id := event_id) < last"
 )
 def past_signal_recall(spark, d):
-    e = table(spark, d, "events")
-    first = e.agg(F.min("event_type").alias("event_type"))
-    s = e.join(F.broadcast(first), "event_type").select("event_id", F.col("props").alias("h"), F.array(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("paths"))
-    return memory.past_signals(s, "h", "event_id", "paths")
+    s = table(spark, d, "events").select("event_id", "ts", F.col("props").alias("h"), F.array(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("paths"))
+    return memory.past_paths(s, "h", ["ts", "event_id"], "paths")
+
+
+@query(
+    "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM documents), "
+    "c AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: x = 'the')) AS a, len(list_filter(ws, lambda x: x = 'and')) AS b FROM w), "
+    "s AS (SELECT count(*) AS total, avg(n) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c) "
+    "SELECT doc_id, round(greatest(1e-6, ln((total - da + 0.5) / (da + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + greatest(1e-6, ln((total - db + 0.5) / (db + 0.5))) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a > 0 AND b > 0 ORDER BY 2 DESC, doc_id LIMIT 20"
+)
+def note_search(spark, d):
+    return memory.note_search(table(spark, d, "documents").select("doc_id", "text"), "The and", F.col("text"), ["doc_id"]).select("doc_id", "score")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'error')")
+def prune_list(spark, d):
+    reason = F.expr("CASE event_type WHEN 'click' THEN 'missing_file' WHEN 'error' THEN 'renamed' ELSE 'dormant' END")
+    return memory.prunable(table(spark, d, "events").withColumn("reason", reason)).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE user_id % 3 <> 1")
+def cache_invalidate(spark, d):
+    e = table(spark, d, "events").withColumn("repo", F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")))
+    return memory.invalidated(e, "r1").select("event_id").union(memory.invalidated(e).select("event_id"))
 
 
 @query(
