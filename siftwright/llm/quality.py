@@ -6,10 +6,10 @@ cost, and the ordered list becomes one CASE expression, so a row pays only for
 the rules up to the first that rejects it.
 
 The sample is taken by a hash of the row's place over all partitions, about
-``SAMPLE_ROWS`` rows of the text column only. A rule's cost is the least of a few
-timings over the sample, less that of a rule that looks at nothing, in steps of a
-factor of four above the clock's noise: rules of one step count as equally dear,
-so the order repeats from run to run.
+``SAMPLE_ROWS`` rows of the text column only. A rule's cost is that of the
+statistics it looks at, each so many nanoseconds a word and a character
+(``COSTS``, measured once), over the sample's mean words and characters: timing
+the rules anew in every run gave another order from run to run on a busy machine.
 
 Null text counts as empty text and fails ``too_few_words``. Rows are judged one
 by one: repeated rows get equal verdicts, an empty table gives an empty table.
@@ -20,8 +20,6 @@ measured order where several rules reject a row; ``kept`` does not.
 
 from __future__ import annotations
 
-import math
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,9 +29,8 @@ from pyspark.sql import functions as F
 from siftwright.llm.common import SPACES, let, table, tmp_names, words_of
 
 #: Rows, about, of the sample on which cost and selectivity are estimated (twice as
-#: many at most); timings of a rule; seconds below which costs are noise, and the
-#: factor between steps of cost.
-SAMPLE_ROWS, TIMINGS, NOISE, STEP = 512, 3, 0.02, 4
+#: many at most).
+SAMPLE_ROWS = 512
 
 @dataclass(frozen=True)
 class Parts:
@@ -78,17 +75,17 @@ def n_distinct(p: Parts) -> Column:
 
 
 def n_letters(p: Parts) -> Column:
-    return F.regexp_count(p.text, F.lit(r"\p{L}")).cast("long")
+    return F.length(F.regexp_replace(p.text, r"\P{L}+", "")).cast("long")
 
 
 def n_repeat_words(p: Parts) -> Column:
     """Words in 3-word windows that occur twice or more in the text.
 
-    Texts whose windows have different 64-bit hashes, most of them, are done;
-    else the windows are sorted by hash, words and place, equal neighbours give
-    the repeated places, and a place covers the words up to the next one, three
-    at most. Linear but for the sort, whatever repeats, and exact where hashes
-    collide.
+    Texts whose windows have different 64-bit hashes are done; else the hashes
+    are sorted with their places, equal neighbours give the repeated places, and
+    a place covers the words up to the next one, three at most. Words are compared
+    where hashes are equal; should they differ, the text's windows are sorted by
+    their words too. Linear but for the sort, whatever repeats.
     """
     zero = F.lit(0).cast("long")
 
@@ -98,16 +95,20 @@ def n_repeat_words(p: Parts) -> Column:
     def hashes(words: Column) -> Column:
         return F.transform(F.slice(words, F.lit(1), F.size(words) - 2), lambda x, i: F.xxhash64(*window(words, i)))
 
-    def repeated(windows: Column) -> Column:
+    def twins(rows: Column) -> Column:
+        """Rows (w, i), sorted, whose w equals a neighbour's."""
+
         def same(i: Column, j: Column) -> Column:
-            return F.get(windows, i)["w"] == F.get(windows, j)["w"]
+            return F.get(rows, i)["w"] == F.get(rows, j)["w"]
 
-        found = F.filter(
-            windows,
+        return F.filter(
+            rows,
             lambda x, i: F.coalesce(same(i, i + 1), F.lit(False))
             | ((i > 0) & F.coalesce(same(i, F.greatest(i - 1, F.lit(0))), F.lit(False))),
         )
-        return F.array_sort(F.transform(found, lambda x: x["i"]))
+
+    def places(rows: Column) -> Column:
+        return F.array_sort(F.transform(rows, lambda x: x["i"]))
 
     def covered(places: Column) -> Column:
         steps = F.transform(
@@ -116,13 +117,26 @@ def n_repeat_words(p: Parts) -> Column:
         )
         return F.aggregate(steps, zero, lambda a, x: a + x)
 
+    def collided(words: Column, rows: Column) -> Column:
+        """Whether neighbours of equal hashes differ in their words."""
+
+        def differ(x: Column, i: Column) -> Column:
+            near = F.get(rows, i + 1)
+            unlike = F.lit(False)
+            for k in range(3):
+                unlike = unlike | (F.get(words, x["i"] + k) != F.get(words, near["i"] + k))
+            return F.when(F.coalesce(x["w"] == near["w"], F.lit(False)), unlike).otherwise(F.lit(False))
+
+        return F.size(F.filter(rows, differ)) > 0
+
+    def by_words(words: Column) -> Column:
+        rows = F.transform(F.slice(words, F.lit(1), F.size(words) - 2), lambda x, i: F.struct(F.struct(*window(words, i)).alias("w"), i.alias("i")))
+        return let(let(let(F.sort_array(rows), twins), places), covered)
+
     def of_hashes(words: Column, hs: Column) -> Column:
-        windows = F.sort_array(
-            F.transform(hs, lambda h, i: F.struct(F.struct(h.alias("h"), *window(words, i)).alias("w"), i.alias("i")))
-        )
-        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), zero).otherwise(
-            let(let(windows, repeated), covered)
-        )
+        rows = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("w"), i.alias("i"))))
+        some = let(let(rows, twins), lambda r: F.when(collided(words, r), by_words(words)).otherwise(let(places(r), covered)))
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), zero).otherwise(some)
 
     return F.when(F.size(p.words) < 4, zero).otherwise(let(p.words, lambda w: let(hashes(w), lambda hs: of_hashes(w, hs))))
 
@@ -140,6 +154,14 @@ STATISTICS: dict[str, Callable[[Parts], Column]] = {
 }
 
 
+#: Nanoseconds a word and a character of each statistic, in round figures, beside
+#: splitting the words, which all rules share.
+COSTS = {
+    "n_words": (1, 0), "word_chars": (100, 1), "n_symbols": (0, 10), "n_lines": (0, 4), "n_dup_lines": (0, 5), "n_repeat_words": (2000, 0),
+    "n_distinct": (50, 0), "n_letters": (20, 10),
+}
+
+
 @dataclass(frozen=True)
 class Rule:
     """``fails`` gets a lookup from statistic name to column."""
@@ -178,25 +200,30 @@ def sampled(df: DataFrame, text: str, sample_rows: int) -> DataFrame:
     return df.select(F.coalesce(F.col(text), F.lit("")).alias("t")).where(place < bound).limit(2 * sample_rows).repartition(1)
 
 
+def looked_at(rule: Rule) -> set[str]:
+    """Statistics that a rule asks for."""
+    seen: set[str] = set()
+
+    def lookup(name: str) -> Column:
+        seen.add(name)
+        return F.lit(0).cast("long")
+
+    rule.fails(lookup)
+    return seen
+
+
 def estimate(df: DataFrame, rules=RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Step of cost and rejected share of each rule on a sample."""
-    sample = sampled(df, text, sample_rows).withColumn("w", words_of(F.col("t"))).persist()
-    rows, parts = sample.count(), Parts(F.col("t"), F.col("w"))
-
-    def timed(bad: Column) -> tuple[float, int]:
-        best, found = float("inf"), 0
-        for _ in range(TIMINGS + 1):  # the first one compiles
-            began = time.perf_counter()
-            found = sample.agg(F.count_if(bad)).first()[0]
-            best = min(best, time.perf_counter() - began)
-        return best, found
-
-    idle, out = timed(F.length("t") < 0)[0], []
-    for rule in rules:
-        cost, n = timed(F.coalesce(rule.fails(lambda s: STATISTICS[s](parts)), F.lit(False)))
-        step = max(0, math.ceil(math.log(max(cost - idle, 1e-9) / NOISE, STEP)))
-        out.append(Estimate(rule.name, float(STEP**step), (n + 0.5) / (rows + 1)))
-    sample.unpersist()
+    """Nanoseconds a row and rejected share of each rule on a sample, by one
+    aggregation."""
+    sample = sampled(df, text, sample_rows).withColumn("w", words_of(F.col("t")))
+    parts = Parts(F.col("t"), F.col("w"))
+    bad = [F.coalesce(r.fails(lambda s: STATISTICS[s](parts)), F.lit(False)) for r in rules]
+    row = sample.agg(F.count("*"), F.avg(F.size("w")), F.avg(F.length("t")), *[F.count_if(b) for b in bad]).first()
+    rows, words, chars = row[0], row[1] or 0.0, row[2] or 0.0
+    out = []
+    for rule, n in zip(rules, row[3:]):
+        costs = [COSTS[s] for s in sorted(looked_at(rule))]
+        out.append(Estimate(rule.name, 1 + sum(w * words + c * chars for w, c in costs), (n + 0.5) / (rows + 1)))
     return out
 
 

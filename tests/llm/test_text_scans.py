@@ -186,13 +186,17 @@ def test_quality_verdict_does_not_depend_on_the_order(spark):
 
 def test_quality_order_repeats_and_short_circuits(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text")
-    orders = [[r.name for r in quality.ordered(quality.RULES, quality.estimate(docs))] for _ in range(3)]
-    # The dearest rule that rejects little is last in every run.
-    assert len({o[-1] for o in orders}) == 1 and quality.sampled(docs, "text", 64).count() <= 128
-    boom = quality.Rule("boom", lambda s: F.raise_error(F.lit("reached")).cast("boolean"))
-    bad = spark.createDataFrame([("a",), (None,)], "text string")
-    rules = [quality.BASE_RULES[0], boom]
-    assert [r["x"] for r in bad.select(quality.cascade(rules, lambda s: F.lit(0)).alias("x")).collect()] == ["too_few_words"] * 2
+    estimates = quality.estimate(docs)
+    assert all(quality.estimate(docs) == estimates for _ in range(4))
+    order = [r.name for r in quality.ordered(quality.RULES, estimates)]
+    # The dearest rule comes after the cheap ones that reject about as much.
+    assert order.index("too_few_words") < order.index("repeated_windows")
+    assert quality.sampled(docs, "text", 64).count() <= 128
+    assert quality.looked_at(quality.METHOD_RULES[2]) == {"n_lines", "n_dup_lines"}
+    boom = quality.Rule("boom", lambda s: F.raise_error(F.concat(F.lit("reached by "), F.col("text"))).cast("boolean"))
+    bad = spark.createDataFrame([("a",), ("b c",)], "text string")
+    words = lambda s: F.size(quality.words_of(F.col("text"))).cast("long")
+    assert [r["x"] for r in bad.select(quality.cascade([quality.BASE_RULES[0], boom], words).alias("x")).collect()] == ["too_few_words"] * 2
 
 
 def test_queries_with_sql(spark, oracle):
