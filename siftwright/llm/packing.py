@@ -35,7 +35,7 @@ WINDOW, END_ID = 2048, 1
 #: Bytes of text tokenized at once (a longer text is by itself); bytes of each of
 #: a worker's four generations of cached ids; longest word of the fast path and of
 #: the caches.
-BATCH_BYTES, CACHE_BYTES, LONG_WORD = 4_000_000, 24_000_000, 48
+BATCH_BYTES, CACHE_BYTES, LONG_WORD = 8_000_000, 40_000_000, 48
 #: Bytes of a cached entry beside its characters and ids.
 ENTRY_BYTES = 180
 #: Fixed value: how the vocabulary's pre-tokenizer splits lower-cased text.
@@ -305,7 +305,7 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    with small_batches(docs.sparkSession, 1_000):
+    with small_batches(docs.sparkSession, 4_000):
         cut = staged(pieces(docs, vocabulary or default_vocabulary(), window, id_col, text), "pieces")
     return pack(cut, window)
 
