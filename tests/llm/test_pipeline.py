@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from siftwright.llm import packing
 from siftwright.llm.common import staged
@@ -7,11 +9,17 @@ from tests.llm.fixtures import documents, frame
 from tests.llm.test_grouping import brute_fingerprint
 from tests.llm.test_text_scans import secret_base
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Names that the stages use themselves, as columns of the documents.
+CLASHING = ["rejected_by", "copy_id_", "base_spans", "secret_spans", "copies_", "host", "path", "rule", "verdict", "fits_"]
+
+
+def clashing(spark, rows=None):
+    return frame(spark, rows).withColumns({c: F.lit("own") for c in CLASHING})
 
 
 def test_stages_one_by_one(spark):
-    docs = frame(spark).select(*COLUMNS)
+    docs = clashing(spark)
+    COLUMNS = docs.columns
     stages = dict(pipeline.STAGES)
     assert list(stages) == ["quality_rules", "near_copies", "secret_scan", "mix_sources", "pack"]
     good = staged(stages["quality_rules"](spark, docs, ""), "t")
@@ -30,6 +38,7 @@ def test_stages_one_by_one(spark):
     assert all(secret_base(r["text"]) == "" and r["n_chars"] == len(r["text"]) for r in clean.collect())
 
     mixed = staged(stages["mix_sources"](spark, clean, ""), "t")
+    assert mixed.where(" or ".join(f"{c} <> 'own'" for c in CLASHING)).count() == 0
     assert mixed.columns == COLUMNS and max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 2
 
     packed = stages["pack"](spark, mixed, "").toPandas()
@@ -38,7 +47,7 @@ def test_stages_one_by_one(spark):
 
 
 def test_empty_corpus(spark):
-    docs = frame(spark, []).select(*COLUMNS)
+    docs = clashing(spark, [])
     for name, stage in pipeline.STAGES:
         docs = staged(stage(spark, docs, ""), name)
     assert docs.count() == 0
