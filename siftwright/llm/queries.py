@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwright.llm import mixing, packing, pii, quality, resample, secret_scan, shards, simhash, urls, vectors, warc
+from siftwright.llm import mixing, packing, pii, quality, resample, secret_scan, shards, simhash, toxicity, urls, vectors, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op12_importance_resample": resample.op12_importance_resample,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 SQL = {
     "op5_url_filter": urls.SQL,
