@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftwright.llm import mixing, packing, pii, quality, resample, secret_scan, shards, simhash, toxicity, urls, vectors, warc
+from siftwright.llm import mixing, packing, pii, quality, repair, resample, secret_scan, shards, simhash, toxicity, urls, vectors, warc
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_importance_resample": resample.op12_importance_resample,
     "op13_toxicity": toxicity.op13_toxicity,
 }
