@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwright.operators import sinks
-from siftwright.sources import code, parsers
+from siftwright.sources import analyzers, code, parsers
 from siftwright.plans.registry import query, table, values, values_sql
 
 
@@ -97,3 +97,108 @@ def note_gate(spark, d):
     rows = cases.union(table(spark, d, "events").selectExpr("concat(event_type, repeat('x', CAST(user_id % 80 AS INT)))", "user_id % 4", "event_type"))
     files = F.array_repeat(F.lit("f"), F.col("n_files").cast("int"))
     return rows.withColumn("kept", sinks.note_gate(F.col("summary"), files, F.col("task_type")))
+
+
+#: A file in each language, for a part k of n = p_size body lines: its lines (None
+#: stands for the body), and its symbols (kind, name, first line, last line less
+#: n (a text: as it is; None: the first line), owner, has the comment) and edges (source, target, type).
+FILES = {
+    "java": (
+        ["package x;", "import a.b.Lib{k};", "", "/** Part {k}; not a }} brace. */", "public class P{k} extends Base{m} implements Runs {{", '  String s = "}} {{ \\" }}";', "  // }}", "  @Test public int run{k}(List<Map<A, B>> a) {{", None, "    return new Q(a).help{m}(a);", "  }}", "}}"],
+        [("class", "P{k}", 5, 11, None, True), ("method", "run{k}", 8, 10, "P{k}", False)],
+        [("{f}", "Lib{k}", "imports"), ("P{k}", "Base{m}", "extends"), ("P{k}", "Runs", "implements"), ("run{k}", "help{m}", "calls")],
+    ),
+    "go": (
+        ["package x", 'import "a/Lib{k}"', "", "// Part {k}; not a }} brace.", "type P{k} struct {{", "  s string // }}", "}}", "func (p *P{k}) run{k}(a map[string]int) int {{", None, "  x := `}}` + string('}}')", "  return help{m}(a)", "}}"],
+        [("struct", "P{k}", 5, "7", None, True), ("method", "run{k}", 8, 11, "P{k}", False)],
+        [("{f}", "a/Lib{k}", "imports"), ("run{k}", "string", "calls"), ("run{k}", "help{m}", "calls")],
+    ),
+    "rs": (
+        ["use a::b::{{Lib{k}, Other as Own}};", "", "", "/// Part {k}; not a }} brace.", "struct P{k}<'a> {{ s: &'a str }}", "impl<'a> Runs for P{k}<'a> {{", "  // }}", "  fn run{k}(&self, a: i32) -> i32 {{", None, "    let c = '}}'; let r = r#\"}}\"}}\"#;", "    help{m}(a) }}", "}}"],
+        [("struct", "P{k}", 5, None, None, True), ("method", "run{k}", 8, 10, "P{k}", False)],
+        [("{f}", "Lib{k}", "imports"), ("{f}", "Own", "imports"), ("P{k}", "Runs", "implements"), ("run{k}", "help{m}", "calls")],
+    ),
+    "cs": (
+        ["using A.B.Lib{k};", "namespace N", "{{", "/// Part {k}; not a }} brace.", "public class P{k} : Base{m}, IRuns {{", '  string s = @"}} "" {{";', "  public int Size => 3;", "  public async Task<int> run{k}(int a) {{", None, "    return await help{m}(a);", "  }}", "}} }}"],
+        [("namespace", "N", 2, 11, None, False), ("class", "P{k}", 5, 11, None, True), ("property", "Size", 7, None, "P{k}", False), ("method", "run{k}", 8, 10, "P{k}", False)],
+        [("{f}", "Lib{k}", "imports"), ("P{k}", "Base{m}", "extends"), ("P{k}", "IRuns", "implements"), ("run{k}", "help{m}", "calls")],
+    ),
+    "ts": (
+        ["import {{ x }} from './Lib{k}'", "const q = `}} ${{1}}`", "", "/** Part {k}; not a }} brace. */", "export class P{k} extends Base{m}<T> implements Runs {{", "  private s = /[}}]/g", "  // }}", "  async run{k}(a: number): Promise<number> {{", None, "    return help{m}(a)", "  }}", "}}"],
+        [("class", "P{k}", 5, 11, None, True), ("function", "run{k}", 8, 10, "P{k}", False)],
+        [("{f}", "./Lib{k}", "imports"), ("P{k}", "Base{m}", "extends"), ("P{k}", "Runs", "implements"), ("run{k}", "help{m}", "calls")],
+    ),
+}
+
+
+def _filled(template: str) -> str:
+    """A template of k (the part) and m (its size modulo 7) as an SQL expression."""
+    return "'" + template.replace("'", "''").format(k="' || p_partkey || '", m="' || (p_size % 7) || '") + "'"
+
+
+def _files(spark, d):
+    """The files of all parts."""
+    cases = []
+    for i, (extension, (lines, _, _)) in enumerate(FILES.items()):
+        body = "repeat('    a += 1; // {' || chr(10), p_size)"
+        text = " || ".join(body if x is None else _filled(x).replace("\\", "\\\\") + " || chr(10)" for x in lines)
+        cases.append(f"WHEN {i} THEN struct(p_partkey || '.{extension}' AS path, {text} AS text)")
+    rows = table(spark, d, "part").withColumns({"p_partkey": F.col("p_partkey").cast("string"), "p_size": F.col("p_size").cast("int")})
+    return rows.select(F.expr(f"CASE p_partkey % {len(FILES)} {' '.join(cases)} END").alias("file")).select("file.*")
+
+
+def _symbols_sql() -> str:
+    parts = []
+    for i, (extension, (_, symbols, _)) in enumerate(FILES.items()):
+        for kind, name, first, last, owner, doc in symbols:
+            end = f"{last} + p_size" if isinstance(last, int) else last or str(first)
+            comment = _filled("Part {k}; not a }} brace.") if doc else "''"
+            parts.append(
+                f"SELECT p_partkey || '.{extension}' AS path, '{kind}' AS kind, {_filled(name)} AS name, CAST({first} AS BIGINT) AS line_start, CAST({end} AS BIGINT) AS line_end, "
+                f"{_filled(owner) if owner else 'CAST(NULL AS VARCHAR)'} AS owner, {comment} AS docstring FROM part WHERE p_partkey % {len(FILES)} = {i}"
+            )
+    return " UNION ALL ".join(parts)
+
+
+def _edges_sql() -> str:
+    parts = []
+    for i, (extension, (_, _, edges)) in enumerate(FILES.items()):
+        for src, dst, kind in edges:
+            source = f"p_partkey || '.{extension}'" if src == "{f}" else _filled(src)
+            parts.append(f"SELECT p_partkey || '.{extension}' AS path, {source} AS src, {_filled(dst)} AS dst, '{kind}' AS edge_type FROM part WHERE p_partkey % {len(FILES)} = {i}")
+    return " UNION ALL ".join(parts)
+
+
+@query(_symbols_sql())
+def code_symbols(spark, d):
+    return code.analyze(_files(spark, d)).select("path", "kind", "name", "line_start", "line_end", "owner", "docstring")
+
+
+@query(_edges_sql())
+def code_edges(spark, d):
+    return code.analyze(_files(spark, d), "edges")
+
+
+class Failing:
+    """A plug-in that doesn't read every seventh part."""
+
+    def rows(self, path, text):
+        if int(path.split(".")[0]) % 7 == 0:
+            raise ValueError("no " + path)
+        return [("file", path, 1, text.count("\n") + 1, "", None, "")], []
+
+
+@query(
+    "SELECT p_partkey || '.rb' AS path, 'rb' AS extension, 'ValueError: no ' || p_partkey || '.rb' AS error, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS line_end FROM part WHERE p_partkey % 7 = 0 "
+    "UNION ALL SELECT p_partkey || '.rb', 'rb', NULL, 'file', 1 + p_size FROM part WHERE p_partkey % 7 <> 0"
+)
+def analyzer_registry(spark, d):
+    """The first registration of an extension stays; files that fail are rows."""
+    registry = analyzers.Registry()
+    registry.register("rb", Failing)
+    registry.register("rb", lambda: code.PatternFiles("rb"))
+    registry.register("zz", dict)
+    files = table(spark, d, "part").selectExpr("p_partkey || '.rb' AS path", "repeat('class X' || chr(10), p_size) AS text")
+    indexed = analyzers.index(files, registry)
+    good = analyzers.parts(indexed, "symbols").selectExpr("path", "'rb' AS extension", "CAST(NULL AS STRING) AS error", "kind", "line_end")
+    return analyzers.parts(indexed, "errors").selectExpr("path", "extension", "error", "CAST(NULL AS STRING) AS kind", "CAST(NULL AS BIGINT) AS line_end").unionByName(good)
