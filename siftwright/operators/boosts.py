@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from siftwright.functions import scores
 from siftwright.functions import text as tx
 from siftwright.operators import graph, ranking, workspace
+from siftwright.operators.folds import fold
 
 #: Shares and cap of the hub and bridge boost; other boosts; the
 #: confidence of what a call chain of two steps reaches.
@@ -141,16 +142,18 @@ def pinned_source(df: DataFrame, selected: DataFrame, group: Sequence[str], budg
     there = selected.join(pin.select(*group, path), [*group, path], "left_semi").select(*group).distinct()
     pin = pin.join(there, list(group), "left_anti")
     both = pin.withColumn("pin_", F.lit(True)).unionByName(selected.withColumn("pin_", F.lit(False)), allowMissingColumns=True)
-    row = F.struct((~F.col("pin_")).alias("p"), (-F.col(conf)).alias("c"), F.col(ord).alias("ord"), F.col(tokens).cast("long").alias("t"), F.col("pin_").alias("pin"))
-    rows = both.groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.max("pin_").alias("any_"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(a: Column, r: Column) -> Column:
-        take = r["pin"] | (a["used"] + r["t"] <= budget)
-        return F.when(take, F.struct((a["used"] + r["t"]).alias("used"), F.concat(a["out"], F.array(r["ord"].cast("long"))).alias("out"))).otherwise(a)
-
-    kept = F.when(F.col("any_"), F.aggregate("rows", start, step, lambda a: a["out"])).otherwise(F.transform("rows", lambda r: r["ord"].cast("long")))
-    return rows.select(*group, F.explode(kept).alias(ord))
+    def step(state: list, row: tuple) -> tuple | None:
+        ord_, size, pinned = row
+        if not state:  # the pin comes first, if there is one
+            state += [0, pinned]
+        if state[1] and not pinned and (size is None or state[0] + size > budget):
+            return None
+        state[0] += size or 0
+        return (ord_,)
+
+    inputs = {"ord": F.col(ord).cast("long"), "tokens": F.col(tokens).cast("long"), "pin": F.col("pin_")}
+    return fold(both, group, [~F.col("pin_"), -F.col(conf), F.col(ord)], inputs, list, step, {ord: "bigint"})
 
 
 def majority(df: DataFrame, group: Sequence[str], value: str, ord: str = "ord") -> DataFrame:

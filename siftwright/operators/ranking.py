@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwright.functions import text as tx
+from siftwright.operators.folds import fold
 
 #: Floors by mode and source types that a budget guarantees.
 FLOORS = {"review": (0.55, 0.30), "implement": (0.55, 0.30), "minimal": (0.55, 0.30), "debug": (0.0, 0.30), "handover": (0.0, 0.20)}
@@ -62,54 +63,55 @@ def score_floor(df: DataFrame, group: Sequence[str], mode: str = "review", conf:
 def knapsack(df: DataFrame, group: Sequence[str], budget: int, guaranteed: Sequence[str] = (), conf: str = "confidence", tokens: str = "est_tokens", kind: str = "kind", ord: str = "ord") -> DataFrame:
     """Greedy selection by confidence per token: a row is admitted if it fits or
     is the first of a guaranteed kind. Returns (group..., ord) of admitted rows
-    and the tokens used before each. The fold runs on narrow rows of a group,
-    after floors and duplicates have made it small."""
-    value = -(F.col(conf) / F.greatest(F.lit(1), F.col(tokens)))
-    row = F.struct(value.alias("v"), (-F.col(conf)).alias("c"), F.col(ord).alias("ord"), F.col(tokens).cast("long").alias("t"), F.col(kind).alias("k"))
-    rows = df.groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    sure = F.array(*[F.lit(g) for g in guaranteed]).cast("array<string>")
-    start = F.struct(
-        F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("seen"),
-        F.array().cast("array<struct<ord:bigint,used_before:bigint>>").alias("out"),
-    )
-
-    def step(a: Column, r: Column) -> Column:
-        first = F.array_contains(sure, r["k"]) & ~F.array_contains(a["seen"], r["k"])
-        take = (a["used"] + r["t"] <= budget) | first
-        return F.when(
-            take,
-            F.struct(
-                (a["used"] + r["t"]).alias("used"), F.array_union(a["seen"], F.array(r["k"])).alias("seen"),
-                F.concat(a["out"], F.array(F.struct(r["ord"].cast("long").alias("ord"), a["used"].alias("used_before")))).alias("out"),
-            ),
-        ).otherwise(a)
-
-    folded = rows.select(*group, F.aggregate("rows", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select(*group, F.explode("out").alias("o")).select(*group, F.col("o.ord").alias(ord), F.col("o.used_before").alias("used_before"))
-
-
-def sub_budget(df: DataFrame, group: Sequence[str], budget: int, share: float, memory: Column, **kw) -> DataFrame:
-    """Memory rows get at most a share of the budget, the others what is left.
-    One fold: memory rows are folded first against their own cap."""
-    cap = int(budget * share)
-    mem = knapsack(df.where(memory), group, cap, **kw).withColumn("part", F.lit("memory"))
-    tokens, ord = kw.get("tokens", "est_tokens"), kw.get("ord", "ord")
-    spent = mem.join(df.select(*group, ord, tokens), [*group, ord]).groupBy(*group).agg(F.sum(tokens).alias("spent"))
-    rest = df.where(~memory).join(spent, list(group), "left").withColumn("left_", F.lit(budget) - F.coalesce("spent", F.lit(0)))
-    conf = kw.get("conf", "confidence")
-    value = -(F.col(conf) / F.greatest(F.lit(1), F.col(tokens)))
-    row = F.struct(value.alias("v"), (-F.col(conf)).alias("c"), F.col(ord).alias("ord"), F.col(tokens).cast("long").alias("t"))
-    rows = rest.groupBy(*group, "left_").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<ord:bigint,used_before:bigint>>").alias("out"))
-    left = F.col("left_")
-
-    def step(a: Column, r: Column) -> Column:
-        out = F.concat(a["out"], F.array(F.struct(r["ord"].cast("long").alias("ord"), a["used"].alias("used_before"))))
-        return F.when(a["used"] + r["t"] <= left, F.struct((a["used"] + r["t"]).alias("used"), out.alias("out"))).otherwise(a)
-
-    code = rows.select(*group, F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("o"))
-    code = code.select(*group, F.col("o.ord").alias(ord), F.col("o.used_before").alias("used_before"), F.lit("code").alias("part"))
-    return mem.unionByName(code)
+    and the tokens used before each. Rows without tokens never fit, and cost
+    nothing where their kind is guaranteed. Rows that can't be admitted at all
+    stay out of the shuffle."""
+    sure = frozenset(guaranteed)
+
+    def step(state: list, row: tuple) -> tuple | None:
+        used, seen = state
+        ord_, size, kind_ = row
+        first = kind_ in sure and kind_ not in seen
+        if not first and (size is None or used + size > budget):
+            return None
+        seen.add(kind_)
+        state[0] = used + (size or 0)
+        return ord_, used
+
+    able = (F.col(tokens) <= budget) | (F.col(kind).isin(*sure) if sure else F.lit(False))
+    inputs = {"ord": F.col(ord).cast("long"), "tokens": F.col(tokens).cast("long"), "kind": F.col(kind)}
+    return fold(df.where(able), group, by_value(conf, tokens, ord), inputs, lambda: [0, set()], step, {ord: "bigint", "used_before": "bigint"})
+
+
+def by_value(conf: str, tokens: str, ord: str) -> list[Column]:
+    """Best confidence per token first."""
+    return [-(F.col(conf) / F.greatest(F.lit(1), F.col(tokens))), -F.col(conf), F.col(ord)]
+
+
+def sub_budget(df: DataFrame, group: Sequence[str], budget: int, share: float, memory: Column, guaranteed: Sequence[str] = (), conf: str = "confidence", tokens: str = "est_tokens", kind: str = "kind", ord: str = "ord") -> DataFrame:
+    """Memory rows get at most a share of the budget, the others what is left:
+    one fold, memory rows first, against their own cap."""
+    cap, sure = int(budget * share), frozenset(guaranteed)
+
+    def step(state: list, row: tuple) -> tuple | None:
+        ord_, size, kind_, mem = row
+        if mem:
+            used, seen = state[0], state[2]
+            first = kind_ in sure and kind_ not in seen
+            if not first and (size is None or used + size > cap):
+                return None
+            seen.add(kind_)
+            state[0] = used + (size or 0)
+            return ord_, used, "memory"
+        used = state[1]
+        if size is None or used + size > budget - state[0]:
+            return None
+        state[1] = used + size
+        return ord_, used, "code"
+
+    inputs = {"ord": F.col(ord).cast("long"), "tokens": F.col(tokens).cast("long"), "kind": F.col(kind), "memory": memory}
+    order = [~memory, *by_value(conf, tokens, ord)]
+    return fold(df.where(memory.isNotNull()), group, order, inputs, lambda: [0, 0, set()], step, {ord: "bigint", "used_before": "bigint", "part": "string"})
 
 
 def adaptive_top_k(df: DataFrame, group: Sequence[str], conf: str = "confidence", ord: str = "ord") -> DataFrame:
@@ -127,17 +129,16 @@ def adaptive_top_k(df: DataFrame, group: Sequence[str], conf: str = "confidence"
 def tail_cutoff(df: DataFrame, group: Sequence[str], budget: int, conf: str = "confidence", tokens: str = "est_tokens", kind: str = "kind", ord: str = "ord") -> DataFrame:
     """Once kept rows have used 75 % of the budget, ``file`` rows below 0.4 go.
     The running sum is over kept rows, hence a fold."""
-    row = F.struct((-F.col(conf)).alias("c"), F.col(ord).alias("ord"), F.col(tokens).cast("long").alias("t"), F.col(kind).alias("k"))
-    rows = df.groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(a: Column, r: Column) -> Column:
-        drop = (a["used"] >= 0.75 * budget) & (r["k"] == "file") & (-r["c"] < 0.4)
-        return F.when(drop, a).otherwise(
-            F.struct((a["used"] + r["t"]).alias("used"), F.concat(a["out"], F.array(r["ord"].cast("long"))).alias("out"))
-        )
+    def step(state: list, row: tuple) -> tuple | None:
+        ord_, size, kind_, confidence = row
+        if state[0] >= 0.75 * budget and kind_ == "file" and confidence is not None and confidence < 0.4:
+            return None
+        state[0] += size or 0
+        return (ord_,)
 
-    return rows.select(*group, F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias(ord))
+    inputs = {"ord": F.col(ord).cast("long"), "tokens": F.col(tokens).cast("long"), "kind": F.col(kind), "confidence": F.col(conf).cast("double")}
+    return fold(df, group, [-F.col(conf), F.col(ord)], inputs, lambda: [0], step, {ord: "bigint"})
 
 
 def paginate(df: DataFrame, group: Sequence[str], page: int, size: int, conf: str = "confidence", ord: str = "ord") -> DataFrame:

@@ -112,7 +112,7 @@ def test_code_symbols(spark):
     files = [("a.py", "class A(B):\n    def m(self):\n        return f(1)\n"), ("b.go", "func (s *S) Run() {\n}\ntype T struct {\n"), ("bad.py", "def ("), ("n.rs", None)]
     df = spark.createDataFrame(files, "path string, text string")
     got = {(r["path"], r["kind"], r["name"]) for r in code.analyze(df).collect()}
-    assert got == {("a.py", "class", "A"), ("a.py", "method", "m"), ("b.go", "function", "Run"), ("b.go", "type", "T")}
+    assert got == {("a.py", "class", "A"), ("a.py", "method", "m"), ("b.go", "method", "Run"), ("b.go", "struct", "T")}
     assert {(r["src"], r["dst"], r["edge_type"]) for r in code.analyze(df, "edges").collect()} == {("A", "B", "extends"), ("m", "f", "calls")}
 
 
