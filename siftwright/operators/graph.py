@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,9 +16,8 @@ USES = ("calls", "imports", "extends", "implements")
 CALLS = ("calls", "imports")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the session's checkpoint folder, lineage cut."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the session's checkpoint folder."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not place and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -27,9 +26,14 @@ def staged(df: DataFrame) -> DataFrame:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         place = "file://" + own
         spark.conf.set("spark.checkpoint.dir", place)
-    path = f"{place.rstrip('/')}/siftwright/graph-{uuid.uuid4().hex}"
+    return f"{place.rstrip('/')}/siftwright/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the session's checkpoint folder, lineage cut."""
+    path = shared_path(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hub_scores(edges: DataFrame, types=USES) -> DataFrame:

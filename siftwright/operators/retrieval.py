@@ -10,34 +10,38 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import scores
 from siftwright.functions import text as tx
+from siftwright.operators.graph import staged
 
 K1, B = 1.5, 0.75
 #: Fixed value: file names in a query.
 FILE_NAME = r"\b(\w[\w.-]+\.\w{2,6})\b"
 
 
-def bm25(df: DataFrame, query: str, text: Column, name: str = "bm25") -> DataFrame:
+def bm25(df: DataFrame, query: str, text: Column, name: str = "bm25", keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``name``: Okapi BM25 of distinct tokens, divided by its maximum.
 
-    Only the query's tokens are ever looked at: a row keeps its number of tokens
-    and a flag for each of them, and one-row aggregates of these narrow columns
-    (rows, mean length, document frequencies, the maximum) are joined in. Rows
-    are not exploded or shuffled, and nothing reaches the driver.
+    Texts are tokenized once: one scan writes the columns to ``keep`` (all, if
+    None; leave the text out where it isn't needed further), the number of
+    tokens and a flag for each of the query's tokens to a narrow table, and the
+    one-row aggregates (rows, mean length, document frequencies, the maximum)
+    and the scores come from there. Rows are not exploded or shuffled, and
+    nothing reaches the driver.
     """
     words = tx.query_tokens(query)
     length, hits, n, mean, top = "len_", [f"hit{i}_" for i in range(len(words))], "n_", "mean_", "top_"
-    tokens = tx.tokens(text)
-    flags = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("n"), *[F.array_contains(t, w).alias(h) for h, w in zip(hits, words)]))
-    held = df.withColumn("t_", F.element_at(flags, 1)).withColumns({length: F.col("t_.n"), **{h: F.col(f"t_.{h}") for h in hits}}).drop("t_")
+    kept = list(df.columns if keep is None else keep)
+    flags = F.transform(F.array(tx.tokens(text)), lambda t: F.struct(F.size(t).alias("n"), *[F.array_contains(t, w).alias(h) for h, w in zip(hits, words)]))
+    held = df.select(*kept, F.element_at(flags, 1).alias("t_"))
+    held = staged(held.select(*kept, F.col("t_.n").alias(length), *[F.col(f"t_.{h}").alias(h) for h in hits]))
     stats = held.agg(F.count("*").alias(n), F.avg(length).alias(mean), *[F.count_if(h).alias(f"df_{h}") for h in hits])
     score, share = F.lit(0.0), K1 * (1 - B + B * F.col(length) / F.coalesce(F.nullif(mean, F.lit(0.0)), F.lit(1.0)))
     for h in hits:
         idf = F.ln((F.col(n) - F.col(f"df_{h}") + 0.5) / (F.col(f"df_{h}") + 0.5) + 1)
         score = score + F.when(F.col(h), idf * (K1 + 1) / (1 + share)).otherwise(0.0)
-    scored = held.join(F.broadcast(stats), how="cross").withColumn(name, score)
+    scored = held.join(F.broadcast(stats), how="cross").withColumn(name, score)  # one row each
     best = scored.agg(F.max(name).alias(top))
     out = scored.join(F.broadcast(best), how="cross")
-    return out.withColumn(name, F.when(F.col(top) > 0, F.col(name) / F.col(top)).otherwise(0.0)).select(*df.columns, name)
+    return out.withColumn(name, F.when(F.col(top) > 0, F.col(name) / F.col(top)).otherwise(0.0)).select(*kept, name)
 
 
 def blend(conf: Column, score: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import scores
 from siftwright.functions import text as tx
-from siftwright.operators import memory, retrieval, workspace
+from siftwright.operators import graph, inverted, memory, retrieval, workspace
 from siftwright.plans.registry import query, table, values, values_sql
 
 QUERY = "that the whst thinor andeaner une queaux menteau"
@@ -32,7 +32,7 @@ CONF = "round((doc_id * 37 % 100) / 100.0, 2)"
 
 def scored(spark, d):
     docs = table(spark, d, "documents")
-    return retrieval.bm25(docs, QUERY, F.col("text"))
+    return retrieval.bm25(docs, QUERY, F.col("text"), keep=["doc_id"])
 
 
 @query(BM25 + "SELECT doc_id, round(bm25, 6) AS score FROM b ORDER BY round(bm25, 6) DESC, doc_id LIMIT 20")
@@ -78,6 +78,26 @@ def prefix_search(spark, d):
     return retrieval.prefix_search(table(spark, d, "part"), "gre sma blu", F.col("p_name"), ["p_partkey"]).select("p_partkey", "matched")
 
 
+#: Terms of the query below as stems, and the stems of the parts' words that differ
+#: from the words.
+TERMS, STEMMED = ("larg", "economi", "bra", "wi", "1"), {"large": "larg", "economy": "economi"}
+
+
+@query(
+    "WITH w AS (SELECT p_partkey AS id, unnest(string_split(lower(p_name), ' ') || [lower(p_type)] || string_split(lower(p_brand), '#')) AS word FROM part), "
+    "s AS (SELECT id, CASE word " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STEMMED.items()) + " ELSE word END AS word FROM w), "
+    "l AS (SELECT id, count(*) AS length FROM s GROUP BY id), t AS (SELECT count(*) AS items, sum(length) AS words FROM l), "
+    "h AS (SELECT id, term, count(*) AS n FROM s, (SELECT unnest([" + ", ".join(f"'{t}'" for t in TERMS) + "]) AS term) WHERE starts_with(word, term) GROUP BY id, term), "
+    "d AS (SELECT term, greatest(1e-6, ln(((SELECT items FROM t) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM h GROUP BY term) "
+    "SELECT id, round(sum(idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length * (SELECT items FROM t) / (SELECT words FROM t)))), 6) AS score FROM h JOIN d USING (term) JOIN l USING (id) GROUP BY id"
+)
+def inverted_index_search(spark, d):
+    """All parts that the stored index finds for a stemmed prefix query."""
+    path = graph.shared_path(spark, "index")
+    inverted.build(table(spark, d, "part"), "p_partkey", ["p_name", "p_type", "p_brand"], path)
+    return inverted.search(spark, path, "LARGES economies, bra* wi 1", None).select("id", F.round("score", 6).alias("score"))
+
+
 AGE = "date_diff('second', ts, TIMESTAMP '2024-01-31') / 86400.0"
 
 
