@@ -157,11 +157,50 @@ def cache_invalidate(spark, d):
 @query(
     "WITH e AS (SELECT *, CASE WHEN date_diff('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) < 21600 THEN 0 ELSE 1 END AS fresh FROM events), "
     "s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e) "
-    "SELECT user_id, min(ts) AS start, count(*) AS events FROM s GROUP BY user_id, k"
+    "SELECT user_id, min(ts) AS start, count(*) AS events, max_by(event_type, {'t': ts, 'a': event_type}) AS last_action FROM s GROUP BY user_id, k"
 )
 def debounce_sessions(spark, d):
     out = ev.debounce(table(spark, d, "events"), "user_id", gap="6 hours")
-    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "events")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "events", "last_action")
+
+
+#: Changes of files made from events: a file a user, deleted by some of its events,
+#: bursts of less than six hours between changes.
+CHANGES = "SELECT 'u' || user_id || '.py' AS path, ts, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'index' END AS action, 'def f' || event_id || '():' || chr(10) || '    return g' || (event_id % 9) || '()' AS text FROM {events}"
+
+
+@query(
+    "WITH c AS (" + CHANGES.format(events="events") + "), "
+    "e AS (SELECT *, CASE WHEN date_diff('second', lag(ts) OVER (PARTITION BY path ORDER BY ts), ts) < 21600 THEN 0 ELSE 1 END AS fresh FROM c), "
+    "l AS (SELECT path, sum(fresh) AS bursts, max({'t': ts, 'a': action, 'x': text}) AS e FROM e GROUP BY path) "
+    "SELECT path, CAST(bursts AS BIGINT) AS bursts, e.a AS action, CASE WHEN e.a = 'index' THEN regexp_extract(e.x, 'def (f[0-9]+)', 1) END AS symbol, CASE WHEN e.a = 'index' THEN regexp_extract(e.x, 'return (g[0-9])', 1) END AS called FROM l"
+)
+def stream_reindex(spark, d):
+    """A third of the changes in each of three runs of the stream, late ones in the
+    last, a compaction between; the index is then that of all but the late changes."""
+    from siftwright.operators.graph import shared_path
+    from siftwright.sources import code
+    from siftwright.streaming import reindex
+
+    place = shared_path(spark, "changes")
+    table(spark, d, "events").createOrReplaceTempView("siftwright_changes")
+    changes = spark.sql(CHANGES.format(events="siftwright_changes")).withColumn("ts", F.col("ts").cast("timestamp"))
+    bounds = changes.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))  # one row
+    third = F.floor(3 * (F.unix_micros("ts") - F.unix_micros("a")) / (F.unix_micros("b") - F.unix_micros("a") + 1))
+    dealt = changes.join(F.broadcast(bounds), how="cross").withColumn("third", third)
+    for k in range(3):
+        rows = dealt.where(F.col("third") == k).select(*changes.columns)
+        if k == 2:
+            late = dealt.where("third = 0").selectExpr("path", "ts", "'index' AS action", "'def late(): pass' AS text")
+            end = bounds.selectExpr("CAST(NULL AS STRING) AS path", "b + INTERVAL 2 DAYS AS ts", "'index' AS action", "CAST(NULL AS STRING) AS text")
+            rows = rows.unionByName(late).unionByName(end)
+        rows.write.mode("append").parquet(f"{place}/in")
+        events = spark.readStream.schema(changes.schema).parquet(f"{place}/in")
+        reindex.run(events, f"{place}/index", f"{place}/state", code.built_in(), "6 hours", "1 hour")
+        if k == 1:
+            reindex.compact(spark, f"{place}/index")
+    out = reindex.files(spark, f"{place}/index")
+    return out.select("path", "bursts", "action", F.get("symbols", 0)["name"].alias("symbol"), F.get("edges", 0)["dst"].alias("called"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
