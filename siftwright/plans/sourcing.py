@@ -202,3 +202,38 @@ def analyzer_registry(spark, d):
     indexed = analyzers.index(files, registry)
     good = analyzers.parts(indexed, "symbols").selectExpr("path", "'rb' AS extension", "CAST(NULL AS STRING) AS error", "kind", "line_end")
     return analyzers.parts(indexed, "errors").selectExpr("path", "extension", "error", "CAST(NULL AS STRING) AS kind", "CAST(NULL AS BIGINT) AS line_end").unionByName(good)
+
+
+RUN = "concat('Failed N.C.T', event_id, chr(10), '  Error Message:', chr(10), '   boom ', event_id % 9, chr(10), '  Stack Trace:', chr(10), '     at N.C.T() in /p/F', event_id % 5, '.cs:line 4')"
+MIXED = (
+    "concat('Traceback:', chr(10), '  File \"lib/f', event_id % 5, '.py\", line 3, in g', chr(10), 'ValueError: bad ', event_id % 4, chr(10), chr(10), "
+    "'ERROR in x', event_id % 3, '.py', chr(10), 'fine', chr(10), 'warn: ', event_id)"
+)
+
+
+@query(
+    "WITH u AS (SELECT event_id, user_id, user_id % 3 AS kind, event_type FROM events), "
+    "x AS (SELECT 'junit:' AS source, 'error' AS severity, 'k' || user_id || '.t' || event_id || ': ' || event_type AS message, user_id, CAST(NULL AS VARCHAR) AS file, 't' || event_id AS test FROM u WHERE kind = 0 "
+    "UNION ALL SELECT 'dotnet', 'error', 'N.C.T' || event_id || ': boom ' || (event_id % 9), user_id, '/p/F' || (event_id % 5) || '.cs', NULL FROM u WHERE kind = 1 "
+    "UNION ALL SELECT 'log', 'warning', 'warn: ' || event_id, user_id, NULL, NULL FROM u WHERE kind = 2 "
+    "UNION ALL SELECT DISTINCT 'log', 'error', 'ERROR in x' || (event_id % 3) || '.py', user_id, 'x' || (event_id % 3) || '.py', NULL FROM u WHERE kind = 2 "
+    "UNION ALL SELECT 'java', 'error', 'ValueError: bad ' || (event_id % 4), user_id, 'lib/f' || (min_by(event_id, event_id) % 5) || '.py', NULL FROM u WHERE kind = 2 GROUP BY user_id, event_id % 4) "
+    "SELECT user_id, source, severity, message, file, test FROM x"
+)
+def runtime_signals(spark, d):
+    """Reports, runner output and traces written from events, a file a user, read
+    back by the data source."""
+    from siftwright.operators.graph import shared_path
+    from siftwright.sources import runtime
+
+    spark.dataSource.register(runtime.RuntimeSource)
+    place = shared_path(spark, "runtime")
+    events = table(spark, d, "events").withColumn("kind", F.col("user_id") % 3)
+    cases = events.where("kind = 0").selectExpr("user_id", "concat('k', user_id) AS _classname", "concat('t', event_id) AS _name", "named_struct('_message', event_type, '_VALUE', 'x') AS failure")
+    cases.repartition("user_id").write.partitionBy("user_id").format("xml").option("rootTag", "testsuite").option("rowTag", "testcase").option("declaration", "").save(f"{place}/reports")
+    texts = events.where("kind > 0").selectExpr("user_id", "event_id", f"CASE kind WHEN 1 THEN {RUN} ELSE {MIXED} END || chr(10) AS value")
+    texts.repartition("user_id").sortWithinPartitions("user_id", "event_id").select("user_id", "value").write.partitionBy("user_id").text(f"{place}/texts")
+    found = spark.read.format("runtime_signals").load(place)
+    user = F.regexp_extract("path", r"user_id=(\d+)", 1).cast("long")
+    test = F.regexp_extract(F.get("failing_tests", 0), r"\.(t\d+)$", 1)
+    return found.select(user.alias("user_id"), "source", "severity", "message", F.get("paths", 0).alias("file"), test.alias("test"))

@@ -63,17 +63,25 @@ def log_lines(df: DataFrame, text: str, most: int = 500) -> DataFrame:
     return line.select(severity_of(F.col("line")).alias("severity"), F.substring(F.trim("line"), 1, most).alias("message")).where("severity is not null")
 
 
+#: Frames of Python, Java and .NET traces.
+PYTHON_FRAME = r'File "[^"]+", line \d+, in \S+'
+JAVA_FRAME = r"at [\w.$<>]+\([\w$]+\.(?:java|kt|scala):\d+\)"
+DOTNET_FRAME = r"at [\w.<>]+\([^)]*\) in [^:\n]+(?::\\[^:\n]+)?:line \d+"
+
+
 def stack_frames(df: DataFrame, id_col: str, text: str, most: int = 5) -> DataFrame:
-    """(id, frames): Python, Java and .NET frames as structs, the first few."""
-    frames = F.concat(
-        F.transform(F.regexp_extract_all(text, F.lit(r'(File "[^"]+", line \d+, in \S+)'), F.lit(1)), lambda s: F.struct(
-            F.regexp_extract(s, 'File "([^"]+)"', 1).alias("file"), F.regexp_extract(s, r"in (\S+)$", 1).alias("function"), F.regexp_extract(s, r"line (\d+)", 1).cast("int").alias("line"))),
-        F.transform(F.regexp_extract_all(text, F.lit(r"(at [\w.$<>]+\([\w$]+\.(?:java|kt|scala):\d+\))"), F.lit(1)), lambda s: F.struct(
-            F.regexp_extract(s, r"\(([^:]+):", 1).alias("file"), F.regexp_extract(s, r"at ([\w.$<>]+)\(", 1).alias("function"), F.regexp_extract(s, r":(\d+)\)", 1).cast("int").alias("line"))),
-        F.transform(F.regexp_extract_all(text, F.lit(r"(at [\w.<>]+\([^)]*\) in [^:\n]+(?::\\[^:\n]+)?:line \d+)"), F.lit(1)), lambda s: F.struct(
-            F.regexp_extract(s, r" in (.+):line", 1).alias("file"), F.regexp_extract(s, r"at ([\w.<>]+)\(", 1).alias("function"), F.regexp_extract(s, r":line (\d+)", 1).cast("int").alias("line"))),
-    )
-    return df.select(id_col, F.slice(frames, 1, most).alias("frames"))
+    """(id, frames): the first frames of Python, Java and .NET traces as structs,
+    in the order of the text."""
+
+    def frame(s: Column) -> Column:
+        python, dotnet = s.startswith("File"), F.rlike(s, F.lit(r":line \d+$"))
+        file = F.when(python, F.regexp_extract(s, 'File "([^"]+)"', 1)).when(dotnet, F.regexp_extract(s, r" in (.+):line", 1)).otherwise(F.regexp_extract(s, r"\(([^:]+):", 1))
+        function = F.when(python, F.regexp_extract(s, r"in (\S+)$", 1)).otherwise(F.regexp_extract(s, r"at ([\w.$<>]+)\(", 1))
+        line = F.when(python, F.regexp_extract(s, r"line (\d+)", 1)).when(dotnet, F.regexp_extract(s, r":line (\d+)", 1)).otherwise(F.regexp_extract(s, r":(\d+)\)", 1))
+        return F.struct(file.alias("file"), function.alias("function"), line.cast("int").alias("line"))
+
+    found = F.regexp_extract_all(text, F.lit(f"({PYTHON_FRAME}|{JAVA_FRAME}|{DOTNET_FRAME})"), F.lit(1))
+    return df.select(id_col, F.transform(F.slice(found, 1, most), frame).alias("frames"))
 
 
 def dotnet_failures(df: DataFrame, text: str) -> DataFrame:
