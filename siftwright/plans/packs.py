@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwright.operators import graph, packs
+from siftwright.operators import cache, graph, packs
 from siftwright.plans import graphs
 from siftwright.plans.ranking import COLUMNS, NORMAL, items
 from siftwright.plans.registry import QUERIES, SQL, query, table
@@ -45,6 +45,21 @@ for _mode in packs.BUDGETS:
     SQL[f"full_pack_{_mode}"] = pack_sql(_mode)
 
 
+@query(pack_sql("review"))
+def cached_pack(spark, d):
+    """A pack from the cache: built and stored by the first call, and read by the
+    second, which may not build anything."""
+    docs = table(spark, d, "documents")
+    store = cache.ResultCache(spark, graph.shared_path(spark, "packs"))
+    key = cache.key_of("review", QUERY, packs.BUDGETS["review"], cache.fingerprint(docs))
+    store.get_or_build("all", key, lambda: QUERIES["full_pack_review"](spark, d))
+
+    def never():
+        raise RuntimeError("the second call must be a hit")
+
+    return store.get_or_build("all", key, never)
+
+
 @query(
     f"WITH items AS (SELECT {COLUMNS} FROM documents), m AS (SELECT *, CASE WHEN ord % 4 = 0 THEN NULL ELSE ord % 3 END AS community FROM items), "
     "a AS (SELECT repo, community AS anchor FROM (SELECT repo, community, row_number() OVER (PARTITION BY repo ORDER BY confidence DESC, ord) AS k FROM m WHERE community IS NOT NULL) x WHERE k = 1) "
