@@ -128,17 +128,61 @@ def summary(tasks: DataFrame) -> DataFrame:
 
 
 def holding(docs: DataFrame, passages: DataFrame, text: str = "text", passage: str = "passage") -> DataFrame:
-    """Pairs of documents and passages that they hold. A passage's longest inner
-    word is a whole word of every text that holds it, so documents and passages
-    meet by words, and only those pairs are compared; passages of less than three
-    words, which have no inner word, are compared with all documents."""
-    words = lambda c: F.split(c, r"\\s+")
-    inner = F.filter(F.slice(words(F.col(passage)), 2, F.greatest(F.size(words(F.col(passage))) - 2, F.lit(0))), lambda w: w != "")
-    keyed = passages.withColumn("word_", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    long, short = keyed.where("word_ is not null"), keyed.where("word_ is null").drop("word_")
-    keys = long.select("word_").distinct()
-    numbered = docs.withColumn("row_", F.monotonically_increasing_id())
-    there = numbered.select("row_", F.explode(F.array_distinct(words(F.col(text)))).alias("word_")).join(keys, "word_", "left_semi")
-    near = there.join(long, "word_").drop("word_").join(numbered, "row_").where(F.contains(text, F.col(passage)))
-    every = numbered.join(short, F.contains(text, F.col(passage)))
-    return near.select(*docs.columns, *passages.columns).union(every.select(*docs.columns, *passages.columns))
+    """Pairs of documents and passages that they hold.
+
+    A passage's inner words (all but its first and last) are whole words of
+    every text that holds it. So each passage is filed under that of its inner
+    words which the fewest documents have, documents and passages meet by these
+    words, and only such pairs are compared. A passage without inner words has a
+    part that lies within one word of the text: it meets the documents of all
+    the words that hold this part, found among the corpus's different words by
+    runs of three characters (or single ones, for shorter parts). Null texts
+    hold nothing; empty passages are in every other text.
+    """
+    found = docs.select(F.monotonically_increasing_id().alias("row_"), *docs.columns).where(F.col(text).isNotNull())
+    wanted = passages.select(F.monotonically_increasing_id().alias("passage_"), *passages.columns).where(F.col(passage).isNotNull())
+    wanted = wanted.withColumn("words_", _words(F.col(passage))).withColumn("inner_", F.array_distinct(F.slice(F.split(passage, SPACE), 2, F.greatest(F.size(F.split(passage, SPACE)) - 2, F.lit(0)))))
+    texts = found.select("row_", F.explode(F.array_distinct(_words(F.col(text)))).alias("word_"))
+    long = F.size("inner_") > 0
+    pairs = _meet(texts, wanted.where(long).select("passage_", F.explode("inner_").alias("word_")))
+    if not wanted.where(~long).isEmpty():
+        pairs = pairs.unionByName(_meet_by_part(found, texts, wanted.where(~long), text, passage))
+    out = pairs.join(found, "row_").join(wanted, "passage_").where(F.contains(text, F.col(passage)))
+    return out.select(*docs.columns, *passages.columns)
+
+
+SPACE = r"\s+"
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, SPACE), lambda w: w != "")
+
+
+def _meet(texts: DataFrame, filed: DataFrame) -> DataFrame:
+    """(row_, passage_) by the rarest word of each passage. The texts' words are
+    counted where they are read, as far as a passage has them."""
+    keys = filed.select("word_").distinct()
+    counts = texts.join(keys, "word_", "left_semi").groupBy("word_").agg(F.count("*").alias("docs_"))
+    order = F.struct(F.coalesce("docs_", F.lit(0)).alias("n"), "word_")
+    rarest = filed.join(counts, "word_", "left").groupBy("passage_").agg(F.min(order)["word_"].alias("word_"))
+    return texts.join(rarest, "word_").select("row_", "passage_")
+
+
+def _meet_by_part(found: DataFrame, texts: DataFrame, short: DataFrame, text: str, passage: str) -> DataFrame:
+    """(row_, passage_) by the longest part of passages without inner words; those
+    without any word by their first character, empty ones by none."""
+    part = F.array_max(F.transform("words_", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    parts = short.select("passage_", part.alias("part_"))
+    size = F.least(F.length("part_"), F.lit(3))
+    known = texts.select("word_").distinct()
+    out = None
+    for n in (1, 2, 3):
+        run = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n))))  # noqa: E731, B023
+        grams = known.where(F.length("word_") >= n).select("word_", F.explode(run(F.col("word_"))).alias("gram_"))
+        mine = parts.where(size == n).select("passage_", "part_", F.substring("part_", 1, n).alias("gram_"))
+        met = grams.join(mine, "gram_").where(F.contains("word_", F.col("part_"))).select("word_", "passage_")
+        out = met if out is None else out.unionByName(met)
+    pairs = texts.join(out, "word_").select("row_", "passage_")
+    blank = short.where(F.size("words_") == 0).select("passage_", F.substring(passage, 1, 1).alias("space_"))
+    spaces = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(r"(\s)"), F.lit(1))))
+    return pairs.unionByName(found.select("row_", F.explode(spaces).alias("space_")).join(blank, "space_").select("row_", "passage_")).distinct()

@@ -3,8 +3,8 @@
 The format of a file follows from its name and content: ``.xml`` is a JUnit
 report; other text is test-runner output where it has failed tests, and else
 stack traces and log lines together. Of signals of one file with one message the
-first stays. ``RuntimeSource`` is a Spark data source with a partition per file
-for folders that Arrow's file systems reach; ``signals`` takes rows of path and
+first stays. ``RuntimeSource`` is a Spark data source, with partitions of some
+files each, for folders that Arrow's file systems reach; ``signals`` takes rows of path and
 text, for instance of Spark's own readers. A file that can't be parsed has no
 signals; null text is empty.
 """
@@ -183,9 +183,13 @@ def signals(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
     return files.select(F.col(path).cast("string"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
 
 
-class File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Bytes and files of a partition of the source, at most, unless one file has more.
+PARTITION_BYTES, PARTITION_FILES = 32_000_000, 200
+
+
+class Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class RuntimeSource(DataSource):
@@ -199,11 +203,12 @@ class RuntimeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return RuntimeReader(self.options["path"])
+        return RuntimeReader(self.options["path"], int(self.options.get("filesPerPartition", PARTITION_FILES)))
 
 
 class RuntimeReader(DataSourceReader):
-    def __init__(self, place: str):
+    def __init__(self, place: str, files: int):
+        self.files = files
         self.place = re.sub(r"^file:/(?!/)", "file:///", place)
 
     def opened(self):
@@ -211,19 +216,28 @@ class RuntimeReader(DataSourceReader):
 
         return fs.FileSystem.from_uri(self.place) if "://" in self.place else (fs.LocalFileSystem(), self.place)
 
-    def partitions(self) -> list[File]:
+    def partitions(self) -> list[Files]:
         from pyarrow import fs
 
         store, at = self.opened()
         info = store.get_file_info(at)
         if info.type == fs.FileType.File:
-            return [File(at)]
+            return [Files([at])]
         found = store.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
-        return [File(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
-
-    def read(self, partition: File | None) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for f in sorted(found, key=lambda f: f.path):
+            if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")):
+                if not out or held + f.size > PARTITION_BYTES or len(out[-1].paths) == self.files:
+                    out.append(Files([]))
+                    held = 0
+                out[-1].paths.append(f.path)
+                held += f.size
+        return out
+
+    def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # a folder without files
             return
         store, _ = self.opened()
-        with store.open_input_stream(partition.path) as f:
-            yield batch(partition.path, f.read().decode("utf-8", "replace"))
+        for path in partition.paths:
+            with store.open_input_stream(path) as f:
+                yield batch(path, f.read().decode("utf-8", "replace"))

@@ -118,3 +118,17 @@ def test_code_symbols(spark):
 
 def test_redaction_keeps_keys(spark):
     assert one(spark, tx.redact(F.lit("password: hunter2, Bearer abc.def"))) == "password:[REDACTED] Bearer [REDACTED]"
+
+
+def test_passages_meet_documents_without_a_nested_loop(spark):
+    from siftwright.operators import evaluation
+
+    texts = ["a bc def ghi jkl", "xa bc  def", "def", "the the the ghi jkl mno", None, "", "one two three four five", "tab\tsep words\nhere now", "éa bc def ghi jklm"]
+    wanted = ["a bc def", "bc  def", "ghi jkl", "de", "j", "", " ", "the ghi jkl mno", "one two three four five", "sep words\nhere", "nothing like this here", None, "he", "bc def ghi", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    passages = spark.createDataFrame([(100 + i, w) for i, w in enumerate(wanted)], "item long, passage string")
+    got = evaluation.holding(docs, passages)
+    want = sorted((i, 100 + j) for i, t in enumerate(texts) for j, w in enumerate(wanted) if t is not None and w is not None and w in t)
+    assert sorted((r["doc"], r["item"]) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

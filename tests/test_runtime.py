@@ -59,7 +59,8 @@ def test_rows_and_files(spark, tmp_path):
     (tmp_path / "d" / "c.log").write_bytes(MIXED.encode() + b"ERROR \xff\n")
     (tmp_path / "_SUCCESS").write_text("ERROR hidden")
     spark.dataSource.register(runtime.RuntimeSource)
-    df = spark.read.format("runtime_signals").load(str(tmp_path))
-    assert df.rdd.getNumPartitions() == 2 and df.count() == 8
+    for files, parts in ((1, 2), (9, 1)):
+        df = spark.read.format("runtime_signals").option("filesPerPartition", files).load(str(tmp_path))
+        assert df.rdd.getNumPartitions() == parts and df.count() == 8
     assert spark.read.format("runtime_signals").load(f"file://{tmp_path}/a.xml").count() == 3
     assert spark.read.format("runtime_signals").load(str(tmp_path / "none")).count() == 0
