@@ -143,9 +143,16 @@ def source_pinned(spark, d):
 VOTES = [("p", "x", 1), ("p", "y", 2), ("p", "y", 3), ("p", "x", 4), ("q", None, 5), ("q", "", 6), ("q", "z", 7), ("r", "b", 8), ("r", "a", 9)]
 
 
-@query("SELECT 'p' AS a, 'x' AS b UNION ALL SELECT 'q', 'default' UNION ALL SELECT 'r', 'b'")
+MAJORITY = "SELECT 'u' || user_id AS a, CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN nullif(event_type, 'click') ELSE event_type END AS b, event_id AS c FROM {t}"
+
+
+@query(
+    f"WITH r AS (SELECT * FROM {values_sql(VOTES)} UNION ALL {MAJORITY.format(t='events')}), n AS (SELECT a, coalesce(nullif(b, ''), 'default') AS b, count(*) AS n, min(c) AS first FROM r GROUP BY 1, 2) "
+    "SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, first) AS k FROM n) x WHERE k = 1"
+)
 def majority_repo(spark, d):
-    return boosts.majority(values(spark, VOTES), ["a"], "b", "c")
+    rows = values(spark, VOTES).union(spark.sql(MAJORITY, t=table(spark, d, "events")))
+    return boosts.majority(rows, ["a"], "b", "c")
 
 
 @query(
@@ -163,9 +170,13 @@ def gated_hotspots(spark, d):
 KINDS = [(1, "function"), (2, "external"), (3, "file"), (4, "import"), (5, "class")]
 
 
-@query(f"SELECT a AS node, b AS kind FROM {values_sql(KINDS)} WHERE a IN (1, 5)")
+NODE_KIND = "CASE p_partkey % 6 WHEN 0 THEN 'function' WHEN 1 THEN 'external' WHEN 2 THEN 'file' WHEN 3 THEN 'import' WHEN 4 THEN 'class' ELSE lower(p_type) END"
+
+
+@query(f"SELECT a AS node, b AS kind FROM {values_sql(KINDS)} WHERE a IN (1, 5) UNION ALL SELECT p_partkey + 10, {NODE_KIND} FROM part WHERE p_partkey % 6 IN (0, 4, 5)")
 def signal_nodes(spark, d):
-    return boosts.signal_nodes(values(spark, KINDS).toDF("node", "kind"))
+    rows = values(spark, KINDS).toDF("node", "kind").union(table(spark, d, "part").selectExpr("p_partkey + 10", NODE_KIND))
+    return boosts.signal_nodes(rows)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 
 from siftwright.operators import evaluation, ranking
-from siftwright.plans.registry import query, table, values
+from siftwright.plans.registry import query, table, values, values_sql
 
 #: Gold and returned id lists by customer: orders of two kinds.
 LISTS = "WITH t AS (SELECT o_custkey AS task, list_sort(list(o_orderkey % 50) FILTER (WHERE o_orderstatus = 'F')) AS g, list_sort(list(o_orderkey % 50) FILTER (WHERE o_orderpriority < '3')) AS r FROM orders GROUP BY o_custkey), l AS (SELECT task, list_sort(list_distinct(coalesce(g, []))) AS gold, list_sort(list_distinct(coalesce(r, []))) AS got FROM t), " 
@@ -123,10 +123,22 @@ def run_summary(spark, d):
 FIRST = [("a", "src/x.py", "x.py|y.py", True), ("a", "x.py", "lib/x.py", True), ("a", "max.py", "x.py", False), ("b", "y.py", "x.py|y.py", True), ("b", None, "x.py", False)]
 
 
-@query("SELECT 'a' AS repo, 3 AS tasks, 2 AS rank1 UNION ALL SELECT 'b', 2, 1")
+#: First result and gold paths of an order's lines: the first line's part, as a bare
+#: name or below a folder, against the parts of its other lines.
+RANKED = (
+    "SELECT l_returnflag AS repo, (CASE l_linenumber % 2 WHEN 1 THEN 'src/' ELSE '' END) || 'f' || (l_partkey % 5) || '.py' AS got, "
+    "(CASE l_suppkey % 3 WHEN 1 THEN 'lib/' WHEN 2 THEN 'src/' ELSE '' END) || 'f' || (l_suppkey % 4) || '.py' AS g1, 'xf' || (l_partkey % 5) || '.py' AS g2 FROM {t}"
+)
+
+
+@query(
+    "WITH r AS (" + RANKED.format(t="lineitem") + "), h AS (SELECT repo, got = g1 OR ends_with(got, '/' || g1) OR ends_with(g1, '/' || got) OR got = g2 OR ends_with(got, '/' || g2) OR ends_with(g2, '/' || got) AS hit FROM r) "
+    f"SELECT repo, count(*) AS tasks, count(*) FILTER (WHERE hit) AS rank1 FROM h GROUP BY repo UNION ALL SELECT a, count(*), count(*) FILTER (WHERE d) FROM {values_sql(FIRST)} GROUP BY a"
+)
 def rank_one_hits(spark, d):
-    rows = values(spark, FIRST).select(F.col("a").alias("repo"), F.split("c", "[|]").alias("gold"), F.when(F.col("b").isNotNull(), F.array("b")).otherwise(F.array().cast("array<string>")).alias("got"))
-    return evaluation.rank_one_hits(rows, ["repo"], "gold", "got")
+    cases = values(spark, FIRST).select(F.col("a").alias("repo"), F.split("c", "[|]").alias("gold"), F.when(F.col("b").isNotNull(), F.array("b")).otherwise(F.array().cast("array<string>")).alias("got"))
+    rows = spark.sql(RANKED, t=table(spark, d, "lineitem")).select("repo", F.array("g1", "g2").alias("gold"), F.array("got").alias("got"))
+    return evaluation.rank_one_hits(cases.union(rows), ["repo"], "gold", "got")
 
 
 @query()

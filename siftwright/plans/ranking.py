@@ -50,9 +50,20 @@ NAMED = [
 ]
 
 
-@query(f"SELECT a AS name, b AS kind, c AS path, d AS category FROM {values_sql(NAMED)}")
+#: Symbols made from parts, by the words of their names and their sizes.
+PART_SYMBOLS = (
+    "SELECT CASE p_partkey % 5 WHEN 0 THEN 'run' WHEN 1 THEN 'My' || p_type || 'Base' WHEN 2 THEN 'SERVE' ELSE p_name END AS name, CASE p_size % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'class' ELSE 'constant' END AS kind, "
+    "CASE p_partkey % 3 WHEN 0 THEN 'src/' WHEN 1 THEN 'schemas/' ELSE 'lib/' END || CASE p_partkey % 7 WHEN 0 THEN 'Conftest' WHEN 1 THEN 'do_fix' WHEN 2 THEN 'my_MODEL' ELSE 'part' END || p_partkey || '.py' AS path FROM {t}"
+)
+
+
+@query(
+    f"SELECT a AS name, b AS kind, c AS path, d AS category FROM {values_sql(NAMED)} UNION ALL SELECT name, kind, path, "
+    "CASE WHEN kind IN ('function', 'method') AND lower(name) IN ('run', 'serve') AND NOT regexp_matches(lower(path), '(conftest|_fix)[^/]*$') THEN 'entrypoint' WHEN contains(lower(path), 'schema') OR contains(lower(path), 'model') THEN 'contract' "
+    "WHEN kind = 'class' AND contains(lower(name), 'base') THEN 'extension_point' WHEN kind = 'class' THEN 'class' WHEN kind IN ('function', 'method') THEN 'function' ELSE 'file' END FROM (" + PART_SYMBOLS.format(t="part") + ") x"
+)
 def implement_classify(spark, d):
-    s = values(spark, NAMED).toDF("name", "kind", "path", "want")
+    s = values(spark, NAMED).toDF("name", "kind", "path", "want").drop("want").union(spark.sql(PART_SYMBOLS, t=table(spark, d, "part")))
     return s.select("name", "kind", "path", classify.implement(F.col("name"), F.col("kind"), F.col("path")).alias("category"))
 
 

@@ -177,15 +177,28 @@ CALLS = [
 ]
 
 
-@query(f"SELECT a AS call, b AS method FROM {values_sql(CALLS)}")
+#: Calls made from events: a verb before the path as a call, after it as an option, or
+#: bare before it; some have two, and some none.
+VERB_OF = "CASE user_id % 4 WHEN 0 THEN 'post' WHEN 1 THEN 'Put' WHEN 2 THEN 'DELETE' ELSE 'head' END"
+MADE_CALLS = (
+    f"SELECT event_id, {VERB_OF} AS verb, CASE event_id % 5 WHEN 0 THEN 'api.' || {VERB_OF} || '(''/x'', ' || event_type || ')' WHEN 1 THEN 'fetch(''/x'', {{{{ method: ''' || {VERB_OF} || ''' }}}})' "
+    f"WHEN 2 THEN 'send(\"' || {VERB_OF} || '\", ''/x'')' WHEN 3 THEN 'a->patch (''/x'', method=' || {VERB_OF} || ')' ELSE 'open(''/x'', ' || {VERB_OF} || ')' END AS call FROM {{t}}"
+)
+METHOD_SQL = "CASE event_id % 5 WHEN 3 THEN 'PATCH' WHEN 4 THEN NULL ELSE upper(verb) END"
+
+
+@query(f"SELECT a AS call, b AS method FROM {values_sql(CALLS)} UNION ALL SELECT call, {METHOD_SQL} FROM ({MADE_CALLS.format(t='events')}) x")
 def http_method_infer(spark, d):
-    p = values(spark, CALLS)
-    return p.select(F.col("a").alias("call"), workspace.inferred_method(F.col("a"), F.instr("a", "'/x'"), F.lit(4)).alias("method"))
+    p = values(spark, CALLS).select(F.col("a").alias("call")).union(spark.sql(MADE_CALLS, t=table(spark, d, "events")).select("call"))
+    return p.select("call", workspace.inferred_method(F.col("call"), F.instr("call", "'/x'"), F.lit(4)).alias("method"))
 
 
-@query(f"SELECT a AS call, coalesce(b = 'POST', false) AS posts FROM {values_sql(CALLS)}")
+@query(
+    f"SELECT a AS call, coalesce(b = 'POST', false) AS posts FROM {values_sql(CALLS)} UNION ALL SELECT call, coalesce({METHOD_SQL} = 'POST', false) FROM ({MADE_CALLS.format(t='events')}) x"
+)
 def endpoint_method_refs(spark, d):
-    return values(spark, CALLS).select(F.col("a").alias("call"), workspace.references_endpoint(F.col("a"), "/x", "post").alias("posts"))
+    p = values(spark, CALLS).select(F.col("a").alias("call")).union(spark.sql(MADE_CALLS, t=table(spark, d, "events")).select("call"))
+    return p.select("call", workspace.references_endpoint(F.col("call"), "/x", "post").alias("posts"))
 
 
 ERRORS = [
@@ -212,10 +225,18 @@ TRACES = [
 ]
 
 
-@query(f"SELECT a AS trace, b AS paths FROM {values_sql(TRACES)}")
+#: Traces made from parts: Python and Java frames in turn, one of them again, and a
+#: .NET frame.
+MADE_TRACES = (
+    "SELECT p_partkey, '  File \"lib/' || p_brand || '.py\", line ' || p_size || ', in f|  at a.b.C(P' || (p_partkey % 9) || '.java:' || p_size || ')|noise p' || p_partkey || '.py|  File \"lib/' || p_brand || '.py\", line 1|   at N.M(Int32 x) in /s/' || p_name || '.cs:line 4' AS trace, "
+    "'lib/' || p_brand || '.py,P' || (p_partkey % 9) || '.java,/s/' || p_name || '.cs' AS paths FROM {t}"
+)
+
+
+@query(f"SELECT a AS trace, b AS paths FROM {values_sql(TRACES)} UNION ALL SELECT trace, paths FROM ({MADE_TRACES.format(t='part')}) x")
 def path_extract(spark, d):
-    rows = values(spark, TRACES)
-    return rows.select(F.col("a").alias("trace"), F.array_join(tx.paths_in(F.split("a", "[|]")), ",").alias("paths"))
+    rows = values(spark, TRACES).select(F.col("a").alias("trace")).union(spark.sql(MADE_TRACES, t=table(spark, d, "part")).select("trace"))
+    return rows.select("trace", F.array_join(tx.paths_in(F.split("trace", "[|]")), ",").alias("paths"))
 
 
 SLUGS = [
@@ -225,10 +246,16 @@ SLUGS = [
 ]
 
 
-@query(f"SELECT a AS title, b AS slug, c AS file_slug, d AS anchor FROM {values_sql(SLUGS)}")
+@query(
+    f"SELECT a AS title, b AS slug, c AS file_slug, d AS anchor FROM {values_sql(SLUGS)} UNION ALL SELECT t, "
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(t), '[^\p{L}\p{M}\p{N}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), "
+    r"regexp_replace(regexp_replace(regexp_replace(replace(substr(lower(t), 1, 40), ' ', '-'), '[^a-z0-9-]', '', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g'), "
+    r"'subsystem-' || coalesce(nullif(regexp_replace(regexp_replace(lower(t), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'community') || '-7' FROM (SELECT substr(text, 1, 90) AS t FROM documents) x"
+)
 def slugs(spark, d):
-    t = F.col("a")
-    return values(spark, SLUGS).select(t.alias("title"), tx.slug(t).alias("slug"), tx.file_slug(t).alias("file_slug"), tx.anchor(t, F.lit(7)).alias("anchor"))
+    rows = values(spark, SLUGS).select(F.col("a").alias("title")).union(table(spark, d, "documents").select(F.substring("text", 1, 90)))
+    t = F.col("title")
+    return rows.select("title", tx.slug(t).alias("slug"), tx.file_slug(t).alias("file_slug"), tx.anchor(t, F.lit(7)).alias("anchor"))
 
 
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS body FROM documents")
@@ -252,21 +279,39 @@ PATHS = [
 ]
 
 
-@query(f"SELECT a AS path, b AS is_test, c AS is_docs, d AS is_test_file, e AS tested_stem FROM {values_sql(PATHS)}")
+#: Paths made from parts: a folder, a beginning, the part and an ending.
+MADE_PATHS = (
+    "SELECT CASE p_size % 6 WHEN 0 THEN 'tests/' WHEN 1 THEN 'src/' WHEN 2 THEN '' WHEN 3 THEN 'a/Docs/' WHEN 4 THEN 'latest/' ELSE 'x/fixtures/' END || CASE p_partkey % 4 WHEN 0 THEN 'test_' WHEN 1 THEN 'README' ELSE 'p' END || p_partkey || "
+    "CASE p_partkey % 5 WHEN 0 THEN '_test.go' WHEN 1 THEN '.md' WHEN 2 THEN 'Spec.ts' ELSE '.py' END AS p FROM {t}"
+)
+
+
+@query(
+    f"SELECT a AS path, b AS is_test, c AS is_docs, d AS is_test_file, e AS tested_stem FROM {values_sql(PATHS)} UNION ALL "
+    "SELECT p, p LIKE 'tests/%' OR p LIKE '%/fixtures/%' OR n LIKE 'test\\_%' ESCAPE '\\' OR n LIKE '%\\_test.go' ESCAPE '\\' OR n LIKE '%Spec.ts', n LIKE '%.md' OR p LIKE '%/Docs/%' OR (p = n AND n LIKE 'README%'), s LIKE 'test\\_%' ESCAPE '\\' OR s LIKE '%\\_test' ESCAPE '\\', "
+    "CASE WHEN s LIKE 'test\\_%' ESCAPE '\\' THEN substr(s, 6) WHEN s LIKE '%\\_test' ESCAPE '\\' THEN left(s, length(s) - 5) ELSE s END "
+    f"FROM (SELECT p, string_split(p, '/')[-1] AS n, string_split(string_split(p, '/')[-1], '.')[1] AS s FROM ({MADE_PATHS.format(t='part')}) x) y"
+)
 def path_predicates(spark, d):
-    p = F.col("a")
-    return values(spark, PATHS).select(
-        p.alias("path"), tx.is_test_path(p).alias("is_test"), tx.is_docs_path(p).alias("is_docs"), tx.is_test_file(p).alias("is_test_file"), tx.tested_stem(p).alias("tested_stem")
-    )
+    p = F.col("path")
+    rows = values(spark, PATHS).select(F.col("a").alias("path")).union(spark.sql(MADE_PATHS, t=table(spark, d, "part")))
+    return rows.select("path", tx.is_test_path(p).alias("is_test"), tx.is_docs_path(p).alias("is_docs"), tx.is_test_file(p).alias("is_test_file"), tx.tested_stem(p).alias("tested_stem"))
 
 
 DIFFS = [("README.md|docs/a.py", True), ("README.md|src/a.py", False), ("CHANGELOG", True), ("", False)]
 
 
-@query(f"SELECT a AS paths, b AS docs_only FROM {values_sql(DIFFS)}")
+#: Changes made from the lines of an order: documents, and now and then code.
+MADE_DIFFS = "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 45 THEN 'docs/p' || l_partkey || '.py' WHEN l_quantity < 48 THEN 'CHANGELOG' || l_partkey ELSE 'src/p' || l_partkey || '.py' END AS p FROM {t}"
+
+
+@query(
+    f"SELECT a AS paths, b AS docs_only FROM {values_sql(DIFFS)} UNION ALL SELECT string_agg(p, '|' ORDER BY l_linenumber, p), bool_and(p NOT LIKE 'src/%') FROM ({MADE_DIFFS.format(t='lineitem')}) x GROUP BY l_orderkey"
+)
 def docs_only_diff(spark, d):
-    paths = F.filter(F.split("a", "[|]"), lambda x: x != "")
-    return values(spark, DIFFS).select(F.col("a").alias("paths"), tx.docs_only(paths).alias("docs_only"))
+    made = spark.sql(MADE_DIFFS, t=table(spark, d, "lineitem")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p"))).alias("s"))
+    rows = values(spark, DIFFS).select(F.col("a").alias("paths")).union(made.select(F.array_join(F.col("s.p"), "|")))
+    return rows.select("paths", tx.docs_only(F.filter(F.split("paths", "[|]"), lambda x: x != "")).alias("docs_only"))
 
 
 ENTRIES = [
@@ -275,9 +320,18 @@ ENTRIES = [
 ]
 
 
-@query(f"SELECT a AS name, b AS is_entry FROM {values_sql(ENTRIES)}")
+#: Names made from parts: a verb or another word, a joint, and the part's first word.
+MADE_NAMES = (
+    "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'test' WHEN 1 THEN 'GET' WHEN 2 THEN 'patch' WHEN 3 THEN 'main' WHEN 4 THEN 'widget' ELSE 'TEST' END AS verb, CASE p_partkey % 4 WHEN 0 THEN '_' || p_type WHEN 1 THEN p_type WHEN 2 THEN '' ELSE lower(p_type) END AS rest FROM {t}"
+)
+
+
+@query(
+    f"SELECT a AS name, b AS is_entry FROM {values_sql(ENTRIES)} UNION ALL SELECT verb || rest, CASE lower(verb) WHEN 'main' THEN rest = '' WHEN 'widget' THEN false ELSE p_partkey % 4 < 2 END FROM ({MADE_NAMES.format(t='part')}) x"
+)
 def entry_names(spark, d):
-    return values(spark, ENTRIES).select(F.col("a").alias("name"), tx.is_entry_name(F.col("a")).alias("is_entry"))
+    rows = values(spark, ENTRIES).select(F.col("a").alias("name")).union(spark.sql(MADE_NAMES, t=table(spark, d, "part")).selectExpr("verb || rest"))
+    return rows.select("name", tx.is_entry_name(F.col("name")).alias("is_entry"))
 
 
 SECRETS = [

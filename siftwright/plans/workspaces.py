@@ -11,10 +11,24 @@ from siftwright.plans.registry import query, table, values, values_sql
 IMPORTS = [("web app", "import os\n  from my_lib import x", "my-lib"), ("my-lib", "import my_lib\nfrom web_app.views import y\n# import core", "web app"), ("core", "x = 'import core'\nimport Web_App", "web app"), ("other", "import mylib", None)]
 
 
-@query(f"SELECT a AS src_repo, c AS dst_repo FROM {values_sql(IMPORTS)} WHERE c IS NOT NULL")
+#: A file a part: its repository by brand and size, importing the repository of the
+#: next size, sometimes as a comment or in other letters.
+MODULES = (
+    "SELECT 'Repo-' || (p_size % 9) || ' x' AS repo, CASE p_partkey % 4 WHEN 0 THEN 'import ' WHEN 1 THEN '  from ' WHEN 2 THEN '# import ' ELSE 'FROM ' END || "
+    "CASE p_partkey % 2 WHEN 0 THEN 'repo_' ELSE 'REPO_' END || (p_partkey % 11) || '_X' || CASE p_partkey % 3 WHEN 0 THEN '.views' ELSE '' END || ' import y' AS t FROM {t}"
+)
+
+
+@query(
+    f"SELECT a AS src_repo, c AS dst_repo FROM {values_sql(IMPORTS)} WHERE c IS NOT NULL UNION ALL SELECT * FROM (WITH m AS (" + MODULES.format(t="part") + "), "
+    "n AS (SELECT DISTINCT repo, lower(regexp_extract(t, '^\\s*(?:import|from)\\s+([A-Za-z0-9_]+)', 1)) AS name FROM m), "
+    "r AS (SELECT DISTINCT repo, replace(replace(lower(repo), '-', '_'), ' ', '_') AS name FROM m) "
+    "SELECT DISTINCT n.repo AS src_repo, r.repo AS dst_repo FROM n JOIN r ON n.name = r.name WHERE n.repo <> r.repo)"
+)
 def import_links(spark, d):
-    files = values(spark, IMPORTS).select(F.col("a").alias("repo"), F.col("b").alias("t"))
-    return workspace.import_links(files, files.select("repo"), "repo", F.col("t"))
+    rows = spark.sql(MODULES, t=table(spark, d, "part"))
+    files = values(spark, IMPORTS).select(F.col("a").alias("repo"), F.col("b").alias("t")).union(rows)
+    return workspace.import_links(files, files.select("repo").distinct(), "repo", F.col("t"))
 
 
 @query("SELECT DISTINCT lang AS src_repo, 'en' AS dst_repo, 'consumes_openapi' AS edge_kind, 0.9::DOUBLE AS confidence FROM (SELECT CASE page_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'de' END AS lang, html FROM pages) x WHERE lang <> 'en' AND regexp_matches(html, '[\"''`]/the[\"''`?/)\\s]')")
@@ -44,19 +58,37 @@ FILES = [("src/Foo.java", "a/footest.java"), ("src/Foo.java", "a/FooTests.java")
 UNMATCHED = [("d/z.go", "d/z_test.go"), ("d/Foo.cs", "d/test_Foo.cs"), ("d/q.py", "d/test_q.java")]
 
 
-@query(f"SELECT a AS source, b AS test FROM {values_sql(FILES)}")
+#: A source file and a file named like its test for each part; every third one breaks
+#: the convention.
+PAIRS = (
+    "SELECT p_partkey, 'src/Part' || p_partkey || CASE p_partkey % 2 WHEN 0 THEN '.py' ELSE '.java' END AS source, 't/' || CASE p_partkey % 6 WHEN 0 THEN 'test_PART' || p_partkey || '.py' WHEN 1 THEN 'part' || p_partkey || 'Tests.java' "
+    "WHEN 2 THEN 'part' || p_partkey || '_TEST.py' WHEN 3 THEN 'PART' || p_partkey || 'test.java' WHEN 4 THEN 'test_part' || p_partkey || '.java' ELSE 'test_part' || p_partkey || '.java' END AS test FROM {t}"
+)
+
+
+@query(f"SELECT a AS source, b AS test FROM {values_sql(FILES)} UNION ALL SELECT source, test FROM (" + PAIRS.format(t="part") + ") x WHERE p_partkey % 6 < 4")
 def stem_test_files(spark, d):
     every = values(spark, FILES + UNMATCHED)
-    return workspace.test_files(every.select(F.col("a").alias("path")).distinct(), every.select(F.col("b").alias("path")).distinct())
+    pairs = spark.sql(PAIRS, t=table(spark, d, "part"))
+    sources = every.select(F.col("a").alias("path")).union(pairs.select("source")).distinct()
+    return workspace.test_files(sources, every.select(F.col("b").alias("path")).union(pairs.select("test")).distinct())
 
 
 CHANGED_TESTS = [("t/test_x.py", True), ("t/y_test.py", True), ("t/x.py", False), ("t/test_z.py", False), ("t/test_x_test.py", False)]
 
 
-@query(f"SELECT a AS path FROM {values_sql(CHANGED_TESTS)} WHERE b")
+#: Test files of parts, of which those of size below 20 have changed.
+TESTS = "SELECT 't/' || CASE p_partkey % 3 WHEN 0 THEN 'test_p' || p_partkey WHEN 1 THEN 'p' || p_partkey || '_test' ELSE 'p' || p_partkey END || '.py' AS path, 'src/p' || p_partkey || '.go' AS source, p_size FROM {t}"
+
+
+@query(
+    f"SELECT a AS path FROM {values_sql(CHANGED_TESTS)} WHERE b UNION ALL SELECT t.path FROM ({TESTS.format(t='part')}) t WHERE "
+    "(regexp_matches(t.path, '^t/test_') OR regexp_matches(t.path, '_test[.]py$')) AND t.p_size < 20"
+)
 def tests_of_changed(spark, d):
-    changed = values(spark, [("src/x.py",), ("lib/y.go",)]).select(F.col("a").alias("path"))
-    return workspace.tests_of_changed(values(spark, CHANGED_TESTS).select(F.col("a").alias("path")), changed)
+    rows = spark.sql(TESTS, t=table(spark, d, "part"))
+    changed = values(spark, [("src/x.py",), ("lib/y.go",)]).select(F.col("a").alias("path")).union(rows.where("p_size < 20").select("source"))
+    return workspace.tests_of_changed(values(spark, CHANGED_TESTS).select(F.col("a").alias("path")).union(rows.select("path")), changed)
 
 
 @query("SELECT l_shipdate, l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
