@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwright.operators import boosts, graph
+from siftwright.operators import boosts, graph, incremental, resolution
+from siftwright.operators.graph import staged
 from siftwright.plans.graphs import EDGES, edges, nodes
 from siftwright.plans.ranking import ITEMS, items
 from siftwright.plans.registry import query, table, values, values_sql
@@ -198,14 +199,89 @@ def external_stubs(spark, d):
     return stubs.join(linked.select("node"), "node").groupBy("name", "kind").agg(F.count("*").alias("n_edges"))
 
 
-SYMBOLS = [(1, "a", "function", "src/a.py", None), (2, "b", "function", "src/b.py", 9), (3, "test_a", "function", "tests/test_a.py", None), (4, "c", "class", "src/c.py", None)]
+#: Symbols and calls made from parts: every third part is a test of another's function;
+#: after the change, the files of parts whose number modulo 50 is below 10 have other
+#: symbols (every second one stays) and calls.
+PART_INDEX = (
+    "WITH s AS (SELECT p_partkey AS node, CASE p_partkey % 3 WHEN 0 THEN 'test_w' || (p_partkey + 2) ELSE 'w' || p_partkey END AS name, 'function' AS kind, "
+    "CASE p_partkey % 3 WHEN 0 THEN 'tests/test_' ELSE 'src/' END || (p_partkey % 50) || '.py' AS path, CAST(NULL AS INT) AS community FROM {part}), "
+    "c AS (SELECT p_partkey AS src, p_partkey + 1 AS dst, 'calls' AS edge_type FROM {part} WHERE p_size < 12 UNION ALL SELECT p_partkey, p_partkey + 7, 'calls' FROM {part} WHERE p_brand = 'Brand#11'), "
+    "s2 AS (SELECT * FROM s WHERE node % 50 >= 10 OR node % 2 = 0), "
+    "c2 AS (SELECT * FROM (SELECT * FROM c WHERE src % 50 >= 10 UNION ALL SELECT node AS src, node + 4 AS dst, 'calls' AS edge_type FROM s2 WHERE node % 50 < 10) x WHERE src IN (SELECT node FROM s2) AND dst IN (SELECT node FROM s2)) "
+)
+CLOSED = (
+    "l AS (SELECT f.node AS src, t.node AS dst FROM {s} t JOIN {s} f ON t.name = 'test_' || f.name WHERE t.node % 3 = 0 AND f.node % 3 <> 0), "
+    "g AS (SELECT src, dst FROM {c} UNION SELECT src, dst FROM l), e AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g), "
+    "r AS (SELECT node, node AS reach FROM {s} UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach JOIN {s} k ON k.node = e.b), m AS (SELECT node, min(reach) AS root FROM r GROUP BY node) "
+    "SELECT node, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS community FROM m"
+)
+
+
+def part_index(spark, d, symbols, calls):
+    """Two of the tables above."""
+    table(spark, d, "part").createOrReplaceTempView("siftwright_part")
+    text = PART_INDEX.format(part="siftwright_part")
+    return (staged(spark.sql(text + f"SELECT * FROM {x}")) for x in (symbols, calls))
 
 
-@query("SELECT * FROM (VALUES (1, 0), (2, 0), (3, 0), (4, 1)) v(node, community)")
+def before_change(spark, d):
+    s, c = part_index(spark, d, "s", "c")
+    return s, staged(c.join(s.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "edge_type"))
+
+
+@query("WITH RECURSIVE " + PART_INDEX.format(part="part")[5:] + ", " + CLOSED.format(s="s", c="c"))
 def finalised_index(spark, d):
-    s = values(spark, SYMBOLS).toDF("node", "name", "kind", "path", "community").withColumn("community", F.col("community").cast("int"))
-    e = values(spark, [(1, 2, "calls")]).toDF("src", "dst", "edge_type")
-    return graph.finalised(s, e)[0].select("node", "community")
+    """Communities after test links were added, over an index made from parts."""
+    return graph.finalised(*before_change(spark, d))[0].select("node", "community")
+
+
+@query("WITH RECURSIVE " + PART_INDEX.format(part="part")[5:] + ", " + CLOSED.format(s="s2", c="c2"))
+def reindexed_components(spark, d):
+    """The same after some files were replaced, from the labels before."""
+    symbols, edges = before_change(spark, d)
+    before = incremental.finish(symbols, edges)
+    fresh_s, fresh_c = part_index(spark, d, "s2", "c2")
+    paths = symbols.where("node % 50 < 10").select("path").distinct()
+    of_paths = fresh_s.join(paths, "path", "left_semi").select(*fresh_s.columns)
+    calls = fresh_c.join(of_paths.select(F.col("node").alias("src")), "src", "left_semi").select(*fresh_c.columns)
+    after = incremental.replace_files(symbols, edges, paths, of_paths, calls)
+    return incremental.refinish(before, *after).symbols.select("node", "community")
+
+
+#: Edges by name made from line items, and symbols from parts.
+NAMED_EDGES = (
+    "SELECT l_orderkey * 10 + l_linenumber AS edge_id, 'r' || (l_linenumber % 2) AS repo, 'f' || (l_suppkey % 7) || '/x.py' AS file, CASE l_orderkey % 4 WHEN 0 THEN 'f' || (l_suppkey % 8) || '/x.py' ELSE 'n' || (l_partkey % 60) END AS from_symbol, "
+    "'n' || (l_suppkey % 70) AS to_symbol, CASE l_partkey % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'extends' WHEN 2 THEN 'implements' ELSE 'tested_by' END AS edge_type FROM {t}"
+)
+NAMED_SYMBOLS = (
+    "SELECT p_partkey AS node, 'r' || (p_size % 2) AS repo, 'f' || (p_partkey % 7) || '/x.py' AS path, 'n' || (p_partkey % 50) AS name, CASE p_size % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 2 THEN 'struct' WHEN 3 THEN 'method' ELSE 'variable' END AS kind, p_size AS line_start FROM {t}"
+)
+
+
+def _tier(end: str, test: str, pick: str) -> str:
+    return f"(SELECT {pick} FROM s WHERE s.repo = e.repo AND {test.format(end=end)})"
+
+
+_CLASSY = "kind IN ('class', 'struct', 'record', 'interface', 'enum')"
+_LOCAL, _WIDE = "s.path = e.file AND s.name = e.{end}", "s.name = e.{end}"
+_ANY = "min_by(node, CASE kind WHEN 'class' THEN 0 WHEN 'function' THEN 1000000000 ELSE 2000000000 END + node)"
+
+
+@query(
+    f"WITH e AS ({NAMED_EDGES.format(t='lineitem')}), s AS ({NAMED_SYMBOLS.format(t='part')}), r AS (SELECT edge_id, edge_type, to_symbol, CASE WHEN edge_type <> 'calls' THEN coalesce("
+    + _tier("from_symbol", _LOCAL + " AND " + _CLASSY, "max(node)") + ", " + _tier("from_symbol", _WIDE + " AND " + _CLASSY, "min(node)") + ") END AS c, coalesce("
+    + _tier("from_symbol", _LOCAL, "max(node)") + ", " + _tier("from_symbol", "s.path = e.{end}", "min_by(node, CAST(line_start AS BIGINT) * 1000000000 + node)") + ", " + _tier("from_symbol", _WIDE, _ANY) + ") AS a, coalesce("
+    + _tier("to_symbol", _LOCAL, "max(node)") + ", " + _tier("to_symbol", _WIDE, _ANY) + ") AS b FROM e) "
+    "SELECT edge_id, coalesce(c, a) AS src, b AS dst, CASE WHEN b IS NULL THEN to_symbol END AS stub FROM r WHERE coalesce(c, a) IS NOT NULL AND (b IS NOT NULL OR edge_type IN ('extends', 'implements'))"
+)
+def edge_resolution(spark, d):
+    """Edges by name through all tiers, stubs by their names."""
+    edges_ = spark.sql(NAMED_EDGES, t=table(spark, d, "lineitem"))
+    symbols = spark.sql(NAMED_SYMBOLS, t=table(spark, d, "part"))
+    found = resolution.resolve_edges(edges_, symbols)
+    stubs = found.stubs.select(F.col("node").alias("n_"), F.col("name").alias("stub"))
+    out = found.edges.join(stubs, F.col("dst") == F.col("n_"), "left")
+    return out.select("edge_id", "src", F.when(F.col("stub").isNull(), F.col("dst")).alias("dst"), "stub")
 
 
 @query(
