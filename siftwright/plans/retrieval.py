@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import scores
 from siftwright.functions import text as tx
-from siftwright.operators import graph, inverted, memory, retrieval, workspace
+from siftwright.operators import embedding, graph, inverted, memory, retrieval, workspace
 from siftwright.plans.registry import query, table, values, values_sql
 
 QUERY = "that the whst thinor andeaner une queaux menteau"
@@ -361,3 +361,20 @@ def capture_dedup(spark, d):
     known = e.where("value > 99").select(tx.short_hash(F.concat_ws(":", "event_type", F.substring("props", 1, 80))).alias("task_hash"))
     out = memory.capture(e, known, F.col("event_type"), F.col("props"), F.col("user_id") % 4, ["event_id"])
     return out.select("event_id", "task_hash")
+
+
+@query(
+    "WITH t AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || '(' || p_type || ')' AS text FROM part), w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM t), "
+    "b AS (SELECT id, CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 32 AS INTEGER) AS place, sum(CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2) "
+    "SELECT id, place, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS value FROM b WHERE v <> 0"
+)
+def embedding_vectors(spark, d):
+    """Stored vectors of all parts: half of them encoded by a first update, the
+    others by a second; the places that aren't zero."""
+    store = embedding.VectorStore(spark, graph.shared_path(spark, "vectors"), embedding.HashingEncoder(32))
+    parts = table(spark, d, "part").selectExpr("p_partkey AS id", "p_name", "p_brand || '(' || p_type || ')' AS signature", "CAST(NULL AS STRING) AS doc")
+    text = embedding.embedding_text(F.col("p_name"), F.col("signature"), F.col("doc"))
+    store.update(parts.where("id % 2 = 0"), text)
+    store.update(parts, text)
+    found = store.attach(parts, text).select("id", F.posexplode("embedding").alias("place", "value")).where("value <> 0")
+    return found.select("id", "place", F.round("value", 6).alias("value"))
