@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftwright.functions import text as tx
-from siftwright.operators import ranking, retrieval
+from siftwright.operators import boosts, ranking, retrieval
+from siftwright.operators.graph import staged
 
 #: Budgets by mode, and kinds that a mode guarantees one of.
 BUDGETS = {"review": 1500, "implement": 1500, "debug": 2500, "handover": 4000, "minimal": 800}
@@ -34,6 +37,112 @@ def build_pack(df: DataFrame, query: str, mode: str, group: Sequence[str], text:
     return (out.where("rank <= 5") if mode == "minimal" else out).select(*group, "ord", "confidence", "rank")
 
 
+@dataclass
+class Evidence:
+    """What a call knows beside its candidates; all of it may be missing.
+
+    ``deltas`` (path, delta) from feedback; ``hubs`` (node, hub) and ``bridges``
+    (node, bridge) of the candidates' ``node``; ``changed`` (path, line) of the
+    diff, against the candidates' ``line_start`` and ``line_end``; ``files`` (path,
+    text) and ``endpoints`` of contracts; whether runtime signals came with it.
+    """
+
+    deltas: DataFrame | None = None
+    hubs: DataFrame | None = None
+    bridges: DataFrame | None = None
+    changed: DataFrame | None = None
+    files: DataFrame | None = None
+    endpoints: Sequence[str] = ()
+    signals: bool = False
+
+
+#: Kinds of memory, and modes that look for a source to begin with.
+MEMORY = ("memory", "decision")
+DISCOVERY = ("implement", "minimal")
+#: Share of a budget that memory may take, and items of a minimal pack.
+MEMORY_SHARE, MINIMAL_ITEMS = 0.3, 5
+
+
+def scored(df: DataFrame, query: str, mode: str, group: Sequence[str], evidence: Evidence) -> DataFrame:
+    """Candidates with the confidence that all signals of the mode give them:
+    feedback, file names in the query, BM25 over names, titles and excerpts, the
+    test penalty, the stem, structure (handover) and changed lines (review)."""
+    out = boosts.feedback(df, evidence.deltas).select(*df.columns) if evidence.deltas is not None else df
+    out = out.withColumn("confidence", retrieval.filename_boost(F.col("confidence"), F.col("path"), query))
+    corpus = F.concat_ws(" ", tx.basename(F.col("path")), F.col("title"), F.col("excerpt"))
+    out = retrieval.bm25(out, query, corpus)
+    out = out.withColumn("confidence", retrieval.blend(F.col("confidence"), F.col("bm25"))).drop("bm25")
+    out = boosts.test_penalty(out, group, "confidence", F.col("path"), mode=mode, discovery=discovers(mode, evidence))
+    out = out.withColumn("confidence", retrieval.stem_boost(F.col("confidence"), F.col("path"), query))
+    if mode == "handover" and evidence.hubs is not None and evidence.bridges is not None:
+        out = boosts.hub_bridge(out, evidence.hubs, evidence.bridges)
+    if mode == "review" and evidence.changed is not None:
+        out = boosts.diff_aware(out, evidence.changed, "ord", "path", "line_start", "line_end").drop("hit")
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+def discovers(mode: str, evidence: Evidence) -> bool:
+    return mode in DISCOVERY or mode == "debug" and not evidence.signals
+
+
+def narrowed(df: DataFrame, group: Sequence[str], mode: str, evidence: Evidence) -> DataFrame:
+    """One item a file; in discovery, groups with changed files keep only these
+    (``only_`` tells them); then the mode's floor, but for memory and such groups."""
+    one = ranking.dedup_by_file(ranking.dedup_stubs(df, group), group).drop("duplicates_hidden")
+    every = Window.partitionBy(*group)
+    only = F.max((F.col("kind") == "changed_file").cast("int")).over(every) == 1 if discovers(mode, evidence) else F.lit(False)
+    out = one.withColumn("only_", F.coalesce(only, F.lit(False))).where(~F.col("only_") | (F.col("kind") == "changed_file"))
+    free = F.col("only_") | F.col("kind").isin(*MEMORY)
+    return out.where(free).unionByName(ranking.score_floor(out.where(~free), group, mode))
+
+
+def shown(df: DataFrame, group: Sequence[str], mode: str, evidence: Evidence) -> DataFrame:
+    """Review, implement and discovery lose their tail of low confidence, unless a
+    group shows its changed files only."""
+    if mode not in ("review", "implement") and not discovers(mode, evidence):
+        return df
+    return df.where("only_").unionByName(ranking.adaptive_top_k(df.where("not only_"), group))
+
+
+def whole_pack(df: DataFrame, query: str, mode: str, group: Sequence[str], evidence: Evidence | None = None, budget: int | None = None, cap: int = -1) -> DataFrame:
+    """(group..., ord, confidence, rank, total_tokens) of a mode's pack.
+
+    ``df`` has ord, path, title, excerpt, kind, confidence and est_tokens, and
+    what ``evidence`` asks for. Signals come first (``scored``), then one item a
+    file and the floor (``narrowed``), the memory share and the budget, the
+    source that discovery pins, the cut of the tail, what consumers of contracts
+    gain, review's cut of plain files, the first items of a minimal pack with the
+    best code item, and a cap. Every step is a join, a window or a streaming
+    fold by group.
+    """
+    evidence, most = evidence or Evidence(), budget or BUDGETS[mode]
+    key = [*group, "ord"]
+    pool = staged(narrowed(scored(df, query, mode, group, evidence), group, mode, evidence))
+    chosen = ranking.sub_budget(pool, group, most, MEMORY_SHARE, F.col("kind").isin(*MEMORY), GUARANTEED[mode]).select(*key)
+    kept = pool.join(chosen, key, "left_semi")
+    if discovers(mode, evidence):
+        kept = pool.join(boosts.pinned_source(pool, staged(kept), group, most), key, "left_semi")
+    kept = shown(staged(kept), group, mode, evidence)
+
+    def consumers(rows: DataFrame) -> DataFrame:
+        if evidence.files is None or not evidence.endpoints:
+            return rows
+        return boosts.contract_consumers(rows, evidence.files, evidence.endpoints).withColumn("confidence", F.round("confidence", 6))
+
+    kept = staged(consumers(kept))
+    if mode == "review":
+        kept = kept.join(ranking.tail_cutoff(kept, group, most), key, "left_semi")
+    if mode == "minimal":
+        first = boosts.pinned_pack(kept, consumers(shown(pool, group, mode, evidence)), group, most=MINIMAL_ITEMS)
+        every = consumers(pool).select(*key, "confidence", "est_tokens")
+        out = first.join(every, key).withColumn("rank", F.col("slot") + 1).drop("slot")
+    else:
+        out = ranking.ranked(kept, group)
+    out = out if cap < 0 else out.where(F.col("rank") <= cap)
+    total = F.sum("est_tokens").over(Window.partitionBy(*group)).cast("long")
+    return out.withColumn("total_tokens", total).select(*key, "confidence", "rank", "total_tokens")
+
+
 def pack_summary(pack: DataFrame, every: DataFrame, group: Sequence[str], tokens: str = "est_tokens") -> DataFrame:
     """(group..., items, tokens, baseline, reduction) of a pack against all
     candidates."""

@@ -90,28 +90,25 @@ def by_value(conf: str, tokens: str, ord: str) -> list[Column]:
 
 def sub_budget(df: DataFrame, group: Sequence[str], budget: int, share: float, memory: Column, guaranteed: Sequence[str] = (), conf: str = "confidence", tokens: str = "est_tokens", kind: str = "kind", ord: str = "ord") -> DataFrame:
     """Memory rows get at most a share of the budget, the others what is left:
-    one fold, memory rows first, against their own cap."""
+    one fold, memory rows first, against their own cap. The first row of a
+    guaranteed kind is admitted in either part."""
     cap, sure = int(budget * share), frozenset(guaranteed)
 
     def step(state: list, row: tuple) -> tuple | None:
         ord_, size, kind_, mem = row
-        if mem:
-            used, seen = state[0], state[2]
-            first = kind_ in sure and kind_ not in seen
-            if not first and (size is None or used + size > cap):
-                return None
-            seen.add(kind_)
-            state[0] = used + (size or 0)
-            return ord_, used, "memory"
-        used = state[1]
-        if size is None or used + size > budget - state[0]:
+        part = 0 if mem else 1
+        used, seen = state[part], state[2 + part]
+        most = cap if mem else max(0, budget - state[0])
+        first = kind_ in sure and kind_ not in seen
+        if not first and (size is None or used + size > most):
             return None
-        state[1] = used + size
-        return ord_, used, "code"
+        seen.add(kind_)
+        state[part] = used + (size or 0)
+        return ord_, used, "memory" if mem else "code"
 
     inputs = {"ord": F.col(ord).cast("long"), "tokens": F.col(tokens).cast("long"), "kind": F.col(kind), "memory": memory}
     order = [~memory, *by_value(conf, tokens, ord)]
-    return fold(df.where(memory.isNotNull()), group, order, inputs, lambda: [0, 0, set()], step, {ord: "bigint", "used_before": "bigint", "part": "string"})
+    return fold(df.where(memory.isNotNull()), group, order, inputs, lambda: [0, 0, set(), set()], step, {ord: "bigint", "used_before": "bigint", "part": "string"})
 
 
 def adaptive_top_k(df: DataFrame, group: Sequence[str], conf: str = "confidence", ord: str = "ord") -> DataFrame:
