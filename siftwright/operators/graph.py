@@ -159,7 +159,7 @@ def subsystems(nodes: DataFrame, edges: DataFrame, top: int = 8, files: int = 5,
     tops = by_file.withColumn("k", F.row_number().over(w)).where(F.col("k") <= files).groupBy("community").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "file"))), lambda x: x["file"]), ",").alias("top_files")
     )
-    w = Window.partitionBy("community").orderBy(F.desc("inbound"), "node")
+    w = Window.partitionBy("community").orderBy(F.desc("inbound"), "name", "node")
     hub = kept.where("inbound > 0").withColumn("k", F.row_number().over(w)).where(F.col("k") <= hubs).groupBy("community").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.col("name").cast("string").alias("n")))), lambda x: x["n"]), ",").alias("top_hubs")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftwright.functions import text as tx
-from siftwright.operators import boosts, ranking, retrieval
+from siftwright.operators import boosts, ranking, retrieval, workspace
 from siftwright.operators.graph import staged
 
 #: Budgets by mode, and kinds that a mode guarantees one of.
@@ -44,7 +44,8 @@ class Evidence:
     ``deltas`` (path, delta) from feedback; ``hubs`` (node, hub) and ``bridges``
     (node, bridge) of the candidates' ``node``; ``changed`` (path, line) of the
     diff, against the candidates' ``line_start`` and ``line_end``; ``files`` (path,
-    text) and ``endpoints`` of contracts; whether runtime signals came with it.
+    text) and ``endpoints`` of contracts; whether runtime signals came with it;
+    ``discovery`` says whether to look for a source first, whatever the mode.
     """
 
     deltas: DataFrame | None = None
@@ -54,6 +55,7 @@ class Evidence:
     files: DataFrame | None = None
     endpoints: Sequence[str] = ()
     signals: bool = False
+    discovery: bool | None = None
 
 
 #: Kinds of memory, and modes that look for a source to begin with.
@@ -63,14 +65,18 @@ DISCOVERY = ("implement", "minimal")
 MEMORY_SHARE, MINIMAL_ITEMS = 0.3, 5
 
 
-def scored(df: DataFrame, query: str, mode: str, group: Sequence[str], evidence: Evidence) -> DataFrame:
-    """Candidates with the confidence that all signals of the mode give them:
-    feedback, file names in the query, BM25 over names, titles and excerpts, the
-    test penalty, the stem, structure (handover) and changed lines (review)."""
+def anchored(df: DataFrame, query: str, evidence: Evidence) -> DataFrame:
+    """Candidates with what feedback and file names in the query give them."""
     out = boosts.feedback(df, evidence.deltas).select(*df.columns) if evidence.deltas is not None else df
-    out = out.withColumn("confidence", retrieval.filename_boost(F.col("confidence"), F.col("path"), query))
+    return out.withColumn("confidence", retrieval.filename_boost(F.col("confidence"), F.col("path"), query))
+
+
+def scored(df: DataFrame, query: str, mode: str, group: Sequence[str], evidence: Evidence) -> DataFrame:
+    """Candidates with the confidence that the mode's signals give them: BM25 over
+    names, titles and excerpts, the test penalty, the stem, structure (handover)
+    and changed lines (review)."""
     corpus = F.concat_ws(" ", tx.basename(F.col("path")), F.col("title"), F.col("excerpt"))
-    out = retrieval.bm25(out, query, corpus)
+    out = retrieval.bm25(df, query, corpus)
     out = out.withColumn("confidence", retrieval.blend(F.col("confidence"), F.col("bm25"))).drop("bm25")
     out = boosts.test_penalty(out, group, "confidence", F.col("path"), mode=mode, discovery=discovers(mode, evidence))
     out = out.withColumn("confidence", retrieval.stem_boost(F.col("confidence"), F.col("path"), query))
@@ -82,6 +88,8 @@ def scored(df: DataFrame, query: str, mode: str, group: Sequence[str], evidence:
 
 
 def discovers(mode: str, evidence: Evidence) -> bool:
+    if evidence.discovery is not None:
+        return evidence.discovery
     return mode in DISCOVERY or mode == "debug" and not evidence.signals
 
 
@@ -108,7 +116,7 @@ def whole_pack(df: DataFrame, query: str, mode: str, group: Sequence[str], evide
     """(group..., ord, confidence, rank, total_tokens) of a mode's pack.
 
     ``df`` has ord, path, title, excerpt, kind, confidence and est_tokens, and
-    what ``evidence`` asks for. Signals come first (``scored``), then one item a
+    what ``evidence`` asks for. Signals come first (``anchored``, ``scored``), then one item a
     file and the floor (``narrowed``), the memory share and the budget, the
     source that discovery pins, the cut of the tail, what consumers of contracts
     gain, review's cut of plain files, the first items of a minimal pack with the
@@ -117,7 +125,7 @@ def whole_pack(df: DataFrame, query: str, mode: str, group: Sequence[str], evide
     """
     evidence, most = evidence or Evidence(), budget or BUDGETS[mode]
     key = [*group, "ord"]
-    pool = staged(narrowed(scored(df, query, mode, group, evidence), group, mode, evidence))
+    pool = staged(narrowed(scored(anchored(df, query, evidence), query, mode, group, evidence), group, mode, evidence))
     chosen = ranking.sub_budget(pool, group, most, MEMORY_SHARE, F.col("kind").isin(*MEMORY), GUARANTEED[mode]).select(*key)
     kept = pool.join(chosen, key, "left_semi")
     if discovers(mode, evidence):
@@ -183,3 +191,27 @@ def flow_label(items: DataFrame, flows: DataFrame, node: str) -> DataFrame:
     best = through.groupBy("n_").agg(F.min(F.struct("len_", "entry", "leaf")).alias("best_"))
     joined = items.join(best, F.col(node) == F.col("n_"), "left")
     return joined.withColumn("flow", F.when(F.col("best_").isNotNull(), F.concat_ws(">", F.col("best_.entry").cast("string"), F.col("best_.leaf").cast("string")))).drop("n_", "best_")
+
+
+def workspace_pack(df: DataFrame, query: str, mode: str, linked: DataFrame, producers: DataFrame, evidence: Evidence | None = None, repo: str = "repo", repo_budget: int | None = None, budget: int = 8000) -> DataFrame:
+    """(repo, ord, title, confidence, rank, total_tokens, baseline, reduction) over
+    several repositories; ``ord`` is unique among all of them.
+
+    Packs of all repositories are made at once, by group. What they select, some
+    items each, is labelled and gains by links to and contracts of its repository;
+    it is then ranked again as one group, under one budget. ``reduction`` is the
+    saving in percent against all candidates of the repositories.
+    """
+    first = whole_pack(df, query, mode, [repo], evidence, repo_budget).select(repo, "ord", F.col("confidence").alias("first_"))
+    chosen = df.join(first, [repo, "ord"]).withColumn("confidence", F.col("first_")).drop("first_")
+    items = workspace.merged(workspace.link_boosts(chosen, linked, producers, repo=repo), repo)
+    every, plain = ["all_"], Evidence(discovery=False)
+    pool = narrowed(scored(items.withColumn("all_", F.lit(1)), query, mode, every, plain), every, mode, plain)
+    pool = staged(pool)  # no more rows than the repositories' budgets hold
+    kept = pool.join(ranking.sub_budget(pool, every, budget, MEMORY_SHARE, F.col("kind").isin(*MEMORY), GUARANTEED[mode]).select("ord"), "ord", "left_semi")
+    second = ranking.ranked(shown(kept, every, mode, plain), every)
+    second = second.withColumn("total_tokens", F.sum("est_tokens").over(Window.partitionBy(*every)).cast("long"))
+    baseline = df.agg(F.sum("est_tokens").alias("baseline"))
+    out = second.join(F.broadcast(baseline), how="cross")  # one row
+    reduction = ranking.reduction_pct(F.col("baseline"), F.col("total_tokens"))
+    return out.select(repo, "ord", "title", "confidence", "rank", "total_tokens", "baseline", reduction.alias("reduction"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwright.operators import graph, memory, workspace
+from siftwright.operators import graph, memory, wiki, workspace
 from siftwright.plans.registry import query, table, values, values_sql
 
 TYPE = "CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'calls' WHEN 'NF' THEN 'imports' WHEN 'NO' THEN 'extends' WHEN 'RF' THEN 'tested_by' ELSE 'implements' END"
@@ -110,12 +110,34 @@ def flows(spark, d):
     return out.select("entry", "leaf", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
+USED = (
+    EDGES + ", dg AS (SELECT dst AS node, count(*) AS inbound FROM edges WHERE edge_type IN ('calls', 'imports', 'extends', 'implements') GROUP BY dst), "
+    "f AS (SELECT nodes.node, community, file, name, coalesce(inbound, 0) AS inbound FROM nodes LEFT JOIN dg ON nodes.node = dg.node), "
+    "c AS (SELECT *, row_number() OVER (ORDER BY inbound DESC, symbols DESC, community) AS rank FROM (SELECT community, CAST(sum(inbound) AS BIGINT) AS inbound, count(*) AS symbols FROM f GROUP BY community) x), "
+    "fs AS (SELECT community, file, sum(inbound) AS s, row_number() OVER (PARTITION BY community ORDER BY sum(inbound) DESC, file) AS k FROM f GROUP BY community, file), "
+    "hs AS (SELECT community, name, inbound, row_number() OVER (PARTITION BY community ORDER BY inbound DESC, name, node) AS k FROM f WHERE inbound > 0) "
+)
+
+
 @query(
-    EDGES + ", dg AS (SELECT dst AS node, count(*) AS inbound FROM edges WHERE edge_type IN ('calls', 'imports', 'extends', 'implements') GROUP BY dst), f AS (SELECT nodes.node, community, coalesce(inbound, 0) AS inbound FROM nodes LEFT JOIN dg ON nodes.node = dg.node) "
-    "SELECT community, CAST(sum(inbound) AS BIGINT) AS inbound, count(*) AS symbols FROM f GROUP BY community ORDER BY sum(inbound) DESC, count(*) DESC, community LIMIT 8"
+    USED + "SELECT community, inbound, symbols, CAST(rank AS INTEGER) AS rank, (SELECT string_agg(file, ',' ORDER BY k) FROM fs WHERE fs.community = c.community AND k <= 5) AS top_files, "
+    "(SELECT string_agg(name, ',' ORDER BY k) FROM hs WHERE hs.community = c.community AND k <= 5) AS top_hubs FROM c WHERE rank <= 8"
 )
 def subsystems(spark, d):
-    return graph.subsystems(nodes(spark, d), edges(spark, d)).select("community", "inbound", "symbols")
+    return graph.subsystems(nodes(spark, d), edges(spark, d))
+
+
+@query(
+    USED + ", se AS (SELECT rank, community, symbols, inbound, (SELECT string_agg(file, ', ' ORDER BY k) FROM fs WHERE fs.community = c.community AND k <= 8) AS files, (SELECT count(*) FROM fs WHERE fs.community = c.community AND k <= 8) AS n_files, "
+    "(SELECT string_agg(name || ' (inbound=' || inbound || ')', ', ' ORDER BY k) FROM hs WHERE hs.community = c.community AND k <= 3) AS hubs, (SELECT string_agg(name, ', ' ORDER BY k) FROM hs WHERE hs.community = c.community AND k <= 3) AS names, "
+    "(SELECT name FROM hs WHERE hs.community = c.community AND k = 1) AS title FROM c WHERE rank <= 8), "
+    r"t AS (SELECT *, 'subsystem-' || regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') || '-' || community AS anchor FROM se) "
+    "SELECT '# demo — subsystem wiki' || chr(10) || chr(10) || 'Generated on 2024-01-31.' || chr(10) || chr(10) || '## TOC' || chr(10) || string_agg('- [Subsystem: ' || title || '](#' || anchor || ')', chr(10) ORDER BY rank) || chr(10) || chr(10) || "
+    "string_agg('## Subsystem: ' || title || chr(10) || chr(10) || '**Key files**: ' || files || chr(10) || chr(10) || '**Hub symbols**: ' || hubs || chr(10) || chr(10) || 'This subsystem contains ' || n_files || ' file(s) and ' || symbols || ' symbol(s). "
+    "The most connected symbols are ' || names || '. Total inbound references across hub edges: ' || inbound || '.' || chr(10), chr(10) ORDER BY rank) AS text FROM t"
+)
+def wiki_page(spark, d):
+    return wiki.page(wiki.sections(nodes(spark, d), edges(spark, d)), "demo", "2024-01-31")
 
 
 @query(EDGES + "SELECT count(*) AS cross_edges FROM edges JOIN nodes a ON src = a.node JOIN nodes b ON dst = b.node WHERE a.community <> b.community")

@@ -237,3 +237,24 @@ def runtime_signals(spark, d):
     user = F.regexp_extract("path", r"user_id=(\d+)", 1).cast("long")
     test = F.regexp_extract(F.get("failing_tests", 0), r"\.(t\d+)$", 1)
     return found.select(user.alias("user_id"), "source", "severity", "message", F.get("paths", 0).alias("file"), test.alias("test"))
+
+
+RECORDS = (
+    "SELECT o_orderkey, 'Decide ' || o_orderpriority || ' #' || o_orderkey AS title, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'P' THEN 'superseded' ELSE 'proposed' END AS status, o_orderdate AS created_at, "
+    "CASE o_orderkey % 2 WHEN 0 THEN '0.5' ELSE '0.9' END AS confidence, CASE o_custkey % 3 WHEN 0 THEN '' ELSE 'why ' || o_custkey END AS context, 'so ' || o_orderkey AS decision, CASE o_custkey % 4 WHEN 0 THEN NULL ELSE 'then' END AS consequences, "
+    "CASE o_custkey % 5 WHEN 0 THEN NULL ELSE 'd' || o_custkey END AS superseded_by, o_custkey % 3 AS n_tags FROM {t}"
+)
+
+
+@query(
+    "WITH r AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, o_orderkey) AS number FROM (" + RECORDS.format(t="orders") + ") x WHERE status IN ('accepted', 'superseded')) "
+    "SELECT format('{:04d}-{}.md', number, replace(replace(replace(lower(title), '#', ''), ' ', '-'), '--', '-')) AS file_name, '# ' || title || chr(10) || chr(10) || '**Status:** ' || status || '  **Date:** ' || strftime(created_at, '%Y-%m-%d') || '  **Confidence:** ' || confidence || chr(10) || "
+    "CASE WHEN superseded_by IS NULL THEN '' ELSE chr(10) || '> **Superseded by:** `' || superseded_by || '`' || chr(10) END || chr(10) || CASE WHEN context = '' THEN '' ELSE '## Context' || chr(10) || chr(10) || context || chr(10) || chr(10) END || "
+    "'## Decision' || chr(10) || chr(10) || decision || chr(10) || chr(10) || CASE WHEN consequences IS NULL THEN '' ELSE '## Consequences' || chr(10) || chr(10) || consequences || chr(10) || chr(10) END || "
+    "'## Tags' || chr(10) || chr(10) || CASE n_tags WHEN 0 THEN '_none_' WHEN 1 THEN '`a`' ELSE '`a`, `b`' END || chr(10) AS content FROM r"
+)
+def decision_records(spark, d):
+    """Records of decisions by status, newest first, numbered without a task that
+    sees all."""
+    rows = spark.sql(RECORDS, t=table(spark, d, "orders")).withColumn("tags", F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), F.col("n_tags").cast("int")))
+    return sinks.decision_records(rows, [F.desc("created_at"), F.asc("o_orderkey")], ("accepted", "superseded"))

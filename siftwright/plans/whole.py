@@ -43,11 +43,13 @@ def whole_query(mode: str):
     return run
 
 
-def whole_sql(mode: str) -> str:
+def whole_sql(mode: str, source: str | None = None, budget: int | None = None, plain: bool = False) -> str:
+    """The pack of ``source``; a plain one has no evidence and no last steps."""
+    source = source or ITEMS.format(t="documents")
     words = tx.query_tokens(QUERY)
     share, least = ranking.FLOORS[mode]
-    budget, sure = packs.BUDGETS[mode], packs.GUARANTEED[mode]
-    looks = packs.discovers(mode, packs.Evidence())
+    budget, sure = budget or packs.BUDGETS[mode], packs.GUARANTEED[mode]
+    looks = packs.discovers(mode, packs.Evidence()) and not plain
     listed = lambda xs: ", ".join(f"'{x}'" for x in xs) or "NULL"
     test, top = "starts_with(path, 'tests/')", "ORDER BY confidence DESC, ord"
     by_repo = "PARTITION BY repo"
@@ -57,7 +59,7 @@ def whole_sql(mode: str) -> str:
         f"THEN confidence * {boosts.DISCOVERY_PENALTY if looks else boosts.PENALTY} ELSE confidence END"
     )
     structure = "least(0.1, 0.07 * ((ord % 10) / 10.0) + 0.05 * ((ord % 7) / 10.0))"
-    last = f"CASE WHEN {structure} > 0 THEN least(0.95, confidence + {structure}) ELSE confidence END" if mode == "handover" else (
+    last = "confidence" if plain else f"CASE WHEN {structure} > 0 THEN least(0.95, confidence + {structure}) ELSE confidence END" if mode == "handover" else (
         "CASE WHEN contains(path, 'main') AND line_start <= 20 AND line_end >= 20 THEN least(0.95, confidence + 0.15) ELSE confidence END" if mode == "review" else "confidence"
     )
 
@@ -70,13 +72,15 @@ def whole_sql(mode: str) -> str:
         )
 
     def gained(source: str) -> str:
+        if plain:
+            return source
         return f"SELECT * REPLACE (round(CASE WHEN contains(path, '{CONSUMER}') THEN least(0.95, confidence + 0.1) ELSE confidence END, 6) AS confidence) FROM ({source})"
 
     sql = (
-        f"WITH RECURSIVE it AS ({ITEMS.format(t='documents')}), "
-        f"fb AS (SELECT it.* REPLACE (CASE WHEN delta IS NULL THEN confidence ELSE greatest(0, least(0.95, confidence + delta)) END AS confidence) FROM it LEFT JOIN ({DELTAS.format(t='it')}) dl ON dl.path = it.path), "
-        f"fn AS (SELECT * REPLACE (CASE WHEN lower(string_split(path, '/')[-1]) IN ({listed(NAMED)}) THEN least(0.95, confidence + 0.4) ELSE confidence END AS confidence) FROM fb), "
-        "co AS (SELECT ord AS o, string_split(path, '/')[-1] || ' ' || title || ' ' || excerpt AS corpus FROM it), tk AS (SELECT o, " + TOKENS.format(c="corpus") + " AS toks FROM co), "
+        f"WITH RECURSIVE it AS ({source}), "
+        + ("fn AS (SELECT * FROM it), " if plain else f"fb AS (SELECT it.* REPLACE (CASE WHEN delta IS NULL THEN confidence ELSE greatest(0, least(0.95, confidence + delta)) END AS confidence) FROM it LEFT JOIN ({DELTAS.format(t='it')}) dl ON dl.path = it.path), "
+        f"fn AS (SELECT * REPLACE (CASE WHEN lower(string_split(path, '/')[-1]) IN ({listed(NAMED)}) THEN least(0.95, confidence + 0.4) ELSE confidence END AS confidence) FROM fb), ")
+        +         "co AS (SELECT ord AS o, string_split(path, '/')[-1] || ' ' || title || ' ' || excerpt AS corpus FROM it), tk AS (SELECT o, " + TOKENS.format(c="corpus") + " AS toks FROM co), "
         "st AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(avg(len(toks)) AS DOUBLE) AS mean FROM tk), q AS (SELECT unnest([" + listed(words) + "]) AS w), "
         "df AS (SELECT w, count(*) FILTER (WHERE list_contains(toks, w)) AS n FROM tk, q GROUP BY w), idf AS (SELECT w, ln((st.n - df.n + 0.5) / (df.n + 0.5) + 1) AS idf FROM df, st), "
         "rw AS (SELECT o, sum(CASE WHEN list_contains(toks, w) THEN idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(toks) / mean)) ELSE 0 END) AS raw FROM tk, idf, st GROUP BY o), "
@@ -109,7 +113,7 @@ def whole_sql(mode: str) -> str:
     else:
         sql += "s2 AS (SELECT * FROM s1), "
     sql += f"s3 AS ({tail('s2')}), s4 AS ({gained('SELECT * FROM s3')}), "
-    if mode == "review":
+    if mode == "review" and not plain:
         sql += (
             f"tr AS (SELECT repo, ord, kind, confidence, est_tokens AS t, row_number() OVER ({by_repo} {top}) AS i FROM s4), "
             "h AS (SELECT repo, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS ord, false AS take, CAST(0 AS BIGINT) AS u FROM (SELECT DISTINCT repo FROM tr) z UNION ALL SELECT n.repo, n.i, n.ord, n.take, n.u + CASE WHEN n.take THEN n.t ELSE 0 END FROM "
@@ -118,7 +122,7 @@ def whole_sql(mode: str) -> str:
         )
     else:
         sql += "s5 AS (SELECT * FROM s4), "
-    if mode == "minimal":
+    if mode == "minimal" and not plain:
         sql += (
             f"wide AS ({gained(tail('po'))}), bc AS (SELECT * FROM (SELECT *, row_number() OVER ({by_repo} {top}) AS k5 FROM wide WHERE kind IN ({listed(boosts.CODE_KINDS)})) x WHERE k5 = 1), "
             f"pg AS (SELECT * FROM (SELECT *, row_number() OVER ({by_repo} {top}) AS k6 FROM s5) x WHERE k6 <= {packs.MINIMAL_ITEMS}), "
@@ -133,3 +137,27 @@ def whole_sql(mode: str) -> str:
 for _mode in packs.BUDGETS:
     QUERIES[f"whole_pack_{_mode}"] = whole_query(_mode)
     SQL[f"whole_pack_{_mode}"] = whole_sql(_mode)
+
+
+LINKED, PRODUCERS = ("fr", "de"), ("de",)
+
+
+def workspace_query(spark, d):
+    """One pack over all languages as repositories."""
+    items = spark.sql(ITEMS, t=table(spark, d, "documents"))
+    linked, producers = (items.where(F.col("repo").isin(*x)).select("repo") for x in (LINKED, PRODUCERS))
+    out = packs.workspace_pack(items, QUERY, "review", linked, producers, evidence(spark, items), budget=2000)
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+def workspace_sql() -> str:
+    one = ITEMS.format(t="documents")
+    gain = "(CASE WHEN i.repo IN ('fr', 'de') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN i.repo = 'de' THEN 0.05::DOUBLE ELSE 0 END)"
+    second = f"SELECT i.* REPLACE ('all' AS repo, '[' || i.repo || '] ' || i.title AS title, least(0.95, f.confidence + {gain}) AS confidence) FROM ({one}) i JOIN ({whole_sql('review')}) f ON f.ord = i.ord"
+    return (
+        f"SELECT i.repo, s.ord, '[' || i.repo || '] ' || i.title AS title, s.confidence, s.rank, s.total_tokens, b.baseline, round(100.0 * (b.baseline - s.total_tokens) / b.baseline, 1) AS reduction "
+        f"FROM ({whole_sql('review', second, 2000, True)}) s JOIN ({one}) i ON i.ord = s.ord, (SELECT CAST(sum(est_tokens) AS BIGINT) AS baseline FROM ({one}) z) b"
+    )
+
+
+QUERIES["full_pack_workspace"], SQL["full_pack_workspace"] = workspace_query, workspace_sql()
