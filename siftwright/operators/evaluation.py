@@ -103,7 +103,7 @@ def rank_one_hits(df: DataFrame, by: Sequence[str], gold: str, got: str) -> Data
 def random_hits(df: DataFrame, by: Sequence[str], k: int, title: str, fragment: Column, seed: int = 7) -> DataFrame:
     """(by..., random_hit_rate): the hit rate of ``k`` rows a group drawn by a
     seeded hash of the title."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), title), title)
+    order = Window.partitionBy(*by).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(title))), title)
     drawn = df.withColumn("k_", F.row_number().over(order)).where(F.col("k_") <= k)
     return drawn.groupBy(*by).agg(F.max(F.contains(F.lower(title), F.lower(fragment)).cast("double")).alias("random_hit_rate"))
 

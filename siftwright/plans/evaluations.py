@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from siftwright.operators import evaluation, ranking
+from siftwright.operators import evaluation, memory, ranking, reports
 from siftwright.plans.registry import query, table, values, values_sql
 
 #: Gold and returned id lists by customer: orders of two kinds.
@@ -141,13 +141,21 @@ def rank_one_hits(spark, d):
     return evaluation.rank_one_hits(cases.union(rows), ["repo"], "gold", "got")
 
 
-@query()
+@query(
+    "WITH r AS (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY md5('7|' || p_name), p_name) AS k FROM part) "
+    "SELECT p_brand, max(CASE WHEN contains(lower(p_name), 'blue') THEN 1.0::DOUBLE ELSE 0.0 END) AS random_hit_rate FROM r WHERE k <= 5 GROUP BY p_brand"
+)
 def random_baseline(spark, d):
-    """A seeded draw by a hash that the oracle lacks."""
-    return evaluation.random_hits(table(spark, d, "part").select("p_brand", "p_name"), ["p_brand"], 5, "p_name", F.lit("green"))
+    """A seeded draw by a hash of the titles."""
+    return evaluation.random_hits(table(spark, d, "part").select("p_brand", "p_name"), ["p_brand"], 5, "p_name", F.lit("blue"))
 
 
-@query("SELECT count(*) FILTER (WHERE user_id % 5 < 2) AS committed, count(*) FILTER (WHERE user_id % 5 = 2) AS staged, count(*) FILTER (WHERE user_id % 5 > 2) AS other FROM events")
+@query(
+    "SELECT event_type, count(*) FILTER (WHERE user_id % 7 > 0 AND user_id % 5 < 2) AS committed, count(*) FILTER (WHERE user_id % 7 > 0 AND user_id % 5 = 2) AS staged, count(*) FILTER (WHERE user_id % 7 = 0) AS federated FROM events GROUP BY event_type"
+)
 def provenance_counts(spark, d):
-    k = F.col("user_id") % 5
-    return table(spark, d, "events").agg(F.count_if(k < 2).alias("committed"), F.count_if(k == 2).alias("staged"), F.count_if(k > 2).alias("other"))
+    """Notes by where their files are known from, and those of other repositories."""
+    notes = table(spark, d, "events").selectExpr("event_type", "concat('f', user_id % 5) AS path", "user_id % 7 = 0 AS other")
+    known = lambda k: spark.range(5).selectExpr("concat('f', id) AS path").where(k)
+    told = memory.provenance(notes, known("path < 'f2'"), known("path = 'f2'"), "path")
+    return reports.provenance_counts(told, ["event_type"], federated=F.col("other"))

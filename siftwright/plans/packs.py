@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwright.operators import cache, graph, packs
+from siftwright.operators import cache, graph, packs, reports
 from siftwright.plans import graphs
 from siftwright.plans.ranking import COLUMNS, NORMAL, items
 from siftwright.plans.registry import QUERIES, SQL, query, table
@@ -108,13 +108,14 @@ def debug_flow_labels(spark, d):
     return packs.flow_label(p, some_flows(spark, d), "p_partkey").select("p_partkey", "flow")
 
 
-@query("SELECT lang AS repo, CAST(sum(greatest(1, n_chars // 4) + 40) AS BIGINT) AS naive_tokens FROM documents GROUP BY lang")
+@query("SELECT lang AS repo, CAST(sum(CASE WHEN n = 0 THEN 0 ELSE greatest(1, n // 4) END + 40) AS BIGINT) AS naive_tokens FROM (SELECT lang, length(coalesce(text, '')) AS n FROM documents) x GROUP BY lang")
 def naive_baseline(spark, d):
-    return items(spark, d).groupBy("repo").agg(F.sum("est_tokens").alias("naive_tokens"))
+    return reports.naive_tokens(table(spark, d, "documents").withColumnRenamed("lang", "repo"), ["repo"], F.col("text"))
 
 
-@query("SELECT n_nationkey AS community, count(c_custkey) AS members, coalesce(min(c_custkey), -1) AS first_member FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+@query(
+    "SELECT c_nationkey AS community, count(*) AS members, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer i WHERE i.c_nationkey = o.c_nationkey ORDER BY c_custkey LIMIT 20) x) AS first FROM customer o GROUP BY c_nationkey"
+)
 def community_members(spark, d):
-    n, c = table(spark, d, "nation"), table(spark, d, "customer")
-    j = n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return j.groupBy(F.col("n_nationkey").alias("community")).agg(F.count("c_custkey").alias("members"), F.coalesce(F.min("c_custkey"), F.lit(-1)).alias("first_member"))
+    found = reports.members(table(spark, d, "customer").select(F.col("c_nationkey").alias("community"), F.col("c_custkey").alias("node")), shown=20)
+    return found.select("community", "members", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ",").alias("first"))

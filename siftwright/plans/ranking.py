@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import scores
 
-from siftwright.operators import classify, ranking, workspace
+from siftwright.operators import classify, ranking, reports, sinks, workspace
 from siftwright.plans.registry import query, table, values, values_sql
 from siftwright.plans.retrieval import CONF, PATH
 
@@ -76,18 +76,17 @@ def debug_classify(spark, d):
 
 
 @query(
-    ITEMS + "SELECT 'code' AS part, ord AS id, CASE kind WHEN 'changed_file' THEN 0.90 WHEN 'blast_radius' THEN 0.50 ELSE 0.15 END AS confidence FROM items WHERE kind <> 'memory' "
-    "UNION ALL SELECT 'memory', ord, least(0.80, confidence) FROM items WHERE kind = 'memory' "
-    "UNION ALL SELECT 'decision', event_id, greatest(0.10, least(0.75, round(value / 100.0, 4))) FROM events WHERE event_type <> 'error'"
+    ITEMS + "SELECT 'code' AS part, CAST(ord AS VARCHAR) AS id, CASE WHEN kind = 'changed_file' THEN 'changed_file' WHEN kind = 'blast_radius' THEN 'blast_radius' ELSE 'file' END AS kind, "
+    "round(CASE kind WHEN 'changed_file' THEN least(0.95, 0.90 * CASE WHEN path LIKE 'tests/%' THEN 0.85 ELSE 1.15 END) WHEN 'blast_radius' THEN 0.50 ELSE 0.15 END, 6) AS confidence FROM items WHERE kind <> 'memory' "
+    "UNION ALL SELECT 'memory', CAST(ord AS VARCHAR), 'memory', round(greatest(0.10, least(0.80, confidence)), 6) FROM items WHERE kind = 'memory' "
+    "UNION ALL SELECT 'decision', CAST(event_id AS VARCHAR), 'decision', round(greatest(0.10, least(0.75, value / 100.0)), 6) FROM events WHERE event_type <> 'error'"
 )
 def handover_union(spark, d):
     i = items(spark, d)
-    code = i.where("kind <> 'memory'").select(F.lit("code").alias("part"), F.col("ord").alias("id"), F.when(F.col("kind") == "changed_file", 0.90).when(F.col("kind") == "blast_radius", 0.50).otherwise(0.15).alias("confidence"))
-    mem = i.where("kind = 'memory'").select(F.lit("memory").alias("part"), F.col("ord").alias("id"), F.least(F.lit(0.80), "confidence").alias("confidence"))
-    dec = table(spark, d, "events").where("event_type <> 'error'").select(
-        F.lit("decision").alias("part"), F.col("event_id").alias("id"), F.greatest(F.lit(0.10), F.least(F.lit(0.75), F.round(F.col("value") / 100.0, 4))).alias("confidence")
-    )
-    return code.unionByName(mem).unionByName(dec)
+    code = i.where("kind <> 'memory'").select(F.col("ord").alias("id"), "path", (F.col("kind") == "changed_file").alias("changed"), (F.col("kind") == "blast_radius").alias("blast"))
+    status = F.when(F.col("event_type") == "error", "superseded").otherwise("accepted")
+    decisions = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("value") / 100.0).alias("score"), status.alias("status"))
+    return reports.handover(code, i.where("kind = 'memory'").select(F.col("ord").alias("id"), F.col("confidence").alias("score")), decisions)
 
 
 @query(ITEMS + "SELECT ord, CASE WHEN ord % 2 = 1 THEN 'none' WHEN est_tokens > 2000 OR confidence >= 0.8 THEN 'high' WHEN est_tokens > 500 THEN 'medium' ELSE 'low' END AS risk FROM items")
@@ -107,13 +106,13 @@ def depth_label(spark, d):
 
 
 @query(
-    ITEMS + "SELECT ord, CASE WHEN ord % 3 = 0 THEN 'given' WHEN ord % 3 = 1 THEN 'defines `' || title || '` lines ' || (ord % 10) || '-' || (ord % 10 + 5) ELSE CASE kind WHEN 'changed_file' THEN 'changed in this diff' ELSE 'related file' END END AS reason FROM items"
+    ITEMS + "SELECT ord, CASE WHEN ord % 3 = 0 THEN 'given' WHEN v IS NOT NULL AND ord % 7 > 0 AND title <> '' THEN v || ' `' || title || '` lines ' || (ord % 7) || '-' || (ord % 7 + 5) ELSE coalesce(r, 'Included in context pack') END AS reason FROM items "
+    f"LEFT JOIN {values_sql(list(reports.REASONS.items()))} ON a = kind LEFT JOIN (SELECT a AS k2, b AS v FROM {values_sql(list(reports.SYMBOL_REASONS.items()))}) z ON k2 = kind".replace(" ON a = kind", " ON v.a = kind").replace("coalesce(r,", "coalesce(v.b,")
 )
 def reason_text(spark, d):
     given = F.when(F.col("ord") % 3 == 0, "given").otherwise("")
-    by_symbol = F.when(F.col("ord") % 3 == 1, F.format_string("defines `%s` lines %d-%d", "title", F.col("ord") % 10, F.col("ord") % 10 + 5))
-    by_kind = F.when(F.col("kind") == "changed_file", "changed in this diff").otherwise("related file")
-    return items(spark, d).select("ord", F.coalesce(F.nullif(given, F.lit("")), by_symbol, by_kind).alias("reason"))
+    by_symbol = reports.symbol_reason(F.col("kind"), F.col("title"), F.col("ord") % 7, F.col("ord") % 7 + 5)
+    return items(spark, d).select("ord", reports.reason(F.coalesce(F.nullif(given, F.lit("")), by_symbol), F.col("kind")).alias("reason"))
 
 
 DEDUP = (
@@ -209,27 +208,34 @@ def source_discovery(spark, d):
     return ranking.discovery(items(spark, d), ["repo", "source"]).select("repo", "source", "ord")
 
 
-@query(ITEMS + "SELECT repo, kind, count(*) AS n FROM items GROUP BY repo, kind")
+@query(
+    ITEMS + ", n AS (SELECT repo, path, count(*) AS n FROM items GROUP BY repo, path) SELECT repo, path, n FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, path) AS k FROM n) x WHERE k <= 5"
+)
 def source_histogram(spark, d):
-    return items(spark, d).groupBy("repo", "kind").agg(F.count("*").alias("n"))
+    return reports.histogram(items(spark, d), ["repo"], "path")
 
 
 @query(
     ITEMS + "SELECT repo, CAST(sum(est_tokens) AS BIGINT) AS total, CAST(sum(CASE WHEN kind = 'memory' THEN est_tokens ELSE 0 END) AS BIGINT) AS memory_tokens, round(sum(CASE WHEN kind = 'memory' THEN est_tokens ELSE 0 END) / sum(est_tokens), 4) AS memory_ratio FROM items GROUP BY repo"
 )
 def budget_breakdown(spark, d):
-    mem = F.sum(F.when(F.col("kind") == "memory", F.col("est_tokens")).otherwise(0))
-    return items(spark, d).groupBy("repo").agg(F.sum("est_tokens").alias("total"), mem.alias("memory_tokens"), F.round(mem / F.sum("est_tokens"), 4).alias("memory_ratio"))
+    return reports.budget_breakdown(items(spark, d), ["repo"])
+
+
+#: Three packs of each language: of all items, of documents as settings, and without tests.
+SETTINGS = "CASE WHEN path LIKE 'docs/%' THEN replace(path, '.md', '.YAML') ELSE path END"
 
 
 @query(
-    ITEMS + "SELECT repo, CASE WHEN t.kind = 'impacted_test' THEN 'debug' WHEN c.n >= greatest(2, c.total // 2) THEN 'review' ELSE 'implement' END AS next_tool FROM "
-    "(SELECT repo, kind FROM (SELECT repo, kind, row_number() OVER (PARTITION BY repo ORDER BY confidence DESC, ord) AS rk FROM items) x WHERE rk = 1) t JOIN (SELECT repo AS r2, count(*) FILTER (WHERE kind = 'config') AS n, count(*) AS total FROM items GROUP BY repo) c ON t.repo = c.r2"
+    ITEMS + f", p AS (SELECT repo || '-all' AS pack, {SETTINGS} AS path, confidence, ord FROM items UNION ALL SELECT repo || '-set', {SETTINGS}, confidence, ord FROM items WHERE path LIKE 'docs/%' OR ord % 10 = 3 UNION ALL SELECT repo || '-src', path, confidence, ord FROM items WHERE path NOT LIKE 'tests/%'), "
+    "t AS (SELECT pack, path AS first FROM (SELECT *, row_number() OVER (PARTITION BY pack ORDER BY confidence DESC, ord) AS k FROM p) x WHERE k = 1), c AS (SELECT pack, count(*) FILTER (WHERE path LIKE '%.YAML') AS n, count(*) AS total FROM p GROUP BY pack) "
+    "SELECT pack, CASE WHEN first LIKE 'tests/%' THEN 'debug' WHEN n >= greatest(2, total // 2) THEN 'review' ELSE 'implement' END AS next_tool FROM t JOIN c USING (pack)"
 )
 def next_tool(spark, d):
-    i = items(spark, d)
-    g = i.groupBy("repo").agg(F.min_by("kind", F.struct(-F.col("confidence"), F.col("ord"))).alias("top"), F.count_if(F.col("kind") == "config").alias("n"), F.count("*").alias("total"))
-    return g.select("repo", F.when(F.col("top") == "impacted_test", "debug").when(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("total") / 2)), "review").otherwise("implement").alias("next_tool"))
+    i = items(spark, d).withColumn("set", F.expr(SETTINGS))
+    parts = [i.selectExpr("repo || '-all' AS pack", "set AS path", "confidence", "ord"), i.where("path LIKE 'docs/%' OR ord % 10 = 3").selectExpr("repo || '-set' AS pack", "set AS path", "confidence", "ord")]
+    every = parts[0].unionByName(parts[1]).unionByName(i.where("path NOT LIKE 'tests/%'").selectExpr("repo || '-src' AS pack", "path", "confidence", "ord"))
+    return reports.next_tool(every, ["pack"])
 
 
 @query(ITEMS + "SELECT ord, '[' || repo || '] ' || title AS title, round(least(0.95, confidence + CASE WHEN repo IN ('fr', 'de') THEN 0.10 ELSE 0 END + CASE WHEN repo = 'de' THEN 0.05 ELSE 0 END), 6) AS confidence FROM items")
@@ -246,9 +252,9 @@ def decay_chain(spark, d):
     return li.withColumn("confidence", scores.call_chain_confidence(F.col("depth"))).select("depth", "confidence", "n")
 
 
-@query(ITEMS + "SELECT ord, 'path:' || path || ' (' || repo || ')' AS line FROM items")
+@query(ITEMS + "SELECT ord, printf('%s (%.2f) %s', path, confidence, CASE WHEN ord % 2 = 0 THEN title ELSE '' END) AS line FROM items")
 def render_lines(spark, d):
-    return items(spark, d).select("ord", F.format_string("path:%s (%s)", "path", "repo").alias("line"))
+    return items(spark, d).select("ord", sinks.compact_line(F.col("path"), F.when(F.col("ord") % 2 == 0, F.col("title")), F.col("confidence")).alias("line"))
 
 
 @query(
@@ -256,5 +262,4 @@ def render_lines(spark, d):
 )
 def lookup_join(spark, d):
     i = items(spark, d)
-    wanted = i.where("kind = 'config'").select("repo", "path").distinct()
-    return i.join(wanted, ["repo", "path"], "left_semi").select("ord")
+    return reports.matching(i, i.where("kind = 'config'"), ["repo", "path"]).select("ord")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwright.operators import workspace
+from siftwright.operators import reports, workspace
 from siftwright.plans.registry import query, table, values, values_sql
 
 
@@ -93,8 +93,8 @@ def tests_of_changed(spark, d):
 
 @query("SELECT l_shipdate, l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def edges_of_group(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").join(o, "l_orderkey", "left_semi").select("l_shipdate", "l_orderkey", "l_linenumber")
+    wanted = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("node"))
+    return reports.edges_from(table(spark, d, "lineitem"), wanted, "l_orderkey").select("l_shipdate", "l_orderkey", "l_linenumber")
 
 
 @query("SELECT o_orderkey, min(p) AS part FROM (SELECT o_orderkey, 'hit' AS p FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'late' FROM orders) x GROUP BY o_orderkey")
@@ -123,6 +123,6 @@ def null_aware_anti(spark, d):
 def priority_pick(spark, d):
     from siftwright.operators import memory
 
-    s = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     tier = F.when(F.col("s_acctbal") > 5000, 0).when(F.col("s_acctbal") > 1000, 1).otherwise(2)
     return memory.latest_per_key(s, ["n_name"], [tier.asc(), F.asc("s_suppkey")]).select("n_name", "s_suppkey")
