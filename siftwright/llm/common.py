@@ -102,39 +102,50 @@ def tmp_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def slots(df: DataFrame, keys: list[str], order: list[str], name: str, part_rows: int = 20_000, counted: DataFrame | None = None) -> DataFrame:
+def slots(df: DataFrame, keys: list[str], order: list[str], name: str, part_rows: int = 20_000, counted: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
     """Add ``name``: each row's number within ``keys``, gapless from 0.
 
     A group is dealt over salts by a hash of ``order``, numbered within each
     salt, and lifted by the rows of the salts before it, so that no task holds
     a whole group. ``df`` should be staged, as it is read twice; or ``counted``
     is a narrow staged table with the same keys and order columns. Rows equal in
-    ``order`` meet in one salt, in any order among themselves.
+    ``order`` meet in one salt, in any order among themselves. ``more`` has a row
+    for each of the keys; its other columns are added on the way, so that wide
+    rows are not shuffled a second time for them.
     """
     counted = df if counted is None else counted
     total = counted.count()
     salts = max(1, -(-total // part_rows))
-    salt, before, nth = tmp_names(df.withColumn(name, F.lit(0)), "salt_", "before_", "within_salt_")
+    salt, before, nth, key = tmp_names(df.withColumn(name, F.lit(0)), "salt_", "before_", "within_salt_", "key_")
     of_row = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salts)).cast("int")
-    dealt = df.withColumn(salt, of_row)
-    by_salt = Window.partitionBy(*keys, salt).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    # One struct for the keys, null or not beside a value that never is: it compares
+    # by plain equality and has one type on all sides, so rows stay where the window
+    # has put them when they meet their counts.
+    kinds = dict(df.dtypes)
+    value = [F.coalesce(F.col(k), F.lit("" if kinds[k] == "string" else 0).cast(kinds[k])).alias(f"v{i}") for i, k in enumerate(keys)]
+    of_key = F.struct(*value, *[F.col(k).isNull().alias(f"n{i}") for i, k in enumerate(keys)])
+    dealt = df.withColumn(salt, of_row).withColumn(key, of_key)
+    by_salt = Window.partitionBy(key, salt).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     ranked = dealt.withColumn(nth, F.row_number().over(by_salt).cast("long") - 1)
-    if salts == 1:
-        return ranked.withColumn(name, F.col(nth)).drop(salt, nth)
-    counts = counted.withColumn(salt, of_row).groupBy(*keys, salt).count()
-    lift = Window.partitionBy(*keys).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    if salts == 1 and more is None:
+        return ranked.withColumn(name, F.col(nth)).drop(salt, nth, key)
+    counts = counted.withColumn(salt, of_row).withColumn(key, of_key).groupBy(key, salt).count()
+    lift = Window.partitionBy(key).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(
-        *[F.col(k).alias(f"k{i}_{k}") for i, k in enumerate(keys)],
+        F.col(key).alias("of_" + key),
         F.col(salt).alias("of_" + salt),
         F.coalesce(F.sum("count").over(lift), F.lit(0)).alias(before),
     )
-    on = F.col(salt) == F.col("of_" + salt)
-    for i, k in enumerate(keys):
-        on &= F.col(k).eqNullSafe(F.col(f"k{i}_{k}"))
+    added = []
+    if more is not None:
+        added = [c for c in more.columns if c not in keys]
+        of_more = more.select(of_key.alias("more_" + key), *added)
+        counts = counts.join(of_more, F.col("of_" + key) == F.col("more_" + key)).drop("more_" + key)
+    on = (F.col(key) == F.col("of_" + key)) & (F.col(salt) == F.col("of_" + salt))
     return (
         ranked.join(counts, on, "left")
         .withColumn(name, F.col(nth) + F.col(before))
-        .select(*df.columns, name)
+        .select(*df.columns, name, *added)
     )
 
 

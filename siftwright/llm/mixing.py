@@ -174,8 +174,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     if carry:
         at = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
         rows = docs.select(at.alias("row_"), F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"))
-        numbered = slots(rows, ["source", "size"], ["id"], "nth_", counted=narrow)
-        return numbered.join(plan, on).select(*[F.col("row_")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)], copies.alias(carry))
+        whole = plan.withColumnsRenamed({"of_source": "source", "of_size": "size"})
+        numbered = slots(rows, ["source", "size"], ["id"], "nth_", counted=narrow, more=whole)
+        return numbered.select(*[F.col("row_")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)], copies.alias(carry))
     plan = plan.join(known, F.col("of_source").eqNullSafe(F.col("of"))).select(*plan.columns, "source_size", "target")
     numbered = slots(narrow, ["source", "size"], ["id"], "nth_")
     return numbered.join(plan, on).select("id", "source", "size", "source_size", "target", copies.alias("copies"))
