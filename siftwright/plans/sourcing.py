@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwright.operators import sinks
-from siftwright.sources import analyzers, code, parsers
+from siftwright.sources import analyzers, code, contracts, parsers
 from siftwright.plans.registry import query, table, values, values_sql
 
 
@@ -258,3 +258,39 @@ def decision_records(spark, d):
     sees all."""
     rows = spark.sql(RECORDS, t=table(spark, d, "orders")).withColumn("tags", F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), F.col("n_tags").cast("int")))
     return sinks.decision_records(rows, [F.desc("created_at"), F.asc("o_orderkey")], ("accepted", "superseded"))
+
+
+#: A file a part: OpenAPI in YAML or JSON, Protocol Buffers, GraphQL, or one that is
+#: passed over by its name or folder.
+CONTRACT_FILES = (
+    "SELECT p_partkey AS k, p_brand AS repo, CASE p_partkey % 7 WHEN 0 THEN 'a/openapi' || p_partkey || '.yaml' WHEN 1 THEN 'my-API' || p_partkey || '.json' WHEN 2 THEN 'x/s.proto' WHEN 3 THEN 'q.gql' WHEN 4 THEN 'node_modules/api.yaml' WHEN 5 THEN 'plain.yaml' ELSE 'build/s.proto' END AS path, "
+    "CASE p_partkey % 7 WHEN 1 THEN '{{\"openapi\": \"3\", \"paths\": {{\"/v1/' || p_partkey || '\": {{\"get\": {{\"operationId\": \"op' || p_partkey || '\"}}, \"x-a\": {{}}}}}}}}' "
+    "WHEN 2 THEN 'service S' || p_partkey || ' {{' || chr(10) || '  rpc Run(Req' || p_size || ') returns (stream Res);' || chr(10) || '}}' WHEN 6 THEN 'service S {{ rpc Run(A) returns (B); }}' "
+    "WHEN 3 THEN 'type Query {{' || chr(10) || '  part' || p_partkey || '(id: ID!): Part!' || chr(10) || '}}' "
+    "ELSE 'openapi: 3.0.0' || chr(10) || 'paths:' || chr(10) || '  /v2/' || p_partkey || '/{{id}}:' || chr(10) || '    post:' || chr(10) || '      operationId: do' || p_partkey || chr(10) || '      requestBody:' || chr(10) || '        content:' || chr(10) || '    parameters:' || chr(10) END AS text FROM {t}"
+)
+
+
+@query(
+    "SELECT p_brand AS repo, CASE p_partkey % 7 WHEN 2 THEN 'proto' WHEN 3 THEN 'graphql' ELSE 'openapi' END AS kind, "
+    "CASE p_partkey % 7 WHEN 0 THEN 'POST /v2/' || p_partkey || '/{id}' WHEN 1 THEN 'GET /v1/' || p_partkey WHEN 2 THEN 'S' || p_partkey || '/Run' ELSE 'query part' || p_partkey END AS name, "
+    "CASE p_partkey % 7 WHEN 0 THEN 'do' || p_partkey WHEN 1 THEN 'op' || p_partkey WHEN 2 THEN 'Req' || p_size || ' -> Res' ELSE 'Part!' END AS detail FROM part WHERE p_partkey % 7 < 4"
+)
+def contract_files(spark, d):
+    return contracts.contracts(spark.sql(CONTRACT_FILES, t=table(spark, d, "part")))
+
+
+@query(
+    "SELECT 'd' || p_size || '/' || CASE p_partkey % 4 WHEN 0 THEN 'py' WHEN 1 THEN 'skip' ELSE 'go' END AS folder, count(*) AS n FROM part WHERE p_partkey % 4 IN (0, 2, 3) AND p_size NOT IN (7, 17, 27, 37, 47) GROUP BY 1"
+)
+def scanned_files(spark, d):
+    """Lines of the files below a folder, without ignored folders and suffixes."""
+    from siftwright.operators.graph import shared_path
+
+    place = shared_path(spark, "scan")
+    parts = table(spark, d, "part").selectExpr("concat('d', p_size) AS a", "CASE p_partkey % 4 WHEN 0 THEN 'py' WHEN 1 THEN 'skip' ELSE 'go' END AS b", "CAST(p_partkey AS STRING) AS value")
+    parts.repartition("a", "b").write.partitionBy("a", "b").text(place)
+    found = parsers.scan_files(spark, place, ["txt"], ["b=sk?p", "a=d*7", "_*"])
+    folder = F.concat_ws("/", F.regexp_extract("path", "a=(d[0-9]+)", 1), F.regexp_extract("path", "b=([a-z]+)", 1))
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).cast("long")
+    return found.select(folder.alias("folder"), lines.alias("n")).groupBy("folder").agg(F.sum("n").alias("n"))

@@ -6,6 +6,10 @@ read alike; only code analysis and SDL parsing use a Python table function.
 
 from __future__ import annotations
 
+import fnmatch
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,13 +18,24 @@ from pyspark.sql.window import Window
 STATUS = {"A": "added", "M": "modified", "D": "deleted", "R": "renamed", "C": "copied", "T": "type_changed", "U": "unmerged"}
 
 
-def scan_files(spark: SparkSession, root: str, extensions: list[str], ignore: str | None = None) -> DataFrame:
-    """(path, content) of files with a known extension, by path."""
+def ignored(relative: Column, patterns: Sequence[str]) -> Column:
+    """Whether a shell-like pattern matches a part of a path, or all of it."""
+    out = F.lit(False)
+    for p in patterns:
+        found = F.lit("^" + fnmatch.translate(p).replace("\\Z", "$").replace("\\z", "$"))
+        out = out | F.exists(F.split(relative, "/"), lambda part: F.rlike(part, found)) | F.rlike(relative, found)  # noqa: B023
+    return out
+
+
+def scan_files(spark: SparkSession, root: str, extensions: Sequence[str], ignore: Sequence[str] = ()) -> DataFrame:
+    """(path, text) of the files below ``root`` with a known extension, whose path
+    from there no ``ignore`` pattern matches. Paths are filtered before contents
+    are decoded."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    pattern = r"(?i)\.(" + "|".join(e.lstrip(".") for e in extensions) + ")$"
-    out = df.where(F.rlike("path", F.lit(pattern)))
-    out = out.where(~F.rlike("path", F.lit(ignore))) if ignore else out
-    return out.select("path", F.decode("content", "UTF-8").alias("text")).orderBy("path")
+    known = F.rlike("path", F.lit(r"\.(" + "|".join(re.escape(e.lstrip(".")) for e in extensions) + ")$"))
+    base = re.sub(r"^file:/+", "", root).strip("/")
+    relative = F.substring_index(F.col("path"), base + "/", -1)
+    return df.where(known & ~ignored(relative, ignore)).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def name_status(df: DataFrame, text: str) -> DataFrame:
@@ -163,13 +178,3 @@ def graphql_operations(df: DataFrame, repo: str, text: str) -> DataFrame:
     fields = F.regexp_extract_all("b", F.lit(r"(\w+\s*(?:\([^)]*\))?\s*:\s*[\[\]\w!]+)\s*(?=\n|\}|$)"), F.lit(1))
     rows = rows.select(repo, "kind", F.explode(fields).alias("f"))
     return rows.select(repo, "kind", F.regexp_extract("f", r"^(\w+)", 1).alias("name"), F.regexp_extract("f", r":\s*([\[\]\w!]+)$", 1).alias("return_type"))
-
-
-def sql_objects(df: DataFrame, path: str, text: str) -> DataFrame:
-    """(path, kind, name) of CREATE statements."""
-    made = F.regexp_extract_all(text, F.lit(r"(?i)(create\s+(?:or\s+replace\s+)?(?:materialized\s+)?(?:table|view|function|procedure)\s+(?:if\s+not\s+exists\s+)?[\w.\"`]+)"), F.lit(1))
-    rows = df.select(path, F.explode(made).alias("c"))
-    return rows.select(
-        path, F.lower(F.regexp_extract("c", r"(?i)\b(table|view|function|procedure)\b", 1)).alias("kind"),
-        F.regexp_replace(F.regexp_extract("c", r"([\w.\"`]+)$", 1), "[\"`]", "").alias("name"),
-    )
