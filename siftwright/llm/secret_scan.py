@@ -266,9 +266,36 @@ def random_spans(text: Column, base: Column, cuts: list[list[float]]) -> Column:
         b = battery(m["own"])
         return let(b, lambda x: (F.floor(x["score"] / BIN) * BIN >= F.get(least, stratum(x))) & (F.floor(x["misfit"] / BIN) * BIN < F.get(most, stratum(x))))
 
-    free = F.filter(F.filter(found, tested), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    spans = F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit("random").alias("kind")))
-    return F.when(F.rlike(text, F.lit(TOKEN)), spans).otherwise(F.array().cast(SPAN))
+    passed = F.transform(F.filter(found, tested), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+    none = F.array().cast(SPAN)
+    spans = let(passed, lambda t: F.when(F.size(t) == 0, none).otherwise(apart(t, base)))
+    return F.when(F.rlike(text, F.lit(TOKEN)), spans).otherwise(none)
+
+
+def apart(tokens: Column, base: Column) -> Column:
+    """Tokens (start, end), as random spans, that touch no base span.
+
+    Both are put in order together and passed twice: going right, the furthest
+    end of the base spans so far tells whether one reaches into a token, and
+    going left, the nearest start of those after it.
+    """
+
+    def pair(spans: Column, of: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(of).alias("of"), s["end"].alias("end")))
+
+    def one_way(tokens: Column, right: bool) -> Column:
+        def step(at: Column, e: Column):
+            isbase = e["of"] == 0
+            clear = (at <= e["start"]) if right else (at >= e["end"])
+            reach = F.greatest(at, e["end"]) if right else F.least(at, e["start"])
+            own = F.array(F.struct(e["start"].alias("start"), e["end"].alias("end"), F.lit("random").alias("kind")))
+            return F.when(isbase, reach).otherwise(at), F.when(~isbase & clear, own).otherwise(F.array().cast(SPAN))
+
+        both = F.sort_array(F.concat(pair(base, 0), pair(tokens, 1)), right)
+        begin = F.lit(0 if right else 2**31 - 1)
+        return appended(both, begin, "struct<start:int,end:int,kind:string>", step, lambda _, out: out)
+
+    return let(one_way(tokens, True), lambda left: one_way(left, False))
 
 
 def in_order(spans: Column) -> Column:

@@ -83,6 +83,42 @@ def test_secret_redaction(spark):
     assert got == {1: "a [SECRET] b [SECRET]", 2: None}
 
 
+def test_tokens_apart_from_base_spans_equal_all_pairs(spark):
+    rng = random.Random(8)
+
+    def spans(n, top):
+        return [(a, a + rng.randint(1, 12)) for a in (rng.randrange(top) for _ in range(n))]
+
+    rows = [(i, spans(rng.randrange(12), 80), spans(rng.randrange(9), 80)) for i in range(300)] + [(900, [], []), (901, [(0, 5)], []), (902, [(0, 5)], [(5, 6)])]
+    df = spark.createDataFrame(rows, "id long, t array<struct<start:int,end:int>>, b array<struct<start:int,end:int>>")
+    base = F.transform("b", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("hex").alias("kind")))
+    got = {r["id"]: sorted((s["start"], s["end"]) for s in r["x"]) for r in df.select("id", secret_scan.apart(F.col("t"), base).alias("x")).collect()}
+    for i, t, b in rows:
+        assert got[i] == sorted(x for x in t if not any(c < x[1] and x[0] < d for c, d in b)), i
+
+
+def test_many_random_tokens_beside_many_secrets_in_linear_time(spark):
+    """With finite limits, so that tokens are tested and meet the base spans."""
+    rng = random.Random(2)
+    alphabet = string.ascii_letters + string.digits
+    token = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(50)]
+    cuts = [[side] * (len(secret_scan.ENCODINGS) * len(secret_scan.LENGTHS)) for side in (-1e9, 1e9)]
+
+    def seconds(n):
+        text = " ".join(f"{token[i % 50]} password=abcdef{i % 10}" for i in range(n))
+        df = frame(spark, [(1, text, *[None] * 6)])
+        best = math.inf
+        for _ in range(2):
+            began = time.perf_counter()
+            row = secret_scan.find(df, cuts=cuts).select(F.size("base_spans").alias("b"), F.size("secret_spans").alias("s")).first()
+            best = min(best, time.perf_counter() - began)
+            assert row["b"] == n and row["s"] == 2 * n
+        return best
+
+    seconds(500)
+    assert seconds(8_000) < 6 * max(seconds(2_000), 0.3)
+
+
 def test_secrets_of_a_long_text_in_linear_time(spark):
     took = []
     for n in (10_000, 40_000):
