@@ -40,8 +40,17 @@ def stale_reason(notes: DataFrame, index: DataFrame, renames: DataFrame, as_of:
     return joined.withColumn("stale_reason", reason).drop("p_", "known_", "o_")
 
 
-def prunable(stale: DataFrame) -> DataFrame:
-    return stale.where(F.col("stale_reason").isin("renamed", "missing_file"))
+#: Orders of memory: by freshness, by confidence as recorded, and by time.
+ORDERS = ("decayed", "confidence", "recent")
+
+
+def ordered(df: DataFrame, by: str, conf: Column, at: Column, count: Column, as_of: Column, ord: str, limit: int | None = None) -> DataFrame:
+    """Notes with ``score``, best first by one of ``ORDERS``."""
+    if by not in ORDERS:
+        raise ValueError(f"order {by!r} is none of {', '.join(ORDERS)}")
+    score = {"decayed": scores.effective_confidence(conf, scores.age_days(at, as_of), count), "confidence": conf, "recent": F.unix_micros(at.cast("timestamp")).cast("double")}[by]
+    out = df.withColumn("score", F.round(score, 6)).orderBy(F.desc("score"), ord)
+    return out if limit is None else out.limit(limit)
 
 
 def provenance(notes: DataFrame, committed: DataFrame, staged: DataFrame, path: str, on_main: bool = False) -> DataFrame:

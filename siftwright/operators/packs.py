@@ -176,6 +176,14 @@ def external_resolved(stubs: DataFrame, edges: DataFrame) -> DataFrame:
     return stubs.join(refs, "stub").select("stub", "file")
 
 
+def external_dropped(stubs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(resolved, dropped): one row, how many stubs have one file that refers to
+    them, and how many go."""
+    refs = edges.groupBy("stub").agg(F.countDistinct("file").alias("n"))
+    n = F.col("n").eqNullSafe(F.lit(1))
+    return stubs.join(refs, "stub", "left").agg(F.count_if(n).alias("resolved"), F.count_if(~n).alias("dropped"))
+
+
 def newest_packs(packs: DataFrame, created: str, ids: str, keep: int = 20) -> DataFrame:
     """A registry bounded to the newest packs."""
     return packs.orderBy(F.desc(created), F.desc(ids)).limit(keep)
@@ -193,6 +201,20 @@ def flow_label(items: DataFrame, flows: DataFrame, node: str) -> DataFrame:
     return joined.withColumn("flow", F.when(F.col("best_").isNotNull(), F.concat_ws(">", F.col("best_.entry").cast("string"), F.col("best_.leaf").cast("string")))).drop("n_", "best_")
 
 
+#: First items of a debug pack that are looked at, and how many of
+#: them should have a flow.
+FLOW_TOP, FLOW_LEAST = 5, 3
+
+
+def flow_note(labelled: DataFrame, group: Sequence[str], conf: str = "confidence", ord: str = "ord") -> DataFrame:
+    """(group..., note): told where fewer of the first items than wanted have a
+    ``flow``, else null."""
+    first = ranking.ranked(labelled, group, conf, ord).where(F.col("rank") <= FLOW_TOP)
+    told = first.groupBy(*group).agg(F.count(F.nullif(F.col("flow"), F.lit(""))).alias("with_"), F.count("*").alias("n_"))
+    text = F.format_string("flows available for only %d of top %d items; consider re-indexing or widening the query", "with_", "n_")
+    return told.select(*group, F.when(F.col("with_") < FLOW_LEAST, text).alias("note"))
+
+
 def workspace_pack(df: DataFrame, query: str, mode: str, linked: DataFrame, producers: DataFrame, evidence: Evidence | None = None, repo: str = "repo", repo_budget: int | None = None, budget: int = 8000) -> DataFrame:
     """(repo, ord, title, confidence, rank, total_tokens, baseline, reduction) over
     several repositories; ``ord`` is unique among all of them.

@@ -93,10 +93,15 @@ def rerank(df: DataFrame, conf: str, scorer: Callable[[DataFrame], DataFrame], p
     return scored.withColumn(conf, F.greatest(F.lit(0.0), scores.capped(fresh * factor)))
 
 
-def widened(df: DataFrame, query: str, path: Column) -> DataFrame:
-    """Rows whose file stem shares a token with the query, less stop words."""
+def widened(df: DataFrame, query: str, path: Column, changed: Column | None = None) -> DataFrame:
+    """Rows whose file stem shares a token with the query, less stop words. Where
+    ``changed`` gives a row's changed paths, only those rows widen for which
+    nothing but documentation has changed."""
     words = [w for w in tx.query_tokens(query) if w not in tx.STOP]
-    return df.where(F.arrays_overlap(tx.tokens(tx.stem(path)), F.array(*[F.lit(w) for w in words]).cast("array<string>")))
+    hit = F.arrays_overlap(tx.tokens(tx.stem(path)), F.array(*[F.lit(w) for w in words]).cast("array<string>"))
+    if changed is not None:
+        hit = hit & ((F.coalesce(F.size(changed), F.lit(0)) <= 0) | tx.docs_only(changed))
+    return df.where(hit)
 
 
 def keyword_baseline(df: DataFrame, query: str, text: Column, order: Sequence[str], limit: int = 50) -> DataFrame:

@@ -14,6 +14,12 @@ def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (df.write.mode("append").partitionBy(*by) if by else df.write.mode("append")).parquet(path)
 
 
+def capped_scan(df: DataFrame, where: Column, order: str, limit: int = 10_000) -> DataFrame:
+    """The first rows in ``order`` that meet a condition, as an explicit report of
+    at most ``limit``."""
+    return df.where(where).orderBy(order).limit(limit)
+
+
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     """Only the partitions that ``df`` holds are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

@@ -18,6 +18,24 @@ def freshness_rank(spark, d):
     return out.select("event_id", F.round("decay", 6).alias("decay"), F.round("effective", 6).alias("effective"))
 
 
+@query(
+    f"WITH e AS (SELECT event_id, round(least(0.95, value / 100.0 * CASE WHEN {AGE} <= 0 THEN 1 ELSE exp(-ln(2) * {AGE} / 30.0) END + least(0.2, (user_id % 30 // 5) * 0.05)), 6) AS d, round(value / 100.0, 6) AS c, CAST(epoch_us(ts) AS DOUBLE) AS t FROM events) "
+    "SELECT 'decayed' AS by, event_id, CAST(row_number() OVER (ORDER BY d DESC, event_id) AS BIGINT) AS rank FROM e QUALIFY rank <= 50 UNION ALL SELECT 'confidence', event_id, CAST(row_number() OVER (ORDER BY c DESC, event_id) AS BIGINT) AS rank FROM e QUALIFY rank <= 50 "
+    "UNION ALL SELECT 'recent', event_id, CAST(row_number() OVER (ORDER BY t DESC, event_id) AS BIGINT) AS rank FROM e QUALIFY rank <= 50"
+)
+def memory_orders(spark, d):
+    """The first fifty notes in each of the three orders."""
+    from pyspark.sql.window import Window
+
+    parts = None
+    for by in memory.ORDERS:
+        top = memory.ordered(table(spark, d, "events"), by, F.col("value") / 100.0, F.col("ts"), F.col("user_id") % 30, as_of(), "event_id", 50)
+        rank = F.row_number().over(Window.orderBy(F.desc("score"), "event_id")).cast("long")  # fifty rows
+        part = top.select(F.lit(by).alias("by"), "event_id", rank.alias("rank"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 @query(
     "WITH n AS (SELECT event_id, unnest([user_id % 40, event_id % 60]) AS f FROM events), i AS (SELECT DISTINCT s_suppkey % 30 AS f FROM supplier WHERE s_suppkey % 30 < 25) "
     "SELECT event_id FROM n LEFT JOIN i ON n.f = i.f GROUP BY event_id HAVING count(i.f) = 0"

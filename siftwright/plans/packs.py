@@ -119,3 +119,21 @@ def naive_baseline(spark, d):
 def community_members(spark, d):
     found = reports.members(table(spark, d, "customer").select(F.col("c_nationkey").alias("community"), F.col("c_custkey").alias("node")), shown=20)
     return found.select("community", "members", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ",").alias("first"))
+
+
+@query(
+    "SELECT count(*) FILTER (WHERE n = 1) AS resolved, count(*) FILTER (WHERE n IS NULL OR n <> 1) AS dropped FROM (SELECT o_orderkey FROM orders) o LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_returnflag) AS n FROM lineitem WHERE l_quantity < 40 GROUP BY l_orderkey) l ON o_orderkey = l_orderkey"
+)
+def external_dropped(spark, d):
+    refs = table(spark, d, "lineitem").where("l_quantity < 40").select(F.col("l_orderkey").alias("stub"), F.col("l_returnflag").alias("file"))
+    return packs.external_dropped(table(spark, d, "orders").select(F.col("o_orderkey").alias("stub")), refs)
+
+
+@query(
+    "WITH i AS (SELECT lang, source, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a>b' WHEN doc_id % 3 = 1 THEN '' END AS flow, row_number() OVER (PARTITION BY lang, source ORDER BY round((doc_id * 37 % 100) / 100.0, 2) DESC, doc_id) AS k FROM documents), "
+    "g AS (SELECT lang AS repo, source, count(nullif(flow, '')) AS w, count(*) AS n FROM i WHERE k <= 5 GROUP BY lang, source) "
+    "SELECT repo, source, CASE WHEN w < 3 THEN 'flows available for only ' || w || ' of top ' || n || ' items; consider re-indexing or widening the query' END AS note FROM g"
+)
+def debug_flow_note(spark, d):
+    flow = F.when(F.col("ord") % 3 == 0, "a>b").when(F.col("ord") % 3 == 1, "")
+    return packs.flow_note(items(spark, d).withColumn("flow", flow), ["repo", "source"])

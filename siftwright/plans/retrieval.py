@@ -147,10 +147,12 @@ def rerank_blend(spark, d):
     return out.select("doc_id", F.round("c", 6).alias("confidence"))
 
 
-@query(f"WITH p AS (SELECT doc_id, {PATH} AS path FROM documents) SELECT doc_id FROM p WHERE regexp_matches(path, '(^|[/_])src(1|7)\\.(py|go)$')")
+@query(f"WITH p AS (SELECT doc_id, {PATH} AS path FROM documents) SELECT doc_id FROM p WHERE regexp_matches(path, '(^|[/_])src(1|7)\\.(py|go)$') AND doc_id % 3 < 2")
 def query_widening(spark, d):
+    """Widened where nothing, or documentation alone, has changed."""
     p = table(spark, d, "documents").select("doc_id", F.expr(PATH).alias("path"))
-    return retrieval.widened(p, "fix the main docs of src1 and src7", F.col("path")).select("doc_id")
+    changed = F.when(F.col("doc_id") % 3 == 1, F.array(F.lit("docs/a.py"), F.lit("README.md"))).when(F.col("doc_id") % 3 == 2, F.array(F.lit("README.md"), F.lit("src/a.py")))
+    return retrieval.widened(p, "fix the main docs of src1 and src7", F.col("path"), changed).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'tention') OR contains(lower(text), 'eaux') ORDER BY doc_id LIMIT 50")

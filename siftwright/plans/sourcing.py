@@ -60,10 +60,10 @@ def openapi_endpoints(spark, d):
     return parsers.openapi_endpoints(rows, "repo", "t")
 
 
-@query("SELECT page_id, array_to_string(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)), '|') IS NOT NULL AS has_links, len(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS n_links FROM pages")
+@query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1))), '|') AS links, len(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) AS n_links FROM pages")
 def page_links(spark, d):
     links = F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))
-    return table(spark, d, "pages").select("page_id", F.array_join(F.array_distinct(links), "|").isNotNull().alias("has_links"), F.size(links).cast("long").alias("n_links"))
+    return table(spark, d, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(links)), "|").alias("links"), F.size(links).cast("long").alias("n_links"))
 
 
 @query("SELECT 'f' || (p_partkey % 50) || '.sql' AS path, 'table' AS kind, count(*) AS n FROM part GROUP BY 1")
@@ -294,3 +294,100 @@ def scanned_files(spark, d):
     folder = F.concat_ws("/", F.regexp_extract("path", "a=(d[0-9]+)", 1), F.regexp_extract("path", "b=([a-z]+)", 1))
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: x != "")).cast("long")
     return found.select(folder.alias("folder"), lines.alias("n")).groupBy("folder").agg(F.sum("n").alias("n"))
+
+
+#: Queries with ids that repeat, without text and without gold.
+ASKED = (
+    "SELECT 'q' || CASE p_partkey % 11 WHEN 0 THEN 0 ELSE p_partkey END AS id, CASE p_partkey % 7 WHEN 0 THEN NULL ELSE p_name END AS q, CASE p_partkey % 5 WHEN 0 THEN NULL ELSE p_brand END AS gold FROM {t}"
+)
+
+
+@query(
+    "WITH a AS (" + ASKED.format(t="part") + ") SELECT id, q, CASE WHEN q IS NULL THEN 'missing field' WHEN gold IS NULL THEN 'empty gold' WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id' END AS problem FROM a"
+)
+def jsonl_queries(spark, d):
+    """Queries written as JSON lines and read back with what is wrong with each."""
+    from siftwright.operators.graph import shared_path
+
+    place = shared_path(spark, "queries")
+    rows = spark.sql(ASKED, t=table(spark, d, "part")).select("id", "q", F.when(F.col("gold").isNotNull(), F.array("gold")).otherwise(F.array().cast("array<string>")).alias("gold"))
+    rows.write.json(place)
+    return parsers.queries_jsonl(spark, place).select("id", "q", "problem")
+
+
+@query("SELECT event_id, event_type AS summary, 1::BIGINT AS n_files FROM events UNION ALL SELECT event_id + 1000000, 'again', 0 FROM events WHERE user_id % 3 = 0")
+def session_notes(spark, d):
+    """Notes of session texts, an object or a list of two each."""
+    one = "concat('{\"event_id\": ', event_id, ', \"summary\": \"', event_type, '\", \"files\": [\"x\"]}')"
+    two = "concat(', {\"event_id\": ', event_id + 1000000, ', \"summary\": \"again\", \"files\": []}]')"
+    texts = table(spark, d, "events").selectExpr(f"CASE WHEN user_id % 3 = 0 THEN concat(' [', {one}, {two}) ELSE {one} END AS t")
+    found = parsers.session_notes(texts, "t", "event_id:bigint,summary:string,files:array<string>")
+    return found.select("event_id", "summary", F.size("files").cast("long").alias("n_files"))
+
+
+@query(
+    "SELECT 'k' || (user_id % 9) || '.t' || event_id AS test, CASE WHEN event_type = 'error' THEN 'error' ELSE 'failure' END AS kind, event_type AS message FROM events WHERE user_id % 3 < 2 UNION ALL SELECT 'k' || (user_id % 9) || '.t' || event_id, 'failure', 'body ' || event_id FROM events WHERE user_id % 3 = 2 AND event_id % 2 = 0"
+)
+def junit_cases(spark, d):
+    """Reports written from events, some with messages, some with texts, some passed."""
+    from siftwright.operators.graph import shared_path
+
+    place = shared_path(spark, "reports")
+    told = "named_struct('_message', event_type, '_VALUE', 'x')"
+    rows = table(spark, d, "events").selectExpr(
+        "concat('k', user_id % 9) AS _classname", "concat('t', event_id) AS _name",
+        f"CASE WHEN user_id % 3 < 2 AND event_type <> 'error' THEN {told} WHEN user_id % 3 = 2 AND event_id % 2 = 0 THEN named_struct('_message', CAST(NULL AS STRING), '_VALUE', concat('body ', event_id)) END AS failure",
+        f"CASE WHEN user_id % 3 < 2 AND event_type = 'error' THEN {told} END AS error",
+    )
+    rows.repartition(3).write.format("xml").option("rootTag", "testsuite").option("rowTag", "testcase").option("declaration", "").save(place)
+    return parsers.junit_failures(spark, place)
+
+
+@query("SELECT 'N.T' || event_id AS test, 'boom ' || (event_id % 9) AS message FROM events UNION ALL SELECT 'N.U' || event_id, '' FROM events WHERE user_id % 2 = 0")
+def dotnet_cases(spark, d):
+    t = "concat('Passed A', chr(10), 'Failed N.T', event_id, chr(10), '  Error Message:', chr(10), '   boom ', event_id % 9, chr(10), CASE WHEN user_id % 2 = 0 THEN concat('  Failed N.U', event_id, ' [1 ms]', chr(10)) ELSE '' END, 'Failed!')"
+    return parsers.dotnet_failures(table(spark, d, "events").selectExpr(f"{t} AS t"), "t")
+
+
+@query("SELECT o_orderstatus AS status, o_orderkey FROM orders WHERE o_orderkey % 3 < 2 UNION ALL SELECT o_orderstatus, o_orderkey FROM orders WHERE o_orderkey % 3 = 1")
+def bulk_insert(spark, d):
+    """Two appends to one table, the second with some rows again."""
+    from siftwright.operators.graph import shared_path
+
+    place, rows = shared_path(spark, "bulk"), table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), "o_orderkey")
+    for k in (2, 1):
+        sinks.append(rows.where(F.col("o_orderkey") % 3 < 2 if k == 2 else F.col("o_orderkey") % 3 == 1), place, ["status"])
+    return spark.read.parquet(place).select("status", "o_orderkey")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#1' ORDER BY p_partkey LIMIT 10000")
+def symbols_of_repo(spark, d):
+    return sinks.capped_scan(table(spark, d, "part"), F.col("p_brand") == "Brand#1", "p_partkey").select("p_partkey", "p_name")
+
+
+@query("SELECT ord, CASE category WHEN 'changed_file' THEN 0.5 WHEN 'blast_radius' THEN 0.70 WHEN 'impacted_test' THEN 0.60 WHEN 'config' THEN 0.9 WHEN 'query_match' THEN 0.55 ELSE 0.20 END::DOUBLE AS weight FROM (SELECT p_partkey AS ord, CASE p_partkey % 6 WHEN 0 THEN 'changed_file' WHEN 1 THEN 'blast_radius' WHEN 2 THEN 'impacted_test' WHEN 3 THEN 'config' WHEN 4 THEN 'query_match' ELSE 'file' END AS category FROM part) x")
+def weight_overrides(spark, d):
+    """Weights of categories, two of them overridden."""
+    from siftwright.operators import classify
+
+    names = F.array(*[F.lit(x) for x in ("changed_file", "blast_radius", "impacted_test", "config", "query_match", "file")])
+    category = F.get(names, (F.col("p_partkey") % 6).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("ord"), classify.weight_of(category, classify.REVIEW, {"changed_file": 0.5, "config": 0.9}).cast("double").alias("weight"))
+
+
+@query(
+    "WITH l AS (SELECT src, dst, max(c) AS c FROM (SELECT 'r' || (l_suppkey % 9) AS src, 'r' || (l_partkey % 9) AS dst, l_discount AS c FROM lineitem) x GROUP BY src, dst), k AS (SELECT * FROM l WHERE src <> 'r3' AND dst <> 'r3') "
+    "SELECT src AS src_repo, dst AS dst_repo, CAST(c AS DOUBLE) AS confidence FROM k WHERE src <> 'r5' UNION ALL SELECT 'r5', 'r' || (p_size % 9), 0.5 FROM part WHERE p_size % 9 <> 3 GROUP BY 1, 2"
+)
+def repository_links(spark, d):
+    """Links of repositories: the surest of equal ones, one repository removed, and
+    all links of another replaced."""
+    from siftwright.operators import registry
+
+    found = table(spark, d, "lineitem").selectExpr("'r' || (l_suppkey % 9) AS src_repo", "'r' || (l_partkey % 9) AS dst_repo", "'imports' AS edge_kind", "l_discount AS confidence")
+    links = registry.link(found.limit(0), found)
+    repos = links.select(F.col("src_repo").alias("name")).distinct().withColumns({"path": F.lit("p"), "language": F.lit("x")})
+    repos = registry.add_repo(repos, repos.where("name = 'r1'").withColumn("path", F.lit("q")))
+    _, links = registry.remove_repo(repos, links, "r3")
+    fresh = table(spark, d, "part").where("p_size % 9 <> 3").selectExpr("'r5' AS src_repo", "'r' || (p_size % 9) AS dst_repo", "'imports' AS edge_kind", "CAST(0.5 AS DOUBLE) AS confidence").distinct()
+    return registry.refresh_source(links, "r5", fresh).select("src_repo", "dst_repo", "confidence")
