@@ -21,5 +21,6 @@ QUERIES = {
 }
 SQL = {
     "op5_url_filter": urls.SQL,
+    "op6_cover_tree_dedup": vectors.SQL,
     "op9_quality_rules": quality.SQL,
 }

@@ -166,3 +166,22 @@ def test_intersections_are_exact():
         want = [len(np.intersect1d(sets[i], s)) for s in sets]
         got = some.shared(i, np.arange(150))
         assert [g for k, g in enumerate(got.tolist()) if k != i] == [w for k, w in enumerate(want) if k != i]
+
+
+def test_vectors_equal_the_sql(spark, tmp_path):
+    """The registered SQL on vectors with links, odd rows included."""
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for c in range(10):
+        centre = rng.normal(size=6)
+        rows += [(len(rows) + k, [float(np.float32(x)) for x in centre + rng.normal(size=6) * s], c % 2 if k < 9 else None) for k, s in enumerate([0.02] * 4 + [0.3] * 8)]
+    n = len(rows)
+    rows += [(n, None, 0), (n + 1, [0.0] * 6, 0), (n + 2, [float("nan")] * 6, 0), (n + 3, [1.0, None], 0), (n + 4, rows[0][1], 0), (n + 5, [], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/e/*.parquet')")
+    want = sorted(map(tuple, con.sql(vectors.SQL).fetchall()))
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(spark.read.parquet(str(tmp_path / "e"))).collect())
+    assert got == want and sum(r[1] for r in want) > 20 and len(want) == len(rows)

@@ -145,6 +145,25 @@ def test_mixing_meets_its_targets(spark, tilt):
     assert key(got) == key(again)
 
 
+def test_copies_are_the_rates_but_for_rounding(spark):
+    """Of each source and size, whole copies differ from the brute-force rates by
+    the rounding of running sums, and by what brings the source to its target."""
+    rng = np.random.default_rng(6)
+    sizes = {f"s{k}": rng.integers(1, 400, 300).tolist() for k in range(3)}
+    rows = [(1000 * k + i, " ".join(["w"] * n), None, s, 0, "x", "y", "z") for k, (s, v) in enumerate(sizes.items()) for i, n in enumerate(v)]
+    got = mixing.mix(frame(spark, rows)).toPandas()
+    want = brute_targets({s: sum(v) for s, v in sizes.items()})
+    for s, v in sizes.items():
+        rates = brute_rates(v, want[s], mixing.SIZE_TILT)
+        mine = got[got.source == s].groupby("size").copies.sum()
+        wish = Counter()
+        for n, r in zip(v, rates):
+            wish[n] += r
+        off = {n: mine[n] - wish[n] for n in wish}
+        assert max(abs(x) for x in off.values()) <= 2 and sum(abs(x) > 1 for x in off.values()) <= 8
+        assert abs(sum(off.values())) <= 3 and abs(sum(n * x for n, x in off.items())) <= max(1.0, 1e-4 * want[s]) + min(v)
+
+
 def test_duals_equal_a_brute_force_solver(spark):
     rng = np.random.default_rng(2)
     classes, targets, want = [], [], {}
