@@ -74,6 +74,16 @@ def adjacent(edges: DataFrame, nodes: DataFrame, group: str, value) -> DataFrame
     return out.union(into).distinct()
 
 
+def adjacent_files(edges: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """(file): files with an edge from or to a node of ``changed`` (path) files,
+    which themselves are left out. ``nodes`` is (node, file)."""
+    wanted = changed.select(F.col("path").alias("file")).distinct()
+    mine = nodes.join(wanted, "file", "left_semi").select("node").distinct()
+    ends = [edges.join(mine, edges[a] == mine["node"], "left_semi").select(F.col(b).alias("node")) for a, b in (("src", "dst"), ("dst", "src"))]
+    near = nodes.join(ends[0].union(ends[1]).distinct(), "node", "left_semi").select("file").distinct()
+    return near.join(wanted, "file", "left_anti")
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     """(node, depth): nodes reached from ``seeds`` (node) along edges, with the
     least depth. One join and one anti join a level; the frontier is distinct."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import scores
 
-from siftwright.operators import classify, ranking, reports, sinks, workspace
+from siftwright.operators import candidates, classify, ranking, reports, sinks, workspace
 from siftwright.plans.registry import query, table, values, values_sql
 from siftwright.plans.retrieval import CONF, PATH
 
@@ -263,3 +263,40 @@ def render_lines(spark, d):
 def lookup_join(spark, d):
     i = items(spark, d)
     return reports.matching(i, i.where("kind = 'config'"), ["repo", "path"]).select("ord")
+
+
+#: Files of documents, what they refer to, and the evidence of a failure: traces of
+#: suppliers with other roots, one with and one without signals.
+DEBUG = (
+    "WITH s AS (SELECT doc_id AS node, " + PATH + " AS path FROM documents), e AS (SELECT doc_id AS src, doc_id + 4 AS dst FROM documents WHERE doc_id % 6 = 0), "
+    "g AS (SELECT s_suppkey AS ord, 'm' || (s_suppkey % 6) AS message, '/abs/main_src' || (s_suppkey % 20) || '.py' AS p FROM supplier WHERE s_suppkey % 5 = 0), "
+    "past AS (SELECT 'docs/fr.md' AS path UNION ALL SELECT 'old/main_src3.py'), ch AS (SELECT DISTINCT path FROM s WHERE path IN ('src/en_src1.py', 'src/de_src4.py', 'lib/src5.py')), "
+    "n AS (SELECT DISTINCT path FROM (SELECT b.path FROM e JOIN s a ON e.src = a.node JOIN s b ON e.dst = b.node WHERE a.path IN (SELECT path FROM ch) UNION SELECT a.path FROM e JOIN s a ON e.src = a.node JOIN s b ON e.dst = b.node WHERE b.path IN (SELECT path FROM ch)) x WHERE path NOT IN (SELECT path FROM ch)), "
+    "k AS (SELECT node, path, {some} AS told, CASE WHEN {some} AND string_split(path, '/')[-1] IN (SELECT string_split(p, '/')[-1] FROM g) THEN 'runtime_signal' WHEN path IN (SELECT path FROM past) OR string_split(path, '/')[-1] IN (SELECT string_split(path, '/')[-1] FROM past) THEN 'past_debug' "
+    "WHEN path IN (SELECT path FROM ch) THEN 'changed_file' WHEN string_split(path, '/')[-1] LIKE 'test@_%' ESCAPE '@' AND ({some} OR replace(replace(string_split(path, '/')[-1], 'test_', ''), '.py', '') IN (SELECT replace(string_split(path, '/')[-1], '.py', '') FROM ch)) THEN 'failing_test' "
+    "WHEN path IN (SELECT path FROM n) THEN 'blast_radius' ELSE 'file' END AS kind FROM s) "
+    "SELECT told, node, kind, round(CASE kind WHEN 'runtime_signal' THEN 0.95 WHEN 'past_debug' THEN 0.90 WHEN 'changed_file' THEN least(0.95, 0.70 * 1.15) WHEN 'failing_test' THEN 0.85 WHEN 'blast_radius' THEN 0.50 ELSE 0.20 END, 6) AS confidence FROM k"
+)
+
+
+@query(f"SELECT * FROM ({DEBUG.format(some='true')}) a UNION ALL SELECT * FROM ({DEBUG.format(some='false')}) b")
+def debug_symbols(spark, d):
+    symbols = table(spark, d, "documents").select(F.col("doc_id").alias("node"), F.expr(PATH).alias("path"))
+    edges = table(spark, d, "documents").where("doc_id % 6 = 0").selectExpr("doc_id AS src", "doc_id + 4 AS dst")
+    signals = table(spark, d, "supplier").where("s_suppkey % 5 = 0").selectExpr("s_suppkey AS ord", "'m' || (s_suppkey % 6) AS message", "array('/abs/main_src' || (s_suppkey % 20) || '.py') AS paths", "array('a', 'b') AS stack")
+    past = spark.createDataFrame([("docs/fr.md",), ("old/main_src3.py",)], "path string")
+    changed = symbols.where(F.col("path").isin("src/en_src1.py", "src/de_src4.py", "lib/src5.py")).select("path")
+    parts = [candidates.debug_symbols(symbols, edges, g, past, changed).select(F.lit(some).alias("told"), "node", "kind", "confidence") for some, g in ((True, signals), (False, signals.limit(0)))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "SELECT CASE WHEN user_id % 3 = 0 THEN 'runtime' ELSE 'f' || user_id || '.py' END AS path, substr(message, 1, 80) AS title, CASE WHEN user_id % 2 = 0 THEN message ELSE 'at a' || event_id || chr(10) || 'at b' END AS excerpt, 'runtime_signal' AS kind, 0.95::DOUBLE AS confidence FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY message ORDER BY event_id) AS k FROM (SELECT *, event_type || ' ' || props || repeat('x', 70) AS message FROM events) x) y WHERE k = 1"
+)
+def signal_items(spark, d):
+    rows = table(spark, d, "events").selectExpr(
+        "event_id AS ord", "event_type || ' ' || props || repeat('x', 70) AS message", "CASE WHEN user_id % 3 = 0 THEN array() ELSE array('f' || user_id || '.py') END AS paths",
+        "CASE WHEN user_id % 2 = 0 THEN array() ELSE array('at a' || event_id, 'at b') END AS stack",
+    )
+    return candidates.signal_items(rows)
