@@ -33,7 +33,15 @@ def staged(df: DataFrame) -> DataFrame:
     """``df`` as a table in the session's checkpoint folder, lineage cut."""
     path = shared_path(df.sparkSession, "graph")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def hub_scores(edges: DataFrame, types=USES) -> DataFrame:
@@ -117,15 +125,18 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     changes; every round is staged."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
     both = staged(both)
-    labels = staged(nodes.select("node", F.col("node").alias("label")).distinct())
+    labels = last = staged(nodes.select("node", F.col("node").alias("label")).distinct())
     while True:
         near = both.join(labels, both["dst"] == labels["node"]).groupBy(F.col("src").alias("n")).agg(F.min("label").alias("m"))
         low = labels.join(near, labels["node"] == near["n"], "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("low"))
         jump = labels.select(F.col("node").alias("j"), F.col("label").alias("to"))
         moved = staged(low.join(jump, low["low"] == jump["j"], "left").select("node", "label", F.least("low", F.coalesce("to", "low")).alias("fresh")))
         if moved.where("fresh <> label").isEmpty():
+            unstage(moved)
             break
-        labels = moved.select("node", F.col("fresh").alias("label"))
+        unstage(last)
+        labels, last = moved.select("node", F.col("fresh").alias("label")), moved
+    unstage(both)
     roots = dense_number(labels.select("label").distinct(), "label", "community")
     return labels.join(roots, "label").select("node", F.col("label").alias("component"), "community")
 
