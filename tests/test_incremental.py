@@ -124,3 +124,14 @@ def test_best_targets_by_name_without_pairs(spark):
         most = max(most, rows.get().value() if rows.isDefined() else 0)
         nodes += [node.children().apply(i) for i in range(node.children().size())]
     assert 5000 <= most < 20_000
+
+
+def test_stubs_where_a_name_has_many_candidates(spark):
+    """40,000 edges of one name with 40,000 candidates and 40,000 of one without:
+    1.6 billion pairs, were they made."""
+    names = spark.range(40_000).selectExpr("id AS node", "'n' AS name", "1 AS pr")
+    edges = spark.range(80_000).selectExpr("id AS edge_id", "CASE WHEN id % 2 = 0 THEN 'n' ELSE 'gone' END AS target_name")
+    linked, stubs = graph.with_stubs(graph.resolve(edges, names, F.col("pr")).select("edge_id", "node", "external", "target_name"))
+    (stub,) = stubs.collect()
+    assert stub["name"] == "gone" and stub["kind"] == "external" and stub["node"] < 0
+    assert {(r["node"], r["count"]) for r in linked.groupBy("node").count().collect()} == {(0, 40_000), (stub["node"], 40_000)}
