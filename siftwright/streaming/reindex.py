@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwright.sources import analyzers
+from siftwright.streaming.events import bursts as in_bursts
 
 DELETE = "delete"
 LIST = "path string, last timestamp, bursts long, action string, extension string, symbols array<struct<{}>>, edges array<struct<{}>>, error string, batch long"
@@ -30,13 +31,12 @@ def schema() -> str:
     return LIST.format(*(", ".join(f"{n}: {k}" for n, k in (x.split(" ") for x in s.split(", "))) for s in (analyzers.SYMBOL, analyzers.EDGE)))
 
 
-def debounced(events: DataFrame, gap: str = "300 milliseconds", late: str = "10 seconds") -> DataFrame:
+def debounced(events: DataFrame, gap: str = "300 milliseconds", late: str = "10 seconds", tick: str | None = None) -> DataFrame:
     """(path, start, end, events, last, action, text): a row per burst; of events
-    at one instant the greatest (action, text) is the last."""
-    marked = events.withWatermark("ts", late)
+    at one instant the greatest (action, text) is the last. ``tick`` as in ``bursts``."""
     last = F.max(F.struct("ts", "action", "text"))
-    out = marked.groupBy("path", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), last.alias("e"))
-    return out.select("path", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", F.col("e.ts").alias("last"), F.col("e.action").alias("action"), F.col("e.text").alias("text"))
+    out = in_bursts(events, "path", "ts", gap, tick, late).agg(F.min("ts").alias("start"), F.count("*").alias("events"), last.alias("e"))
+    return out.select("path", "start", F.col("w.end").alias("end"), "events", F.col("e.ts").alias("last"), F.col("e.action").alias("action"), F.col("e.text").alias("text"))
 
 
 def indexed(bursts: DataFrame, registry: analyzers.Registry) -> DataFrame:
@@ -61,10 +61,10 @@ def into(target: str, registry: analyzers.Registry) -> Callable[[DataFrame, int]
     return write
 
 
-def run(events: DataFrame, target: str, checkpoint: str, registry: analyzers.Registry, gap: str = "300 milliseconds", late: str = "10 seconds", **trigger) -> None:
+def run(events: DataFrame, target: str, checkpoint: str, registry: analyzers.Registry, gap: str = "300 milliseconds", late: str = "10 seconds", tick: str | None = None, **trigger) -> None:
     """Index what has come since the last run and stop (``trigger`` may be another,
     such as ``processingTime``; then it runs until it is stopped)."""
-    stream = debounced(events, gap, late).writeStream.foreachBatch(into(target, registry))
+    stream = debounced(events, gap, late, tick).writeStream.foreachBatch(into(target, registry))
     stream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
 
 

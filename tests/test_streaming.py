@@ -100,3 +100,20 @@ def test_debounced_sessions_at_the_gap_equal_their_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     assert_same(got, con.sql(catalog.SQL["debounce_sessions"]).df())
     assert {chr(u): n for u, n in got.groupby("user_id").size().items()} == BURSTS
+
+
+def test_reindexed_bursts_at_the_gap_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from siftwright import catalog
+    from tests.compare import assert_same
+
+    later = [("z", 30 * 86_400), ("z", 60 * 86_400 - 1)]  # of the second and the last third
+    rows = [(i, at(s), ord(k), "click") for i, (k, s) in enumerate(GAPS + later)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["stream_reindex"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert_same(got, con.sql(catalog.SQL["stream_reindex"]).df())
+    assert {chr(int(p[1:-3])): n for p, n in zip(got["path"], got["bursts"])} == BURSTS | {"z": 2}
