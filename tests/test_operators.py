@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from siftwright.functions import scores
 from siftwright.functions import text as tx
-from siftwright.operators import evaluation, graph, memory, ranking, retrieval
+from siftwright.operators import evaluation, graph, memory, packs, ranking, retrieval
 from siftwright.sources import code, parsers
 
 
@@ -142,3 +142,11 @@ def test_flows_are_whole_unless_capped(spark):
     assert found.count() == 6060 and found.where("entry = 99999").count() == 60
     capped = graph.flows(edges, entries, max_depth=2, per_entry=50, total=5000).collect()
     assert [r["entry"] for r in capped] == list(range(5000))
+
+
+def test_every_node_of_a_flow_has_its_label(spark):
+    edges = spark.range(6000).selectExpr("id AS src", "id + 10000 AS dst")
+    found = graph.flows(edges, edges.select(F.col("src").alias("node")), max_depth=2)
+    items = edges.select(F.col("dst").alias("k"))
+    labelled = packs.flow_label(items, found, "k")
+    assert labelled.where("flow = concat(k - 10000, '>', k)").count() == 6000
