@@ -82,7 +82,9 @@ def kinds_of(schema: str) -> pa.StructType:
 
 def index(files: DataFrame, registry: Registry, path: str = "path", text: str = "text") -> DataFrame:
     """A row per file (path, extension, symbols, edges, error), in one pass over
-    the texts; write it once where several of ``parts`` are wanted."""
+    the texts; write it once where several of ``parts`` are wanted. Files are dealt
+    out by path first: analyzing costs far more than reading, so the few tasks that
+    a table's bytes ask for would leave most cores idle."""
     symbol, edge = kinds_of(SYMBOL), kinds_of(EDGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +99,9 @@ def index(files: DataFrame, registry: Registry, path: str = "path", text: str =
 
     nested = [f"array<struct<{s.replace(' ', ':').replace(',:', ',')}>>" for s in (SYMBOL, EDGE)]
     schema = f"path string, extension string, symbols {nested[0]}, edges {nested[1]}, error string"
-    return files.select(F.col(path).cast("string"), F.col(text).cast("string")).mapInArrow(run, schema)
+    rows = files.select(F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
+    spread = max(files.sparkSession.sparkContext.defaultParallelism, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(spread, "path").mapInArrow(run, schema)
 
 
 def parts(indexed: DataFrame, what: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwright.sources import analyzers, brackets, code
 
@@ -120,3 +121,9 @@ def test_files_of_all_kinds(spark):
     assert {tuple(r) for r in analyzers.parts(indexed, "symbols").select("path", "kind", "name", "owner", "docstring").collect()} == {("a/b.py", "class", "A", None, "Doc."), ("a/b.py", "method", "f", "A", ""), ("k.kt", "class", "K", None, "")}
     assert {tuple(r) for r in analyzers.parts(indexed, "edges").select("src", "dst", "edge_type").collect()} == {("A", "B", "extends"), ("f", "g", "calls"), ("e.PY", "os", "imports")}
     assert [r["path"] for r in analyzers.parts(indexed, "errors").collect()] == ["bad.py"]
+
+
+def test_files_of_one_small_partition_are_analyzed_by_many_tasks(spark):
+    files = spark.range(0, 4000, 1, 1).selectExpr("concat('f', id, '.rb') AS path", "concat('class C', id) AS text")
+    found = code.analyze(files).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert len(found) >= 4 and sum(r["n"] for r in found) == 4000 and max(r["n"] for r in found) < 1500
