@@ -33,12 +33,12 @@ class Finished:
 def finish(symbols: DataFrame, edges: DataFrame) -> Finished:
     """The whole run: test links, labels, communities."""
     linked = with_links(symbols, edges)
-    labels = staged(graph.components(linked, symbols.select("node")).select("node", "component"))
+    labels = staged(graph.components(linked, symbols.select("node")).select("node", "component"), large=True)
     return Finished(numbered(symbols, labels), linked, labels)
 
 
 def with_links(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    return staged(edges.select(*EDGE).unionByName(test_links(symbols).withColumn("edge_type", F.lit("tested_by"))).distinct())
+    return staged(edges.select(*EDGE).unionByName(test_links(symbols).withColumn("edge_type", F.lit("tested_by"))).distinct(), large=True)
 
 
 def numbered(symbols: DataFrame, labels: DataFrame) -> DataFrame:
@@ -53,13 +53,13 @@ def relabelled(nodes: DataFrame, edges: DataFrame, old: DataFrame, removed: Data
     ends = removed.select("src", "dst").union(added.select("src", "dst"))
     ends = ends.select(F.col("src").alias("node")).union(ends.select("dst"))
     gone = old.join(nodes, "node", "left_anti").select("node")
-    hit = staged(old.join(ends.union(gone).distinct(), "node", "left_semi").select("component").distinct())
+    hit = staged(old.join(ends.union(gone).distinct(), "node", "left_semi").select("component").distinct(), large=True)
     kept = old.join(hit, "component", "left_anti").join(nodes, "node", "left_semi").select("node", "component")
-    kept = staged(kept)
-    region = staged(nodes.select("node").distinct().join(kept, "node", "left_anti"))
+    kept = staged(kept, large=True)
+    region = staged(nodes.select("node").distinct().join(kept, "node", "left_anti"), large=True)
     inner = edges.join(region.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
     fresh = graph.components(inner, region).select("node", "component")
-    return staged(kept.unionByName(fresh))
+    return staged(kept.unionByName(fresh), large=True)
 
 
 def refinish(before: Finished, symbols: DataFrame, edges: DataFrame) -> Finished:
@@ -75,6 +75,6 @@ def replace_files(symbols: DataFrame, edges: DataFrame, paths: DataFrame, fresh_
     """Symbols and edges with those of ``paths`` (path) replaced; edges belong to
     the file of their source, and edges into nodes that are gone go too."""
     stay = symbols.join(paths.select("path").distinct(), "path", "left_anti").select(*symbols.columns)
-    every = staged(stay.unionByName(fresh_symbols.select(*symbols.columns)))
+    every = staged(stay.unionByName(fresh_symbols.select(*symbols.columns)), large=True)
     mine = edges.join(stay.select(F.col("node").alias("src")), "src", "left_semi").select(*EDGE).unionByName(fresh_edges.select(*EDGE))
-    return every, staged(mine.join(every.select(F.col("node").alias("dst")), "dst", "left_semi").select(*EDGE))
+    return every, staged(mine.join(every.select(F.col("node").alias("dst")), "dst", "left_semi").select(*EDGE), large=True)

@@ -221,12 +221,12 @@ def part_index(spark, d, symbols, calls):
     """Two of the tables above."""
     table(spark, d, "part").createOrReplaceTempView("siftwright_part")
     text = PART_INDEX.format(part="siftwright_part")
-    return (staged(spark.sql(text + f"SELECT * FROM {x}")) for x in (symbols, calls))
+    return (staged(spark.sql(text + f"SELECT * FROM {x}"), large=True) for x in (symbols, calls))
 
 
 def before_change(spark, d):
     s, c = part_index(spark, d, "s", "c")
-    return s, staged(c.join(s.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "edge_type"))
+    return s, staged(c.join(s.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "edge_type"), large=True)
 
 
 @query("WITH RECURSIVE " + PART_INDEX.format(part="part")[5:] + ", " + CLOSED.format(s="s", c="c"))

@@ -135,3 +135,14 @@ def test_stubs_where_a_name_has_many_candidates(spark):
     (stub,) = stubs.collect()
     assert stub["name"] == "gone" and stub["kind"] == "external" and stub["node"] < 0
     assert {(r["node"], r["count"]) for r in linked.groupBy("node").count().collect()} == {(0, 40_000), (stub["node"], 40_000)}
+
+
+def test_large_staged_tables_are_not_broadcast(spark):
+    """Compressed files of a staged table are far smaller than its rows."""
+    symbols = spark.range(2000).selectExpr("id AS node", "concat('w', id) AS name", "'function' AS kind", "concat('src/', id % 50, '.py') AS path", "CAST(NULL AS INT) AS community")
+    edges = spark.range(1900).selectExpr("id AS src", "id + 100 AS dst", "'calls' AS edge_type")
+    plans = [graph.finalised(symbols, edges)[0], incremental.finish(symbols, edges).labels, graph.components(edges, symbols.select("node"))]
+    done = incremental.finish(symbols, edges)
+    plans.append(done.labels.join(done.edges, done.labels["node"] == done.edges["src"]))
+    assert all(p.count() >= 1900 for p in plans)
+    assert not any("BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString() for p in plans[2:])
