@@ -230,9 +230,12 @@ def runtime_signals(spark, d):
     place = shared_path(spark, "runtime")
     events = table(spark, d, "events").withColumn("kind", F.col("user_id") % 3)
     cases = events.where("kind = 0").selectExpr("user_id", "concat('k', user_id) AS _classname", "concat('t', event_id) AS _name", "named_struct('_message', event_type, '_VALUE', 'x') AS failure")
-    cases.repartition("user_id").write.partitionBy("user_id").format("xml").option("rootTag", "testsuite").option("rowTag", "testcase").option("declaration", "").save(f"{place}/reports")
+    # Files are small and many: they are dealt out by number, not by bytes, and each task commits its own.
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    commit = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    cases.repartition(spread, "user_id").write.options(**commit).partitionBy("user_id").format("xml").option("rootTag", "testsuite").option("rowTag", "testcase").option("declaration", "").save(f"{place}/reports")
     texts = events.where("kind > 0").selectExpr("user_id", "event_id", f"CASE kind WHEN 1 THEN {RUN} ELSE {MIXED} END || chr(10) AS value")
-    texts.repartition("user_id").sortWithinPartitions("user_id", "event_id").select("user_id", "value").write.partitionBy("user_id").text(f"{place}/texts")
+    texts.repartition(spread, "user_id").sortWithinPartitions("user_id", "event_id").select("user_id", "value").write.options(**commit).partitionBy("user_id").text(f"{place}/texts")
     found = spark.read.format("runtime_signals").load(place)
     user = F.regexp_extract("path", r"user_id=(\d+)", 1).cast("long")
     test = F.regexp_extract(F.get("failing_tests", 0), r"\.(t\d+)$", 1)

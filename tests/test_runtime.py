@@ -64,3 +64,17 @@ def test_rows_and_files(spark, tmp_path):
         assert df.rdd.getNumPartitions() == parts and df.count() == 8
     assert spark.read.format("runtime_signals").load(f"file://{tmp_path}/a.xml").count() == 3
     assert spark.read.format("runtime_signals").load(str(tmp_path / "none")).count() == 0
+
+
+def test_files_of_the_query_are_written_by_several_tasks(spark):
+    import re
+    from pathlib import Path
+
+    from siftwright import catalog
+    from tests.conftest import SMALL
+
+    top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "siftwright"
+    before = set(top.glob("runtime-*"))
+    assert catalog.QUERIES["runtime_signals"](spark, SMALL).count() > 0
+    (place,) = set(top.glob("runtime-*")) - before
+    assert len({re.match(r"part-(\d+)", f.name)[1] for f in place.glob("texts/*/part-*")}) > 1
