@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from importlib.metadata import entry_points
+from itertools import accumulate, chain
 from typing import Protocol, runtime_checkable
 
 import pyarrow as pa
@@ -80,6 +81,16 @@ def kinds_of(schema: str) -> pa.StructType:
     return pa.struct([(n, kinds[k]) for n, k in (x.split(" ") for x in schema.split(", "))])
 
 
+def lists(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
+    """A list of structs for each file's rows, built by column; short rows end in
+    nulls, and what a row has beyond the columns is left out."""
+    width = kind.num_fields
+    flat = [r if len(r) == width else (*r, *[None] * width)[:width] for r in chain.from_iterable(rows)]
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*flat) if flat else [()] * width, kind)]
+    ends = pa.array(accumulate(map(len, rows), initial=0), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, fields=list(kind)))
+
+
 def index(files: DataFrame, registry: Registry, path: str = "path", text: str = "text") -> DataFrame:
     """A row per file (path, extension, symbols, edges, error), in one pass over
     the texts; write it once where several of ``parts`` are wanted. Files are dealt
@@ -91,9 +102,9 @@ def index(files: DataFrame, registry: Registry, path: str = "path", text: str =
         for batch in batches:
             paths = batch.column(0).to_pylist()
             done = [registry.rows(p or "", t) for p, t in zip(paths, batch.column(1).to_pylist())]
-            lists = [[[dict(zip(kind.names, r)) for r in rows[k]] for _, rows, _ in done] for k, kind in enumerate((symbol, edge))]
+            found = [lists([rows[k] for _, rows, _ in done], kind) for k, kind in enumerate((symbol, edge))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array(lists[0], pa.list_(symbol)), pa.array(lists[1], pa.list_(edge)), pa.array([d[2] for d in done], pa.string())],
+                [batch.column(0), pa.array([d[0] for d in done], pa.string()), *found, pa.array([d[2] for d in done], pa.string())],
                 ["path", "extension", "symbols", "edges", "error"],
             )
 

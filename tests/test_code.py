@@ -1,6 +1,7 @@
 """Analyzers: bracket languages, odd texts, the registry."""
 
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,39 @@ def test_files_of_one_small_partition_are_analyzed_by_many_tasks(spark):
     files = spark.range(0, 4000, 1, 1).selectExpr("concat('f', id, '.rb') AS path", "concat('class C', id) AS text")
     found = code.analyze(files).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
     assert len(found) >= 4 and sum(r["n"] for r in found) == 4000 and max(r["n"] for r in found) < 1500
+
+
+def test_plain_statements_cost_few_calls():
+    """1,000 lines of seven tokens each; calls, not seconds, are counted."""
+    text = "class A { void f() {\n" + "    a += 1; // {\n" * 1000 + "} }"
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        out = brackets.outline("A.java", text, "java")
+    finally:
+        sys.setprofile(None)
+    assert named(out) == [("class", "A", 1, 1002, None), ("method", "f", 1, 1002, "A")]
+    assert calls < 10_000
+
+
+def test_kinds_of_tokens():
+    def kinds(text, language):
+        return [(t.kind, t.text, t.line) for t in brackets.tokens(text, brackets.LANGUAGES[language])]
+
+    assert kinds("#[A]\n# c\n#\n$x '\n'", "php") == [
+        ("mark", "#", 1), ("mark", "[", 1), ("word", "A", 1), ("mark", "]", 1), ("line", "\n", 1), ("note", "# c", 2), ("line", "\n", 2), ("note", "#", 3), ("line", "\n", 3), ("word", "$x", 4), ("text", "'\n'", 4),
+    ]
+    assert kinds("b'x' r#\"\"\"# br 'a #\"", "rs") == [("text", "b'x'", 1), ("text", "r#\"\"\"#", 1), ("word", "br", 1), ("mark", "'", 1), ("word", "a", 1), ("mark", "#", 1), ("mark", '"', 1)]
+    assert kinds('$"a" $@"\n" @ /* \n */ x', "cs") == [("text", '$"a"', 1), ("text", '$@"\n"', 1), ("mark", "@", 2), ("note", "/* \n */", 2), ("word", "x", 3)]
+    assert kinds("= /a/g / 1.5 => ²٣", "ts") == [("mark", "=", 1), ("text", " /a/g", 1), ("mark", "/", 1), ("number", "1.5", 1), ("mark", "=>", 1), ("word", "²٣", 1)]
+
+
+def test_rows_of_plug_ins_may_be_short_or_long():
+    found = analyzers.lists([[("a", "b")], [], [("c", "d", "e", "f"), ["g", "h", "i"]]], analyzers.kinds_of(analyzers.EDGE)).to_pylist()
+    assert [[tuple(r.values()) for r in rows] for rows in found] == [[("a", "b", None)], [], [("c", "d", "e"), ("g", "h", "i")]]
+    assert analyzers.lists([[], []], analyzers.kinds_of(analyzers.SYMBOL)).to_pylist() == [[], []]
