@@ -217,16 +217,24 @@ CLOSED = (
 )
 
 
+#: ``c2`` before calls from and to symbols that are gone are left out.
+CALLS_AFTER = "(SELECT * FROM c WHERE src % 50 >= 10 UNION ALL SELECT node AS src, node + 4 AS dst, 'calls' AS edge_type FROM s2 WHERE node % 50 < 10) x"
+
+
 def part_index(spark, d, symbols, calls):
-    """Two of the tables above."""
+    """Two of the tables above; of the calls those whose ends are among the
+    symbols, by joins with the staged table: ``IN`` over the file of parts would
+    send all of its keys through the driver."""
     table(spark, d, "part").createOrReplaceTempView("siftwright_part")
     text = PART_INDEX.format(part="siftwright_part")
-    return (staged(spark.sql(text + f"SELECT * FROM {x}"), large=True) for x in (symbols, calls))
+    s, c = (staged(spark.sql(text + f"SELECT * FROM {x}"), large=True) for x in (symbols, calls))
+    for end in ("src", "dst"):
+        c = c.join(s.select(F.col("node").alias(end)), end, "left_semi")
+    return s, staged(c.select("src", "dst", "edge_type"), large=True)
 
 
 def before_change(spark, d):
-    s, c = part_index(spark, d, "s", "c")
-    return s, staged(c.join(s.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", "edge_type"), large=True)
+    return part_index(spark, d, "s", "c")
 
 
 @query("WITH RECURSIVE " + PART_INDEX.format(part="part")[5:] + ", " + CLOSED.format(s="s", c="c"))
@@ -240,7 +248,7 @@ def reindexed_components(spark, d):
     """The same after some files were replaced, from the labels before."""
     symbols, edges = before_change(spark, d)
     before = incremental.finish(symbols, edges)
-    fresh_s, fresh_c = part_index(spark, d, "s2", "c2")
+    fresh_s, fresh_c = part_index(spark, d, "s2", CALLS_AFTER)
     paths = symbols.where("node % 50 < 10").select("path").distinct()
     of_paths = fresh_s.join(paths, "path", "left_semi").select(*fresh_s.columns)
     calls = fresh_c.join(of_paths.select(F.col("node").alias("src")), "src", "left_semi").select(*fresh_c.columns)

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from siftwright.operators import graph, incremental, resolution
+from tests.conftest import SMALL
 
 
 def brute_labels(nodes, edges):
@@ -146,3 +147,31 @@ def test_large_staged_tables_are_not_broadcast(spark):
     plans.append(done.labels.join(done.edges, done.labels["node"] == done.edges["src"]))
     assert all(p.count() >= 1900 for p in plans)
     assert not any("BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString() for p in plans[2:])
+
+
+def staged_plans(monkeypatch, module):
+    """Plans of what a module stages from now on."""
+    plans, whole = [], graph.staged
+
+    def record(df, large=False):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return whole(df, large)
+
+    monkeypatch.setattr(module, "staged", record)
+    return plans
+
+
+def test_an_index_of_parts_is_made_without_broadcasts(spark, monkeypatch):
+    from siftwright.plans import boosts
+
+    plans = staged_plans(monkeypatch, boosts)
+    boosts.reindexed_components(spark, SMALL)
+    assert len(plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_paths_of_flows_meet_edges_without_broadcasts(spark, monkeypatch):
+    edges = spark.range(3000).selectExpr("id AS src", "id + 1000 AS dst")
+    plans = staged_plans(monkeypatch, graph)
+    found = graph.flows(edges, spark.range(1000).toDF("node"), max_depth=4)
+    assert found.where("leaf = entry + 3000 AND size(path) = 4").count() == 1000
+    assert len(plans) >= 4 and not any("Broadcast" in p for p in plans)
