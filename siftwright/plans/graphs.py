@@ -101,12 +101,12 @@ def components(spark, d):
 
 @query(
     "WITH RECURSIVE " + SPARSE[5:] + "s AS (SELECT DISTINCT src, dst FROM sp), f AS (SELECT src AS entry, src AS at, [src] AS path FROM s WHERE src NOT IN (SELECT dst FROM s) GROUP BY src "
-    "UNION ALL SELECT f.entry, s.dst, list_append(f.path, s.dst) FROM f JOIN s ON s.src = f.at WHERE NOT list_contains(f.path, s.dst) AND len(f.path) <= 4), "
-    "x AS (SELECT f.entry, f.at AS leaf, f.path FROM f WHERE len(f.path) > 1 AND (len(f.path) = 5 OR NOT EXISTS (SELECT 1 FROM s WHERE s.src = f.at AND NOT list_contains(f.path, s.dst)))) "
+    "UNION ALL SELECT f.entry, s.dst, list_append(f.path, s.dst) FROM f JOIN s ON s.src = f.at WHERE NOT list_contains(f.path, s.dst)), "
+    "x AS (SELECT f.entry, f.at AS leaf, f.path FROM f WHERE len(f.path) > 1 AND NOT EXISTS (SELECT 1 FROM s WHERE s.src = f.at AND NOT list_contains(f.path, s.dst))) "
     "SELECT entry, leaf, array_to_string(path, '>') AS path FROM (SELECT *, row_number() OVER (PARTITION BY entry, leaf ORDER BY len(path), path) AS k FROM x) y WHERE k = 1"
 )
 def flows(spark, d):
-    out = graph.flows(sparse(spark, d), entries(spark, d), max_depth=4)
+    out = graph.flows(sparse(spark, d), entries(spark, d))
     return out.select("entry", "leaf", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 

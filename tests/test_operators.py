@@ -1,9 +1,11 @@
 from pyspark.sql import functions as F
 
+from siftwright import catalog
 from siftwright.functions import scores
 from siftwright.functions import text as tx
 from siftwright.operators import evaluation, graph, memory, packs, ranking, retrieval
 from siftwright.sources import code, parsers
+from tests.compare import assert_same
 
 
 def one(spark, column):
@@ -144,6 +146,24 @@ def test_flows_are_whole_unless_capped(spark):
     assert [r["entry"] for r in capped] == list(range(5000))
 
 
+def test_flows_are_followed_to_their_ends(spark, tmp_path):
+    """Six hops over a chain of parts with a shorter way by the brand, where the
+    query once ended paths after four; then 12 hops into a cycle, whose last new
+    node is the leaf, where the operator once ended them after ten."""
+    import duckdb
+
+    parts = spark.range(40).selectExpr("id AS p_partkey", "IF(id < 12, 1, 30) AS p_size", "IF(id IN (3, 30), 'Brand#11', 'Brand#12') AS p_brand")
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["flows"](spark, str(tmp_path)).toPandas()
+    assert list(got.sort_values("entry")["path"]) == ["0>1>2>3>10>11>12", "30>37"]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert_same(got, con.sql(catalog.SQL["flows"]).df())
+    edges = spark.range(13).selectExpr("id AS src", "IF(id = 12, 1, id + 1) AS dst")
+    found = graph.flows(edges, spark.range(1).toDF("node")).collect()
+    assert [(r["entry"], r["leaf"], r["path"]) for r in found] == [(0, 12, list(range(13)))]
+
+
 def test_every_node_of_a_flow_has_its_label(spark):
     edges = spark.range(6000).selectExpr("id AS src", "id + 10000 AS dst")
     found = graph.flows(edges, edges.select(F.col("src").alias("node")), max_depth=2)
